@@ -61,7 +61,8 @@ def duplicates(files: DataFrame, processed: DataFrame) -> DataFrame:
     return files.join(processed.select("hash"), "hash", "left_semi")
 
 
-def seen_within_ttl(arrivals: DataFrame, entries: DataFrame, ttl_us: int, segment_us: int = DAY_US) -> DataFrame:
+def seen_within_ttl(arrivals: DataFrame, entries: DataFrame, ttl_us: int, tie: str,
+                    segment_us: int = DAY_US) -> DataFrame:
     """Adds ``last_at_us`` and ``is_duplicate``: is the newest entry of the same hash, at or before the
     arrival, younger than ``ttl_us``?
 
@@ -71,9 +72,8 @@ def seen_within_ttl(arrivals: DataFrame, entries: DataFrame, ttl_us: int, segmen
     e = entries.select("hash", F.col("at_us").alias("_us"), F.lit(0).alias("_kind"))
     a = arrivals.withColumn("_us", F.col("arrived_us")).withColumn("_kind", F.lit(1))
     both = a.unionByName(e, allowMissingColumns=True)
-    ids = [c for c in arrivals.columns if c not in ("hash", "arrived_us")]
     seen = ordered.running(
-        both, ["hash"], ["_us", "_kind", *ids[:1]], F.when(F.col("_kind") == 0, F.col("_us")), "last_at_us",
+        both, ["hash"], ["_us", "_kind", tie], F.when(F.col("_kind") == 0, F.col("_us")), "last_at_us",
         ordered.time_segment("_us", segment_us), how="max")
     return seen.filter("_kind = 1").drop("_us", "_kind").withColumn(
         "is_duplicate", F.coalesce(F.col("arrived_us") < F.col("last_at_us") + ttl_us, F.lit(False)))

@@ -222,11 +222,13 @@ class Breaker:
     there does not open it again. Any success sets the count to zero; in half-open it also closes.
 
     State: [state, failures, us of the opening failure], or None.
-    Output ``episode_us`` names the open episode a row belongs to: its opening call, the
-    short-circuited ones, and the call that probes afterwards (``probes``).
+    Output ``opens`` marks a call that opens the breaker, which starts an episode named by its time.
+    ``episode_us`` names the episode a call met: a short-circuited one, or the one that probes after it
+    (``probes``).
     """
 
-    outputs = "verdict string, state_after string, failures_after int, episode_us long, probes boolean"
+    outputs = ("verdict string, state_after string, failures_after int, episode_us long, opens boolean, "
+               "probes boolean")
 
     def __init__(self, max_failures: int, reset_us: int, ok: str = "ok") -> None:
         self.max = max_failures
@@ -236,11 +238,11 @@ class Breaker:
 
     def run(self, state: State, us: np.ndarray, cols: Columns) -> tuple[dict[str, list], State]:
         now, failures, opened = state if state else (CLOSED, 0, 0)
-        verdict, after, count, episode, probes = [], [], [], [], []
+        verdict, after, count, episode, opens, probes = [], [], [], [], [], []
         for t, ok in zip(us.tolist(), cols[self.ok].tolist()):
-            belongs, probing = None, False
+            met, opening, probing = None, False, False
             if now == OPEN:
-                belongs = opened
+                met = opened
                 if t - opened > self.reset:
                     now, failures, probing = HALF_OPEN, 0, True
             if now == OPEN:
@@ -252,14 +254,14 @@ class Breaker:
                 else:
                     failures += 1
                     if failures >= self.max:
-                        now, opened = OPEN, t
-                        belongs = belongs if probing else t
+                        now, opened, opening = OPEN, t, True
             after.append(BREAKER_STATES[now])
             count.append(failures)
-            episode.append(belongs)
+            episode.append(met)
+            opens.append(opening)
             probes.append(probing)
         return {"verdict": verdict, "state_after": after, "failures_after": count,
-                "episode_us": episode, "probes": probes}, [now, failures, opened if now == OPEN else 0]
+                "episode_us": episode, "opens": opens, "probes": probes}, [now, failures, opened if now == OPEN else 0]
 
     def summarise(self, us: np.ndarray, cols: Columns) -> list[list[int]]:
         """End states by entry state.

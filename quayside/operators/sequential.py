@@ -41,7 +41,10 @@ def breaker_verdicts(outcomes: DataFrame, keys: Sequence[str], us: str, tie: str
 
 def breaker_episodes(verdicts: DataFrame, keys: Sequence[str], us: str) -> DataFrame:
     """One row per time the breaker was open: when it opened, what it refused, when it was probed."""
-    opened = verdicts.filter("episode_us is not null")
-    return opened.groupBy(*keys, F.col("episode_us").alias("opened_us")).agg(
-        F.count_if(F.col("verdict") == "short_circuited").alias("refused"),
-        F.max(F.when(F.col("probes"), F.col(us))).alias("probed_us"))
+    starts = F.when(F.col("opens"), F.col(us))
+    touched = F.array_compact(F.array("episode_us", starts))
+    rows = verdicts.withColumn("opened_us", F.explode(touched))
+    met = F.col("opened_us") == F.col("episode_us")
+    return rows.groupBy(*keys, "opened_us").agg(
+        F.count_if(met & (F.col("verdict") == "short_circuited")).alias("refused"),
+        F.max(F.when(met & F.col("probes"), F.col(us))).alias("probed_us"))
