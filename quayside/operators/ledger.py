@@ -111,14 +111,15 @@ def lifecycle(log: DataFrame, as_of_us: int, ttl: LedgerTtl = LedgerTtl()) -> Da
 class Ledger(Protocol):
     def live(self, as_of_us: int) -> DataFrame: ...
 
-    def append(self, rows: DataFrame, batch_id: int) -> None: ...
+    def append(self, rows: DataFrame, batch: str) -> None: ...
 
 
 class ParquetLedger:
-    """Append-only log in one folder per batch, plus compacted snapshots.
+    """Append-only log with one folder per batch, plus compacted snapshots.
 
-    Writing a batch replaces that batch's folder, so replaying it changes nothing. A snapshot counts
-    once its ``_SUCCESS`` marker is there; readers take the newest one and the batches after it.
+    Writing a batch replaces that batch's folder, so replaying it changes nothing. A snapshot names the
+    batches it holds in a manifest written before it, and counts once its ``_SUCCESS`` marker is there;
+    readers take the newest one and the batches outside it.
     """
 
     COLUMNS = "hash string, state string, path string, reason string, at_us long"
@@ -126,31 +127,34 @@ class ParquetLedger:
     def __init__(self, spark: SparkSession, root: str, ttl: LedgerTtl | None = LedgerTtl()) -> None:
         self.spark, self.root, self.ttl = spark, root.rstrip("/"), ttl
 
-    def _folders(self, kind: str) -> list[int]:
-        """Numbers of the committed folders of one kind; a handful of names, no rows."""
+    def _committed(self, kind: str) -> list[str]:
+        """Names of the committed folders of one kind; no rows."""
         jvm = self.spark._jvm
         base = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
         fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(base):
             return []
-        found = []
-        for status in fs.listStatus(base):
-            marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if fs.exists(marker):
-                found.append(int(status.getPath().getName().split("=", 1)[1]))
-        return sorted(found)
-
-    def append(self, rows: DataFrame, batch_id: int) -> None:
+        folders = [status.getPath() for status in fs.listStatus(base)]
+        return sorted(f.getName() for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+    def append(self, rows: DataFrame, batch: str) -> None:
         cols = [c.split()[0] for c in self.COLUMNS.split(", ")]
-        rows.select(*cols).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch_id}")
+        rows.select(*cols).write.mode("overwrite").parquet(f"{self.root}/log/{batch}")
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """(newest snapshot, batches outside it)."""
+        snapshots, batches = self._committed("snapshot"), self._committed("log")
+        if not snapshots:
+            return None, batches
+        held = {r[0] for r in self.spark.read.text(f"{self.root}/manifest/{snapshots[-1]}").collect()}
+        return snapshots[-1], [b for b in batches if b not in held]
 
     def log(self) -> DataFrame:
+        snapshot, batches = self._state()
+        parts = [f"{self.root}/log/{b}" for b in batches]
+        if snapshot is not None:
+            parts.append(f"{self.root}/snapshot/{snapshot}")
         reader = self.spark.read.schema(self.COLUMNS)
-        snapshots, batches = self._folders("snapshot"), self._folders("log")
-        newest = snapshots[-1] if snapshots else None
-        parts = [f"{self.root}/log/batch={b}" for b in batches if newest is None or b > newest]
-        if newest is not None:
-            parts.append(f"{self.root}/snapshot/upto={newest}")
         return reader.parquet(*parts) if parts else self.spark.createDataFrame([], self.COLUMNS)
 
     def live(self, as_of_us: int) -> DataFrame:
@@ -158,6 +162,9 @@ class ParquetLedger:
 
     def compact(self) -> None:
         """Writes the current view of everything logged so far as one snapshot."""
-        batches = self._folders("log")
-        if batches:
-            current(self.log()).write.mode("overwrite").parquet(f"{self.root}/snapshot/upto={batches[-1]}")
+        name = f"{len(self._committed('snapshot')):012d}"
+        batches = self._committed("log")
+        self.spark.createDataFrame([(b,) for b in batches], "value string").coalesce(1).write.mode(
+            "overwrite").text(f"{self.root}/manifest/{name}")
+        parts = self.log()
+        current(parts).write.mode("overwrite").parquet(f"{self.root}/snapshot/{name}")

@@ -1,0 +1,95 @@
+"""Queries that run as streams or over real files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayside.config import HOUR_US
+from quayside.functions import paths, scalars
+from quayside.plans import bindings
+from quayside.plans.catalog import GAP_US, query
+from quayside.session import prepare
+from quayside.sources import inventory, landing
+from quayside.streaming import keyed, live
+
+MICRO_BATCH = 256 << 20
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, a bounded number of bytes per micro-batch.
+
+    The pattern matches just the table, be it one file or a folder of files.
+    """
+    schema = bindings.table(spark, sf_dir, "events").schema
+    return (
+        spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH)
+        .parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("us", scalars.micros("ts"))
+    )
+
+
+@query
+def landing_scan(spark, sf_dir):
+    """The tables' own files as landed files, hashed in chunks by path."""
+    prepare(spark)
+    found = landing.scan(spark, [sf_dir]).select("path", "length")
+    return landing.hash_by_path(landing.facts(found).select("path", "filename", "kind", "length"),
+                                tasks=spark.sparkContext.defaultParallelism)
+
+
+@query
+def inventory_scan(spark, sf_dir):
+    prepare(spark)
+    return inventory.scan(spark, [sf_dir]).select("path", paths.kind(paths.basename("path")).alias("kind"), "is_dir", "size")
+
+
+@query
+def landing_stream(spark, sf_dir):
+    """The same files arriving as a stream, five per micro-batch."""
+    prepare(spark)
+    arriving = landing.facts(landing.stream(spark, sf_dir, max_files=5).drop("content"))
+    return live.materialise(spark, arriving.select("path", "filename", "kind", "length"), "landing")
+
+
+@query
+def debounce_stream(spark, sf_dir):
+    e = _event_stream(spark, sf_dir).select(
+        "event_id", "us", F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path"))
+    kept = keyed.debounce(e, ["path"], "us", "event_id", GAP_US).filter("accepted")
+    return live.materialise(spark, kept.select("event_id", "path", "us"), "debounce")
+
+
+@query
+def rate_admission_stream(spark, sf_dir):
+    e = _event_stream(spark, sf_dir).select("event_id", "us", "event_type")
+    out = keyed.rate_admission(e, ["event_type"], "us", "event_id", 2, HOUR_US, 2)
+    return live.materialise(spark, out.select("event_id", "admitted"), "rate")
+
+
+@query
+def breaker_verdicts_stream(spark, sf_dir):
+    e = _event_stream(spark, sf_dir).select(
+        "event_id", "us", (F.col("user_id") % 10).alias("sink"), (F.col("event_type") != "error").alias("ok"))
+    out = keyed.breaker_verdicts(e, ["sink"], "us", "event_id", 2, 2 * HOUR_US)
+    return live.materialise(spark, out.select("event_id", "verdict", "state_after", "failures_after"), "breaker")
+
+
+@query
+def lease_grants_stream(spark, sf_dir):
+    e = _event_stream(spark, sf_dir).select(
+        "event_id", "us", F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path"),
+        (F.col("event_type") == "error").alias("release"))
+    out = keyed.lease_grants(e, ["path"], "us", "event_id", 30 * HOUR_US, "release")
+    return live.materialise(spark, out.select("event_id", "release", F.col("accepted").alias("granted")), "lease")
+
+
+@query
+def windowed_outcomes_stream(spark, sf_dir):
+    """Closed windows only: the last ones stay open until the watermark passes them."""
+    e = _event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    w = live.windowed_outcomes(e, "at", "6 hours", "1 day", {
+        "detected": F.col("event_type").isin("click", "view"), "processed": F.col("event_type") == "purchase",
+        "rejected": F.col("event_type") == "signup", "errors": F.col("event_type") == "error"})
+    done = live.materialise(spark, w, "windows")
+    return done.withColumn("window_us", scalars.micros("window_start")).drop("window_start")
+

@@ -389,3 +389,10 @@ ORACLE: dict[str, str] = {
         unnest(['processing', 'processed', 'failed', 'ignored', 'tmp']) AS t(lane)
       EXCEPT SELECT root, lane FROM seen""",
 }
+
+# A stream gives the batch result row for row, except that windows stay open until the watermark
+# (newest event minus one day) has passed their end.
+for _name in ("debounce", "rate_admission", "breaker_verdicts", "lease_grants"):
+    ORACLE[f"{_name}_stream"] = ORACLE[_name]
+ORACLE["windowed_outcomes_stream"] = f"""SELECT * FROM ({ORACLE['windowed_outcomes']}) w
+  WHERE window_us + 6 * {HOUR} <= (SELECT max(epoch_us(ts)) FROM events) - {DAY}"""

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.functions import paths
 from quayside.schemas import BINARY_FILE
@@ -27,7 +28,7 @@ def scan(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     return _local_path(df)
 
 
-def stream(spark: SparkSession, root: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+def stream(spark: SparkSession, root: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """New files as they arrive, new sub-directories included.
 
     ``max_files`` / ``max_bytes`` cap one micro-batch; the rest waits for the next one, nothing is shed.
@@ -79,7 +80,7 @@ def hash_by_path(files: DataFrame, tasks: int | None = None) -> DataFrame:
     narrow = files.drop("content")
     if tasks:
         narrow = narrow.repartition(tasks)
-    out = narrow.schema.add("hash", "string")
+    out = T.StructType(narrow.schema.fields + [T.StructField("hash", T.StringType())])
     return narrow.mapInArrow(_hash_chunks, out)
 
 

@@ -1,0 +1,78 @@
+"""Machines as keyed state of a stream.
+
+The state per key is the machine's own few integers. Rows of a micro-batch are put in order before
+they run; across micro-batches the order is that of arrival, so a stream equals the batch fold when
+it is fed in time order. One key's rows of one micro-batch are held together, which the admission
+caps of the source bound (``max_files`` / ``max_bytes``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
+
+STATE = T.StructType([T.StructField("state", T.ArrayType(T.LongType()))])
+
+
+def fold_stream(events: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str], machine,
+                forget_after_us: int | None = None) -> DataFrame:
+    """Adds the machine's outputs to every row of a stream.
+
+    With ``forget_after_us`` (the stream then needs a watermark) the state of a key that has been quiet
+    for that long is removed; only pass a time after which the machine starts afresh anyway.
+    """
+    names = events.columns
+    added = T.StructType.fromDDL(machine.outputs)
+    out = T.StructType(events.schema.fields + added.fields)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values([order_us, *ties], ignore_index=True)
+        before = [int(v) for v in state.get[0]] if state.exists and state.get[0] is not None else None
+        us = rows[order_us].to_numpy(dtype=np.int64)
+        cols = {c: rows[c].fillna(False).to_numpy(dtype=bool) for c in machine.inputs}
+        got, after = machine.run(before, us, cols)
+        state.update((after,))
+        if forget_after_us is not None:
+            due = (int(us[-1]) + forget_after_us) // 1000 + 1
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        for f in added:
+            values = pd.Series(list(got[f.name]), dtype="object")
+            if isinstance(f.dataType, T.LongType):
+                values = values.astype("Int64")
+            rows[f.name] = values
+        yield rows[[*names, *[f.name for f in added]]]
+
+    timeout = GroupStateTimeout.EventTimeTimeout if forget_after_us is not None else GroupStateTimeout.NoTimeout
+    return events.groupBy(*keys).applyInPandasWithState(step, out, STATE, "append", timeout)
+
+
+def debounce(events: DataFrame, keys: Sequence[str], us: str, tie: str, gap_us: int, forget: bool = False) -> DataFrame:
+    return fold_stream(events, keys, us, [tie], GreedyGap(gap_us), gap_us if forget else None)
+
+
+def lease_grants(requests: DataFrame, keys: Sequence[str], us: str, tie: str, ttl_us: int, release: str) -> DataFrame:
+    return fold_stream(requests, keys, us, [tie], GreedyGap(ttl_us, release))
+
+
+def ttl_dedup(arrivals: DataFrame, key: str, us: str, tie: str, ttl_us: int, forget: bool = False) -> DataFrame:
+    return fold_stream(arrivals, [key], us, [tie], GreedyGap(ttl_us), ttl_us if forget else None)
+
+
+def rate_admission(events: DataFrame, keys: Sequence[str], us: str, tie: str, rate: int, period_us: int,
+                   burst: int | None = None) -> DataFrame:
+    return fold_stream(events, keys, us, [tie], TokenBucket(rate, period_us, burst))
+
+
+def breaker_verdicts(outcomes: DataFrame, keys: Sequence[str], us: str, tie: str, max_failures: int, reset_us: int,
+                     ok: str = "ok") -> DataFrame:
+    return fold_stream(outcomes, keys, us, [tie], Breaker(max_failures, reset_us, ok))
