@@ -1 +1,8 @@
 """Spark-native landing-zone engine: admission, dedup, ledger, retention and metrics over arriving files."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,15 +3,13 @@
 Ordinary keys: one hash shuffle by key, a sort inside the partition, and a streaming pass that holds
 one Arrow batch and one state at a time.
 
-Keys with more than ``hot_rows`` rows: their rows are range-partitioned by (key, order), so a single
-key covers many evenly filled partitions. Each partition is summarised without knowing its entry
-state, the summaries (one per partition and key) are chained, and each partition is run once more
-from its now known entry state. The result is the same, row for row.
+Hot keys (``operators.skew``) are cut into evenly filled segments. Each segment is summarised without
+knowing its entry state, the summaries (one per segment and key) are chained, and each segment is run
+once more from its now known entry state. The result is the same, row for row.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.session import checkpoint_root
+from quayside.operators import skew
+from quayside.operators.skew import HOT_ROWS, SEG
 
-HOT_ROWS = 1_000_000
-BROADCAST_KEYS = 1_000_000
-SEG, ENTRY, SUMMARY = "_segment", "_entry", "_summary"
+ENTRY, SUMMARY = "_entry", "_summary"
 
 
 def _runs(batch: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> list[tuple[int, int]]:
@@ -120,16 +117,12 @@ def fold(df: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str],
     order total. Keep ``df`` narrow: all its columns pass through Python.
     """
     keys, order = list(keys), [order_us, *ties]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot_keys, hot_total = sizes.filter(F.col("_n") > hot_rows).agg(F.count("*"), F.sum("_n")).first()
-    if not hot_keys:
-        return _fold_ordinary(df, keys, order, machine)
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
-    # At most total rows / hot_rows keys, and counted just now.
-    hot = F.broadcast(hot) if hot_keys <= BROADCAST_KEYS else hot
-    ordinary = _fold_ordinary(df.join(hot, keys, "left_anti"), keys, order, machine)
-    segments = math.ceil(hot_total / hot_rows) + 1
-    return ordinary.unionByName(_fold_hot(df.join(hot, keys, "left_semi"), keys, order, machine, segments))
+    hot = skew.measure(df, keys, hot_rows)
+    ordinary, large = skew.divide(df, keys, hot)
+    if hot is None:
+        return _fold_ordinary(ordinary, keys, order, machine)
+    pinned = skew.pin(large, keys, order, hot.segments())
+    return _fold_ordinary(ordinary, keys, order, machine).unionByName(_fold_pinned(pinned, keys, order, machine))
 
 
 def _out_schema(df: DataFrame, machine) -> tuple[T.StructType, pa.Schema]:
@@ -145,20 +138,16 @@ def _fold_ordinary(df: DataFrame, keys: list[str], order: list[str], machine) ->
     return ready.mapInArrow(_runner(machine, keys, order[0], arrow, df.columns), out)
 
 
-def _fold_hot(df: DataFrame, keys: list[str], order: list[str], machine, segments: int) -> DataFrame:
-    checkpoint_root(df.sparkSession)
-    out, arrow = _out_schema(df, machine)
-    # Range bounds come from a sample. The checkpoint pins them for both passes and survives executors.
-    pinned = (
-        df.repartitionByRange(segments, *keys, *order).sortWithinPartitions(*keys, *order).checkpoint()
-        .withColumn(SEG, F.spark_partition_id())
-    )
-    key_types = T.StructType([df.schema[k] for k in keys] + [T.StructField(SEG, T.IntegerType())])
+def _fold_pinned(pinned: DataFrame, keys: list[str], order: list[str], machine) -> DataFrame:
+    rows = pinned.drop(SEG)
+    out, arrow = _out_schema(rows, machine)
+    place = T.StructType([pinned.schema[k] for k in keys] + [T.StructField(SEG, T.IntegerType())])
     summaries = pinned.select(*keys, SEG, order[0], *machine.inputs).mapInArrow(
-        _summariser(machine, keys, order[0]), T.StructType(key_types.fields + [
-            T.StructField(SUMMARY, T.ArrayType(T.ArrayType(T.LongType())))]))
-    entries = summaries.groupBy(*keys).applyInPandas(_chainer(machine, keys), T.StructType(
-        key_types.fields + [T.StructField(ENTRY, T.ArrayType(T.LongType()))]))
-    # One short row per (range partition, key).
-    placed = pinned.join(F.broadcast(entries), [*keys, SEG], "left").select(*df.columns, ENTRY)
-    return placed.mapInArrow(_runner(machine, keys, order[0], arrow, df.columns), out)
+        _summariser(machine, keys, order[0]),
+        T.StructType(place.fields + [T.StructField(SUMMARY, T.ArrayType(T.ArrayType(T.LongType())))]))
+    # A hot key has one summary per segment, so a key's chain is short beside its rows.
+    entries = summaries.groupBy(*keys).applyInPandas(
+        _chainer(machine, keys), T.StructType(place.fields + [T.StructField(ENTRY, T.ArrayType(T.LongType()))]))
+    # One short row per (segment, key): as many as range partitions plus hot keys.
+    placed = pinned.join(F.broadcast(entries), [*keys, SEG], "left").select(*rows.columns, ENTRY)
+    return placed.mapInArrow(_runner(machine, keys, order[0], arrow, rows.columns), out)

@@ -11,9 +11,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.config import DAY_US, LedgerTtl
+from quayside.config import LedgerTtl
 from quayside.functions import paths
-from quayside.operators import ordered
+from quayside.operators import ordered, skew
 
 STATES = ("enqueued", "processed", "failed")
 
@@ -62,19 +62,21 @@ def duplicates(files: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def seen_within_ttl(arrivals: DataFrame, entries: DataFrame, ttl_us: int, tie: str,
-                    segment_us: int = DAY_US) -> DataFrame:
+                    hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Adds ``last_at_us`` and ``is_duplicate``: is the newest entry of the same hash, at or before the
     arrival, younger than ``ttl_us``?
 
     The newest earlier entry decides, so no arrival is paired with all entries of its hash: entries and
-    arrivals run through one ordered pass per (hash, time segment).
+    arrivals run through one ordered pass per hash, a hot hash in segments.
     """
     e = entries.select("hash", F.col("at_us").alias("_us"), F.lit(0).alias("_kind"))
     a = arrivals.withColumn("_us", F.col("arrived_us")).withColumn("_kind", F.lit(1))
     both = a.unionByName(e, allowMissingColumns=True)
-    seen = ordered.running(
-        both, ["hash"], ["_us", "_kind", tie], F.when(F.col("_kind") == 0, F.col("_us")), "last_at_us",
-        ordered.time_segment("_us", segment_us), how="max")
+    newest = F.when(F.col("_kind") == 0, F.col("_us"))
+    order = ["_us", "_kind", tie]
+    seen = skew.by_size(
+        both, ["hash"], order,
+        lambda rows, segment: ordered.running(rows, ["hash"], order, newest, "last_at_us", segment, "max"), hot_rows)
     return seen.filter("_kind = 1").drop("_us", "_kind").withColumn(
         "is_duplicate", F.coalesce(F.col("arrived_us") < F.col("last_at_us") + ttl_us, F.lit(False)))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.config import DAY_US, HOUR_US, Buckets
 from quayside.functions import scalars
-from quayside.operators import ordered
+from quayside.operators import ordered, skew
 
 # Which counters one outcome raises. 'detected' only counts what arrived through the
 # event path and is no archive; see COUNTS_DETECTED.
@@ -101,68 +101,86 @@ def success_rate(counters: DataFrame) -> DataFrame:
         "total", F.col("sent") + F.col("duplicated") + F.col("rejected"))
 
 
-def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id", segment_us: int | None = None) -> DataFrame:
+def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id",
+                 hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Per-second increase over the trailing range, aware of counter resets.
 
     Input (name, us, value, tie). The increase is summed from the first sample inside [us - range, us]
     and divided by the seconds really covered (no extrapolation to the range's edges); a lone
     sample has no rate.
 
-    A name's history is cut into time segments; each also sees the last ``range_us`` of the segment
-    before it, which is all a range can reach back to. Inside a segment everything is a running
-    aggregate, so the cost does not grow with the range.
+    With S the running sum of increases, the answer is a difference of two values of S. The one at the
+    range's start is looked up in a second ordered pass, backwards in time: every sample also asks, at
+    us - range, for the earliest sample from there on, which is the last one passed. Both passes are
+    running aggregates, so the cost does not grow with the range.
     """
-    width = segment_us or max(4 * range_us, HOUR_US)
-    own = ordered.time_segment("us", width)
-    reach = ordered.time_segment(F.col("us") + range_us, width)
-    spread = samples.withColumn("_own", own).withColumn("_seg", F.explode(F.sequence(own, reach)))
-    forward = Window.partitionBy("name", "_seg").orderBy("us", tie)
-    before = F.lag("value").over(forward)
-    delta = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(
-        F.col("value") - before)
-    summed = spread.withColumn("_delta", delta).withColumn(
-        "_sum", F.sum("_delta").over(forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # Every sample also asks, at us - range, for the first sample from there on: read backwards, that is
-    # the latest sample passed. At equal times the samples are passed before the question is asked.
-    asks = F.when(F.col("_seg") == F.col("_own"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    points = summed.withColumn("_asks", F.explode(asks)).withColumn(
-        "_at", F.when(F.col("_asks"), F.col("us") - range_us).otherwise(F.col("us")))
-    passed = F.when(~F.col("_asks"), F.struct(F.col("us").alias("us"), F.col("_sum").alias("sum")))
-    backward = (
-        Window.partitionBy("name", "_seg").orderBy(F.desc("_at"), F.asc("_asks"), F.desc(tie))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    answered = points.withColumn("_first", F.last(passed, ignorenulls=True).over(backward)).filter("_asks")
+    order = ["us", tie]
+    hot = skew.measure(samples, ["name"], hot_rows)
+    ordinary, large = skew.divide(samples, ["name"], hot)
+    parts = [] if ordinary is None else [(ordinary, None, None)]
+    if hot is not None:
+        parts.append((skew.pin(large, ["name"], order, hot.segments()), F.col(skew.SEG), hot))
+
+    def summed(rows: DataFrame, segment: Column | None) -> DataFrame:
+        before = ordered.previous(rows, ["name"], order, "value", "_before", segment)
+        value, prev = F.col("value"), F.col("_before")
+        delta = F.when(prev.isNull(), 0.0).when(value < prev, value).otherwise(value - prev)
+        return ordered.running(before, ["name"], order, delta, "_sum", segment).drop("_before", skew.SEG)
+
+    def looked_up(rows: DataFrame, segment: Column | None) -> DataFrame:
+        passed = F.when(~F.col("_asks"), F.struct("us", F.col(tie).alias("tie"), F.col("_sum").alias("sum")))
+        seen = ordered.running(rows, ["name"], backward, passed, "_first", segment, "min")
+        return seen.filter("_asks")
+
+    # At equal times the samples are passed (false sorts first) before the question is asked.
+    backward = ["_back", "_asks", "_back_tie"]
+    out = None
+    for rows, segment, size in parts:
+        points = summed(rows, segment).withColumn("_asks", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+            "_back", F.when(F.col("_asks"), F.lit(range_us) - F.col("us")).otherwise(-F.col("us"))).withColumn(
+            "_back_tie", -F.col(tie))
+        if size is None:
+            answered = looked_up(points, None)
+        else:
+            cut = skew.pin(points, ["name"], backward, size.segments(2))
+            answered = looked_up(cut, F.col(skew.SEG)).drop(skew.SEG)
+        out = answered if out is None else out.unionByName(answered)
     covered = (F.col("us") - F.col("_first.us")) / F.lit(1_000_000.0)
-    return answered.select(
+    return out.select(
         *samples.columns,
         F.when(covered > 0, (F.col("_sum") - F.col("_first.sum")) / covered).alias("rate"))
 
 
 def daily_running(events: DataFrame, keys: Sequence[str], us: str = "us", tie: str = "event_id",
-                  segment_us: int = HOUR_US) -> DataFrame:
+                  hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Counter value after each event; counters start over at midnight."""
+    per_day = [*keys, "day"]
     rows = events.withColumn("day", ordered.time_segment(us, DAY_US))
-    return ordered.running(rows, [*keys, "day"], [us, tie], F.lit(1), "running_count",
-                           ordered.time_segment(us, segment_us))
+    return skew.by_size(
+        rows, per_day, [us, tie],
+        lambda part, segment: ordered.running(part, per_day, [us, tie], F.lit(1), "running_count", segment), hot_rows)
 
 
 def reset_epochs(events: DataFrame, keys: Sequence[str], is_reset: Column, counted_by: Sequence[str],
-                 us: str = "us", tie: str = "event_id", segment_us: int = HOUR_US) -> DataFrame:
+                 us: str = "us", tie: str = "event_id", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Counter value after each event when reset rows set all counters of their key to zero.
 
     A reset row opens the next epoch and is not counted itself.
     """
-    segment = ordered.time_segment(us, segment_us)
-    numbered = ordered.running(events, keys, [us, tie], F.when(is_reset, 1).otherwise(0), "epoch", segment)
-    counted = numbered.filter(~is_reset)
-    return ordered.running(counted, [*keys, "epoch", *counted_by], [us, tie], F.lit(1), "running_count", segment)
+    def count(rows: DataFrame, segment: Column | None) -> DataFrame:
+        opened = F.when(is_reset, 1).otherwise(0)
+        numbered = ordered.running(rows, keys, [us, tie], opened, "epoch", segment)
+        return ordered.running(numbered.filter(~is_reset), [*keys, "epoch", *counted_by], [us, tie], F.lit(1),
+                               "running_count", segment)
+
+    return skew.by_size(events, keys, [us, tie], count, hot_rows)
 
 
-def gauge(intervals: DataFrame, start: str, stop: str, segment_us: int = 30 * DAY_US) -> DataFrame:
+def gauge(intervals: DataFrame, start: str, stop: str, segment_us: int = HOUR_US) -> DataFrame:
     """How many intervals are open after each instant at which one starts or ends.
 
-    Changes at the same instant are combined first, on the map side.
+    Changes at the same instant are combined first, on the map side. All instants form one history,
+    which is cut by time without measuring it.
     """
     edges = F.array(F.struct(F.col(start).alias("us"), F.lit(1).alias("d")),
                     F.struct(F.col(stop).alias("us"), F.lit(-1).alias("d")))

@@ -1,19 +1,22 @@
-"""Ordered per-key computations that do not put one key's rows into one task.
+"""Ordered per-key computations that do not put one large key's rows into one task.
 
-A plain window partitioned by a key sorts that key's whole history in a single task. Here a history
-is cut into time segments. Every segment is worked on alone, and what a later segment must know about
-the earlier ones arrives as one *carry row* per (key, segment), computed from a partial aggregate.
-The carry row sorts before the segment's own rows, so it costs no join.
+A plain window partitioned by a key sorts that key's whole history in a single task, which is right
+for keys of ordinary size. The history of a larger one is cut into segments (``operators.skew``). Every
+segment is worked on alone, and what a later segment must know about the earlier ones arrives as one
+*carry row* per (key, segment), computed from a partial aggregate. The carry row sorts before the
+segment's own rows, so it costs no join.
+
+``segment`` must not decrease along the order; None means the keys are small enough to stay whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SEG, ROW = "_segment", "_is_row"
+ROW = "_is_row"
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -23,47 +26,50 @@ def time_segment(us: Column | str, width_us: int) -> Column:
     return F.floor(col / F.lit(width_us)).cast("long")
 
 
+def _window(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
-            segment: Column, how: str = "sum") -> DataFrame:
+            segment: Column | None = None, how: str = "sum") -> DataFrame:
     """Running ``sum``, ``max`` or ``min`` of ``value`` from the key's first row through the current one.
 
-    ``segment`` must not decrease along ``order``. One shuffle of the rows by (keys, segment); the
-    totals per segment are combined on the map side and are one row per (keys, segment).
+    With segments: one shuffle of the rows by (keys, segment); the totals per segment are combined on
+    the map side, one row per (keys, segment).
     """
     agg = _AGGS[how]
-    rows = df.withColumn(SEG, segment).withColumn("_value", value)
-    totals = rows.groupBy(*keys, SEG).agg(agg("_value").alias("_value"))
-    earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    if segment is None:
+        return df.withColumn(out, agg(value).over(
+            _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = df.withColumn("_cut", segment).withColumn("_value", value)
+    totals = rows.groupBy(*keys, "_cut").agg(agg("_value").alias("_value"))
+    earlier = _window(keys, ["_cut"]).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         totals.withColumn("_value", agg("_value").over(earlier))
         .filter("_value is not null").withColumn(ROW, F.lit(0))
     )
-    so_far = (
-        Window.partitionBy(*keys, SEG).orderBy(ROW, *order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    so_far = _window([*keys, "_cut"], [ROW, *order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn(ROW, F.lit(1)).unionByName(carry, allowMissingColumns=True)
         .withColumn(out, agg("_value").over(so_far))
-        .filter(F.col(ROW) == 1).drop(ROW, SEG, "_value")
+        .filter(F.col(ROW) == 1).drop(ROW, "_cut", "_value")
     )
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
-             segment: Column, prefix: str = "prev_") -> DataFrame:
-    """The key's previous row: adds ``prev_<field>`` for each field (NULL on the first row)."""
-    rows = df.withColumn(SEG, segment)
-    packed = F.struct(*order, *[F.col(f).alias(f"_f_{f}") for f in fields])
-    last = rows.groupBy(*keys, SEG).agg(F.max(packed).alias("_last"))
-    by_segment = Window.partitionBy(*keys or [F.lit(0)]).orderBy(SEG)
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], field: str, out: str,
+             segment: Column | None = None) -> DataFrame:
+    """``field`` of the key's previous row, NULL on the first one."""
+    if segment is None:
+        return df.withColumn(out, F.lag(field).over(_window(keys, order)))
+    rows = df.withColumn("_cut", segment)
+    last = rows.groupBy(*keys, "_cut").agg(F.max(F.struct(*order, F.col(field).alias("_field"))).alias("_last"))
     carry = (
-        last.withColumn("_last", F.lag("_last").over(by_segment)).filter("_last is not null")
-        .select(*keys, SEG, F.lit(0).alias(ROW), *[F.col(f"_last._f_{f}").alias(f) for f in fields if f not in keys])
+        last.withColumn("_last", F.lag("_last").over(_window(keys, ["_cut"]))).filter("_last is not null")
+        .select(*keys, "_cut", F.lit(0).alias(ROW), F.col("_last._field").alias(field))
     )
-    win = Window.partitionBy(*keys, SEG).orderBy(ROW, *order)
-    out = rows.withColumn(ROW, F.lit(1)).unionByName(carry, allowMissingColumns=True)
-    return out.select("*", *[F.lag(f).over(win).alias(f"{prefix}{f}") for f in fields]).filter(
-        F.col(ROW) == 1).drop(ROW, SEG)
+    both = rows.withColumn(ROW, F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    return both.withColumn(out, F.lag(field).over(_window([*keys, "_cut"], [ROW, *order]))).filter(
+        F.col(ROW) == 1).drop(ROW, "_cut")
 
 
 def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "is_first",
@@ -73,17 +79,14 @@ def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out
     A hot key is spread over ``salts`` groups; only their local firsts, at most ``salts`` rows per key,
     meet again to find the one winner.
     """
-    spark = df.sparkSession
-    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
     # Local losers keep their salt as group, so the second shuffle spreads them just as well.
-    meet = Window.partitionBy(*keys, "_group").orderBy(*order)
     return (
         df.withColumn("_salt", salt)
-        .withColumn("_local", F.row_number().over(local))
+        .withColumn("_local", F.row_number().over(_window([*keys, "_salt"], order)))
         .withColumn("_group", F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_salt")))
-        .withColumn(out, (F.row_number().over(meet) == 1) & (F.col("_group") == -1))
+        .withColumn(out, (F.row_number().over(_window([*keys, "_group"], order)) == 1) & (F.col("_group") == -1))
         .drop("_salt", "_local", "_group")
     )
 
@@ -94,5 +97,4 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit:
     Spark keeps at most ``limit`` rows per key and map task before the shuffle, so a hot key
     never travels whole.
     """
-    win = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(win)).filter(F.col(rank) <= limit)
+    return df.withColumn(rank, F.row_number().over(_window(keys, order))).filter(F.col(rank) <= limit)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quayside.config import AdmissionConfig
 from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, ledger, ordered
-from quayside.sources import archives, landing
+from quayside.session import checkpoint_root
+from quayside.sources import archives, inventory, landing
 
 # Lane a reason leads to. Files that lose the race for a hash stay where they are.
 LANES = {
@@ -46,69 +47,89 @@ def cheap_reason(cfg: AdmissionConfig, mode: str = "scan", filename: str = "file
     )
 
 
-def classify(files: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None = None, mode: str = "scan",
-             order: Sequence[str] = ("arrived_us", "path"), metadata: DataFrame | None = None) -> DataFrame:
-    """Every file with its reason (NULL for accepted) and lane.
+def decide(files: DataFrame, cfg: AdmissionConfig, mode: str = "scan") -> DataFrame:
+    """Drops sidecars; adds filename, kind and what name and size decide."""
+    rows = files.filter(~filters.is_sidecar("path", mode)).withColumn("filename", paths.basename("path"))
+    return rows.withColumn("kind", paths.kind("filename")).withColumn("reason", cheap_reason(cfg, mode))
 
-    ``files`` has path, length, content and the ``order`` columns. Sidecars vanish, then names and sizes
-    decide. Content is hashed only for what is left; rejected rows come from a branch that never selects
-    it, so a columnar or file source does not read it for them. ``metadata`` may stand in for that
-    branch, e.g. with an inventory that also sees hidden and empty files.
 
-    Of the candidates, those whose hash the ledger holds as processed are duplicates; of equal hashes
-    among the rest the first in ``order`` wins and the others find it locked.
-    """
-    def named(df: DataFrame) -> DataFrame:
-        rows = df.filter(~filters.is_sidecar("path", mode)).withColumn("filename", paths.basename("path"))
-        return rows.withColumn("kind", paths.kind("filename")).withColumn("reason", cheap_reason(cfg, mode))
+def settle(turned_away: DataFrame, candidates: DataFrame, processed: DataFrame | None,
+           order: Sequence[str]) -> DataFrame:
+    """Candidates against the ledger and against each other, plus the rows already turned away.
 
+    Candidates whose hash the ledger holds as processed are duplicates; of equal hashes among the rest
+    the first in ``order`` wins and the others find it locked. ``candidates`` is used several times and
+    should be materialised.
+    """
     keep = ["path", "filename", "kind", "length", *[c for c in order if c != "path"]]
-    turned_away = named(files.drop("content") if metadata is None else metadata).filter("reason is not null")
-    candidates = named(files).filter("reason is null").withColumn("hash", scalars.content_hash("filename", "content"))
-    candidates = candidates.select(*keep, "hash")
     parts = []
     if processed is not None:
         parts.append(ledger.duplicates(candidates, processed).withColumn("reason", F.lit("duplicate")))
         candidates = ledger.new_only(candidates, processed)
     raced = ordered.first_of_group(candidates, ["hash"], list(order))
-    parts.append(raced.withColumn("reason", F.when(~F.col("is_first"), "lock_held")).drop("is_first"))
+    parts.append(raced.withColumn("reason", F.when(~F.col("is_first"), "lock_held")))
     out = turned_away.select(*keep, F.lit(None).cast("string").alias("hash"), "reason")
     for part in parts:
         out = out.unionByName(part.select(*out.columns))
     return out.withColumn("lane", lane_of(F.col("reason")))
 
 
+def classify(files: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None = None, mode: str = "scan",
+             order: Sequence[str] = ("arrived_us", "path")) -> DataFrame:
+    """Every file with its reason (NULL for accepted) and lane.
+
+    ``files`` has path, length, content and the ``order`` columns. Content is read and hashed once, only
+    for what name and size leave over; the hashed rows without content are checkpointed. Rejected rows
+    come from a branch that never selects content, so a columnar or file source does not read it there.
+    """
+    turned_away = decide(files.drop("content"), cfg, mode).filter("reason is not null")
+    left = decide(files, cfg, mode).filter("reason is null")
+    hashed = left.withColumn("hash", scalars.content_hash("filename", "content")).drop("content")
+    checkpoint_root(files.sparkSession)
+    return settle(turned_away, hashed.checkpoint(), processed, order)
+
+
 def summary(classified: DataFrame) -> DataFrame:
     return classified.groupBy("lane", F.coalesce("reason", F.lit("accepted")).alias("reason"), "kind").agg(
         F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None = None, max_depth: int = 1) -> DataFrame:
+    """Verdicts for listed files (path, modificationTime, length), archives opened.
+
+    Only files that name and size leave over are opened, by path and in chunks: the built-in file source
+    would read the content of every file it lists and keep it in one cell.
+    """
+    keep = ["path", "filename", "kind", "length", "modificationTime"]
+    checkpoint_root(found.sparkSession)
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    decided = decide(found, cfg, "scan")
+    turned_away = decided.filter("reason is not null")
+    left = decided.filter("reason is null").select(*keep)
+    zipped = paths.is_archive("filename")
+    plain = landing.hash_by_path(left.filter(~zipped), tasks)
+    # Members are unpacked, judged and hashed in one pass; their contents go no further.
+    unpacked = archives.expand(landing.with_content(left.filter(zipped)), cfg.max_bytes, max_depth)
+    judged = decide(unpacked.withColumnRenamed("error", "_error"), cfg, "scan").withColumn(
+        "reason", F.coalesce("_error", "reason")).withColumn("modificationTime", F.lit(None).cast("timestamp"))
+    hashed = F.when(F.col("reason").isNull(), scalars.content_hash("filename", "content"))
+    members = judged.withColumn("hash", hashed).select(*keep, "hash", "reason").checkpoint()
+    candidates = plain.select(*keep, "hash").checkpoint().unionByName(
+        members.filter("reason is null").drop("reason"))
+    rejects = turned_away.select(*keep, "reason").unionByName(members.filter("reason is not null").drop("hash"))
+    return settle(rejects, candidates, processed, ("modificationTime", "path"))
+
+
 def admit_landing(spark: SparkSession, cfg: AdmissionConfig, processed: DataFrame | None = None,
-                  hidden_too: bool = False) -> DataFrame:
-    """Batch run over real files below the configured roots, archives opened.
+                  complete: bool = False, max_depth: int = 1) -> DataFrame:
+    """Batch run over the files below the configured roots.
 
-    With ``hidden_too`` the rejects come from an inventory, which also reports hidden and empty files.
+    The built-in file source does not list hidden files, empty files and names that start with an
+    underscore. With ``complete`` an inventory of mounted roots takes its place.
     """
-    from quayside.sources import inventory
-
-    order = ("modificationTime", "path")
-    found = landing.scan(spark, cfg.roots)
-    zipped = paths.is_archive("path")
-    sized = F.col("length").between(cfg.min_bytes, cfg.max_bytes)
-    wanted_archives = found.filter(zipped & sized & patterns.accepts(paths.basename("path"), cfg.include, cfg.exclude))
-    members = archives.expand(wanted_archives, cfg.max_bytes)
-    from_members = members.filter("error is null").select(
-        "path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", "content")
-    loose = found.filter(~(zipped & sized & patterns.accepts(paths.basename("path"), cfg.include, cfg.exclude)))
-    seen = None
-    if hidden_too:
-        listed = inventory.scan(spark, cfg.roots).filter("not is_dir").select(
+    if complete:
+        found = inventory.scan(spark, cfg.roots).filter("not is_dir").select(
             "path", F.col("mtime").alias("modificationTime"), F.col("size").alias("length"))
-        listed = listed.filter(~(paths.is_archive("path") & F.col("length").between(cfg.min_bytes, cfg.max_bytes)))
-        seen = listed.unionByName(from_members.drop("content"))
-    classified = classify(loose.unionByName(from_members), cfg, processed, "scan", order, seen)
-    broken = members.filter("error is not null").select(
-        F.col("archive").alias("path"), paths.basename("archive").alias("filename"), F.lit("zip").alias("kind"),
-        F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"),
-        F.lit(None).cast("string").alias("hash"), F.col("error").alias("reason"))
-    return classified.unionByName(broken.withColumn("lane", lane_of(F.col("reason"))).select(*classified.columns))
+    else:
+        found = landing.scan(spark, cfg.roots).drop("content")
+    return admit(found, cfg, processed, max_depth)

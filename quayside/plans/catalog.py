@@ -165,7 +165,8 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def archive_members(spark, sf_dir):
     m = archives.expand(_archives(spark, sf_dir))
-    return m.select("archive", "member", "path", "length", F.sha2("content", 256).alias("sha256"),
+    return m.select("archive", "member", F.when(F.col("error").isNull(), F.col("path")).alias("path"), "length",
+                    F.sha2("content", 256).alias("sha256"),
                     F.substring_index("error", ":", 1).alias("error"))
 
 
@@ -272,7 +273,7 @@ def duplicates_semi(spark, sf_dir):
 def ttl_dedup_join(spark, sf_dir):
     entries = bindings.processed_hashes(spark, sf_dir).select("hash", F.col("arrived_us").alias("at_us"))
     arrivals = bindings.unlabelled(spark, sf_dir).select("doc_id", "hash", "arrived_us")
-    return ledger.seen_within_ttl(arrivals, entries, 6 * HOUR_US, "doc_id", segment_us=HOUR_US).select(
+    return ledger.seen_within_ttl(arrivals, entries, 6 * HOUR_US, "doc_id").select(
         "doc_id", "last_at_us", "is_duplicate")
 
 

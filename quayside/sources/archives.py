@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,82 +16,85 @@ from quayside.functions import paths
 from quayside.schemas import ARCHIVE_MEMBER
 
 FAILED = "zip_extraction_failed"
+BATCH_ROWS = 10_000
 COLUMNS = ["archive", "member", "path", "length", "content", "error"]
 
 
-def _members(archive: str, content: bytes, content_limit: int) -> Iterator[tuple]:
-    """Rows of one archive; a later member with the same target path replaces an earlier one."""
+ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, ValueError, OSError, EOFError, NotImplementedError,
+          RuntimeError)
+
+
+def _targets(archive: str, bundle: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo]:
+    """Member per target path; a later one replaces an earlier one with the same target."""
     base = posixpath.dirname(archive) or "."
     prefix = base.rstrip("/") + "/"
-    with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-        last: dict[str, zipfile.ZipInfo] = {}
-        for info in bundle.infolist():
-            target = posixpath.normpath(posixpath.join(base, info.filename.lstrip("/")))
-            if not target.startswith(prefix):
-                raise ValueError(f"member outside the target directory: {info.filename}")
-            if not info.is_dir():
-                last[target] = info
-        for info in last.values():  # every member is readable, or the archive as a whole fails
-            with bundle.open(info) as handle:
-                while handle.read(1 << 20):
-                    pass
-        for target, info in last.items():
-            # A member above the limit is turned away by its size alone, so its bytes never travel.
-            body = bundle.read(info) if info.file_size <= content_limit else None
-            yield archive, info.filename, target, info.file_size, body, None
-
-
-def expand(archives: DataFrame, content_limit: int = 100 * 1024 * 1024, batch_bytes: int = 64 << 20) -> DataFrame:
-    """(path, content) of archives to ``ARCHIVE_MEMBER`` rows.
+    last: dict[str, zipfile.ZipInfo] = {}
+    for info in bundle.infolist():
+        target = posixpath.normpath(posixpath.join(base, info.filename.lstrip("/")))
+        if not target.startswith(prefix):
+            raise ValueError(f"member outside the target directory: {info.filename}")
+        if not info.is_dir():
+            last[target] = info
+    return last
+
+
+def _rows(archive: str, content: bytes, content_limit: int, depth: int) -> Iterator[tuple]:
+    """All members, or one row with the error; archives among them are opened while ``depth`` allows."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as bundle:
+            members = _targets(archive, bundle)
+            for info in members.values():  # every member is readable, or the archive as a whole fails
+                with bundle.open(info) as handle:
+                    while handle.read(1 << 20):
+                        pass
+            for target, info in members.items():
+                # A member above the limit is turned away by its size alone, so its bytes never travel.
+                body = bundle.read(info) if info.file_size <= content_limit else None
+                if depth > 1 and body is not None and target.lower().endswith(".zip"):
+                    yield from _rows(target, body, content_limit, depth - 1)
+                else:
+                    yield archive, info.filename, target, info.file_size, body, None
+    except ERRORS as exc:
+        yield archive, None, archive, None, None, f"{FAILED}: {exc}"
+
+
+def expand(archives: DataFrame, content_limit: int = 100 * 1024 * 1024, max_depth: int = 1,
+           batch_bytes: int = 64 << 20) -> DataFrame:
+    """(path, content) of archives to ``ARCHIVE_MEMBER`` rows, in one pass.
 
     An unreadable archive, or one with a member that would land outside its directory, gives exactly
-    one row with ``error`` set and no members. Rows leave the task as soon as ``batch_bytes`` are full.
+    one row with ``error`` set and no members. Archives inside archives are opened up to ``max_depth``
+    levels and are ordinary members below that. Rows leave the task as soon as ``batch_bytes`` are full.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
             for archive, content in zip(batch["path"], batch["content"]):
-                try:
-                    for row in _members(archive, content, content_limit):
-                        rows.append(row)
-                        held += len(row[4] or b"")
-                        if held >= batch_bytes:
-                            yield pd.DataFrame(rows, columns=COLUMNS)
-                            rows, held = [], 0
-                except (zipfile.BadZipFile, ValueError, OSError, EOFError, NotImplementedError,
-                        RuntimeError, zipfile.zlib.error) as exc:
-                    rows.append((archive, None, None, None, None, f"{FAILED}: {exc}"))
-            if rows:
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                for row in _rows(archive, content, content_limit, max_depth):
+                    rows.append(row)
+                    held += len(row[4] or b"")
+                    if held >= batch_bytes or len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=COLUMNS)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return archives.select("path", "content").mapInPandas(run, ARCHIVE_MEMBER)
 
 
 def with_members(files: DataFrame, max_depth: int = 1, content_limit: int = 100 * 1024 * 1024) -> DataFrame:
-    """Plain files plus archive members, archives themselves consumed.
+    """Plain files and archive members as one table; archives themselves are consumed.
 
-    Members re-enter as files, so a nested archive is opened again, up to ``max_depth`` levels.
-    Archives that are left over at that depth stay in the result as ordinary rows. Failed archives
-    stay as rows with ``error`` set.
+    A failed archive stays as one row with ``error`` set and nothing else known.
     """
-    cols = ["path", "modificationTime", "length", "content", "error"]
-    todo = files.withColumn("error", F.lit(None).cast("string")).select(*cols)
-    done = None
-    for _ in range(max_depth):
-        zipped = paths.is_archive(paths.basename("path"))
-        plain = todo.filter(~zipped)
-        done = plain if done is None else done.unionByName(plain)
-        archives = todo.filter(zipped)
-        members = expand(archives, content_limit)
-        failed = members.filter("error is not null").select(
-            F.col("archive").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"),
-            F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), "error")
-        done = done.unionByName(failed)
-        todo = members.filter("error is null").select(
-            "path", F.current_timestamp().alias("modificationTime"), "length", "content", "error")
-    return done.unionByName(todo)
+    zipped = paths.is_archive("path")
+    plain = files.filter(~zipped).select(
+        "path", "modificationTime", "length", "content", F.lit(None).cast("string").alias("error"))
+    members = expand(files.filter(zipped), content_limit, max_depth).select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", "content", "error")
+    return plain.unionByName(members)
 
 
 def audit(members: DataFrame, archive: str = "archive", member: str = "member", dest: str = "dest") -> DataFrame:

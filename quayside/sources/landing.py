@@ -84,6 +84,22 @@ def hash_by_path(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return narrow.mapInArrow(_hash_chunks, out)
 
 
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch.column("path").to_pylist():
+            filesystem, inner = fs.FileSystem.from_uri(uri)
+            with filesystem.open_input_stream(inner) as handle:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uri]), pa.array([handle.read()], pa.binary())], names=["path", "content"])
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """(path, content) of files opened by path, one file in memory at a time."""
+    return files.select("path").repartition(F.xxhash64("path")).mapInArrow(_read_whole, "path string, content binary")
+
+
 def facts(files: DataFrame) -> DataFrame:
     """filename, directory, extension and kind of every file row."""
     return (

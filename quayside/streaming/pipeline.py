@@ -33,7 +33,7 @@ class LandingPipeline:
     def handle(self, files: DataFrame, batch_id: int) -> None:
         now_us = int(files.sparkSession.sql("SELECT unix_micros(current_timestamp())").first()[0])
         processed = self.ledger.live(now_us).filter("state = 'processed'").select("hash")
-        classified = admission.classify(files, self.cfg, processed, "scan", ("modificationTime", "path"))
+        classified = admission.admit(files.drop("content"), self.cfg, processed)
         target = f"{self.out}/outcomes/batch={batch_id}"
         classified.write.mode("overwrite").partitionBy("lane").parquet(target)
         outcomes = files.sparkSession.read.schema(classified.schema).parquet(target)
