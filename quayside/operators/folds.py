@@ -122,7 +122,8 @@ def fold(df: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str],
     if hot is None:
         return _fold_ordinary(ordinary, keys, order, machine)
     pinned = skew.pin(large, keys, order, hot.segments())
-    return _fold_ordinary(ordinary, keys, order, machine).unionByName(_fold_pinned(pinned, keys, order, machine))
+    split = _fold_pinned(pinned, keys, order, machine, hot.segments() + hot.count)
+    return _fold_ordinary(ordinary, keys, order, machine).unionByName(split)
 
 
 def _out_schema(df: DataFrame, machine) -> tuple[T.StructType, pa.Schema]:
@@ -138,7 +139,7 @@ def _fold_ordinary(df: DataFrame, keys: list[str], order: list[str], machine) ->
     return ready.mapInArrow(_runner(machine, keys, order[0], arrow, df.columns), out)
 
 
-def _fold_pinned(pinned: DataFrame, keys: list[str], order: list[str], machine) -> DataFrame:
+def _fold_pinned(pinned: DataFrame, keys: list[str], order: list[str], machine, entry_rows: int) -> DataFrame:
     rows = pinned.drop(SEG)
     out, arrow = _out_schema(rows, machine)
     place = T.StructType([pinned.schema[k] for k in keys] + [T.StructField(SEG, T.IntegerType())])
@@ -148,6 +149,12 @@ def _fold_pinned(pinned: DataFrame, keys: list[str], order: list[str], machine)
     # A hot key has one summary per segment, so a key's chain is short beside its rows.
     entries = summaries.groupBy(*keys).applyInPandas(
         _chainer(machine, keys), T.StructType(place.fields + [T.StructField(ENTRY, T.ArrayType(T.LongType()))]))
-    # One short row per (segment, key): as many as range partitions plus hot keys.
-    placed = pinned.join(F.broadcast(entries), [*keys, SEG], "left").select(*rows.columns, ENTRY)
-    return placed.mapInArrow(_runner(machine, keys, order[0], arrow, rows.columns), out)
+    # One short row per (segment, key): at most ``entry_rows``. A broadcast keeps the pinned order; beyond
+    # the limit the rows meet their entry in a shuffle by (key, segment) and are sorted again.
+    place_cols = [*keys, SEG]
+    if entry_rows <= skew.BROADCAST_KEYS:
+        placed = pinned.join(F.broadcast(entries), place_cols, "left")
+    else:
+        placed = pinned.join(entries.hint("merge"), place_cols, "left").sortWithinPartitions(*place_cols, *order)
+    return placed.select(*rows.columns, SEG, ENTRY).mapInArrow(
+        _runner(machine, place_cols, order[0], arrow, rows.columns), out)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quayside.config import LedgerTtl
 from quayside.functions import paths
 from quayside.operators import ordered, skew
+from quayside.session import checkpoint_root
 
 STATES = ("enqueued", "processed", "failed")
 
@@ -49,11 +50,19 @@ def live(entries: DataFrame, as_of_us: int | Column, ttl: LedgerTtl | None = Led
     return entries.withColumn("expires_us", expires).filter((F.col("at_us") <= as_of) & (F.col("expires_us") > as_of))
 
 
-def new_only(files: DataFrame, processed: DataFrame) -> DataFrame:
-    """Files whose hash is not among the processed ones.
+def key_set(entries: DataFrame) -> DataFrame:
+    """The distinct hashes, written to the checkpoint folder.
 
-    Both sides reach the join through plain shuffles, so the adaptive skew join splits a hot hash.
+    As a table of its own it reaches a join through a plain shuffle with one row per hash: a hash with
+    many entries is combined before that, and the adaptive skew join may split a hot hash of the other
+    side, which it does not do next to an aggregate.
     """
+    checkpoint_root(entries.sparkSession)
+    return entries.select("hash").distinct().checkpoint()
+
+
+def new_only(files: DataFrame, processed: DataFrame) -> DataFrame:
+    """Files whose hash is not among the processed ones (see ``key_set``)."""
     return files.join(processed.select("hash"), "hash", "left_anti")
 
 

@@ -101,8 +101,8 @@ def success_rate(counters: DataFrame) -> DataFrame:
         "total", F.col("sent") + F.col("duplicated") + F.col("rejected"))
 
 
-def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id",
-                 hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id", hot_rows: int = skew.HOT_ROWS,
+                 sizes_from: DataFrame | None = None) -> DataFrame:
     """Per-second increase over the trailing range, aware of counter resets.
 
     Input (name, us, value, tie). The increase is summed from the first sample inside [us - range, us]
@@ -112,10 +112,11 @@ def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id",
     With S the running sum of increases, the answer is a difference of two values of S. The one at the
     range's start is looked up in a second ordered pass, backwards in time: every sample also asks, at
     us - range, for the earliest sample from there on, which is the last one passed. Both passes are
-    running aggregates, so the cost does not grow with the range.
+    running aggregates, so the cost does not grow with the range. ``sizes_from`` may name a cheaper table
+    with the same ``name`` per row to measure key sizes on.
     """
     order = ["us", tie]
-    hot = skew.measure(samples, ["name"], hot_rows)
+    hot = skew.measure(samples if sizes_from is None else sizes_from, ["name"], hot_rows)
     ordinary, large = skew.divide(samples, ["name"], hot)
     parts = [] if ordinary is None else [(ordinary, None, None)]
     if hot is not None:

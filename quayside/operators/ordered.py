@@ -23,7 +23,8 @@ _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 def time_segment(us: Column | str, width_us: int) -> Column:
     """Number of the fixed-width time slice a microsecond instant falls in."""
     col = F.col(us) if isinstance(us, str) else us
-    return F.floor(col / F.lit(width_us)).cast("long")
+    width = F.lit(width_us)
+    return ((col - F.pmod(col, width)) / width).cast("long")
 
 
 def _window(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:

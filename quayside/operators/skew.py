@@ -17,32 +17,41 @@ from pyspark.sql import functions as F
 from quayside.session import checkpoint_root
 
 HOT_ROWS = 2_000_000
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 200_000
+STEPS = 12
 SEG = "_segment"
 
 
 @dataclass(frozen=True)
 class Hot:
-    """Keys above the limit: a lazy table of them, how many, and how many rows they have together."""
+    """Keys above the limit: a lazy table of at most ``BROADCAST_KEYS`` keys, how many there are, and how
+    many rows they have together."""
 
     keys: DataFrame
     count: int
     rows: int
     hot_rows: int
 
-    def table(self) -> DataFrame:
-        """At most all rows / hot_rows keys; broadcast when the count just taken is small enough."""
-        return F.broadcast(self.keys) if self.count <= BROADCAST_KEYS else self.keys
-
     def segments(self, factor: int = 1) -> int:
         return math.ceil(factor * self.rows / self.hot_rows) + 1
 
 
 def measure(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot | None:
-    """Counts rows per key with map-side combining; only two numbers reach the driver."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    count, rows = sizes.agg(F.count("*"), F.sum("_n")).first()
-    return Hot(sizes.select(*keys), count, rows, hot_rows) if count else None
+    """Counts rows per key with map-side combining; a few numbers reach the driver.
+
+    Should more keys lie above the limit than may be broadcast, the limit is raised, so what counts as
+    hot stays a small set at any data size.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limits = [hot_rows * 4**i for i in range(STEPS)]
+    n = F.col("_n")
+    asked = [f(F.when(n > limit, x)) for limit in limits for f, x in ((F.count, F.lit(1)), (F.sum, n))]
+    answer = sizes.filter(n > hot_rows).agg(*asked).first()
+    for i, limit in enumerate(limits):
+        count, rows = answer[2 * i], answer[2 * i + 1]
+        if count <= BROADCAST_KEYS:
+            return Hot(sizes.filter(n > limit).select(*keys), count, rows, limit) if count else None
+    return None
 
 
 def divide(df: DataFrame, keys: Sequence[str], hot: Hot | None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -51,7 +60,8 @@ def divide(df: DataFrame, keys: Sequence[str], hot: Hot | None) -> tuple[DataFra
         return df, None
     if not keys:
         return None, df
-    return df.join(hot.table(), list(keys), "left_anti"), df.join(hot.table(), list(keys), "left_semi")
+    few = F.broadcast(hot.keys)  # counted just now
+    return df.join(few, list(keys), "left_anti"), df.join(few, list(keys), "left_semi")
 
 
 def pin(df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int) -> DataFrame:

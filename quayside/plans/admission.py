@@ -64,6 +64,7 @@ def settle(turned_away: DataFrame, candidates: DataFrame, processed: DataFrame |
     keep = ["path", "filename", "kind", "length", *[c for c in order if c != "path"]]
     parts = []
     if processed is not None:
+        processed = ledger.key_set(processed)
         parts.append(ledger.duplicates(candidates, processed).withColumn("reason", F.lit("duplicate")))
         candidates = ledger.new_only(candidates, processed)
     raced = ordered.first_of_group(candidates, ["hash"], list(order))

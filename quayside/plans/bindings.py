@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.config import HOUR_US, MINUTE_US
 from quayside.functions import scalars
-from quayside.session import prepare
+from quayside.session import checkpoint_root, prepare
 
 # Fixed values shared with the SQL oracle.
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
@@ -46,11 +46,23 @@ def hashed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).withColumn("hash", scalars.content_hash("filename", "content")).drop("content")
 
 
+def hashed_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """doc_id, hash and the named columns of hashed_files, written once to the checkpoint folder.
+
+    For plans that need them more than once: contents are read and hashed one single time, and only
+    narrow rows travel afterwards.
+    """
+    checkpoint_root(spark)
+    return hashed_files(spark, sf_dir).select("doc_id", "hash", *columns).checkpoint()
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", "toxic")
+
+
 def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file enqueued on arrival; labelled ones completed later: failed when toxic, else processed."""
-    f = hashed_files(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    joined = f.join(labels, "doc_id", "left")
+    joined = hashed_files(spark, sf_dir).join(labels(spark, sf_dir), "doc_id", "left")
     done_at = F.col("arrived_us") + (F.col("n_chars") % 600) * MINUTE_US
     completion = F.when(
         F.col("toxic").isNotNull(),
@@ -64,15 +76,13 @@ def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "hash", "e.state", "path", "e.reason", "e.at_us")
 
 
-def processed_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of labelled documents."""
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    return hashed_files(spark, sf_dir).join(labels, "doc_id", "left_semi").select("doc_id", "hash", "arrived_us")
+def processed(hashed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of labelled documents, whose hashes count as processed."""
+    return hashed.join(labels, "doc_id", "left_semi")
 
 
-def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    return hashed_files(spark, sf_dir).join(labels, "doc_id", "left_anti")
+def unprocessed(hashed: DataFrame, labels: DataFrame) -> DataFrame:
+    return hashed.join(labels, "doc_id", "left_anti")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, stability
 from quayside.plans import admission, bindings
 from quayside.plans.bindings import EPOCH_US
+from quayside.session import checkpoint_root
 from quayside.sinks import messages as sink
 from quayside.sources import archives, exposition, landing, messages
 
@@ -40,10 +41,21 @@ def query(fn: Query) -> Query:
 # --- admission -----------------------------------------------------------------------------------
 
 def _classified(spark: SparkSession, sf_dir: str, mode: str = "event") -> DataFrame:
-    processed = bindings.processed_hashes(spark, sf_dir)
-    labels = bindings.table(spark, sf_dir, "labels").select("doc_id")
-    files = bindings.files(spark, sf_dir).join(labels, "doc_id", "left_anti")
-    return admission.classify(files, CONFIG, processed, mode, ("arrived_us", "path", "doc_id"))
+    """Unlabelled documents as arriving files, labelled ones as the processed part of the ledger.
+
+    One pass reads the contents and hashes what name and size leave over; everything after it works on
+    the checkpointed narrow rows. A labelled file of equal hash has equal name and size, so the ones
+    turned away early can not hide a duplicate.
+    """
+    decided = admission.decide(bindings.files(spark, sf_dir), CONFIG, mode)
+    hashed = F.when(F.col("reason").isNull(), scalars.content_hash("filename", "content"))
+    checkpoint_root(spark)
+    rows = decided.withColumn("hash", hashed).drop("content", "lang", "source", "n_chars").checkpoint()
+    labels = bindings.labels(spark, sf_dir)
+    arriving = bindings.unprocessed(rows, labels)
+    done = bindings.processed(rows.filter("hash is not null"), labels)
+    return admission.settle(arriving.filter("reason is not null"), arriving.filter("reason is null"), done,
+                            ("arrived_us", "path", "doc_id"))
 
 
 @query
@@ -259,29 +271,33 @@ def ledger_live(spark, sf_dir):
 
 @query
 def new_files_anti(spark, sf_dir):
-    return ledger.new_only(bindings.unlabelled(spark, sf_dir), bindings.processed_hashes(spark, sf_dir)).select(
-        "doc_id", "hash")
+    h, labels = bindings.hashed_table(spark, sf_dir), bindings.labels(spark, sf_dir)
+    done = ledger.key_set(bindings.processed(h, labels))
+    return ledger.new_only(bindings.unprocessed(h, labels), done).select("doc_id", "hash")
 
 
 @query
 def duplicates_semi(spark, sf_dir):
-    return ledger.duplicates(bindings.unlabelled(spark, sf_dir), bindings.processed_hashes(spark, sf_dir)).select(
-        "doc_id", "hash")
+    h, labels = bindings.hashed_table(spark, sf_dir), bindings.labels(spark, sf_dir)
+    done = ledger.key_set(bindings.processed(h, labels))
+    return ledger.duplicates(bindings.unprocessed(h, labels), done).select("doc_id", "hash")
 
 
 @query
 def ttl_dedup_join(spark, sf_dir):
-    entries = bindings.processed_hashes(spark, sf_dir).select("hash", F.col("arrived_us").alias("at_us"))
-    arrivals = bindings.unlabelled(spark, sf_dir).select("doc_id", "hash", "arrived_us")
+    h, labels = bindings.hashed_table(spark, sf_dir, "arrived_us"), bindings.labels(spark, sf_dir)
+    entries = bindings.processed(h, labels).select("hash", F.col("arrived_us").alias("at_us"))
+    arrivals = bindings.unprocessed(h, labels).select("doc_id", "hash", "arrived_us")
     return ledger.seen_within_ttl(arrivals, entries, 6 * HOUR_US, "doc_id").select(
         "doc_id", "last_at_us", "is_duplicate")
 
 
 @query
 def orphan_replay(spark, sf_dir):
-    processing = bindings.hashed_files(spark, sf_dir).select(
-        "doc_id", "path", "hash", (F.col("doc_id") % 11 == 0).alias("is_dir"))
-    out = ledger.orphans(processing, bindings.processed_hashes(spark, sf_dir), "/landing/incoming")
+    h, labels = bindings.hashed_table(spark, sf_dir, "path"), bindings.labels(spark, sf_dir)
+    processing = h.select("doc_id", "path", "hash", (F.col("doc_id") % 11 == 0).alias("is_dir"))
+    done = ledger.key_set(bindings.processed(h, labels))
+    out = ledger.orphans(processing, done, "/landing/incoming")
     return out.select("doc_id", "replay_path")
 
 
@@ -364,7 +380,7 @@ def breaker_episodes(spark, sf_dir):
 
 @query
 def ttl_dedup(spark, sf_dir):
-    f = bindings.hashed_files(spark, sf_dir).select("hash", "arrived_us", "doc_id")
+    f = bindings.hashed_table(spark, sf_dir, "arrived_us")
     return sequential.ttl_dedup(f, "hash", "arrived_us", "doc_id", 5 * HOUR_US).select("doc_id", "accepted")
 
 
@@ -429,7 +445,8 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def counter_rate(spark, sf_dir):
-    r = metrics.counter_rate(_samples(spark, sf_dir), RANGE_US)
+    names = bindings.events(spark, sf_dir).select(F.col("event_type").alias("name"))
+    r = metrics.counter_rate(_samples(spark, sf_dir), RANGE_US, sizes_from=names)
     return r.select("sample_id", "name", F.round("rate", 9).alias("rate"))
 
 

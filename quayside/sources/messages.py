@@ -39,17 +39,13 @@ def consume(bodies: DataFrame, handler: Callable[[DataFrame], DataFrame],
 
 def schema_drift(bodies: DataFrame, expected: list[str], value: str = "value") -> DataFrame:
     """Per JSON field: how many messages carry it, and whether it is expected, missing or unexpected."""
-    spark = bodies.sparkSession
-    seen = (
-        bodies.select(F.explode(F.json_object_keys(F.col(value))).alias("field"))
-        .groupBy("field").agg(F.count("*").alias("messages"))
-    )
-    wanted = spark.createDataFrame([(f,) for f in expected], "field string").withColumn("wanted", F.lit(True))
-    # Both sides hold one row per field name.
-    return seen.join(wanted, "field", "full_outer").select(
-        "field",
-        F.coalesce("messages", F.lit(0)).cast("long").alias("messages"),
-        F.when(F.col("messages").isNull(), "missing")
-        .when(F.col("wanted").isNull(), "unexpected")
-        .otherwise("expected").alias("status"),
-    )
+    seen = bodies.select(F.explode(F.json_object_keys(F.col(value))).alias("field"), F.lit(1).alias("n"))
+    # The expected fields join in as rows that count nothing, so one aggregate answers it all.
+    wanted = bodies.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(f) for f in expected])).alias("field"), F.lit(0).alias("n"))
+    per_field = seen.unionByName(wanted).groupBy("field").agg(
+        F.sum("n").alias("messages"), F.bool_or(F.col("n") == 0).alias("_wanted"))
+    return per_field.select(
+        "field", "messages",
+        F.when(F.col("messages") == 0, "missing").when(F.col("_wanted"), "expected").otherwise("unexpected")
+        .alias("status"))

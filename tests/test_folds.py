@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from quayside.operators import skew
 from quayside.operators.folds import fold
 from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
 
@@ -24,8 +25,10 @@ MACHINES = [GreedyGap(17), GreedyGap(17, "flag"), TokenBucket(1, 9, 2), TokenBuc
 
 
 @pytest.mark.parametrize("machine", MACHINES, ids=lambda m: type(m).__name__)
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
-def test_fold(spark, machine, hot_rows):
+@pytest.mark.parametrize("hot_rows,broadcast", [(100, 10_000), (100, 2), (10_000, 10_000)])
+def test_fold(spark, monkeypatch, machine, hot_rows, broadcast):
+    """Hot keys with broadcast entries, with entries beyond the broadcast limit, and no hot keys."""
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", broadcast)
     rows = table(5)
     df = spark.createDataFrame(rows, "key string, us long, id long, flag boolean").repartition(7)
     got = {r["id"]: r.asDict() for r in fold(df, ["key"], "us", ["id"], machine, hot_rows).collect()}
@@ -35,3 +38,13 @@ def test_fold(spark, machine, hot_rows):
         want, _ = machine.run(None, np.array([r[1] for r in mine]), {"flag": np.array([r[3] for r in mine])})
         for name, values in want.items():
             assert [got[r[2]][name] for r in mine] == list(values), (key, name)
+
+
+def test_limit_rises_until_few_keys_are_hot(spark, monkeypatch):
+    df = spark.range(0, 1000).selectExpr("case when id < 400 then 0 else id % 10 end as key")
+    assert skew.measure(df, ["key"], 20).count == 10
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 3)
+    raised = skew.measure(df, ["key"], 20)
+    assert (raised.count, raised.rows, raised.hot_rows) == (1, 460, 80)
+    assert [r[0] for r in raised.keys.collect()] == [0]
+    assert skew.measure(df, ["key"], 1000) is None
