@@ -114,7 +114,8 @@ def fold(df: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str],
     """Adds the machine's output columns to every row of ``df``.
 
     ``order_us`` is the column of epoch microseconds a key's rows are ordered by; ``ties`` make the
-    order total. Keep ``df`` narrow: all its columns pass through Python.
+    order total. Without keys the whole table is one history, which is cut like a hot key's. Keep ``df``
+    narrow: all its columns pass through Python.
     """
     keys, order = list(keys), [order_us, *ties]
     hot = skew.measure(df, keys, hot_rows)
@@ -123,7 +124,7 @@ def fold(df: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str],
         return _fold_ordinary(ordinary, keys, order, machine)
     pinned = skew.pin(large, keys, order, hot.segments())
     split = _fold_pinned(pinned, keys, order, machine, hot.segments() + hot.count)
-    return _fold_ordinary(ordinary, keys, order, machine).unionByName(split)
+    return split if ordinary is None else _fold_ordinary(ordinary, keys, order, machine).unionByName(split)
 
 
 def _out_schema(df: DataFrame, machine) -> tuple[T.StructType, pa.Schema]:
@@ -135,7 +136,8 @@ def _out_schema(df: DataFrame, machine) -> tuple[T.StructType, pa.Schema]:
 
 def _fold_ordinary(df: DataFrame, keys: list[str], order: list[str], machine) -> DataFrame:
     out, arrow = _out_schema(df, machine)
-    ready = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # A table without keys gets here when it is small enough for one task.
+    ready = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
     return ready.mapInArrow(_runner(machine, keys, order[0], arrow, df.columns), out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from quayside.config import (DAY_US, HOUR_US, MINUTE_US, PROCESSING_SECONDS, SIZ
                              RetryConfig)
 from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, stability
-from quayside.plans import admission, bindings
+from quayside.plans import admission, bindings, event_path
 from quayside.plans.bindings import EPOCH_US
 from quayside.session import checkpoint_root
 from quayside.sinks import messages as sink
@@ -68,6 +69,29 @@ def lane_routing(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
+@query
+def event_admission(spark, sf_dir):
+    """The whole event path: event n announces document n, its user's samples tell whether it is stable."""
+    docs = bindings.hashed_table(spark, sf_dir, "path", "source", "length")
+    events = bindings.file_events(spark, sf_dir).withColumnRenamed("path", "watched").join(
+        docs.drop("hash").withColumnRenamed("doc_id", "event_id"), "event_id")
+    stable = stability.verdict(bindings.file_samples(spark, sf_dir), 5, 20 * DAY_US).select(
+        F.col("path").alias("watched"), "stable", "duration_us")
+    labels = bindings.labels(spark, sf_dir)
+    hashes = docs.select(F.col("doc_id").alias("event_id"), "hash")
+    out = event_path.admit_events(
+        events, stable, dataclasses.replace(CONFIG, debounce_us=5 * HOUR_US), lambda rows: rows.join(hashes, "event_id"),
+        bindings.processed(docs, labels), "watched", ["source"], 1, 2 * HOUR_US, 2)
+    return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+@query
+def global_rate_admission(spark, sf_dir):
+    """One limiter for everything, as a single history over all events."""
+    e = bindings.events(spark, sf_dir).select("us", "event_id")
+    return sequential.rate_admission(e, [], "us", "event_id", 10, HOUR_US, 10).select("event_id", "admitted")
+
+
 @query
 def file_facts(spark, sf_dir):
     f = landing.facts(bindings.files(spark, sf_dir).drop("content"))

@@ -145,6 +145,19 @@ fold AS (
   FROM fold f JOIN seq s ON s.k = f.k AND s.rn = f.rn + 1)"""
 
 
+def bucket(source: str, key: str, us: str, tie: str, rate: int, period: int, burst: int, prefix: str = "") -> str:
+    """CTEs ``{prefix}seq`` and ``{prefix}fold`` with ``admitted`` from a token bucket that starts full."""
+    level = f"least({burst * period}, f.units + (s.us - f.us) * {rate})"
+    return f"""{prefix}seq AS (
+  SELECT {key} AS k, {us} AS us, {tie} AS id, row_number() OVER (PARTITION BY {key} ORDER BY {us}, {tie}) AS rn
+  FROM {source}),
+{prefix}fold AS (
+  SELECT k, rn, id, us, {(burst - 1) * period}::BIGINT AS units, TRUE AS admitted FROM {prefix}seq WHERE rn = 1
+  UNION ALL
+  SELECT s.k, s.rn, s.id, s.us, {level} - CASE WHEN {level} >= {period} THEN {period} ELSE 0 END, {level} >= {period}
+  FROM {prefix}fold f JOIN {prefix}seq s ON s.k = f.k AND s.rn = f.rn + 1)"""
+
+
 def bounds(b: Buckets) -> str:
     return "[" + ", ".join(f"{x!r}::DOUBLE" for x in b.bounds()) + "]"
 
@@ -272,18 +285,36 @@ ORACLE: dict[str, str] = {
       SELECT id AS event_id, k AS path, us FROM fold WHERE accepted""",
     "lease_grants": f"""WITH RECURSIVE {FILE_EVENTS}, {greedy('fe', 'path', 'us', 'event_id', 30 * HOUR, "op = 'REMOVE'")}
       SELECT id AS event_id, rel AS release, accepted AS granted FROM fold""",
-    "rate_admission": f"""WITH RECURSIVE {EVENTS}, seq AS (
-        SELECT event_type AS k, us, event_id,
-               row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) AS rn FROM ev),
-      fold AS (
-        SELECT k, rn, event_id, us, 1 * {HOUR} AS units, TRUE AS admitted FROM seq WHERE rn = 1
-        UNION ALL
-        SELECT s.k, s.rn, s.event_id, s.us,
-               least(2 * {HOUR}, f.units + (s.us - f.us) * 2)
-                 - CASE WHEN least(2 * {HOUR}, f.units + (s.us - f.us) * 2) >= {HOUR} THEN {HOUR} ELSE 0 END,
-               least(2 * {HOUR}, f.units + (s.us - f.us) * 2) >= {HOUR}
-        FROM fold f JOIN seq s ON s.k = f.k AND s.rn = f.rn + 1)
-      SELECT event_id, admitted FROM fold""",
+    "rate_admission": f"""WITH RECURSIVE {EVENTS}, {bucket('ev', 'event_type', 'us', 'event_id', 2, HOUR, 2)}
+      SELECT id AS event_id, admitted FROM fold""",
+    "global_rate_admission": f"""WITH RECURSIVE {EVENTS}, {bucket('ev', '1', 'us', 'event_id', 10, HOUR, 10)}
+      SELECT id AS event_id, admitted FROM fold""",
+    "event_admission": f"""WITH RECURSIVE {HASHED}, {SAMPLES}, processed AS (
+        SELECT hash FROM hf WHERE doc_id IN (SELECT doc_id FROM labels)),
+      noticed AS (
+        SELECT e.event_id, e.us, '/landing/u' || e.user_id AS watched, h.path, h.source, h.length, h.kind, h.hash
+        FROM ev e JOIN hf h ON h.doc_id = e.event_id WHERE e.event_type IN ('click', 'view')),
+      {greedy('noticed', 'path', 'us', 'event_id', 5 * HOUR)},
+      judged AS (
+        SELECT n.*, CASE WHEN kind NOT IN ('xml', 'json') THEN 'pattern_mismatch'
+                         WHEN NOT coalesce(settled AND took < 20 * {DAY}, FALSE) THEN 'file_not_stable' END AS early,
+               n.us + CASE WHEN settled AND took < 20 * {DAY} THEN took ELSE 0 END AS ready_us
+        FROM noticed n JOIN fold ON fold.id = n.event_id AND fold.accepted LEFT JOIN verdict v ON v.path = n.watched),
+      queued AS (SELECT * FROM judged WHERE early IS NULL),
+      {bucket('queued', 'source', 'ready_us', 'event_id', 1, 2 * HOUR, 2, 'l')},
+      checked AS (
+        SELECT q.*, CASE WHEN NOT admitted THEN 'rate_limit_exceeded' WHEN length < 100 THEN 'file_too_small'
+                         WHEN length > 16384 THEN 'file_too_large'
+                         WHEN q.hash IN (SELECT hash FROM processed) THEN 'duplicate' END AS late
+        FROM queued q JOIN lfold ON lfold.id = q.event_id),
+      final AS (
+        SELECT event_id, ready_us, early AS reason FROM judged WHERE early IS NOT NULL
+        UNION ALL SELECT event_id, ready_us, late FROM checked WHERE late IS NOT NULL
+        UNION ALL SELECT event_id, ready_us, CASE WHEN row_number() OVER (
+            PARTITION BY hash ORDER BY ready_us, path, event_id) = 1 THEN 'accepted' ELSE 'lock_held' END
+        FROM checked WHERE late IS NULL)
+      SELECT event_id, ready_us, reason, CASE reason WHEN 'accepted' THEN 'processing' WHEN 'lock_held' THEN 'incoming'
+        ELSE 'ignored' END AS lane FROM final""",
     "fixed_window_cap": f"""WITH {EVENTS} SELECT * FROM (
         SELECT event_id, event_type, us // {HOUR} AS window,
                row_number() OVER (PARTITION BY event_type, us // {HOUR} ORDER BY us, event_id)::INTEGER AS rank FROM ev)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quayside.config import AdmissionConfig
 from quayside.functions import scalars
-from quayside.operators.ledger import ParquetLedger
+from quayside.operators.ledger import Ledger
 from quayside.plans import admission
 from quayside.sinks import messages as sink
 
@@ -23,12 +23,14 @@ class LandingPipeline:
     Each batch is written once to a folder of its own, which a replay of the same batch replaces; the
     messages and ledger entries are derived from that written, content-free table. A batch that died
     half-way is therefore repeated without doubling anything (effectively once).
-    ``on_batch`` is the hook for further work: it gets the outcomes and the batch number.
+    ``publish_to`` takes the written messages further, at least once. ``on_batch`` is the hook for any
+    other work: it gets the outcomes and the batch number.
     """
 
-    def __init__(self, spark: SparkSession, cfg: AdmissionConfig, out: str, ledger: ParquetLedger,
-                 on_batch: Handler | None = None) -> None:
-        self.spark, self.cfg, self.out, self.ledger, self.on_batch = spark, cfg, out.rstrip("/"), ledger, on_batch
+    def __init__(self, spark: SparkSession, cfg: AdmissionConfig, out: str, ledger: Ledger,
+                 publish_to: sink.MessageSink | None = None, on_batch: Handler | None = None) -> None:
+        self.spark, self.cfg, self.out, self.ledger = spark, cfg, out.rstrip("/"), ledger
+        self.publish_to, self.on_batch = publish_to, on_batch
 
     def handle(self, files: DataFrame, batch_id: int) -> None:
         now_us = int(files.sparkSession.sql("SELECT unix_micros(current_timestamp())").first()[0])
@@ -41,6 +43,9 @@ class LandingPipeline:
         ready = accepted.withColumn("timestamp", scalars.from_micros("timestamp"))
         sink.work_messages(ready, self.cfg.lanes, self.cfg.working_dir).write.mode("overwrite").parquet(
             f"{self.out}/messages/batch={batch_id}")
+        if self.publish_to is not None:
+            self.publish_to.write(files.sparkSession.read.schema("key string, value string").parquet(
+                f"{self.out}/messages/batch={batch_id}"))
         self.ledger.append(accepted.select(
             "hash", F.lit("enqueued").alias("state"), "path", F.lit(None).cast("string").alias("reason"),
             F.col("timestamp").alias("at_us")), f"landing-{batch_id}")

@@ -48,3 +48,14 @@ def test_limit_rises_until_few_keys_are_hot(spark, monkeypatch):
     assert (raised.count, raised.rows, raised.hot_rows) == (1, 460, 80)
     assert [r[0] for r in raised.keys.collect()] == [0]
     assert skew.measure(df, ["key"], 1000) is None
+
+
+@pytest.mark.parametrize("hot_rows", [200, 10_000])
+def test_one_limiter_for_everything(spark, hot_rows):
+    """Without keys the whole table is one history, and still runs in segments."""
+    rows = table(8)
+    df = spark.createDataFrame(rows, "key string, us long, id long, flag boolean").repartition(7)
+    machine = TokenBucket(1, 20, 5)
+    got = {r["id"]: r["admitted"] for r in fold(df, [], "us", ["id"], machine, hot_rows).collect()}
+    want, _ = machine.run(None, np.array([r[1] for r in rows]), {})
+    assert [got[r[2]] for r in rows] == list(want["admitted"])

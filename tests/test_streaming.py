@@ -13,6 +13,7 @@ from quayside.config import AdmissionConfig
 from quayside.functions import scalars
 from quayside.operators import ledger
 from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
+from quayside.sinks import messages
 from quayside.sources import landing
 from quayside.streaming import keyed, live, pipeline
 
@@ -144,7 +145,7 @@ def test_landing_job_replays_without_doubling(spark, tmp_path):
             crash["left"] -= 1
             raise RuntimeError("lost on the way")
 
-    job = pipeline.LandingPipeline(spark, cfg, out, book, hook)
+    job = pipeline.LandingPipeline(spark, cfg, out, book, messages.FileSink(str(tmp_path / "queue"), "json"), hook)
     def run():
         q = job.start(landing.stream(spark, root, max_files=2).drop("content"), check)
         q.awaitTermination()
@@ -158,5 +159,7 @@ def test_landing_job_replays_without_doubling(spark, tmp_path):
                         ("one.xml", "processing", None), ("three.xml", "processing", None), ("two.xml", "processing", None)]
     keys = [r["key"] for r in job.messages().collect()]
     assert len(keys) == len(set(keys)) == 3
+    published = [r["key"] for r in spark.read.json(str(tmp_path / "queue")).collect()]
+    assert set(published) == set(keys)  # at least once
     states = sorted((r["state"]) for r in book.live(int(time.time() * 1e6)).collect())
     assert states == ["enqueued"] * 3 + ["processed"]
