@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def dirname(path: Column | str) -> Column:
     return clean(F.regexp_replace(_col(path), r"[^/]*\z", ""))
 
 
+def parent(path: Column | str) -> Column:
+    """Directory of an absolute path that is already clean, such as any listed one; no lambda involved."""
+    up = F.regexp_replace(_col(path), r"/[^/]*\z", "")
+    return F.when(up == "", "/").otherwise(up)
+
+
+def under(directory: str, name: Column | str) -> Column:
+    """A base name placed below a fixed directory."""
+    return F.concat(F.lit(posixpath.normpath(directory).rstrip("/") + "/"), _col(name))
+
+
 def join(*parts: Column | str) -> Column:
     """Join non-empty elements (plain strings are literals) with '/' and clean the result."""
     cols = [F.lit(p) if isinstance(p, str) else p for p in parts]

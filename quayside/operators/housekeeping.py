@@ -44,7 +44,7 @@ def directories_of(files: DataFrame, path: str = "path") -> DataFrame:
 
 def empty_directories(dirs: DataFrame, entries: DataFrame, protected: DataFrame | None = None) -> DataFrame:
     """Directories without a direct child, protected ones left out (one clean-up pass)."""
-    parents = entries.select(paths.dirname("path").alias("path")).distinct()
+    parents = entries.select(paths.parent("path").alias("path")).distinct()
     empty = dirs.select("path").join(parents, "path", "left_anti")
     return empty.join(protected.select("path"), "path", "left_anti") if protected is not None else empty
 

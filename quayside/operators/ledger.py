@@ -99,7 +99,7 @@ def orphans(processing: DataFrame, completed: DataFrame | None, first_root: str)
     rows = processing.filter(~F.col("is_dir"))
     if completed is not None:
         rows = new_only(rows, completed)
-    return rows.withColumn("replay_path", paths.join(first_root, paths.basename("path")))
+    return rows.withColumn("replay_path", paths.under(first_root, paths.basename("path")))
 
 
 def lifecycle(log: DataFrame, as_of_us: int, ttl: LedgerTtl = LedgerTtl()) -> DataFrame:

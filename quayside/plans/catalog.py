@@ -81,7 +81,7 @@ def event_admission(spark, sf_dir):
     hashes = docs.select(F.col("doc_id").alias("event_id"), "hash")
     out = event_path.admit_events(
         events, stable, dataclasses.replace(CONFIG, debounce_us=5 * HOUR_US), lambda rows: rows.join(hashes, "event_id"),
-        bindings.processed(docs, labels), "watched", ["source"], 1, 2 * HOUR_US, 2)
+        bindings.processed(docs, labels), "watched", ["source"], 1, 24 * HOUR_US, 2)
     return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 

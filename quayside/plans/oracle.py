@@ -301,7 +301,7 @@ ORACLE: dict[str, str] = {
                n.us + CASE WHEN settled AND took < 20 * {DAY} THEN took ELSE 0 END AS ready_us
         FROM noticed n JOIN fold ON fold.id = n.event_id AND fold.accepted LEFT JOIN verdict v ON v.path = n.watched),
       queued AS (SELECT * FROM judged WHERE early IS NULL),
-      {bucket('queued', 'source', 'ready_us', 'event_id', 1, 2 * HOUR, 2, 'l')},
+      {bucket('queued', 'source', 'ready_us', 'event_id', 1, 24 * HOUR, 2, 'l')},
       checked AS (
         SELECT q.*, CASE WHEN NOT admitted THEN 'rate_limit_exceeded' WHEN length < 100 THEN 'file_too_small'
                          WHEN length > 16384 THEN 'file_too_large'

@@ -17,7 +17,7 @@ def work_messages(accepted: DataFrame, lanes: Lanes = Lanes(), working_dir: str
     """Accepted files (filename, kind, length, hash, timestamp) to (key, value) rows."""
     body = F.struct(
         F.col("hash").alias("id"),
-        paths.join(working_dir, lanes.processing, F.col("filename")).alias("path"),
+        paths.under(f"{working_dir}/{lanes.processing}", "filename").alias("path"),
         F.col("filename"),
         F.col("kind"),
         F.col("length").alias("size"),

@@ -104,7 +104,7 @@ def facts(files: DataFrame) -> DataFrame:
     """filename, directory, extension and kind of every file row."""
     return (
         files.withColumn("filename", paths.basename("path"))
-        .withColumn("directory", paths.dirname("path"))
+        .withColumn("directory", paths.parent("path"))
         .withColumn("extension", paths.ext("filename"))
         .withColumn("kind", paths.kind("filename"))
     )

@@ -39,6 +39,8 @@ def test_exclude_wins_and_empty_include_takes_all(spark):
 @pytest.mark.parametrize("fn,rows", [
     (paths.basename, [("/a/b.xml", "b.xml"), ("/a/b/", "b"), ("/", "/"), ("", "."), ("x", "x"), ("//", "/")]),
     (paths.dirname, [("/a/b.xml", "/a"), ("/a", "/"), ("a", "."), ("/a/b/", "/a/b"), ("a/b", "a"), ("", ".")]),
+    (paths.parent, [("/a/b.xml", "/a"), ("/a", "/")]),
+    (lambda p: paths.under("/work//processing/", p), [("a.xml", "/work/processing/a.xml")]),
     (paths.clean, [("/a/../b//c/.", "/b/c"), ("/../x", "/x"), ("a/../..", ".."), ("../../a", "../../a"), ("", "."),
                    ("a/./b/", "a/b"), ("/", "/"), ("a/..", "."), ("a/../../b", "../b")]),
     (paths.ext, [("a.tar.gz", ".gz"), (".env", ".env"), ("noext", ""), ("dot.", "."), ("/a.b/c", "")]),
