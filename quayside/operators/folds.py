@@ -61,15 +61,16 @@ def _runner(machine, keys: Sequence[str], order_us: str, out: pa.Schema, names:
             us, cols = _inputs(batch, machine, order_us)
             results: dict[str, list] = {f.name: [] for f in added}
             entries = batch.column(ENTRY) if ENTRY in batch.schema.names else None
-            key_cols = [batch.column(k) for k in keys]
+            key_at = lambda i: tuple(batch.column(k)[i].as_py() for k in keys)
+            carries_on = key_at(0) == current  # the batch before ended inside this key
             for start, stop in _runs(batch, keys):
-                key = tuple(c[start].as_py() for c in key_cols)
-                if key != current:
-                    current = key
+                if not carries_on:
                     state = entries[start].as_py() if entries is not None else None
+                carries_on = False
                 got, state = machine.run(state, us[start:stop], {k: v[start:stop] for k, v in cols.items()})
                 for name, values in got.items():
                     results[name].extend(values.tolist() if isinstance(values, np.ndarray) else values)
+            current = key_at(batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), *(pa.array(results[f.name], f.type) for f in added)], schema=out)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quayside.config import LedgerTtl
 from quayside.functions import paths
 from quayside.operators import ordered, skew
-from quayside.session import checkpoint_root
+from quayside.session import hadoop_path, written
 
 STATES = ("enqueued", "processed", "failed")
 
@@ -51,14 +51,13 @@ def live(entries: DataFrame, as_of_us: int | Column, ttl: LedgerTtl | None = Led
 
 
 def key_set(entries: DataFrame) -> DataFrame:
-    """The distinct hashes, written to the checkpoint folder.
+    """The distinct hashes as a table below the checkpoint folder.
 
     As a table of its own it reaches a join through a plain shuffle with one row per hash: a hash with
     many entries is combined before that, and the adaptive skew join may split a hot hash of the other
     side, which it does not do next to an aggregate.
     """
-    checkpoint_root(entries.sparkSession)
-    return entries.select("hash").distinct().checkpoint()
+    return written(entries.select("hash").distinct(), "keys")
 
 
 def new_only(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -140,13 +139,11 @@ class ParquetLedger:
 
     def _committed(self, kind: str) -> list[str]:
         """Names of the committed folders of one kind; no rows."""
-        jvm = self.spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, base = hadoop_path(self.spark, f"{self.root}/{kind}")
         if not fs.exists(base):
             return []
-        folders = [status.getPath() for status in fs.listStatus(base)]
-        return sorted(f.getName() for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+        names = [status.getPath().getName() for status in fs.listStatus(base)]
+        return sorted(n for n in names if fs.exists(hadoop_path(self.spark, f"{self.root}/{kind}/{n}/_SUCCESS")[1]))
 
     def append(self, rows: DataFrame, batch: str) -> None:
         cols = [c.split()[0] for c in self.COLUMNS.split(", ")]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ROW = "_is_row"
+SALTS = 10_000
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -74,13 +75,12 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], field: st
 
 
 def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "is_first",
-                   salts: int | None = None) -> DataFrame:
+                   salts: int = SALTS) -> DataFrame:
     """Marks the first row per key in ``order`` (a total order) and keeps every row.
 
     A hot key is spread over ``salts`` groups; only their local firsts, at most ``salts`` rows per key,
     meet again to find the one winner.
     """
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     # Local losers keep their salt as group, so the second shuffle spreads them just as well.
     return (

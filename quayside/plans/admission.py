@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayside.config import AdmissionConfig
 from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, ledger, ordered
-from quayside.session import checkpoint_root
+from quayside.session import written
 from quayside.sources import archives, inventory, landing
 
 # Lane a reason leads to. Files that lose the race for a hash stay where they are.
@@ -80,14 +80,13 @@ def classify(files: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None
     """Every file with its reason (NULL for accepted) and lane.
 
     ``files`` has path, length, content and the ``order`` columns. Content is read and hashed once, only
-    for what name and size leave over; the hashed rows without content are checkpointed. Rejected rows
+    for what name and size leave over; the hashed rows without content are written once. Rejected rows
     come from a branch that never selects content, so a columnar or file source does not read it there.
     """
     turned_away = decide(files.drop("content"), cfg, mode).filter("reason is not null")
     left = decide(files, cfg, mode).filter("reason is null")
     hashed = left.withColumn("hash", scalars.content_hash("filename", "content")).drop("content")
-    checkpoint_root(files.sparkSession)
-    return settle(turned_away, hashed.checkpoint(), processed, order)
+    return settle(turned_away, written(hashed, "candidates"), processed, order)
 
 
 def summary(classified: DataFrame) -> DataFrame:
@@ -102,7 +101,6 @@ def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None =
     would read the content of every file it lists and keep it in one cell.
     """
     keep = ["path", "filename", "kind", "length", "modificationTime"]
-    checkpoint_root(found.sparkSession)
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     decided = decide(found, cfg, "scan")
     turned_away = decided.filter("reason is not null")
@@ -114,8 +112,8 @@ def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None =
     judged = decide(unpacked.withColumnRenamed("error", "_error"), cfg, "scan").withColumn(
         "reason", F.coalesce("_error", "reason")).withColumn("modificationTime", F.lit(None).cast("timestamp"))
     hashed = F.when(F.col("reason").isNull(), scalars.content_hash("filename", "content"))
-    members = judged.withColumn("hash", hashed).select(*keep, "hash", "reason").checkpoint()
-    candidates = plain.select(*keep, "hash").checkpoint().unionByName(
+    members = written(judged.withColumn("hash", hashed).select(*keep, "hash", "reason"), "members")
+    candidates = written(plain.select(*keep, "hash"), "candidates").unionByName(
         members.filter("reason is null").drop("reason"))
     rejects = turned_away.select(*keep, "reason").unionByName(members.filter("reason is not null").drop("hash"))
     return settle(rejects, candidates, processed, ("modificationTime", "path"))

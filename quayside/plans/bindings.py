@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.config import HOUR_US, MINUTE_US
 from quayside.functions import scalars
-from quayside.session import checkpoint_root, prepare
+from quayside.session import prepare, written
 
 # Fixed values shared with the SQL oracle.
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
@@ -52,8 +52,7 @@ def hashed_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     For plans that need them more than once: contents are read and hashed one single time, and only
     narrow rows travel afterwards.
     """
-    checkpoint_root(spark)
-    return hashed_files(spark, sf_dir).select("doc_id", "hash", *columns).checkpoint()
+    return written(hashed_files(spark, sf_dir).select("doc_id", "hash", *columns), "hashed")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +133,14 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as files: host and URL path, without scheme, query, fragment and trailing slash."""
     path = F.regexp_replace(F.regexp_replace(F.col("url"), r"^https?:/", ""), r"/?([?#].*)?$", "")
-    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").alias("size"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", path.alias("path"), (~F.col("url").rlike("[?#]")).alias("on_disk"))
 
 
 def kept_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_files without the pages that are taken as removed, which leaves some directories empty."""
-    return page_files(spark, sf_dir).filter(F.col("page_id") % 3 != 0)
+    """page_files that lie on disk: an address with a query or a fragment leaves only its directories,
+    some of which stay empty."""
+    return page_files(spark, sf_dir).filter("on_disk")
 
 
 def lane_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, stability
 from quayside.plans import admission, bindings, event_path
 from quayside.plans.bindings import EPOCH_US
-from quayside.session import checkpoint_root
+from quayside.session import written
 from quayside.sinks import messages as sink
 from quayside.sources import archives, exposition, landing, messages
 
@@ -45,13 +45,12 @@ def _classified(spark: SparkSession, sf_dir: str, mode: str = "event") -> DataFr
     """Unlabelled documents as arriving files, labelled ones as the processed part of the ledger.
 
     One pass reads the contents and hashes what name and size leave over; everything after it works on
-    the checkpointed narrow rows. A labelled file of equal hash has equal name and size, so the ones
+    the written narrow rows. A labelled file of equal hash has equal name and size, so the ones
     turned away early can not hide a duplicate.
     """
     decided = admission.decide(bindings.files(spark, sf_dir), CONFIG, mode)
     hashed = F.when(F.col("reason").isNull(), scalars.content_hash("filename", "content"))
-    checkpoint_root(spark)
-    rows = decided.withColumn("hash", hashed).drop("content", "lang", "source", "n_chars").checkpoint()
+    rows = written(decided.withColumn("hash", hashed).drop("content", "lang", "source", "n_chars"), "decided")
     labels = bindings.labels(spark, sf_dir)
     arriving = bindings.unprocessed(rows, labels)
     done = bindings.processed(rows.filter("hash is not null"), labels)
@@ -211,7 +210,7 @@ def files_with_members(spark, sf_dir):
     zipped = _archives(spark, sf_dir).select(
         "path", F.lit(None).cast("timestamp").alias("modificationTime"),
         F.octet_length("content").cast("long").alias("length"), "content")
-    plain = bindings.files(spark, sf_dir).filter("doc_id % 3 = 0").select(
+    plain = bindings.files(spark, sf_dir).select(
         "path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", "content")
     both = archives.with_members(plain.unionByName(zipped))
     named = both.withColumn("kind", F.when(F.col("error").isNull(), paths.kind("path")).otherwise("failed"))
@@ -319,7 +318,7 @@ def ttl_dedup_join(spark, sf_dir):
 @query
 def orphan_replay(spark, sf_dir):
     h, labels = bindings.hashed_table(spark, sf_dir, "path"), bindings.labels(spark, sf_dir)
-    processing = h.select("doc_id", "path", "hash", (F.col("doc_id") % 11 == 0).alias("is_dir"))
+    processing = h.select("doc_id", "path", "hash", F.col("path").endswith(".tmp").alias("is_dir"))
     done = ledger.key_set(bindings.processed(h, labels))
     out = ledger.orphans(processing, done, "/landing/incoming")
     return out.select("doc_id", "replay_path")
@@ -327,7 +326,7 @@ def orphan_replay(spark, sf_dir):
 
 @query
 def orphan_replay_all(spark, sf_dir):
-    processing = bindings.files(spark, sf_dir).select("doc_id", "path", (F.col("doc_id") % 11 == 0).alias("is_dir"))
+    processing = bindings.files(spark, sf_dir).select("doc_id", "path", F.col("path").endswith(".tmp").alias("is_dir"))
     return ledger.orphans(processing, None, "/landing/incoming").select("doc_id", "replay_path")
 
 
@@ -563,7 +562,7 @@ def cleanup_summary(spark, sf_dir):
 
 @query
 def lane_census(spark, sf_dir):
-    inventory = bindings.lane_files(spark, sf_dir).select("lane", (F.col("doc_id") % 13 == 0).alias("is_dir"))
+    inventory = bindings.lane_files(spark, sf_dir).select("lane", F.col("path").endswith(".tmp").alias("is_dir"))
     return housekeeping.lane_census(inventory)
 
 

@@ -12,7 +12,7 @@ from quayside.functions import paths, patterns
 from quayside.operators import filters, sequential
 from quayside.operators.skew import HOT_ROWS
 from quayside.plans import admission
-from quayside.session import checkpoint_root
+from quayside.session import written
 
 
 def admit_events(events: DataFrame, stability: DataFrame, cfg: AdmissionConfig,
@@ -27,9 +27,8 @@ def admit_events(events: DataFrame, stability: DataFrame, cfg: AdmissionConfig,
     watched file, no row means never stable); one token per file from its limiter at the moment it is
     stable; size; then ``add_hash`` for what is left, the ledger, and the race for equal hashes.
 
-    Each sequential step is checkpointed, narrow, because the steps after it read its rows twice.
+    Each sequential step is written once, narrow, because the steps after it read its rows twice.
     """
-    checkpoint_root(events.sparkSession)
     keep = list(dict.fromkeys(["path", "us", "length", tie, watched, *limit_by]))
     noticed = filters.arrivals(events).select(*keep)
     seen = sequential.debounce(noticed, ["path"], "us", tie, cfg.debounce_us, hot_rows).filter("accepted")
@@ -37,15 +36,15 @@ def admit_events(events: DataFrame, stability: DataFrame, cfg: AdmissionConfig,
         "kind", paths.kind("filename"))
     wanted = patterns.accepts("filename", cfg.include, cfg.exclude)
     steady = F.coalesce("stable", F.lit(False))
-    judged = named.join(stability.select(watched, "stable", "duration_us"), watched, "left").withColumn(
+    judged = written(named.join(stability.select(watched, "stable", "duration_us"), watched, "left").withColumn(
         "reason", F.when(~wanted, "pattern_mismatch").when(~steady, "file_not_stable")).withColumn(
-        "ready_us", F.col("us") + F.coalesce("duration_us", F.lit(0))).drop("stable", "duration_us").checkpoint()
+        "ready_us", F.col("us") + F.coalesce("duration_us", F.lit(0))).drop("stable", "duration_us"), "judged")
     limited = sequential.rate_admission(
         judged.filter("reason is null"), limit_by, "ready_us", tie, rate or cfg.max_files_per_second, period_us, burst,
         hot_rows)
     over = F.when(~F.col("admitted"), "rate_limit_exceeded")
-    checked = limited.withColumn("reason", F.coalesce(
-        over, filters.size_reason("length", cfg.min_bytes, cfg.max_bytes))).drop("admitted").checkpoint()
+    checked = written(limited.withColumn("reason", F.coalesce(
+        over, filters.size_reason("length", cfg.min_bytes, cfg.max_bytes))).drop("admitted"), "checked")
     turned_away = judged.filter("reason is not null").unionByName(checked.filter("reason is not null"))
-    candidates = add_hash(checked.filter("reason is null")).checkpoint()
+    candidates = written(add_hash(checked.filter("reason is null")), "candidates")
     return admission.settle(turned_away, candidates, processed, ("ready_us", "path", tie))

@@ -77,14 +77,14 @@ INTERVALS = """iv AS (
          epoch_us(max(l_shipdate)) AS finish_us
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)"""
 PAGES = """pf AS (
-  SELECT page_id, regexp_replace(regexp_replace(url, '^https?:/', ''), '/?([?#].*)?$', '') AS path FROM pages),
-kept AS (SELECT path FROM pf WHERE page_id % 3 <> 0),
+  SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?:/', ''), '/?([?#].*)?$', '') AS path FROM pages),
+kept AS (SELECT path FROM pf WHERE NOT regexp_matches(url, '[?#]')),
 dirs AS (
   SELECT DISTINCT array_to_string(parts[1:i], '/') AS path
   FROM (SELECT string_split(path, '/') AS parts FROM pf), unnest(range(2, len(parts))) AS t(i)),
 guarded AS (SELECT path FROM dirs WHERE path LIKE '%/de')"""
 LANE_FILES = FILES + f""", lf AS (
-  SELECT doc_id, path, filename, length, (['processed', 'failed', 'ignored', 'tmp'])[(doc_id % 4)::INT + 1] AS lane,
+  SELECT doc_id, path, filename, kind, length, (['processed', 'failed', 'ignored', 'tmp'])[(doc_id % 4)::INT + 1] AS lane,
          {EPOCH} + doc_id * {HOUR} AS mtime_us FROM files)"""
 DUE = LANE_FILES + f""", due AS (
   SELECT *, trunc(({EPOCH} + 7 * {DAY} - mtime_us) / {DAY})::BIGINT AS age_days FROM lf
@@ -224,7 +224,7 @@ ORACLE: dict[str, str] = {
       SELECT DISTINCT '/landing/batch/' || (doc_id // 25) || '.zip', NULL, NULL, NULL, NULL, 'zip_extraction_failed'
       FROM documents WHERE (doc_id // 25) % 10 = 9""",
     "files_with_members": f"""WITH {FILES} SELECT kind, count(*) AS files, coalesce(sum(length), 0)::BIGINT AS bytes FROM (
-        SELECT kind, length FROM files WHERE doc_id % 3 = 0
+        SELECT kind, length FROM files
         UNION ALL SELECT 'txt', length FROM files WHERE (doc_id // 25) % 10 <> 9
         UNION ALL (SELECT DISTINCT ON (doc_id // 25) 'failed', NULL FROM files WHERE (doc_id // 25) % 10 = 9))
       GROUP BY kind""",
@@ -264,9 +264,9 @@ ORACLE: dict[str, str] = {
         coalesce(bool_or(u.arrived_us < p.arrived_us + 6 * {HOUR}), FALSE) AS is_duplicate
       FROM unlabelled u LEFT JOIN processed p ON p.hash = u.hash AND p.arrived_us <= u.arrived_us GROUP BY u.doc_id""",
     "orphan_replay": f"""WITH {PROCESSED} SELECT doc_id, '/landing/incoming/' || filename AS replay_path FROM hf
-      WHERE doc_id % 11 <> 0 AND hash NOT IN (SELECT hash FROM processed)""",
+      WHERE kind <> 'tmp' AND hash NOT IN (SELECT hash FROM processed)""",
     "orphan_replay_all": f"""WITH {FILES} SELECT doc_id, '/landing/incoming/' || filename AS replay_path FROM files
-      WHERE doc_id % 11 <> 0""",
+      WHERE kind <> 'tmp'""",
     "ledger_lifecycle": f"""WITH {LOG}, g AS (
         SELECT hash, min(at_us) FILTER (state = 'enqueued') AS enqueued_us,
                max(at_us) FILTER (state <> 'enqueued') AS completed_us,
@@ -400,7 +400,7 @@ ORACLE: dict[str, str] = {
       FROM documents, unnest([1, 2, 3]) AS t(i)""",
     "retention_candidates": f"WITH {DUE} SELECT doc_id, lane, age_days FROM due",
     "cleanup_summary": f"WITH {DUE} SELECT lane, count(*) AS files, sum(length)::BIGINT AS bytes FROM due GROUP BY lane",
-    "lane_census": f"WITH {LANE_FILES} SELECT lane, count(*) FILTER (doc_id % 13 <> 0) AS files FROM lf GROUP BY lane",
+    "lane_census": f"WITH {LANE_FILES} SELECT lane, count(*) FILTER (kind <> 'tmp') AS files FROM lf GROUP BY lane",
     "empty_directories": f"""WITH {PAGES} SELECT path FROM dirs d WHERE path NOT IN (SELECT path FROM guarded)
       AND NOT EXISTS (SELECT 1 FROM (SELECT path FROM dirs UNION ALL SELECT path FROM kept) e
                       WHERE regexp_replace(e.path, '/[^/]*$', '') = d.path)""",

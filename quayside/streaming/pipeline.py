@@ -12,6 +12,7 @@ from quayside.config import AdmissionConfig
 from quayside.functions import scalars
 from quayside.operators.ledger import Ledger
 from quayside.plans import admission
+from quayside.session import scratch_area
 from quayside.sinks import messages as sink
 
 Handler = Callable[[DataFrame, int], None]
@@ -33,6 +34,12 @@ class LandingPipeline:
         self.publish_to, self.on_batch = publish_to, on_batch
 
     def handle(self, files: DataFrame, batch_id: int) -> None:
+        with scratch_area(files.sparkSession, f"landing-{batch_id}"):
+            outcomes = self._process(files, batch_id)
+        if self.on_batch is not None:
+            self.on_batch(outcomes, batch_id)
+
+    def _process(self, files: DataFrame, batch_id: int) -> DataFrame:
         now_us = int(files.sparkSession.sql("SELECT unix_micros(current_timestamp())").first()[0])
         processed = self.ledger.live(now_us).filter("state = 'processed'").select("hash")
         classified = admission.admit(files.drop("content"), self.cfg, processed)
@@ -49,8 +56,7 @@ class LandingPipeline:
         self.ledger.append(accepted.select(
             "hash", F.lit("enqueued").alias("state"), "path", F.lit(None).cast("string").alias("reason"),
             F.col("timestamp").alias("at_us")), f"landing-{batch_id}")
-        if self.on_batch is not None:
-            self.on_batch(outcomes, batch_id)
+        return outcomes
 
     def start(self, files: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = files.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
