@@ -3,6 +3,9 @@
 Ordinary keys, up to ``hot_rows`` rows each, are handled whole by one task. Larger ones are cut into
 segments by range partitioning on (key, order): Spark samples the sort order and fills partitions
 evenly, so a single key covers as many as it needs, however its rows are spread over time.
+
+A table is read once to measure it, once more when all keys are ordinary, and three more times when some
+are hot; hand in a written table (``session.written``) where computing it is expensive.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.session import checkpoint_root
+from quayside.session import checkpoint_root, written
 
 HOT_ROWS = 2_000_000
 BROADCAST_KEYS = 200_000
@@ -24,8 +27,8 @@ SEG = "_segment"
 
 @dataclass(frozen=True)
 class Hot:
-    """Keys above the limit: a lazy table of at most ``BROADCAST_KEYS`` keys, how many there are, and how
-    many rows they have together."""
+    """Keys above the limit: a written table of at most ``BROADCAST_KEYS`` keys, how many there are, and
+    how many rows they have together."""
 
     keys: DataFrame
     count: int
@@ -50,7 +53,10 @@ def measure(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot
     for i, limit in enumerate(limits):
         count, rows = answer[2 * i], answer[2 * i + 1]
         if count <= BROADCAST_KEYS:
-            return Hot(sizes.filter(n > limit).select(*keys), count, rows, limit) if count else None
+            if not count:
+                return None
+            found = sizes.filter(n > limit).select(*keys)
+            return Hot(written(found, "hot") if keys else found, count, rows, limit)
     return None
 
 

@@ -13,7 +13,8 @@ from quayside.operators import filters, ledger, ordered
 from quayside.session import written
 from quayside.sources import archives, inventory, landing
 
-# Lane a reason leads to. Files that lose the race for a hash stay where they are.
+# Lane a reason leads to. Files that lose the race for a hash, or that can not be read or
+# moved, stay where they are.
 LANES = {
     None: "processing",
     "pattern_mismatch": "ignored",
@@ -24,6 +25,10 @@ LANES = {
     "file_too_large": "ignored",
     "duplicate": "ignored",
     "lock_held": "incoming",
+    "pool_full": "incoming",
+    "stat_error": "incoming",
+    "hash_error": "incoming",
+    "move_error": "incoming",
     "zip_extraction_failed": "failed",
     "queue_error": "failed",
 }
@@ -113,9 +118,11 @@ def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None =
         "reason", F.coalesce("_error", "reason")).withColumn("modificationTime", F.lit(None).cast("timestamp"))
     hashed = F.when(F.col("reason").isNull(), scalars.content_hash("filename", "content"))
     members = written(judged.withColumn("hash", hashed).select(*keep, "hash", "reason"), "members")
-    candidates = written(plain.select(*keep, "hash"), "candidates").unionByName(
-        members.filter("reason is null").drop("reason"))
-    rejects = turned_away.select(*keep, "reason").unionByName(members.filter("reason is not null").drop("hash"))
+    hashed_plain = written(plain.select(*keep, "hash"), "candidates")
+    candidates = hashed_plain.filter("hash is not null").unionByName(members.filter("reason is null").drop("reason"))
+    unread = hashed_plain.filter("hash is null").drop("hash").withColumn("reason", F.lit("hash_error"))
+    rejects = turned_away.select(*keep, "reason").unionByName(unread).unionByName(
+        members.filter("reason is not null").drop("hash"))
     return settle(rejects, candidates, processed, ("modificationTime", "path"))
 
 

@@ -38,9 +38,11 @@ def _targets(archive: str, bundle: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo
     return last
 
 
-def _rows(archive: str, content: bytes, content_limit: int, depth: int) -> Iterator[tuple]:
+def _rows(archive: str, content: bytes | None, content_limit: int, depth: int) -> Iterator[tuple]:
     """All members, or one row with the error; archives among them are opened while ``depth`` allows."""
     try:
+        if content is None:
+            raise ValueError("the archive can not be read")
         with zipfile.ZipFile(io.BytesIO(content)) as bundle:
             members = _targets(archive, bundle)
             for info in members.values():  # every member is readable, or the archive as a whole fails

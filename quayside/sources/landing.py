@@ -62,12 +62,15 @@ def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = []
         for uri in batch.column("path").to_pylist():
-            filesystem, inner = fs.FileSystem.from_uri(uri)
-            digest = hashlib.sha256(inner.rstrip("/").rsplit("/", 1)[-1].encode())
-            with filesystem.open_input_stream(inner) as handle:
-                while chunk := handle.read(4 << 20):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
+            try:
+                filesystem, inner = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256(inner.rstrip("/").rsplit("/", 1)[-1].encode())
+                with filesystem.open_input_stream(inner) as handle:
+                    while chunk := handle.read(4 << 20):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            except OSError:
+                digests.append(None)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())],
                                          names=[*batch.schema.names, "hash"])
 
@@ -75,7 +78,8 @@ def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hash_by_path(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Content hash for files too large for one cell: opened by path and read in 4 MiB chunks.
 
-    Same digest as ``functions.scalars.content_hash``. The input needs no ``content`` column.
+    Same digest as ``functions.scalars.content_hash``. The input needs no ``content`` column. A file that
+    can not be read, e.g. because it is gone by now, gets NULL.
     """
     narrow = files.drop("content")
     if tasks:
@@ -89,14 +93,18 @@ def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for uri in batch.column("path").to_pylist():
-            filesystem, inner = fs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(inner) as handle:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri]), pa.array([handle.read()], pa.binary())], names=["path", "content"])
+            try:
+                filesystem, inner = fs.FileSystem.from_uri(uri)
+                with filesystem.open_input_stream(inner) as handle:
+                    body = handle.read()
+            except OSError:
+                body = None
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uri]), pa.array([body], pa.binary())], names=["path", "content"])
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """(path, content) of files opened by path, one file in memory at a time."""
+    """(path, content) of files opened by path, one file in memory at a time; NULL when unreadable."""
     return files.select("path").repartition(F.xxhash64("path")).mapInArrow(_read_whole, "path string, content binary")
 
 

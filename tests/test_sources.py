@@ -86,6 +86,16 @@ def test_all_verdicts(spark, root, complete):
     assert got - errors == want
 
 
+def test_vanished_files_stay_out(spark, root):
+    root("here.xml", XML % (1, 1))
+    listed = landing.scan(spark, [root.path]).drop("content")
+    gone = listed.withColumn("path", F.lit(root.path + "/gone.xml"))
+    gone_zip = listed.withColumn("path", F.lit(root.path + "/gone.zip"))
+    got = reasons(admission.admit(listed.unionByName(gone).unionByName(gone_zip), config(root)))
+    assert got == {("here.xml", None, "processing"), ("gone.xml", "hash_error", "incoming"),
+                   ("gone.zip", "zip_extraction_failed: the archive can not be read", "failed")}
+
+
 def test_archive_members(spark):
     nested = make_zip([("inner.xml", b"in"), ("dir/", b"")])
     rows = [
