@@ -21,7 +21,7 @@ from quayside.session import checkpoint_root, written
 
 HOT_ROWS = 2_000_000
 BROADCAST_KEYS = 200_000
-STEPS = 12
+STEPS = 6
 SEG = "_segment"
 
 
@@ -46,16 +46,15 @@ def measure(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot
     hot stays a small set at any data size.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    limits = [hot_rows * 4**i for i in range(STEPS)]
-    n = F.col("_n")
-    asked = [f(F.when(n > limit, x)) for limit in limits for f, x in ((F.count, F.lit(1)), (F.sum, n))]
-    answer = sizes.filter(n > hot_rows).agg(*asked).first()
+    limits = [hot_rows * 16**i for i in range(STEPS)]
+    asked = [x for limit in limits for x in (f"count_if(_n > {limit})", f"sum(if(_n > {limit}, _n, 0))")]
+    answer = sizes.filter(f"_n > {hot_rows}").selectExpr(*asked).first()
     for i, limit in enumerate(limits):
         count, rows = answer[2 * i], answer[2 * i + 1]
         if count <= BROADCAST_KEYS:
             if not count:
                 return None
-            found = sizes.filter(n > limit).select(*keys)
+            found = sizes.filter(f"_n > {limit}").select(*keys)
             return Hot(written(found, "hot") if keys else found, count, rows, limit)
     return None
 

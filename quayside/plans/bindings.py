@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.config import HOUR_US, MINUTE_US
 from quayside.functions import scalars
+from quayside.schemas import TABLES
 from quayside.session import prepare, written
 
 # Fixed values shared with the SQL oracle.
@@ -21,7 +22,7 @@ LANES_BY_REMAINDER = ("processed", "failed", "ignored", "tmp")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.config import (DAY_US, HOUR_US, MINUTE_US, PROCESSING_SECONDS, SIZE_BYTES, AdmissionConfig, LedgerTtl,
-                             RetryConfig)
+from quayside.config import DAY_US, HOUR_US, PROCESSING_SECONDS, SIZE_BYTES, AdmissionConfig, LedgerTtl, RetryConfig
 from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, stability
 from quayside.plans import admission, bindings, event_path

@@ -9,6 +9,7 @@ from quayside.config import HOUR_US
 from quayside.functions import paths, scalars
 from quayside.plans import bindings
 from quayside.plans.catalog import GAP_US, query
+from quayside.schemas import TABLES
 from quayside.session import prepare
 from quayside.sources import inventory, landing
 from quayside.streaming import keyed, live
@@ -21,9 +22,9 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The pattern matches just the table, be it one file or a folder of files.
     """
-    schema = bindings.table(spark, sf_dir, "events").schema
+    prepare(spark)
     return (
-        spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH)
+        spark.readStream.schema(TABLES["events"]).option("maxBytesPerTrigger", MICRO_BATCH)
         .parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("us", scalars.micros("ts"))
     )
 
