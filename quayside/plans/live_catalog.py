@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.config import HOUR_US
+from quayside.config import HOUR_US, AdmissionConfig
 from quayside.functions import paths, scalars
-from quayside.plans import bindings
+from quayside.plans import admission, bindings
 from quayside.plans.catalog import GAP_US, query
 from quayside.schemas import TABLES
 from quayside.session import prepare
@@ -44,6 +44,14 @@ def inventory_scan(spark, sf_dir):
     return inventory.scan(spark, [sf_dir]).select("path", paths.kind(paths.basename("path")).alias("kind"), "is_dir", "size")
 
 
+@query
+def landing_admission(spark, sf_dir):
+    """Verdicts for the same files through the whole landing path: listed, judged, opened, hashed, raced."""
+    prepare(spark)
+    cfg = AdmissionConfig(roots=(sf_dir,), include=("*.parquet",), exclude=(".*",), min_bytes=100, max_bytes=1 << 50)
+    return admission.admit_landing(spark, cfg).select("path", "kind", "length", "hash", "reason", "lane")
+
+
 @query
 def landing_stream(spark, sf_dir):
     """The same files arriving as a stream, five per micro-batch."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -18,6 +21,20 @@ def use_disk_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """At most one state store per core for streams started inside.
+
+    Every store commits in every micro-batch, and a stream keeps the number it was first started with.
+    """
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(asked), max(spark.sparkContext.defaultParallelism, 8)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+
+
 def windowed_outcomes(events: DataFrame, ts: str, width: str, lateness: str, classes: dict[str, Column]) -> DataFrame:
     """Counts per tumbling window; rows later than ``lateness`` no longer count."""
     return metrics.windowed_outcomes(events.withWatermark(ts, lateness), ts, width, classes)
@@ -62,10 +79,11 @@ class CounterLog(StreamingQueryListener):
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that is there now, in as many micro-batches as the source's caps ask for."""
     use_disk_state(stream.sparkSession)
-    running = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(out)
-    )
+    with state_partitions(stream.sparkSession):
+        running = (
+            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(out)
+        )
     running.awaitTermination()
     if running.exception() is not None:
         raise running.exception()
