@@ -522,10 +522,7 @@ def exposition_parse(spark, sf_dir):
         .when(F.col("event_id") % 8 == 2, F.concat(F.lit("x_total 1.5e+0"), (F.col("event_id") % 7).cast("string")))
         .when(F.col("event_id") % 8 == 3, F.concat(F.lit('x_bucket{le="0.1"} '), F.col("event_id").cast("string")))
         .otherwise(F.concat("event_type", F.lit("_total "), F.col("event_id").cast("string"), F.lit(".25"))))
-    strict = exposition.parse(e.select("event_id", line.alias("line")), keep=("event_id",))
-    full = exposition.parse(e.select("event_id", line.alias("line")), full=True, keep=("event_id",))
-    return strict.select("event_id", F.lit("strict").alias("grammar"), "name", "value", F.lit("").alias("labels")).unionByName(
-        full.select("event_id", F.lit("full").alias("grammar"), "name", "value", "labels"))
+    return exposition.parse_both(e.select("event_id", line.alias("line")), keep=("event_id",))
 
 
 @query

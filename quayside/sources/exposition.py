@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed patterns. STRICT is what the dashboard's browser script understands: lower-case names without
@@ -25,10 +25,27 @@ def parse(lines: DataFrame, line: str = "line", full: bool = False, keep: tuple[
             F.regexp_extract(text, STRICT, 1).alias("name"),
             F.regexp_extract(text, STRICT, 2).cast("double").alias("value"),
         )
-    raw = F.regexp_extract(text, FULL, 3)
     return usable.filter(text.rlike(FULL)).select(
         *keep,
         F.regexp_extract(text, FULL, 1).alias("name"),
         F.regexp_extract(text, FULL, 2).alias("labels"),
-        F.regexp_replace(raw, r"Inf$", "Infinity").cast("double").alias("value"),
+        _number(F.regexp_extract(text, FULL, 3)).alias("value"),
     )
+
+
+def _number(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"Inf$", "Infinity").cast("double")
+
+
+def parse_both(lines: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Strict and full reading of each line in one pass: (grammar, name, labels, value) rows."""
+    text = F.col(line)
+    strict = F.when(text.rlike(STRICT), F.struct(
+        F.lit("strict").alias("grammar"), F.regexp_extract(text, STRICT, 1).alias("name"), F.lit("").alias("labels"),
+        F.regexp_extract(text, STRICT, 2).cast("double").alias("value")))
+    full = F.when(text.rlike(FULL), F.struct(
+        F.lit("full").alias("grammar"), F.regexp_extract(text, FULL, 1).alias("name"),
+        F.regexp_extract(text, FULL, 2).alias("labels"), _number(F.regexp_extract(text, FULL, 3)).alias("value")))
+    usable = lines.filter(~text.startswith("#") & (F.trim(text) != ""))
+    return usable.select(*keep, F.explode(F.array_compact(F.array(strict, full))).alias("_s")).select(
+        *keep, "_s.grammar", "_s.name", "_s.labels", "_s.value")

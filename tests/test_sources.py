@@ -147,6 +147,9 @@ def test_exposition(spark):
     full = [(r["name"], r["labels"], r["value"]) for r in exposition.parse(df, full=True).collect()]
     assert full == [("x_total", "", 12.0), ("x_total", "", 1.5e6), ("x_bucket", '{le="0.1"}', 3.0), ("Upper", "", 3.0),
                     ("y_total", "", float("inf"))]
+    both = [(r["grammar"], r["name"], r["labels"], r["value"]) for r in exposition.parse_both(df).collect()]
+    assert [b[1:] for b in both if b[0] == "full"] == full
+    assert [(b[1], b[3]) for b in both if b[0] == "strict"] == [("x_total", 12.0), ("x_total", 1.5)]
 
 
 def test_messages_round_trip(spark):
