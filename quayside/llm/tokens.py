@@ -4,52 +4,53 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from array import array
 
 # The characters the tokenizer's own pattern takes for white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-AFTER_SPACE = re.compile(f"[{SPACE}] ")
+AFTER_SPACE = re.compile(f"(?<=[{SPACE}]) ")
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-
 class Encoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer splits a text before every run of white space that follows another character, so a text's ids
     are those of its units, a run of white space and the characters up to the next run, one after
-    another. Units come again and again; up to ``remembered`` of them are kept.
+    another. Units come again and again: those met since the last ``remembered`` / 2 new ones are kept.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remembered, self.known = remembered, {}
-
-    def _learn(self, units: Iterable[str]) -> None:
-        import numpy as np
-
-        new = list(set(units).difference(self.known))
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list(set(units))
+        self.half, self.known, self.older = remembered // 2, {}, {}
+
+    def _learn(self, units: set[str]) -> None:
+        if len(self.known) > self.half:
+            self.known, self.older = {}, self.known
+        missing = units.difference(self.known)
+        for unit in missing & self.older.keys():
+            self.known[unit] = self.older[unit]
+        new = list(missing.difference(self.known))
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
             for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = np.array(e.ids, "<u4").tobytes()
+                self.known[unit] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = []
+        rows, distinct = [], set()
         for text in texts:
-            if AFTER_SPACE.search(text) or text.endswith(" "):
-                rows.append(UNITS.findall(text))
+            if "  " in text or AFTER_SPACE.search(text) or text.endswith(" "):
+                units = UNITS.findall(text)
             else:
-                words = text.split(" ")
-                units = [" " + w for w in words]
-                units[0] = words[0]
-                rows.append(units if words[0] else units[1:])
-        self._learn([u for units in rows for u in units])
+                # Every space follows a character that is none, so it starts a unit.
+                units = text.replace(" ", "\0 ").split("\0") if "\0" not in text else UNITS.findall(text)
+                if not units[0]:
+                    del units[0]
+            distinct.update(units)
+            rows.append(units)
+        self._learn(distinct)
         get = self.known.__getitem__
         return [b"".join(map(get, units)) for units in rows]
