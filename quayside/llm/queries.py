@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, packing, token_output, topk, warc
+from quayside.llm import exact_dedup, packing, suffix_dedup, token_output, topk, warc
 from quayside.llm.common import table
 from quayside.session import prepare, scratch
 
@@ -39,6 +39,12 @@ def op3_warc(spark, sf_dir):
     return warc.read(archives, with_payload=False)
 
 
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    """What stays of every document without strings of 50 bytes that an earlier document has."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), 50, with_text=False)
+
+
 @query
 def op7_token_output(spark, sf_dir):
     """Token ids of all documents written as compressed arrays and read back."""
