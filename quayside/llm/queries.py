@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, packing, suffix_dedup, token_output, topk, warc
+from quayside.llm import exact_dedup, jaccard_join, packing, suffix_dedup, token_output, topk, warc
 from quayside.llm.common import table
 from quayside.session import prepare, scratch
 
@@ -45,6 +45,12 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"), 50, with_text=False)
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    """Groups of documents linked by 90 % of their three-word shingles."""
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 @query
 def op7_token_output(spark, sf_dir):
     """Token ids of all documents written as compressed arrays and read back."""
