@@ -1,12 +1,106 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns the columns of ``documents``; the
+last returns pieces of sequences. Rows are told apart by doc_id; decisions come back to the rows by it, so rows that
+repeat an id share one. A null id is matched like any other. Extra columns stay until the last stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayside.llm import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
+from quayside.llm.common import table
+from quayside.session import prepare, written
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``, null included."""
+    return docs.alias("d").join(ids.select(F.col("doc_id").alias("_kept_id")).distinct().alias("k"),
+                                F.expr("d.doc_id <=> _kept_id"), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that more likely than not are of a toxic grade go."""
+    prepare(spark)
+    grade = F.col("toxic") * (2 - F.col("quality"))
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), grade)
+    return docs.withColumn("_s", toxicity.severity(model, F.col("text"))).filter("_s.p_toxic < 0.5").drop("_s")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest doc_id stays."""
+    prepare(spark)
+    return only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 80 % of its five-word shingles the document with the smallest doc_id stays."""
+    prepare(spark)
+    groups = jaccard_join.groups(docs, words=5, num=80, den=100)
+    return only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller doc_id has too are cut out of the texts. A character that is
+    cut in part goes as a whole. Documents stay, also those with nothing left; n_chars is counted anew."""
+    prepare(spark)
+    cut = suffix_dedup.repeats(docs, 50).filter("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("spans").alias("_spans"))
+    cut = cut.groupBy("_id", "_n").agg(F.max("_spans").alias("_spans"))
+    rows = docs.join(cut, F.expr("doc_id <=> _id AND octet_length(text) = _n"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without("text", "_spans"))
+    made = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made = made.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without(text: str, spans: str):
+    """The text without its spans of bytes."""
+    @F.pandas_udf("string")
+    def cut(texts, spans):
+        import pandas as pd
+
+        out = []
+        for t, some in zip(texts, spans):
+            if t is None or some is None:
+                out.append(t)
+                continue
+            data, kept, last = t.encode(), [], 0
+            for s in some:
+                kept.append(data[last:s["start"]])
+                last = s["end"]
+            out.append(b"".join([p.decode(errors="ignore").encode() for p in [*kept, data[last:]]]).decode())
+        return pd.Series(out, dtype=object)
+
+    return cut(text, spans)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences of what is left."""
+    prepare(spark)
+    return packing.pack(docs, TOKENIZER, with_tokens=False)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # SQL expresses neither the fitted model nor the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise ValueError("STAGES is empty")
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,11 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, jaccard_join, packing, suffix_dedup, token_output, topk, warc
+from quayside.llm import (
+    exact_dedup,
+    jaccard_join,
+    packing,
+    preference,
+    sentencepiece,
+    suffix_dedup,
+    token_output,
+    topk,
+    toxicity,
+    warc,
+)
 from quayside.llm.common import table
 from quayside.session import prepare, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -26,6 +38,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_sentencepiece(spark, sf_dir):
+    """The four best segmentations of every document, decoded again."""
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), PIECES, n=4, with_ids=False)
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     """Which of equal documents stays."""
@@ -39,6 +57,19 @@ def op3_warc(spark, sf_dir):
     return warc.read(archives, with_payload=False)
 
 
+def toxicity_model(spark, docs, sf_dir):
+    """Grades from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a poor one."""
+    grade = F.col("toxic") * (2 - F.col("quality"))
+    return toxicity.fit_on(docs, table(spark, sf_dir, "labels"), grade)
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    """Expected severity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity_model(spark, docs, sf_dir))
+
+
 @query
 def op5_suffix_dedup(spark, sf_dir):
     """What stays of every document without strings of 50 bytes that an earlier document has."""
@@ -59,6 +90,16 @@ def op7_token_output(spark, sf_dir):
     return token_output.read(shards, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op8_preference(spark, sf_dir):
+    """Every conversation against itself with the last reply of the next one."""
+    conversations = preference.as_arrays(table(spark, sf_dir, "conversations"))
+    made = preference.pairs(preference.with_other_reply(conversations))
+    trained = {f"{side}_trained": F.aggregate(f"{side}_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+               for side in ("chosen", "rejected")}
+    return made.withColumns(trained).withColumnRenamed("id", "conv_id").drop("chosen_spans", "rejected_spans")
+
+
 @query
 def op9_packing(spark, sf_dir):
     """All documents in sequences of at most 2048 tokens."""
