@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ def splits(df: DataFrame, column: str, size: int) -> int:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Spark drops the shuffle files of finished steps once the driver's JVM has collected their handles."""
+    """Spark drops the shuffle files of finished steps once the driver has collected their handles."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

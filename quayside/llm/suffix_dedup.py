@@ -152,6 +152,22 @@ def marks_by_block(doc, tag, lo, n, h, kind, blocks: int):
         pa.array([rows[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())], pa.binary())], ["block", "kind", "rows"])
 
 
+def packed(rows) -> bytes:
+    """Rows byte plane by byte plane, compressed: what neighbours have in common takes no room."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes())
+
+
+def unpacked(data: bytes, kind: list):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def block_of(doc, tag, blocks: int):
     """The block of a document; ``block_column`` is the same for Spark."""
     return (doc.astype("int64") % blocks + tag.astype("int64") % blocks) % blocks
@@ -239,7 +255,7 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
                 bucket = bucket_of(h, buckets)
                 starts, _ = group_starts(bucket)
                 for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
-                    out.append((int(bucket[s]), wide, rows[s:e].tobytes()))
+                    out.append((int(bucket[s]), wide, packed(rows[s:e])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                     zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["route", "wide", "rows"])
 
@@ -254,7 +270,7 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_pydict({"block": pa.array([route - buckets] * len(got), pa.int32()), "kind": pa.array([SETTLED] * len(got), pa.int32()),
                                               "rows": pa.array([r for _, r in got], pa.binary())})
             return
-        rows = np.concatenate([np.frombuffer(r, RUN if w else NARROW).astype(RUN) for w, r in got])
+        rows = np.concatenate([unpacked(r, RUN if w else NARROW).astype(RUN) for w, r in got])
         del got
         h = rows["h"].astype(np.uint64) << np.uint64(16) | rows["h2"]
         c = rows["c"].astype(np.uint64) << np.uint64(16) | rows["c2"]
@@ -286,6 +302,7 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
                 for doc, tag, lo, n, h in np.frombuffer(data, MARK).tolist():
                     rows.setdefault((doc, tag), []).append((kind, lo, n, h))
         out: dict[int, list] = {}
+        spread: dict[bytes, list] = {}
         for d in docs:
             for doc, tag, text in zip(d.column("doc").to_pylist(), d.column("tag").to_pylist(), d.column("text").to_pylist()):
                 for kind, lo, n, h in rows.pop((doc, tag), ()):
@@ -293,9 +310,16 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
                         out.setdefault(h * buckets >> 32, []).append(((doc, tag, lo, n, h), text[lo:lo + n + threshold - 1]))
                     else:
                         for at in range(lo, lo + n):
-                            window = text[at:at + threshold]
-                            b = int.from_bytes(hashlib.blake2b(window, digest_size=4).digest(), "little") * buckets >> 32
-                            out.setdefault(b, []).append(((doc, tag, at, 1, h), window))
+                            spread.setdefault(text[at:at + threshold], []).append((doc, tag, at, 1, h))
+        # Of equal windows in a block only those of its smallest document are sent; the others are settled here.
+        late = []
+        for window, places in spread.items():
+            least = min(p[0] for p in places)
+            late += [p for p in places if p[0] > least]
+            b = int.from_bytes(hashlib.blake2b(window, digest_size=4).digest(), "little") * buckets >> 32
+            out.setdefault(b, []).extend((p, window) for p in places if p[0] == least)
+        if late:
+            out[buckets + key[0].as_py()] = [(p, b"") for p in late]
         if out:
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(out), pa.int32()), pa.array([np.array([x for x, _ in some], MARK).tobytes() for some in out.values()], pa.binary()),
@@ -304,7 +328,14 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
     # Pass 4, by bucket: order the windows by their bytes.
     def radix(key, batches):
         import numpy as np
+        import pyarrow as pa
 
+        if key[0].as_py() >= buckets:
+            for batch in batches:
+                rows = batch.column("rows")
+                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py() - buckets] * len(rows), pa.int32()),
+                                                  pa.array([SETTLED] * len(rows), pa.int32()), rows], ["block", "kind", "rows"])
+            return
         parts = [(r, b) for batch in batches for r, b in zip(batch.column("rows").to_pylist(), batch.column("bytes").to_pylist())]
         rows = np.concatenate([np.frombuffer(r, MARK) for r, _ in parts])
         data = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
