@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-FIT_DOCS, FIT_CHARS, LEAST_DOCS, LEAST_Z = 8000, 32 << 10, 3, 2.5
+FIT_DOCS, FIT_CHARS, LEAST_DOCS, LEAST_Z = 6000, 32 << 10, 3, 2.5
 WORDS = re.compile(r"\w+")
 
 
@@ -48,19 +48,16 @@ def fit(texts: list[str], grades: list[float], penalty: float = 2e-4, steps: int
     if len(found) < 2:
         return Model(found or (0.0,), (), {})
     y = np.searchsorted(found, grades)
-    sets = [features_of(t) for t in texts]
-    counts: dict[str, int] = {}
-    above: dict[str, float] = {}
-    spread = float(np.std(y))
-    for s, off in zip(sets, (y - y.mean()).tolist()):
-        for w in s:
-            counts[w] = counts.get(w, 0) + 1
-            above[w] = above.get(w, 0.0) + off
-    names = sorted(w for w, c in counts.items() if c >= LEAST_DOCS and abs(above[w]) >= LEAST_Z * spread * c ** 0.5)
-    at = {w: i for i, w in enumerate(names)}
-    rows = [[at[w] for w in s if w in at] for s in sets]
-    column = np.fromiter((i for r in rows for i in r), np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    numbers: dict[str, int] = {}
+    rows = [np.array([numbers.setdefault(f, len(numbers)) for f in features_of(t)], np.int32) for t in texts]
+    row, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    counts = np.bincount(column, minlength=len(numbers))
+    above = np.bincount(column, (y - y.mean())[row], len(numbers))
+    kept = (counts >= LEAST_DOCS) & (np.abs(above) >= LEAST_Z * np.std(y) * np.sqrt(counts))
+    names = [f for f, k in zip(numbers, kept.tolist()) if k]
+    some = kept[column]
+    row, column = row[some], (np.cumsum(kept) - 1)[column[some]]
+    del numbers, rows, some
     n, levels = len(y), len(found) - 1
     share = np.clip(np.cumsum(np.bincount(y, minlength=levels + 1))[:-1] / n, 1e-6, 1 - 1e-6)
     theta, w = np.log(share / (1 - share)), np.zeros(len(names))
@@ -78,38 +75,35 @@ def fit(texts: list[str], grades: list[float], penalty: float = 2e-4, steps: int
         g[i, y] += d[i, y] / p
         return g[:, 1:-1].sum(0) / n, np.bincount(column, -(g.sum(1) / n)[row], len(names)), -np.log(p).mean()
 
-    # Steps as long as the loss still falls; the first guess bounds the curvature by the longest row.
-    rate, t, before = 4.0 / max(1.0, float(np.mean([len(r) for r in rows]))), 1.0, np.inf
+    # A curvature bound for each weight by itself: a quarter of how often its feature meets others. Rare ones step far.
+    length = np.bincount(row, minlength=n) + 1.0
+    step_w = 4 * n / np.maximum(np.bincount(column, length[row], len(names)), 1e-9)
+    step_theta, t, before = 4 / length.mean(), 1.0, np.inf
     at_theta, at_w = theta, w
     for _ in range(steps):
         g_theta, g_w, _ = slope(at_theta, at_w)
-        new_theta = np.sort(at_theta - rate * 5 * g_theta)
-        new_w = at_w - rate * 50 * g_w
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * 50 * penalty, 0)
+        new_theta, new_w = np.sort(at_theta - step_theta * g_theta), at_w - step_w * g_w
+        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step_w * penalty, 0)
         loss = slope(new_theta, new_w)[2] + penalty * np.abs(new_w).sum()
-        if loss > before:
-            rate, t, at_theta, at_w = rate / 2, 1.0, theta, w
-            if rate < 1e-6:
-                break
+        if loss > before and t > 1:
+            t, at_theta, at_w = 1.0, theta, w
             continue
         following = (1 + (1 + 4 * t * t) ** 0.5) / 2
         at_theta = new_theta + (t - 1) / following * (new_theta - theta)
         at_w = new_w + (t - 1) / following * (new_w - w)
-        done = before - loss < 1e-7
         theta, w, t, before = new_theta, new_w, following, loss
-        if done:
-            break
     return Model(found, tuple(theta.tolist()), {names[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on at most ``FIT_DOCS`` labelled texts of at most ``FIT_CHARS`` characters, those whose ids have the smallest
-    hashes. ``grade`` is a column of ``labels``; null grades, ids and texts take no part, and where an id has several
+    hashes; only their texts are read. ``grade`` is a column of ``labels``; null grades, ids and texts take no part, and where an id has several
     grades its largest counts."""
     graded = labels.select(F.col(id_col).alias("_id"), grade.cast("double").alias("_grade")).dropna().groupBy("_id").agg(
         F.max("_grade").alias("_grade"))
-    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).dropna().filter(F.length("_text") <= FIT_CHARS)
-    picked = some.join(graded, "_id").orderBy(F.xxhash64("_id"), "_text").limit(FIT_DOCS).select("_text", "_grade").toArrow()
+    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= FIT_CHARS)
+    ids = some.select("_id").join(graded, "_id").orderBy(F.xxhash64("_id"), "_id").limit(FIT_DOCS)
+    picked = some.join(F.broadcast(ids.dropDuplicates(["_id"])), "_id").select("_text", "_grade").toArrow()
     return fit(picked.column("_text").to_pylist(), picked.column("_grade").to_pylist())
 
 
