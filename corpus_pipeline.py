@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
-from quayside.llm.common import table
-from quayside.session import prepare, written
+from quayside.llm.common import prepare, table
+from quayside.session import written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 

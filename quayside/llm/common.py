@@ -11,9 +11,17 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside import session
 from quayside.session import hadoop_path, written
 
 
+def prepare(spark: SparkSession) -> None:
+    """What all plans rely on, and batches of some megabytes for Python workers, whose texts may be long."""
+    session.prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -78,6 +86,14 @@ def slices(batch, limit: int, column: str = "text") -> Iterator:
     for last in [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]:
         yield batch.slice(first, last - first)
         first = last
+    tidy()
+
+
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the machine it shares."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "links") -> DataFrame:

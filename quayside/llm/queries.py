@@ -20,8 +20,8 @@ from quayside.llm import (
     toxicity,
     warc,
 )
-from quayside.llm.common import table
-from quayside.session import prepare, scratch
+from quayside.llm.common import prepare, table
+from quayside.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PIECES = public_tokenizers.path("piece_bpe_32k.model")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import drop, free_shuffles, slices, text_bytes, total_bytes
+from quayside.llm.common import drop, free_shuffles, slices, text_bytes, tidy, total_bytes
 from quayside.session import written
 
 ANCHOR, SLICE, CHUNK, PIECE = 16, 4 << 20, 256 << 10, 1 << 20
@@ -183,6 +183,7 @@ def by_group(fn, names: list[str], types: list[str], pairs: bool = False):
         import pyarrow as pa
 
         schema = pa.schema(zip(names, map(pa.type_for_alias, types)))
+        tidy()
         return pa.Table.from_batches([b.cast(schema) for b in fn(key, *(t.to_batches() for t in tables))], schema)
 
     def one(key, table):
