@@ -59,12 +59,6 @@ class RetryConfig:
     multiplier: float = 2.0
 
 
-@dataclass(frozen=True)
-class BreakerConfig:
-    max_failures: int = 5
-    reset_us: int = 30 * SECOND_US
-
-
 @dataclass(frozen=True)
 class Buckets:
     """Exponential histogram bounds: start * factor^i for i in [0, count)."""

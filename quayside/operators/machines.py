@@ -118,8 +118,9 @@ class TokenBucket:
         units, last = state if state else (cap, int(us[0]))
         admitted = []
         for t in us.tolist():
-            units = min(cap, units + (t - last) * rate)
-            last = t
+            # A row that comes late refills nothing.
+            units = min(cap, units + max(0, t - last) * rate)
+            last = max(t, last)
             take = units >= cost
             if take:
                 units -= cost

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.config import DAY_US, HOUR_US, Buckets
@@ -194,9 +194,20 @@ def gauge(intervals: DataFrame, start: str, stop: str, segment_us: int = HOUR_US
 
 
 def backlog(intervals: DataFrame, submitted: str, started: str) -> DataFrame:
-    """Peak number of submitted but not yet started items per day with a change."""
-    return gauge(intervals, submitted, started).groupBy(
-        ordered.time_segment("us", DAY_US).alias("day")).agg(F.max("open").alias("peak"))
+    """Peak number of submitted but not yet started items for every day from the first change to the last.
+
+    The level that a day begins with counts, unless it changes at once; a day without a change keeps the level
+    of the one before. The days themselves, one narrow row each, are put in order by a single task.
+    """
+    day = ordered.time_segment("us", DAY_US)
+    changed = gauge(intervals, submitted, started).groupBy(day.alias("day")).agg(
+        F.max("open").alias("top"), F.min("us").alias("first"), F.min_by(F.col("open") - F.col("change"), "us").alias("before"),
+        F.max_by("open", "us").alias("after"))
+    begun = F.when(F.col("first") > F.col("day") * DAY_US, F.greatest("top", "before")).otherwise(F.col("top"))
+    until = F.lead("day", 1).over(Window.orderBy("day"))
+    days = changed.select("day", begun.alias("top"), "after", F.coalesce(until, F.col("day") + 1).alias("until"))
+    each = days.withColumn("at", F.explode(F.sequence("day", F.col("until") - 1)))
+    return each.select(F.col("at").alias("day"), F.when(F.col("at") == F.col("day"), F.col("top")).otherwise(F.col("after")).alias("peak"))
 
 
 def windowed_outcomes(events: DataFrame, ts: str, width: str, classes: dict[str, Column]) -> DataFrame:

@@ -22,26 +22,6 @@ def violation_counts(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> Data
     )
 
 
-# Fixed rules of a landing-zone configuration: (column, message). Text must be non-empty, counts
-# positive, paths present; the queue and store settings only count where they are switched on.
-def config_rules() -> list[tuple[Column, str]]:
-    c = F.col
-    missing = lambda name: c(name).isNull() | (c(name) == "")
-    return [
-        (missing("app_name"), "app name is required"),
-        (c("paths").isNull() | (F.size("paths") <= 0), "at least one watch path is required"),
-        (F.coalesce(c("max_workers"), F.lit(0)) <= 0, "max workers must be positive"),
-        (F.coalesce(c("max_files_per_second"), F.lit(0)) <= 0, "max files per second must be positive"),
-        (missing("working_dir"), "working dir is required"),
-        (c("queue_enabled") & missing("queue_type"), "queue type is required"),
-        (c("queue_enabled") & (c("queue_type") == "rabbitmq") & missing("queue_url"), "queue url is required"),
-        (c("queue_enabled") & (c("queue_type") == "rabbitmq") & missing("queue_exchange"),
-         "queue exchange is required"),
-        (c("queue_enabled") & (c("queue_type") == "rabbitmq") & missing("queue_name"), "queue name is required"),
-        (c("store_enabled") & missing("store_addr"), "store address is required"),
-    ]
-
-
 class HealthChecks:
     """Named predicates over one table, all evaluated in one aggregate pass.
 

@@ -99,7 +99,7 @@ def summary(classified: DataFrame) -> DataFrame:
         F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None = None, max_depth: int = 1) -> DataFrame:
+def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None = None, max_depth: int = archives.DEEPEST) -> DataFrame:
     """Verdicts for listed files (path, modificationTime, length), archives opened.
 
     Only files that name and size leave over are opened, by path and in chunks: the built-in file source
@@ -123,11 +123,15 @@ def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None =
     unread = hashed_plain.filter("hash is null").drop("hash").withColumn("reason", F.lit("hash_error"))
     rejects = turned_away.select(*keep, "reason").unionByName(unread).unionByName(
         members.filter("reason is not null").drop("hash"))
-    return settle(rejects, candidates, processed, ("modificationTime", "path"))
+    # Members have no time of their own: in the race a plain file of equal name and bytes goes first.
+    last = F.lit("9999-12-31 00:00:00").cast("timestamp")
+    timed = candidates.withColumn("modificationTime", F.coalesce("modificationTime", last))
+    out = settle(rejects, timed, processed, ("modificationTime", "path"))
+    return out.withColumn("modificationTime", F.nullif("modificationTime", last)) if "modificationTime" in out.columns else out
 
 
 def admit_landing(spark: SparkSession, cfg: AdmissionConfig, processed: DataFrame | None = None,
-                  complete: bool = False, max_depth: int = 1) -> DataFrame:
+                  complete: bool = False, max_depth: int = archives.DEEPEST) -> DataFrame:
     """Batch run over the files below the configured roots.
 
     The built-in file source does not list hidden files, empty files and names that start with an

@@ -530,7 +530,7 @@ def health_rollup(spark, sf_dir):
     checks = rules.HealthChecks()
     checks.register("errors", F.avg(F.when(F.col("ok"), 0).otherwise(1)) < 0.2, "too many errors")
     checks.register("traffic", F.count("*") > 10, "no traffic")
-    checks.register("last_call", F.max_by("ok", "us"), "last call failed")
+    checks.register("last_call", F.max_by("ok", F.struct("us", "event_id")), "last call failed")
     report = checks.report(bindings.outcomes(spark, sf_dir), ["sink"])
     return rules.health_rows(report, ["sink"])
 

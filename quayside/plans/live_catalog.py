@@ -54,9 +54,9 @@ def landing_admission(spark, sf_dir):
 
 @query
 def landing_stream(spark, sf_dir):
-    """The same files arriving as a stream, five per micro-batch."""
+    """The same files arriving as a stream."""
     prepare(spark)
-    arriving = landing.facts(landing.stream(spark, sf_dir, max_files=5).drop("content"))
+    arriving = landing.facts(landing.stream(spark, sf_dir).drop("content"))
     return live.materialise(spark, arriving.select("path", "filename", "kind", "length"), "landing")
 
 
@@ -94,11 +94,11 @@ def lease_grants_stream(spark, sf_dir):
 
 @query
 def windowed_outcomes_stream(spark, sf_dir):
-    """Closed windows only: the last ones stay open until the watermark passes them."""
+    """Every window as it stands after the last micro-batch."""
     e = _event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    w = live.windowed_outcomes(e, "at", "6 hours", "1 day", {
+    w = live.windowed_outcomes(e, "at", "6 hours", {
         "detected": F.col("event_type").isin("click", "view"), "processed": F.col("event_type") == "purchase",
         "rejected": F.col("event_type") == "signup", "errors": F.col("event_type") == "error"})
-    done = live.materialise(spark, w, "windows")
+    done = live.materialise_latest(spark, w, "windows", ["window_start"])
     return done.withColumn("window_us", scalars.micros("window_start")).drop("window_start")
 

@@ -368,8 +368,11 @@ ORACLE: dict[str, str] = {
         SELECT us, sum(d) AS change FROM (
           SELECT submit_us AS us, 1 AS d FROM iv WHERE start_us >= submit_us
           UNION ALL SELECT start_us, -1 FROM iv WHERE start_us >= submit_us) GROUP BY us),
-      g AS (SELECT us, sum(change) OVER (ORDER BY us) AS open FROM c)
-      SELECT us // {DAY} AS day, max(open)::BIGINT AS peak FROM g GROUP BY 1""",
+      g AS (SELECT us, sum(change) OVER (ORDER BY us) AS open FROM c),
+      days AS (SELECT unnest(range((SELECT min(us) // {DAY} FROM c), (SELECT max(us) // {DAY} FROM c) + 1)) AS day),
+      levels AS (SELECT us // {DAY} AS day, open FROM g
+        UNION ALL SELECT day, coalesce((SELECT sum(change) FROM c WHERE us <= day * {DAY}), 0) FROM days)
+      SELECT day, max(open)::BIGINT AS peak FROM levels GROUP BY day""",
     "windowed_outcomes": f"""WITH {EVENTS} SELECT us // (6 * {HOUR}) * (6 * {HOUR}) AS window_us,
         count(*) FILTER (event_type IN ('click', 'view')) AS detected,
         count(*) FILTER (event_type = 'purchase') AS processed,
@@ -390,7 +393,7 @@ ORACLE: dict[str, str] = {
              split_part(line, ' ', 2)::DOUBLE, CASE WHEN event_id % 8 = 3 THEN '{le="0.1"}' ELSE '' END
       FROM l WHERE event_id % 8 NOT IN (0, 1)""",
     "health_rollup": f"""WITH {OUTCOMES}, g AS (
-        SELECT sink, avg(CASE WHEN ok THEN 0 ELSE 1 END) < 0.2 AS a, count(*) > 10 AS b, arg_max(ok, us) AS c
+        SELECT sink, avg(CASE WHEN ok THEN 0 ELSE 1 END) < 0.2 AS a, count(*) > 10 AS b, arg_max(ok, row(us, event_id)) AS c
         FROM oc GROUP BY sink)
       SELECT sink, CASE WHEN a AND b AND c THEN 'healthy' ELSE 'degraded' END AS status, t.name AS "check", t.result
       FROM g, LATERAL (VALUES ('errors', CASE WHEN a THEN 'ok' ELSE 'too many errors' END),
@@ -425,5 +428,4 @@ ORACLE: dict[str, str] = {
 # (newest event minus one day) has passed their end.
 for _name in ("debounce", "rate_admission", "breaker_verdicts", "lease_grants"):
     ORACLE[f"{_name}_stream"] = ORACLE[_name]
-ORACLE["windowed_outcomes_stream"] = f"""SELECT * FROM ({ORACLE['windowed_outcomes']}) w
-  WHERE window_us + 6 * {HOUR} <= (SELECT max(epoch_us(ts)) FROM events) - {DAY}"""
+ORACLE["windowed_outcomes_stream"] = ORACLE["windowed_outcomes"]

@@ -17,6 +17,7 @@ from quayside.schemas import ARCHIVE_MEMBER
 
 FAILED = "zip_extraction_failed"
 BATCH_ROWS = 10_000
+DEEPEST = 64
 COLUMNS = ["archive", "member", "path", "length", "content", "error"]
 
 
@@ -38,9 +39,11 @@ def _targets(archive: str, bundle: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo
     return last
 
 
-def _rows(archive: str, content: bytes | None, content_limit: int, depth: int) -> Iterator[tuple]:
-    """All members, or one row with the error; archives among them are opened while ``depth`` allows."""
+def _rows(archive: str, content: bytes | None, content_limit: int | None, depth: int) -> Iterator[tuple]:
+    """All members, or one row with the error; archives among them are opened as well."""
     try:
+        if depth < 1:
+            raise ValueError("archives nested too deeply")
         if content is None:
             raise ValueError("the archive can not be read")
         with zipfile.ZipFile(io.BytesIO(content)) as bundle:
@@ -51,8 +54,8 @@ def _rows(archive: str, content: bytes | None, content_limit: int, depth: int) -
                         pass
             for target, info in members.items():
                 # A member above the limit is turned away by its size alone, so its bytes never travel.
-                body = bundle.read(info) if info.file_size <= content_limit else None
-                if depth > 1 and body is not None and target.lower().endswith(".zip"):
+                body = bundle.read(info) if content_limit is None or info.file_size <= content_limit else None
+                if body is not None and target.lower().endswith(".zip"):
                     yield from _rows(target, body, content_limit, depth - 1)
                 else:
                     yield archive, info.filename, target, info.file_size, body, None
@@ -60,13 +63,14 @@ def _rows(archive: str, content: bytes | None, content_limit: int, depth: int) -
         yield archive, None, archive, None, None, f"{FAILED}: {exc}"
 
 
-def expand(archives: DataFrame, content_limit: int = 100 * 1024 * 1024, max_depth: int = 1,
+def expand(archives: DataFrame, content_limit: int | None = None, max_depth: int = DEEPEST,
            batch_bytes: int = 64 << 20) -> DataFrame:
     """(path, content) of archives to ``ARCHIVE_MEMBER`` rows, in one pass.
 
     An unreadable archive, or one with a member that would land outside its directory, gives exactly
-    one row with ``error`` set and no members. Archives inside archives are opened up to ``max_depth``
-    levels and are ordinary members below that. Rows leave the task as soon as ``batch_bytes`` are full.
+    one row with ``error`` set and no members. Archives inside archives are opened until nothing is left; one below
+    ``max_depth`` levels, which only a hostile file reaches, gives an error row. With a ``content_limit`` larger members have
+    their size and no content. Rows leave the task as soon as ``batch_bytes`` are full.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +90,7 @@ def expand(archives: DataFrame, content_limit: int = 100 * 1024 * 1024, max_dept
     return archives.select("path", "content").mapInPandas(run, ARCHIVE_MEMBER)
 
 
-def with_members(files: DataFrame, max_depth: int = 1, content_limit: int = 100 * 1024 * 1024) -> DataFrame:
+def with_members(files: DataFrame, max_depth: int = DEEPEST, content_limit: int | None = None) -> DataFrame:
     """Plain files and archive members as one table; archives themselves are consumed.
 
     A failed archive stays as one row with ``error`` set and nothing else known.

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quayside.operators import metrics
 from quayside.session import scratch
@@ -21,23 +19,9 @@ def use_disk_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """At most one state store per core for streams started inside.
-
-    Every store commits in every micro-batch, and a stream keeps the number it was first started with.
-    """
-    asked = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(asked), max(spark.sparkContext.defaultParallelism, 8)))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", asked)
-
-
-def windowed_outcomes(events: DataFrame, ts: str, width: str, lateness: str, classes: dict[str, Column]) -> DataFrame:
-    """Counts per tumbling window; rows later than ``lateness`` no longer count."""
-    return metrics.windowed_outcomes(events.withWatermark(ts, lateness), ts, width, classes)
+def windowed_outcomes(events: DataFrame, ts: str, width: str, classes: dict[str, Column]) -> DataFrame:
+    """Counts per tumbling window, however late a row comes. State is one row of counts per window."""
+    return metrics.windowed_outcomes(events, ts, width, classes)
 
 
 def drop_repeats(arrivals: DataFrame, ts: str, key: str, ttl: str = "7 days") -> DataFrame:
@@ -79,11 +63,10 @@ class CounterLog(StreamingQueryListener):
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that is there now, in as many micro-batches as the source's caps ask for."""
     use_disk_state(stream.sparkSession)
-    with state_partitions(stream.sparkSession):
-        running = (
-            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start(out)
-        )
+    running = (
+        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(out)
+    )
     running.awaitTermination()
     if running.exception() is not None:
         raise running.exception()
@@ -95,3 +78,27 @@ def materialise(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     base = scratch(spark, name)
     run_available(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def materialise_latest(spark: SparkSession, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a stream of changing rows to its end and read the last state of every key.
+
+    Each micro-batch writes the keys it changed into a folder of its own, so one that runs again replaces it.
+    """
+    base = scratch(spark, name)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    use_disk_state(spark)
+    running = (
+        stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    if running.exception() is not None:
+        raise running.exception()
+    batched = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(batched).parquet(f"{base}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")

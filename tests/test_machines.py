@@ -93,3 +93,9 @@ def test_breaker_cases(max_failures, reset, calls, states):
     assert out["state_after"] == states
     if states[-1] == "open" and states[-2] == "open":
         assert out["verdict"][-1] == "short_circuited"
+
+
+def test_late_rows_refill_nothing():
+    bucket = TokenBucket(1, 10, 2)
+    got, state = bucket.run([20, 100], np.array([40, 110]), {})
+    assert list(got["admitted"]) == [True, True] and state == [10, 110]

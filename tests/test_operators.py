@@ -58,24 +58,20 @@ def test_retry_schedule(spark):
     assert got == [(1, 10 * S), (2, 11 * S), (3, 13 * S)]
 
 
-def test_config_rules(spark):
-    cols = ("name string, app_name string, paths array<string>, max_workers int, max_files_per_second int, "
-            "working_dir string, queue_enabled boolean, queue_type string, queue_url string, queue_exchange string, "
-            "queue_name string, store_enabled boolean, store_addr string")
-    ok = ["app", ["/in"], 5, 100, "/work", True, "rabbitmq", "u", "e", "q", True, "a"]
-    def row(name, **kw):
-        fields = [c.split()[0] for c in cols.split(", ")][1:]
-        return tuple([name] + [kw.get(f, v) for f, v in zip(fields, ok)])
-    df = spark.createDataFrame([
-        row("valid"), row("no_paths", paths=[]), row("workers", max_workers=0), row("queue", queue_type=""),
-        row("off", queue_enabled=False, queue_type="", store_enabled=False, store_addr=""),
-        row("two", paths=None, working_dir="")], cols)
-    got = {r["name"]: list(r["violations"]) for r in rules.violations(df, rules.config_rules()).collect()}
-    assert got["valid"] == got["off"] == []
-    assert got["no_paths"] == ["at least one watch path is required"]
-    assert got["workers"] == ["max workers must be positive"]
-    assert got["queue"] == ["queue type is required"]
-    assert got["two"] == ["at least one watch path is required", "working dir is required"]
+def test_violations(spark):
+    df = spark.createDataFrame([("fine", 3, "a"), ("low", -1, "a"), ("both", -2, None)], "name string, n int, tag string")
+    broken = [(F.col("n") < 0, "n is negative"), (F.col("tag").isNull(), "no tag")]
+    got = {r["name"]: (list(r["violations"]), r["first_violation"]) for r in rules.violations(df, broken).collect()}
+    assert got == {"fine": ([], None), "low": (["n is negative"], "n is negative"),
+                   "both": (["n is negative", "no tag"], "n is negative")}
+
+
+def test_backlog_carries_levels_over_days(spark):
+    day = 86_400_000_000
+    df = spark.createDataFrame([(1, day + 5), (2, 3 * day), (4 * day, 4 * day + 9)], "a long, b long")
+    got = sorted((r["day"], r["peak"]) for r in metrics.backlog(df, "a", "b").collect())
+    # Day 1 begins with both, day 2 has no change, and what ends as day 3 begins does not count for it.
+    assert got == [(0, 2), (1, 2), (2, 1), (3, 0), (4, 1)]
 
 
 def test_health(spark):

@@ -13,7 +13,7 @@ from quayside.plans import admission
 from quayside.sinks import messages as sink
 from quayside.sources import archives, exposition, inventory, landing, messages
 
-XML = b'<?xml version="1.0"?><root><item id="%d">Test %d</item></root>'
+XML = b"<cargo><crate no='%d' weight='%d'/></cargo>"
 
 
 def make_zip(members):
@@ -63,7 +63,7 @@ def test_all_verdicts(spark, root, complete):
     root("small.xml", b"x")
     root("big.xml", b"x" * 3000)
     root("old.tmp", body)
-    root("pack/test.zip", make_zip([("file1.xml", body), ("deep/file2.xml", body), ("skip.txt", b"text" * 5)]))
+    root("pack/cargo.zip", make_zip([("crate.xml", body), ("hold/barrel.xml", body), ("note.txt", b"text" * 5)]))
     root("pack/slip.zip", make_zip([("ok.xml", body), ("../x.xml", body)]))
     root("pack/bad.zip", b"PK\x03\x04 not really an archive")
     root("x.xml:Zone.Identifier", b"[ZoneTransfer]")
@@ -77,8 +77,8 @@ def test_all_verdicts(spark, root, complete):
     want = {
         ("one.xml", None, "processing"), ("one.xml", "lock_held", "incoming"), ("two.xml", "duplicate", "ignored"),
         ("small.xml", "file_too_small", "ignored"), ("big.xml", "file_too_large", "ignored"),
-        ("old.tmp", "pattern_mismatch_scan", "ignored"), ("file1.xml", None, "processing"),
-        ("file2.xml", None, "processing"), ("skip.txt", "pattern_mismatch_scan", "ignored"),
+        ("old.tmp", "pattern_mismatch_scan", "ignored"), ("crate.xml", None, "processing"),
+        ("barrel.xml", None, "processing"), ("note.txt", "pattern_mismatch_scan", "ignored"),
     }
     if complete:
         want |= {(".hidden.xml", "pattern_mismatch_scan", "ignored"), ("empty.xml", "file_too_small", "ignored"),
@@ -99,7 +99,7 @@ def test_vanished_files_stay_out(spark, root):
 def test_archive_members(spark):
     nested = make_zip([("inner.xml", b"in"), ("dir/", b"")])
     rows = [
-        ("/in/test.zip", make_zip([("file1.txt", b"content1"), ("subdir/file2.txt", b"content2"), ("subdir/", b"")])),
+        ("/in/cargo.zip", make_zip([("manifest.csv", b"7;rope"), ("hold/list.csv", b"9;tar"), ("hold/", b"")])),
         ("/in/TWICE.ZIP", make_zip([("a.txt", b"first"), ("./a.txt", b"second")])),
         ("/in/nest.zip", make_zip([("n/inner.zip", nested), ("broken.zip", b"nope")])),
         ("/in/cut.zip", make_zip([("file.txt", os.urandom(500))])[:300]),
@@ -107,13 +107,16 @@ def test_archive_members(spark):
     ]
     df = spark.createDataFrame(rows, "path string, content binary")
     got = {(r["path"], bytes(r["content"]) if r["content"] is not None else None, r["error"] is None)
-           for r in archives.expand(df, content_limit=1000, max_depth=2).collect()}
+           for r in archives.expand(df, content_limit=1000).collect()}
     assert got == {
-        ("/in/file1.txt", b"content1", True), ("/in/subdir/file2.txt", b"content2", True), ("/in/a.txt", b"second", True),
+        ("/in/manifest.csv", b"7;rope", True), ("/in/hold/list.csv", b"9;tar", True), ("/in/a.txt", b"second", True),
         ("/in/n/inner.xml", b"in", True), ("/in/broken.zip", None, False), ("/in/cut.zip", None, False),
         ("/in/big.bin", None, True)}
-    flat = archives.expand(df, max_depth=1).filter("archive = '/in/nest.zip'").collect()
-    assert {r["path"] for r in flat} == {"/in/n/inner.zip", "/in/broken.zip"}
+    whole = archives.expand(df).filter("path = '/in/big.bin'").first()
+    assert bytes(whole["content"]) == b"0" * 5000
+    shallow = archives.expand(df, max_depth=1).filter("path LIKE '%inner%'").collect()
+    assert [(r["path"], r["error"]) for r in shallow] == [
+        ("/in/n/inner.zip", "zip_extraction_failed: archives nested too deeply")]
 
 
 def test_inventory_and_scan(spark, root):
