@@ -4,15 +4,17 @@ The lattice of a text has an edge for every piece that fits somewhere. A forward
 score of what lies before it; used as the estimate of a backward A* search from the end, that score is exact, so
 complete paths leave the agenda in the order of their scores.
 
-No piece reaches over the start of a word, so the lattice of a text is a chain of the words' own lattices. A* runs on each
-word once per task, and the n best of the text come from those of its words: only the n - 1 words
-whose second best costs least can differ from their best path, and these few are combined exactly.
+No piece reaches over the start of a word, so the lattice of a text is a chain of the words' own lattices, and the n best of
+the text come from those of its words: only the n - 1 words whose second best costs least can differ from their
+best path. Viterbi scores from both ends tell what a second best costs, once per word and task; A* runs on the words
+that can differ, and their paths are combined exactly.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ class Pieces:
         ids = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.pieces = {m.id_to_piece(i): (i, m.get_score(i)) for i in ids}
         self.longest = max(map(len, self.pieces), default=1)
+        # Pieces and, with None, the strings that only begin one: nothing longer has to be looked up after a miss.
+        self.tree = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
         self.byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
         self.penalty = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
@@ -60,11 +64,7 @@ class Pieces:
                 if found is not None:
                     out[j].append((i, found[1], found[:1]))
             if word[i] not in pieces:
-                raw = word[i].encode()
-                if self.byte_ids:
-                    out[i + 1].append((i, self.penalty * len(raw), tuple(self.byte_ids[b] for b in raw)))
-                else:
-                    out[i + 1].append((i, self.penalty, (self.model.unk_id(),)))
+                out[i + 1].append(self.unknown(word[i], i))
         return out
 
     def paths(self, word: str) -> Iterator[tuple[float, tuple[int, ...]]]:
@@ -89,20 +89,58 @@ class Pieces:
                 total = score + s
                 heapq.heappush(agenda, (-(best[i] + total), number, i, total, (own, pieces)))
 
-    def learn(self, words: set[str]) -> None:
-        """Best path and what the second best costs more, for words not met before."""
-        import numpy as np
+    def best_two(self, word: str) -> tuple[bytes, float, float]:
+        """Ids and score of a best path, and what the second best costs more.
 
+        Any other path has an edge that is not on the best one, so the best path over one of those edges, which the scores
+        from both ends give, is the second best.
+        """
+        tree, pieces, n = self.tree, self.pieces, len(word)
+        none = float("-inf")
+        ahead, back, edges = [none] * (n + 1), [None] * (n + 1), []
+        ahead[0] = 0.0
+        for i in range(n):
+            here = ahead[i]
+            for j in range(i + 1, n + 1):
+                found = tree.get(word[i:j], 0)
+                if found == 0:
+                    break
+                if found is not None:
+                    edges.append((i, j, found[1]))
+                    if here + found[1] > ahead[j]:
+                        ahead[j], back[j] = here + found[1], (i, found[:1])
+            if word[i] not in pieces:
+                _, s, own = self.unknown(word[i], i)
+                edges.append((i, i + 1, s))
+                if here + s > ahead[i + 1]:
+                    ahead[i + 1], back[i + 1] = here + s, (i, own)
+        after, path, ids, at = [none] * (n + 1), set(), [], n
+        after[n] = 0.0
+        for i, j, s in reversed(edges):
+            if after[j] + s > after[i]:
+                after[i] = after[j] + s
+        while at:
+            i, own = back[at]
+            path.add((i, at))
+            ids.append(own)
+            at = i
+        second = max([ahead[i] + s + after[j] for i, j, s in edges if (i, j) not in path], default=none)
+        return array("I", [x for own in reversed(ids) for x in own]).tobytes(), ahead[n], ahead[n] - second
+
+    def unknown(self, character: str, at: int) -> tuple:
+        """The edge of a character that is no piece."""
+        raw = character.encode()
+        if self.byte_ids:
+            return at, self.penalty * len(raw), tuple(self.byte_ids[b] for b in raw)
+        return at, self.penalty, (self.model.unk_id(),)
+
+    def learn(self, words: set[str]) -> None:
+        """Best path and the cost of the second best for words not met before."""
         if len(self.known) > self.half:
             self.known, self.older, self.deep = {}, self.known, {}
         for word in words.difference(self.known):
             found = self.older.get(word)
-            if found is None:
-                search = self.paths(word)
-                score, ids = next(search)
-                second = next(search, None)
-                found = np.array(ids, "<u4").tobytes(), score, score - second[0] if second else float("inf")
-            self.known[word] = found
+            self.known[word] = self.best_two(word) if found is None else found
 
     def alternatives(self, word: str) -> list[tuple[float, bytes]]:
         """What the n best paths of a word cost more than its best, and their ids."""
@@ -115,11 +153,16 @@ class Pieces:
         return found
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
-        """The n best (score, ids as little-endian unsigned 32-bit integers) of each text; a text with fewer has fewer.
+        """``encode_normal`` of texts as they come."""
+        return self.encode_normal(self.model.normalize(texts))
+
+    def encode_normal(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
+        """The n best (score, ids as little-endian unsigned 32-bit integers) of each normalised text; a text with fewer
+        has fewer.
 
         Equal scores are ordered by the ranks of the words' paths, first word first.
         """
-        rows = [self.word.findall(t) for t in self.model.normalize(texts)]
+        rows = [self.word.findall(t) for t in texts]
         self.learn({w for words in rows for w in words})
         known, out = self.known, []
         for words in rows:
@@ -168,8 +211,8 @@ def encode(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_c
         pieces = Pieces(model, n)
         for whole in batches:
             for batch in slices(whole, 2 << 20):
-                texts, rows = [t.decode() for t in batch.column("text").to_pylist()], []
-                for doc, plain, found in zip(batch.column("doc_id").to_pylist(), pieces.model.normalize(texts), pieces.encode(texts)):
+                texts, rows = pieces.model.normalize([t.decode() for t in batch.column("text").to_pylist()]), []
+                for doc, plain, found in zip(batch.column("doc_id").to_pylist(), texts, pieces.encode_normal(texts)):
                     plain = plain.replace(SPACE, " ")
                     plain = plain[1:] if pieces.dummy and plain[:1] == " " else plain
                     for rank, (score, ids) in enumerate(found, 1):
