@@ -110,10 +110,9 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, s
                 [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.binary()])], names[:len(columns)])
 
         for whole in batches:
-            for batch in slices(whole, 4 << 20):
-                docs = batch.column("doc_id").to_pylist()
+            for batch in slices(whole, 8 << 20):
                 rows = []
-                for doc, ids in zip(docs, encoder.encode([t.decode() for t in batch.column("text").to_pylist()])):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                     rows += bins.add(doc, np.frombuffer(ids + end, "<u4"))
                 if rows:
                     yield out(rows)

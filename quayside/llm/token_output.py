@@ -31,12 +31,13 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A dictionary from the id arrays of ``DICTIONARY_DOCS`` documents of at most ``DICTIONARY_DOC_BYTES`` bytes,
     those with the smallest hashes of id and length. It only affects sizes, never contents. Too few or too
     uniform documents give a raw dictionary of their own bytes, perhaps an empty one."""
+    import pyarrow as pa
     import zstandard
 
-
     few = docs.filter(F.octet_length("text").between(1, DICTIONARY_DOC_BYTES)).orderBy(
         F.xxhash64("doc_id", F.octet_length("text")), "doc_id").limit(DICTIONARY_DOCS)
-    samples = Encoder(tokenizer).encode([r["text"].decode() for r in few.collect()])  # at most 64 MB, usually 4
+    texts = pa.array([r["text"] for r in few.collect()], pa.binary())  # at most 64 MB, usually 4
+    samples = Encoder(tokenizer).encode(texts)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, d=8, k=256).as_bytes()
     except zstandard.ZstdError:
@@ -82,9 +83,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: s
         with replaced(path) as out:
             out.write(MAGIC + digest)
             while first is not None:
-                for batch in slices(first, 4 << 20):
-                    texts = [t.decode() for t in batch.column("text").to_pylist()]
-                    for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
+                for batch in slices(first, 8 << 20):
+                    for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                         frame = pack(ids + end)
                         index.append((NULL_ID if doc is None else doc, at, len(frame), len(ids) // 4 + 1))
                         out.write(frame)

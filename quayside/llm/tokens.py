@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
 # The characters the tokenizer's own pattern takes for white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-AFTER_SPACE = re.compile(f"(?<=[{SPACE}]) ")
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+AT_ONCE = 1000
+
 
 class Encoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
@@ -21,36 +21,76 @@ class Encoder:
 
     def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.half, self.known, self.older = remembered // 2, {}, {}
+        # A token is written with one character per byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, "int64")
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+
+    def _single(self, units: list[str]) -> None:
+        import numpy as np
+
+        for unit, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
+            self.known[unit] = np.array(e.ids, "<u4").tobytes()
+
+    def _new(self, units: list[str]) -> None:
+        """Ids of units never met. Those that can follow each other in a text are encoded as one text, and cut
+        where the bytes of the tokens reach the end of a unit."""
+        import numpy as np
 
-    def _learn(self, units: set[str]) -> None:
+        chained = [u for u in units if u[:1] == " " and not u[-1].isspace()]
+        self._single([u for u in units if u[:1] != " " or u[-1].isspace()])
+        texts = ["".join(chained[at:at + AT_ONCE]) for at in range(0, len(chained), AT_ONCE)]
+        for n, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            some, ids = chained[n * AT_ONCE:(n + 1) * AT_ONCE], np.array(e.ids, "<u4")
+            ends, reached = np.cumsum([len(u.encode()) for u in some]), np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(reached, ends)
+            if cuts[-1] != len(ids) - 1 or (reached[cuts] != ends).any():
+                self._single(some)
+                continue
+            data, begin = ids.tobytes(), 0
+            for unit, end in zip(some, ((cuts + 1) * 4).tolist()):
+                self.known[unit] = data[begin:end]
+                begin = end
+
+    def _units(self, units: list[str]) -> list[bytes]:
         if len(self.known) > self.half:
             self.known, self.older = {}, self.known
-        missing = units.difference(self.known)
+        missing = set(units).difference(self.known)
         for unit in missing & self.older.keys():
             self.known[unit] = self.older[unit]
-        new = list(missing.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows, distinct = [], set()
-        for text in texts:
-            if "  " in text or AFTER_SPACE.search(text) or text.endswith(" "):
-                units = UNITS.findall(text)
-            else:
-                # Every space follows a character that is none, so it starts a unit.
-                units = text.replace(" ", "\0 ").split("\0") if "\0" not in text else UNITS.findall(text)
-                if not units[0]:
-                    del units[0]
-            distinct.update(units)
-            rows.append(units)
-        self._learn(distinct)
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in rows]
+        self._new(list(missing.difference(self.known)))
+        return list(map(self.known.__getitem__, units))
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow array of strings, or of their bytes, without nulls.
+
+        Texts are cut at single spaces and the distinct words of all looked up; texts in which a space stands
+        beside other white space or at the end are cut by the pattern instead.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return []
+        texts = texts.cast(pa.large_string())
+        lists = pc.split_pattern(texts, " ")
+        words, begins = lists.flatten(), np.asarray(lists.offsets)[:-1]
+        coded, first = words.dictionary_encode(), words.take(pa.array(begins)).dictionary_encode()
+        units = [f" {w}" for w in coded.dictionary.to_pylist()] + first.dictionary.to_pylist()
+        which = np.array(coded.indices)
+        which[begins] = np.asarray(first.indices) + len(coded.dictionary)
+        found = pa.array(self._units(units), pa.large_binary()).take(pa.array(which))
+        ends = np.frombuffer(found.buffers()[1], "int64", len(which) + 1)[[*begins, len(which)]].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        spaced = np.array([u[-1:].isspace() for u in units])
+        for row in np.flatnonzero(np.logical_or.reduceat(spaced[which], begins)).tolist():
+            out[row] = b"".join(self._units(UNITS.findall(texts[row].as_py())))
+        return out
