@@ -61,11 +61,15 @@ class Encoder:
     def _units(self, units: list[str]) -> list[bytes]:
         if len(self.known) > self.half:
             self.known, self.older = {}, self.known
-        missing = set(units).difference(self.known)
+        found = list(map(self.known.get, units))
+        missing = {unit for unit, ids in zip(units, found) if ids is None}
+        if not missing:
+            return found
         for unit in missing & self.older.keys():
             self.known[unit] = self.older[unit]
-        self._new(list(missing.difference(self.known)))
-        return list(map(self.known.__getitem__, units))
+        self._new([unit for unit in missing if unit not in self.known])
+        known = self.known
+        return [known[unit] if ids is None else ids for unit, ids in zip(units, found)]
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text of an Arrow array of strings, or of their bytes, without nulls.
@@ -90,7 +94,8 @@ class Encoder:
         ends = np.frombuffer(found.buffers()[1], "int64", len(which) + 1)[[*begins, len(which)]].tolist()
         data = memoryview(found.buffers()[2] or b"")
         out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
-        spaced = np.array([u[-1:].isspace() for u in units])
+        last = pc.utf8_slice_codeunits(pa.array(units, pa.large_string()), -1).dictionary_encode()
+        spaced = np.array([c.isspace() for c in last.dictionary.to_pylist()])[np.asarray(last.indices)]
         for row in np.flatnonzero(np.logical_or.reduceat(spaced[which], begins)).tolist():
             out[row] = b"".join(self._units(UNITS.findall(texts[row].as_py())))
         return out
