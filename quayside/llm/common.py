@@ -35,11 +35,6 @@ def total_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def splits(df: DataFrame, column: str, size: int) -> int:
-    """How many parts of about ``size`` bytes of ``column`` the rows make."""
-    return total_bytes(df, column) // size + 1
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Spark drops the shuffle files of finished steps once the driver has collected their handles."""
     gc.collect()

@@ -15,10 +15,10 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import open_path, replaced, slices, splits, text_bytes
+from quayside.llm.common import open_path, replaced, slices, text_bytes
 from quayside.llm.tokens import Encoder
 from quayside.session import written
 
@@ -27,16 +27,22 @@ INDEX = [("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("ids", "<u8")]
 DICTIONARY_BYTES, DICTIONARY_DOCS, DICTIONARY_DOC_BYTES = 64 << 10, 1024, 64 << 10
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A dictionary from the id arrays of ``DICTIONARY_DOCS`` documents of at most ``DICTIONARY_DOC_BYTES`` bytes,
-    those with the smallest hashes of id and length. It only affects sizes, never contents. Too few or too
-    uniform documents give a raw dictionary of their own bytes, perhaps an empty one."""
+def sampled() -> Column:
+    """Whether a document is short enough to train the dictionary from."""
+    return F.octet_length("text").between(1, DICTIONARY_DOC_BYTES)
+
+
+def train_dictionary(docs: DataFrame, candidates: int, tokenizer: str) -> bytes:
+    """A dictionary from the id arrays of about ``DICTIONARY_DOCS`` of the ``candidates`` that ``sampled`` admits, picked
+    by a hash of id and text. Tasks hand over only picked texts, twice that number at most, so what the driver gets
+    does not grow with the table. The dictionary only affects sizes, never contents. Too few or too uniform
+    documents give a raw dictionary of their own bytes, perhaps an empty one."""
     import pyarrow as pa
     import zstandard
 
-    few = docs.filter(F.octet_length("text").between(1, DICTIONARY_DOC_BYTES)).orderBy(
-        F.xxhash64("doc_id", F.octet_length("text")), "doc_id").limit(DICTIONARY_DOCS)
-    texts = pa.array([r["text"] for r in few.collect()], pa.binary())  # at most 64 MB, usually 4
+    share = -(-(DICTIONARY_DOCS << 30) // max(candidates, 1))
+    few = docs.filter(sampled() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)).limit(2 * DICTIONARY_DOCS)
+    texts = pa.array(sorted(r["text"] for r in few.select("text").collect()), pa.binary())  # at most 128 MB, usually 4
     samples = Encoder(tokenizer).encode(texts)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, d=8, k=256).as_bytes()
@@ -59,7 +65,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: s
     Other columns are left out. An empty table gives a dictionary and no shard.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    dictionary = train_dictionary(docs, tokenizer)
+    size, candidates = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(sampled())).first()
+    dictionary = train_dictionary(docs, candidates, tokenizer)
     digest = hashlib.sha256(dictionary).digest()
     with replaced(f"{folder}/dictionary.zdict") as out:
         out.write(dictionary)
@@ -96,7 +103,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: s
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path],
                                           "docs": [len(rows)], "ids": [int(rows["ids"].sum())]})
 
-    ordered = docs.repartitionByRange(splits(docs, "text", shard_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(size // shard_bytes + 1, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, "shard int, path string, docs long, ids long"), "shards")
 
 
