@@ -67,20 +67,41 @@ def lane_routing(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
+def _event_path(spark: SparkSession, sf_dir: str, events: DataFrame, docs: DataFrame, hash_of) -> DataFrame:
+    stable = stability.verdict(bindings.file_samples(spark, sf_dir), 5, 20 * DAY_US).select(
+        F.col("path").alias("watched"), "stable", "duration_us")
+    out = event_path.admit_events(
+        events, stable, dataclasses.replace(CONFIG, debounce_us=5 * HOUR_US), hash_of,
+        bindings.processed(docs, bindings.labels(spark, sf_dir)), "watched", ["source"], 1, 24 * HOUR_US, 2)
+    return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
 @query
 def event_admission(spark, sf_dir):
-    """The whole event path: event n announces document n, its user's samples tell whether it is stable."""
+    """The event path over the events whose id is a doc_id: event n announces document n, its user's samples tell
+    whether it is stable. ``event_admission_all`` takes every event."""
     docs = bindings.hashed_table(spark, sf_dir, "path", "source", "length")
     events = bindings.file_events(spark, sf_dir).withColumnRenamed("path", "watched").join(
         docs.drop("hash").withColumnRenamed("doc_id", "event_id"), "event_id")
-    stable = stability.verdict(bindings.file_samples(spark, sf_dir), 5, 20 * DAY_US).select(
-        F.col("path").alias("watched"), "stable", "duration_us")
-    labels = bindings.labels(spark, sf_dir)
     hashes = docs.select(F.col("doc_id").alias("event_id"), "hash")
-    out = event_path.admit_events(
-        events, stable, dataclasses.replace(CONFIG, debounce_us=5 * HOUR_US), lambda rows: rows.join(hashes, "event_id"),
-        bindings.processed(docs, labels), "watched", ["source"], 1, 24 * HOUR_US, 2)
-    return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+    return _event_path(spark, sf_dir, events, docs, lambda rows: rows.join(hashes, "event_id"))
+
+
+@query
+def event_admission_all(spark, sf_dir):
+    """The event path over every event: event n announces document n modulo the number of documents.
+
+    Where ids leave gaps and there is no such document, the event announces its watched path itself, which no
+    name pattern accepts.
+    """
+    docs = bindings.hashed_table(spark, sf_dir, "path", "source", "length")
+    announced = F.col("event_id") % max(docs.count(), 1)
+    events = bindings.file_events(spark, sf_dir).withColumnRenamed("path", "watched").join(
+        docs.drop("hash").withColumnRenamed("doc_id", "_doc"), announced == F.col("_doc"), "left").withColumn(
+        "path", F.coalesce("path", "watched"))
+    hashes = docs.select(F.col("doc_id").alias("_doc"), "hash")
+    return _event_path(spark, sf_dir, events, docs,
+                       lambda rows: rows.join(hashes, announced == F.col("_doc")).drop("_doc"))
 
 
 @query
