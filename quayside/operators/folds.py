@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quayside.operators import skew
 from quayside.operators.skew import HOT_ROWS, SEG
 
-ENTRY, SUMMARY = "_entry", "_summary"
+ENTRY, SUMMARY, EXIT, AT = "_entry", "_summary", "_exit", "_at"
 
 
 def _runs(batch: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> list[tuple[int, int]]:
@@ -54,7 +54,7 @@ def _runner(machine, keys: Sequence[str], order_us: str, out: pa.Schema, names:
     added = [f for f in out if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
+        current, state, passed = None, None, 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -70,6 +70,11 @@ def _runner(machine, keys: Sequence[str], order_us: str, out: pa.Schema, names:
                 got, state = machine.run(state, us[start:stop], {k: v[start:stop] for k, v in cols.items()})
                 for name, values in got.items():
                     results[name].extend(values.tolist() if isinstance(values, np.ndarray) else values)
+                if EXIT in results:
+                    results[EXIT].extend([None] * (stop - start - 1) + [state or []])
+            if AT in results:
+                results[AT].extend(range(passed, passed + batch.num_rows))
+                passed += batch.num_rows
             current = key_at(batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), *(pa.array(results[f.name], f.type) for f in added)], schema=out)
@@ -142,6 +147,24 @@ def _fold_ordinary(df: DataFrame, keys: list[str], order: list[str], machine) ->
     return ready.mapInArrow(_runner(machine, keys, order[0], arrow, df.columns), out)
 
 
+def fold_from(df: DataFrame, states: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str], machine) -> DataFrame:
+    """``fold`` of rows that follow others: each key starts from its state in ``states`` (the keys and ``EXIT``).
+
+    Besides the machine's columns, ``EXIT`` has the key's state after the row where a stretch of its rows ends, and
+    ``AT`` grows along a key's rows.
+    """
+    keys = list(keys)
+    entry = states.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(EXIT).alias(ENTRY))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    placed = df.join(entry, same, "left").select(*df.columns, ENTRY)
+    out = T.StructType(df.schema.fields + T.StructType.fromDDL(machine.outputs).fields + [
+        T.StructField(EXIT, T.ArrayType(T.LongType())), T.StructField(AT, T.LongType())])
+    ready = placed.repartition(*keys).sortWithinPartitions(*keys, order_us, *ties)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return ready.mapInArrow(_runner(machine, keys, order_us, to_arrow_schema(out), df.columns), out)
+
+
 def _fold_pinned(pinned: DataFrame, keys: list[str], order: list[str], machine, entry_rows: int) -> DataFrame:
     rows = pinned.drop(SEG)
     out, arrow = _out_schema(rows, machine)

@@ -27,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, filename, path, length, content, arrived_us, source from documents."""
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def as_files(documents: DataFrame) -> DataFrame:
+    """The same columns of any rows of documents, a stream of them too."""
     ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("n_chars") % len(EXTENSIONS)).cast("int"))
     name = F.concat("lang", F.lit("_"), F.col("n_chars").cast("string"), ext)
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .select(
             "doc_id", "lang", "source", "n_chars",
             name.alias("filename"),

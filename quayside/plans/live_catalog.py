@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.config import HOUR_US, AdmissionConfig
+from quayside.config import DAY_US, HOUR_US, AdmissionConfig
 from quayside.functions import paths, scalars
+from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
 from quayside.plans import admission, bindings
 from quayside.plans.catalog import GAP_US, query
 from quayside.schemas import TABLES
-from quayside.session import prepare
+from quayside.session import prepare, scratch
 from quayside.sources import inventory, landing
-from quayside.streaming import keyed, live
+from quayside.streaming import live
+from quayside.streaming.in_order import InOrder
 
 MICRO_BATCH = 256 << 20
+#: How long rows are held for earlier ones to come. Rows that come later still are counted and cost a second fold.
+DELAY_US = DAY_US
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, a bounded number of bytes per micro-batch.
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, a bounded number of bytes per micro-batch.
 
     The pattern matches just the table, be it one file or a folder of files.
     """
     prepare(spark)
-    return (
-        spark.readStream.schema(TABLES["events"]).option("maxBytesPerTrigger", MICRO_BATCH)
-        .parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("us", scalars.micros("ts"))
-    )
+    return spark.readStream.schema(TABLES[name]).option("maxBytesPerTrigger", MICRO_BATCH).parquet(
+        f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "events").withColumn("us", scalars.micros("ts"))
+
+
+def _in_order(spark: SparkSession, rows: DataFrame, keys: list[str], us: str, tie: str, machine, name: str) -> DataFrame:
+    return InOrder(rows, keys, us, [tie], machine, DELAY_US, scratch(spark, name)).run().rows
 
 
 @query
@@ -64,23 +74,23 @@ def landing_stream(spark, sf_dir):
 def debounce_stream(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select(
         "event_id", "us", F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path"))
-    kept = keyed.debounce(e, ["path"], "us", "event_id", GAP_US).filter("accepted")
-    return live.materialise(spark, kept.select("event_id", "path", "us"), "debounce")
+    out = _in_order(spark, e, ["path"], "us", "event_id", GreedyGap(GAP_US), "debounce")
+    return out.filter("accepted").select("event_id", "path", "us")
 
 
 @query
 def rate_admission_stream(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select("event_id", "us", "event_type")
-    out = keyed.rate_admission(e, ["event_type"], "us", "event_id", 2, HOUR_US, 2)
-    return live.materialise(spark, out.select("event_id", "admitted"), "rate")
+    out = _in_order(spark, e, ["event_type"], "us", "event_id", TokenBucket(2, HOUR_US, 2), "rate")
+    return out.select("event_id", "admitted")
 
 
 @query
 def breaker_verdicts_stream(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select(
         "event_id", "us", (F.col("user_id") % 10).alias("sink"), (F.col("event_type") != "error").alias("ok"))
-    out = keyed.breaker_verdicts(e, ["sink"], "us", "event_id", 2, 2 * HOUR_US)
-    return live.materialise(spark, out.select("event_id", "verdict", "state_after", "failures_after"), "breaker")
+    out = _in_order(spark, e, ["sink"], "us", "event_id", Breaker(2, 2 * HOUR_US), "breaker")
+    return out.select("event_id", "verdict", "state_after", "failures_after")
 
 
 @query
@@ -88,8 +98,17 @@ def lease_grants_stream(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select(
         "event_id", "us", F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path"),
         (F.col("event_type") == "error").alias("release"))
-    out = keyed.lease_grants(e, ["path"], "us", "event_id", 30 * HOUR_US, "release")
-    return live.materialise(spark, out.select("event_id", "release", F.col("accepted").alias("granted")), "lease")
+    out = _in_order(spark, e, ["path"], "us", "event_id", GreedyGap(30 * HOUR_US, "release"), "lease")
+    return out.select("event_id", "release", F.col("accepted").alias("granted"))
+
+
+@query
+def ttl_dedup_stream(spark, sf_dir):
+    """Arriving documents whose content was not accepted within the time to live before."""
+    f = bindings.as_files(_stream(spark, sf_dir, "documents")).select(
+        "doc_id", "arrived_us", scalars.content_hash("filename", "content").alias("hash"))
+    out = _in_order(spark, f, ["hash"], "arrived_us", "doc_id", GreedyGap(5 * HOUR_US), "ttl")
+    return out.select("doc_id", "accepted")
 
 
 @query

@@ -454,6 +454,6 @@ ORACLE: dict[str, str] = {
 
 # A stream gives the batch result row for row, except that windows stay open until the watermark
 # (newest event minus one day) has passed their end.
-for _name in ("debounce", "rate_admission", "breaker_verdicts", "lease_grants"):
+for _name in ("debounce", "rate_admission", "breaker_verdicts", "lease_grants", "ttl_dedup"):
     ORACLE[f"{_name}_stream"] = ORACLE[_name]
 ORACLE["windowed_outcomes_stream"] = ORACLE["windowed_outcomes"]

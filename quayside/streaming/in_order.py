@@ -1,0 +1,114 @@
+"""Machines over a stream whose rows come out of order.
+
+Rows are held, as a table, until the watermark (the newest event time so far less ``delay_us``) has passed them, and are
+then folded in event order from the states their keys had. A row that comes after the watermark has passed its time
+goes to a side table, by micro-batch. Each micro-batch writes tables of its own, so one that runs again
+replaces them; states and held rows are read from the tables of the one before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quayside.operators import folds
+from quayside.operators.folds import AT, EXIT
+from quayside.operators.machines import GreedyGap
+from quayside.session import hadoop_path, written
+
+
+class Folded(NamedTuple):
+    """All rows with the machine's outputs, and the late ones with the micro-batch that brought them."""
+
+    rows: DataFrame
+    late: DataFrame
+
+
+class InOrder:
+    """One machine over one stream, with its tables below ``base``."""
+
+    def __init__(self, stream: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str], machine,
+                 delay_us: int, base: str) -> None:
+        self.stream, self.keys, self.us, self.ties = stream, list(keys), order_us, list(ties)
+        self.machine, self.delay, self.base = machine, delay_us, base
+        self.schema = stream.schema
+        self.out = T.StructType([*self.schema.fields, *T.StructType.fromDDL(machine.outputs).fields])
+        self.exits = T.StructType([*self.out.fields, T.StructField(EXIT, T.ArrayType(T.LongType())),
+                                   T.StructField(AT, T.LongType())])
+        self.states = T.StructType([*[self.schema[k] for k in self.keys], self.exits[EXIT]])
+        self.marks = T.StructType([T.StructField("mark", T.LongType())])
+
+    def _table(self, spark: SparkSession, kind: str, batch: int, schema: T.StructType) -> DataFrame:
+        if batch < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{self.base}/{kind}/batch={batch}")
+
+    def _put(self, df: DataFrame, kind: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/{kind}/batch={batch}")
+
+    def _step(self, rows: DataFrame, batch: int) -> None:
+        spark, us = rows.sparkSession, F.col(self.us)
+        self._put(rows, "new", batch)
+        new = self._table(spark, "new", batch, self.schema)
+        before = self._table(spark, "mark", batch - 1, self.marks).first()
+        mark = before["mark"] if before else None
+        late = us.isNull() if mark is None else us.isNull() | (us < mark)
+        self._put(new.filter(late), "late", batch)
+        pool = new.filter(~late).unionByName(self._table(spark, "held", batch - 1, self.schema))
+        newest = new.agg(F.max(us)).first()[0]
+        if newest is not None:
+            mark = max(newest - self.delay, newest - self.delay if mark is None else mark)
+        passed = F.lit(False) if mark is None else us < mark
+        states = self._table(spark, "states", batch - 1, self.states)
+        self._put(folds.fold_from(pool.filter(passed), states, self.keys, self.us, self.ties, self.machine), "out", batch)
+        after = self._table(spark, "out", batch, self.exits).filter(F.col(EXIT).isNotNull()).groupBy(*self.keys).agg(
+            F.max_by(EXIT, AT).alias(EXIT))
+        quiet = states.join(after.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)]),
+                            [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)], "left_anti")
+        known = quiet.unionByName(after)
+        if isinstance(self.machine, GreedyGap) and mark is not None:
+            # Rows to come are at the mark or after it; a gap that has run out by then leaves a key as it began.
+            known = known.filter((F.size(EXIT) > 0) & (F.get(EXIT, F.lit(0)) + self.machine.gap > mark))
+        self._put(known, "states", batch)
+        self._put(pool.filter(~passed), "held", batch)
+        self._put(spark.createDataFrame([(mark,)], self.marks), "mark", batch)
+
+    def run(self) -> Folded:
+        """Everything that is there now, in as many micro-batches as the source's caps ask for."""
+        spark = self.stream.sparkSession
+        running = (
+            self.stream.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.base}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+        return self.settled(spark)
+
+    def settled(self, spark: SparkSession) -> Folded:
+        """The rows as they stand were the input to end here: held rows are folded too, and keys that have late rows
+        once more from their whole history. Tables that a later run goes on from are left alone."""
+        fs, place = hadoop_path(spark, f"{self.base}/mark")
+        if not fs.exists(place):
+            empty = spark.createDataFrame([], self.schema)
+            return Folded(spark.createDataFrame([], self.out), empty.withColumn("batch", F.lit(None).cast("long")))
+        last = max(int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(place))
+        late = spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).parquet(
+            f"{self.base}/late")
+        held = self._table(spark, "held", last, self.schema)
+        rest = folds.fold_from(held, self._table(spark, "states", last, self.states), self.keys, self.us, self.ties,
+                               self.machine).select(*self.out.names)
+        names = self.out.names
+        rows = spark.read.schema(self.exits).parquet(f"{self.base}/out").select(*names).unionByName(written(rest, "rest"))
+        timed = late.filter(F.col(self.us).isNotNull()).drop("batch")
+        touched = timed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)]).distinct()
+        if touched.isEmpty():
+            return Folded(rows, late)
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)]
+        history = written(rows.join(touched, same, "left_semi").select(*self.schema.names).unionByName(timed), "history")
+        anew = folds.fold(history, self.keys, self.us, self.ties, self.machine).select(*names)
+        return Folded(rows.join(touched, same, "left_anti").unionByName(anew), late)

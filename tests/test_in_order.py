@@ -1,0 +1,72 @@
+"""Keyed streams over files that come out of time order, in several micro-batches, against their SQL."""
+
+import os
+import time
+
+import duckdb
+import pytest
+from compare import connect, rows_of
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
+from quayside.config import HOUR_US
+from quayside.operators.machines import GreedyGap
+from quayside.plans import live_catalog
+from quayside.streaming.in_order import InOrder
+
+DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    """The tables as four files each, the newest rows first, then rows that come a few rows or many days late."""
+    root = tmp_path_factory.mktemp("late")
+    for name, key, order in (("events", "event_id", "ts"), ("documents", "doc_id", "doc_id")):
+        os.makedirs(root / f"{name}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE TEMP TABLE t AS SELECT *, ntile(4) OVER (ORDER BY {order}) AS part FROM '{DATA}/{name}.parquet'")
+        for n, part in enumerate((3, 1, 4, 2)):
+            path = f"{root}/{name}.parquet/{n}.parquet"
+            duckdb.sql(f"SELECT * EXCLUDE (part) FROM t WHERE (part + ({key} % 5 = 0)::INT - 1) % 4 + 1 = {part}").write_parquet(path)
+            os.utime(path, (time.time() - 1000 + n * 10,) * 2)
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["debounce", "rate_admission", "breaker_verdicts", "lease_grants", "ttl_dedup"])
+def test_files_out_of_order(spark, folder, monkeypatch, name):
+    steps, step = [], InOrder._step
+    monkeypatch.setattr(live_catalog, "MICRO_BATCH", 1)  # a file each
+    monkeypatch.setattr(InOrder, "_step", lambda self, rows, batch: (steps.append(batch), step(self, rows, batch)))
+    out = QUERIES[f"{name}_stream"](spark, folder)
+    want = connect(DATA).sql(ORACLE[f"{name}_stream"])
+    assert rows_of(out.columns, [tuple(r) for r in out.collect()]) == rows_of(want.columns, want.fetchall())
+    assert len(steps) >= 3
+
+
+def test_late_rows_are_counted_and_runs_go_on(spark, tmp_path):
+    """Held rows are folded in order; a restart goes on from states and held rows; late ones are in the side table."""
+    schema, src = "key string, us long, id long", str(tmp_path / "in")
+    os.makedirs(src)
+
+    def feed(n, *rows):
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(f"{src}/{n}.parquet")
+        os.utime(f"{src}/{n}.parquet", (time.time() - 1000 + n * 10,) * 2)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        return InOrder(stream, ["key"], "us", ["id"], GreedyGap(4 * HOUR_US), 10 * HOUR_US, str(tmp_path / "base")).run()
+
+    def accepted(folded):
+        return sorted(r["id"] for r in folded.rows.filter("accepted").collect())
+
+    h = HOUR_US
+    feed(0, ("a", 20 * h, 1), (None, 20 * h, 2))
+    feed(1, ("a", 17 * h, 3), (None, 24 * h, 4))  # out of order, in time
+    first = run()
+    assert accepted(first) == [2, 3, 4] and first.late.isEmpty()
+    feed(2, ("a", 40 * h, 5), ("b", 40 * h, 6))
+    feed(3, ("a", 15 * h, 7), ("b", 39 * h, 8))  # 7 is late
+    second = run()
+    assert accepted(second) == [1, 2, 4, 5, 7, 8] and second.rows.count() == 8
+    assert [(r["id"], r["batch"]) for r in second.late.select("id", "batch").collect()] == [(7, 3)]
+    assert second.late.groupBy("batch").agg(F.count("*").alias("n")).first()["n"] == 1
