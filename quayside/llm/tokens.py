@@ -17,6 +17,8 @@ class Encoder:
     The tokenizer splits a text before every run of white space that follows another character, so a text's ids
     are those of its units, a run of white space and the characters up to the next run, one after
     another. Units come again and again: those met since the last ``remembered`` / 2 new ones are kept.
+
+    Texts that hold the literal of an added token, such as <|endoftext|>, are encoded as a whole by the tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = 1_000_000):
@@ -25,7 +27,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, added))
         self.half, self.known, self.older = remembered // 2, {}, {}
         # A token is written with one character per byte.
         vocabulary = self.tokenizer.get_vocab()
@@ -98,4 +101,9 @@ class Encoder:
         spaced = np.array([c.isspace() for c in last.dictionary.to_pylist()])[np.asarray(last.indices)]
         for row in np.flatnonzero(np.logical_or.reduceat(spaced[which], begins)).tolist():
             out[row] = b"".join(self._units(UNITS.findall(texts[row].as_py())))
+        if self.added:
+            special = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).tolist()
+            for row in special:
+                ids = self.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids
+                out[row] = np.array(ids, "<u4").tobytes()
         return out
