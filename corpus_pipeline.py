@@ -1,14 +1,14 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns the columns of ``documents``; the
-last returns pieces of sequences. Rows are told apart by doc_id; decisions come back to the rows by it, so rows that
-repeat an id share one. A null id is matched like any other. Extra columns stay until the last stage.
+last returns pieces of sequences. Decisions come back to the rows by doc_id and the SHA-256 of the text, null ids
+included, so only rows that repeat both share one. Extra columns stay until the last stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
@@ -18,10 +18,15 @@ from quayside.session import written
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``, null included."""
-    return docs.alias("d").join(ids.select(F.col("doc_id").alias("_kept_id")).distinct().alias("k"),
-                                F.expr("d.doc_id <=> _kept_id"), "left_semi")
+def same_text() -> Column:
+    """A row ``d`` and a result ``k`` with its doc_id (null matches null) and its text; a null text counts as empty."""
+    return F.expr("d.doc_id <=> k._id AND sha2(coalesce(cast(d.text AS binary), cast('' AS binary)), 256) = k._sha")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are among ``kept``."""
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    return docs.alias("d").join(kept.alias("k"), same_text(), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +40,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id stays."""
     prepare(spark)
-    return only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    return only(docs, exact_dedup.exact_dedup(docs, hash_all=True).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 80 % of its five-word shingles the document with the smallest doc_id stays."""
     prepare(spark)
-    groups = jaccard_join.groups(docs, words=5, num=80, den=100)
+    groups = jaccard_join.groups(docs, words=5, num=80, den=100, with_hash=True)
     return only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
@@ -49,10 +54,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller doc_id has too are cut out of the texts. A character that is
     cut in part goes as a whole. Documents stay, also those with nothing left; n_chars is counted anew."""
     prepare(spark)
-    cut = suffix_dedup.repeats(docs, 50).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("spans").alias("_spans"))
-    cut = cut.groupBy("_id", "_n").agg(F.max("_spans").alias("_spans"))
-    rows = docs.join(cut, F.expr("doc_id <=> _id AND octet_length(text) = _n"), "left")
+    cut = suffix_dedup.repeats(docs, 50, with_hash=True).filter("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("spans").alias("_spans"))
+    cut = cut.dropDuplicates(["_id", "_sha"])  # equal texts of one id have equal spans
+    rows = docs.alias("d").join(cut.alias("k"), same_text(), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without("text", "_spans"))
     made = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

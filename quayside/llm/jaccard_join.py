@@ -138,8 +138,9 @@ def divide_skip(query: list[int], sets: list[list[int]], needed: list[int]) -> l
 
 
 def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
-           text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id (the smallest id reachable by links).
+           text_col: str = "text", long_list: int = LONG_LIST, with_hash: bool = False) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id (the smallest id reachable by links), and with
+    ``with_hash`` text_sha256, where a null text counts as empty.
 
     Links join documents whose sets have inter / union >= num / den; a text without words, or null, has an empty set
     and no link. Equal sets are linked. Null ids count as larger than all others; a component of null ids only has
@@ -150,7 +151,8 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     buckets = total_bytes(df, text_col) // BUCKET_BYTES + 1
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("doc"),
                      F.col(id_col).isNull().alias("no_id"), text_bytes(text_col).alias("text"))
-    docs = docs.withColumn("tag", F.crc32("text"))
+    sha = F.sha2("text", 256) if with_hash else F.lit(None).cast("string")
+    docs = docs.withColumn("tag", F.crc32("text")).withColumn("sha", sha)
 
     def profile(batches):
         import numpy as np
@@ -164,15 +166,15 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
             for b, s, e in parts(tokens, buckets):
                 yield {"kind": 1, "bucket": b, "tokens": tokens[s:e].tobytes(), "counts": counts[s:e].tobytes()}
 
-        schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no_id", pa.bool_()), ("tag", pa.int64()), ("n", pa.int64()),
+        schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no_id", pa.bool_()), ("tag", pa.int64()), ("sha", pa.string()), ("n", pa.int64()),
                             ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary()),
                             ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
         for whole in batches:
             for batch in slices(whole, SLICE):
                 sets, rows = shingle_sets(batch.column("text").to_pylist(), words), []
-                for doc, no_id, tag, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc", "no_id", "tag")), sets):
+                for doc, no_id, tag, sha, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc", "no_id", "tag", "sha")), sets):
                     node, other = name_of(tokens) if len(tokens) else (None, None)
-                    rows.append({"kind": 0, "doc": doc, "no_id": no_id, "tag": tag, "n": len(tokens), "node": node, "other": other,
+                    rows.append({"kind": 0, "doc": doc, "no_id": no_id, "tag": tag, "sha": sha, "n": len(tokens), "node": node, "other": other,
                                  "sketch": sketch_of(tokens) if len(tokens) else None})
                     if len(tokens) and node not in seen:
                         seen.add(node)
@@ -185,7 +187,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         if held:
             yield pa.RecordBatch.from_pylist(list(often()), schema)
 
-    first = written(docs.mapInArrow(profile, "kind int, doc long, no_id boolean, tag long, n long, node long, other long, "
+    first = written(docs.mapInArrow(profile, "kind int, doc long, no_id boolean, tag long, sha string, n long, node long, other long, "
                                     "sketch binary, bucket int, tokens binary, counts binary"), "profiles")
     seen_often = frequent_tokens(first)
     sent = spark.sparkContext.broadcast(seen_often)
@@ -274,10 +276,10 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = written(named.join(least, "component").select("node", "least"), "components")
-    rows = first.filter("kind = 0").select("doc", "no_id", "n", "node")
+    rows = first.filter("kind = 0").select("doc", "no_id", "n", "node", "sha")
     out = rows.join(named, "node", "left").select(
         F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("least", "doc"), F.lit(NULL_LAST)).alias("component_id"))
+        F.nullif(F.coalesce("least", "doc"), F.lit(NULL_LAST)).alias("component_id"), *[F.col("sha").alias("text_sha256")] * with_hash)
     done = written(out, "groups")
     drop(spark, first, classes, met, named)
     return done

@@ -200,9 +200,10 @@ MARK_TYPES = ["block", "kind", "rows"], ["int32", "int32", "binary"]
 
 
 def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text",
-            with_text: bool = True) -> DataFrame:
+            with_text: bool = True, with_hash: bool = False) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and unless ``with_text`` is
-    off spans (start, end of each removed run of bytes) and kept (the other bytes, concatenated).
+    off spans (start, end of each removed run of bytes) and kept (the other bytes, concatenated). ``with_hash`` adds
+    text_sha256, of the text as it came in.
 
     Removed is every byte of a ``threshold``-byte string that also starts in a document with a smaller id, judged on the
     texts as they come in. A null text is empty; texts shorter than the threshold lose nothing. Null ids come
@@ -369,7 +370,7 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
         starts, _ = group_starts(rows["doc"], rows["tag"])
         by = {(int(rows["doc"][s]), int(rows["tag"][s])): (s, e) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)])}
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
-                 pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()][:len(names)]
+                 pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()][:7 if with_text else 5] + [pa.string()] * with_hash
         made = []
         for d in docs.to_batches():
             out = []
@@ -381,15 +382,16 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
                     kept.append(text[last:a])
                     last = b
                 kept = b"".join([*kept, text[last:]])
-                out.append((None if no_id else doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                            [{"start": a, "end": b} for a, b in spans], kept))
+                row = (None if no_id else doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
+                       [{"start": a, "end": b} for a, b in spans], kept)[:7 if with_text else 5]
+                out.append((*row, hashlib.sha256(text).hexdigest()) if with_hash else row)
             if out:
                 made.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names))
         return pa.Table.from_batches(made, pa.schema(zip(names, types)))
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][:7 if with_text else 5]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][:7 if with_text else 5] + ["text_sha256"] * with_hash
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-              + ", spans array<struct<start: long, end: long>>, kept binary" * with_text)
+              + ", spans array<struct<start: long, end: long>>, kept binary" * with_text + ", text_sha256 string" * with_hash)
     sent = docs.select("doc", "tag", "text").mapInArrow(send, "route int, wide int, rows binary")
     marks = written(sent.groupBy("route").applyInArrow(
         by_group(settle, *MARK_TYPES), MARK_SCHEMA), "marks")
