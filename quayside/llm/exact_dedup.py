@@ -51,7 +51,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             "doc_id", "n", F.when(F.col("again"), F.sha2("t", 256)).alias("h"), "again")
     else:
         rows = keyed.select("doc_id", "n", "p", F.sha2("t", 256).alias("h")).join(groups, ["n", "p"], "left").select(
-            "doc_id", "n", "h", "again")
+            "doc_id", "n", (F.col("h") if hash_all else F.when(F.col("again"), F.col("h"))).alias("h"), "again")
     left = rows.filter("again").groupBy("n", "h").agg(F.max("doc_id").alias("last"), F.count("*").alias("size"))
     again = left.filter("size > 1").selectExpr("h as hash", "n as length", "last", "size")
     # A null hash matches nothing: rows that an earlier step settled stay as they are.
