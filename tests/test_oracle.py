@@ -21,9 +21,12 @@ def test_query(spark, con, name):
     assert compare(spark, con, QUERIES[name], ORACLE[name], DATA) > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+#: Queries over the tables' own files; SQL has no view of those.
+FILES = ("inventory_scan", "landing_admission", "landing_scan", "landing_stream")
+
+
+@pytest.mark.parametrize("name", FILES)
 def test_files(spark, name):
-    """Queries over the tables' own files; SQL has no view of those."""
     rows = QUERIES[name](spark, DATA).collect()
     found = {os.path.basename(r["path"]): r for r in rows}
     assert set(found) == set(os.listdir(DATA))
