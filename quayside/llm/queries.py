@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from quayside.llm import (
     exact_dedup,
+    hamming_search,
     jaccard_join,
     packing,
+    phrases,
     preference,
     sentencepiece,
+    spelling,
     suffix_dedup,
     token_output,
     topk,
@@ -112,6 +115,24 @@ def op10_topk(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_spelling(spark, sf_dir):
+    """Near words of every word, with one run in 97 misspelt."""
+    return spelling.variants(table(spark, sf_dir, "documents"), 5, 3, 2, delete_every=97)
+
+
+@query
+def op12_hamming_search(spark, sf_dir):
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return hamming_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op13_phrases(spark, sf_dir):
+    """The 2,000 first collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 ORACLE = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -124,4 +145,50 @@ ORACLE = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_spelling": """
+        WITH RECURSIVE crc AS (
+            SELECT list(c ORDER BY i) AS tab FROM (
+                SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+                                      lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(256) t(i))),
+        runs AS (SELECT doc_id, run, count(*) AS times FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+                FROM documents) GROUP BY ALL HAVING length(run) >= 5),
+        bytes AS (SELECT *, flatten(list_transform(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: ord(x)),
+                         lambda o: CASE WHEN o < 128 THEN [o] ELSE [192 + o // 64, 128 + o % 64] END)) AS b FROM runs),
+        hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]),
+                         lambda c, x: xor(tab[(xor(c, x) % 256) + 1], c // 256))) AS h FROM bytes, crc),
+        words AS (SELECT word, sum(times)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+                GROUP BY word HAVING length(word) >= 5 AND sum(times) >= 3),
+        holes AS (SELECT word, n, i, left(word, i) AS x, substr(word, i + 2) AS y FROM words, range(0, 100) r(i) WHERE i < length(word)),
+        pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM holes a JOIN holes b USING (x, y) WHERE a.word <> b.word
+                  UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON b.word = a.x || a.y
+                  UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON b.word = a.x || a.y),
+        best AS (SELECT word, count(*) OVER w AS n_near, first_value(other) OVER (w ORDER BY m DESC, other) AS other, max(m) OVER w AS m, n
+                 FROM pairs WINDOW w AS (PARTITION BY word)),
+        form AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form,
+                        CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+                 FROM words w LEFT JOIN (SELECT DISTINCT word, n_near, other, m FROM best) b USING (word)),
+        walk AS (SELECT word, word AS at FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.at WHERE form.form IS NOT NULL)
+        SELECT form.word, form.form, walk.at AS root, form.n, form.n_near, form.form_n
+        FROM form JOIN walk USING (word) JOIN form AS last ON last.word = walk.at WHERE last.form IS NULL""",
+    "op13_phrases": r"""
+        WITH p AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_aggregate(w[i:i + k - 1], 'string_agg', ' '))) AS phrase
+              FROM w, range(1, 5) r(k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c d ON d.lang = c.lang AND d.k > c.k AND 100 * d.a::HUGEINT >= 80 * c.a::HUGEINT
+              AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+        u AS (SELECT lang, k, phrase, a, cut, list_aggregate(w[1:cut], 'string_agg', ' ') AS x, list_aggregate(w[cut + 1:k], 'string_agg', ' ') AS y
+              FROM c ANTI JOIN o USING (lang, phrase), range(1, 4) r(cut) WHERE cut < k),
+        s AS (SELECT u.lang, u.phrase, a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+              FROM u JOIN f l ON l.lang = u.lang AND l.phrase = x JOIN f r ON r.lang = u.lang AND r.phrase = y),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000""",
 }
