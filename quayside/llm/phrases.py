@@ -11,8 +11,6 @@ memory at once. Equal suffixes of a block are one row with a count before anythi
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +18,12 @@ from quayside.session import written
 
 DEPTH = 4
 #: Bytes of text that a task takes apart at a time, and suffixes that it sorts at a time.
-BLOCK, SORTED = 24 << 20, 6 << 20
+BLOCK, SORTED = 8 << 20, 2 << 20
 #: Occurrences a route should have, fewest routes, and the share of all that makes a pair of words hot.
-ROUTE, ROUTES, HOT = 1 << 21, 64, 4096
+ROUTE, ROUTES, HOT = 1 << 20, 64, 4096
 #: Bits of the filter of frequent words. If it fills up, rare words pass too and are abandoned later.
 FILTER = 1 << 26
-SMALL = 4096
+SMALL = 1 << 15
 
 
 def rows_of(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -42,15 +40,19 @@ class Words:
 
         lengths = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        kind = _kinds()[data]
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        kinds, lower = _kinds()
+        kind = kinds[data]
         inside = kind == 0
-        edge = np.diff(inside.astype(np.int8), prepend=0)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        if inside[0]:
+            starts = np.concatenate([[0], starts])
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         doc = np.searchsorted(np.cumsum(lengths + 1), starts, "right")
-        self.piece = np.cumsum(kind == 2)[starts]
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())])
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        body = lower[data[inside]]
+        del data, kind, inside, starts, ends
+        words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
         words = words.dictionary_encode()
         names = pa.array(langs).dictionary_encode()
         n = max(1, len(words.dictionary))
@@ -60,16 +62,31 @@ class Words:
         self.langs = names.dictionary.take(pa.array(every // n)) if len(every) else pa.array([], pa.string())
 
     def hashes(self):
-        """A 32-bit hash by code, the same in every task."""
-        import numpy as np
+        """A 64-bit hash by code, the same in every task."""
+        return hashes(self.langs, self.names)
+
 
-        seeds: dict = {}
-        out = np.empty(len(self.names), np.uint64)
-        for i, (lang, name) in enumerate(zip(self.langs.to_pylist(), self.names.to_pylist())):
-            if lang not in seeds:
-                seeds[lang] = zlib.crc32(lang.encode() + b" ")
-            out[i] = zlib.crc32(name, seeds[lang])
-        return out
+def hashes(langs, names):
+    """64-bit hashes of (language, word); equal ones only cost work, since what they select is counted exactly."""
+    import numpy as np
+
+    def spread(values):
+        """A weighted sum of each value's bytes; every place within a value has a weight of its own."""
+        values = values.cast("large_binary")
+        offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1]
+        if len(values) == 0 or offsets[-1] == offsets[0]:
+            return np.zeros(len(values), np.uint64)
+        data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64) + np.uint64(1)
+        lengths = np.diff(offsets)
+        place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+        weights = np.random.default_rng(11).integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * (weights[place % 1024] + place.astype(np.uint64)), dtype=np.uint64)])
+        at = offsets - offsets[0]
+        return (sums[at[1:]] - sums[at[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + lengths.astype(np.uint64)
+
+    mixed = spread(names) ^ (spread(langs) * np.uint64(0xBF58476D1CE4E5B9))
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(29))
 
 
 def _codes(keys, span: int):
@@ -88,13 +105,14 @@ def _codes(keys, span: int):
 
 
 def _kinds():
-    """By byte: 0 within words, 1 between words, 2 between pieces."""
+    """By byte: 0 within words, 1 between words, 2 between pieces; and the byte with A-Z lower-cased."""
     import numpy as np
 
-    kinds = np.zeros(256, np.uint8)
+    kinds, lower = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
     kinds[[0x20, 0x09]] = 1
     kinds[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
-    return kinds
+    lower[65:91] += 32
+    return kinds, lower
 
 
 def _blocks(batches):
@@ -149,9 +167,18 @@ def frequent_filter(frequent: DataFrame):
     """A bitmap of the hashes of frequent words; at most ``FILTER`` bits, however many words there are."""
     import numpy as np
 
-    h = F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b" "), F.col("phrase").cast("binary"))) % FILTER
-    longs = frequent.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()
+    bits = FILTER
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            h = hashes(batch.column("lang"), batch.column("phrase")) % np.uint64(bits)
+            yield pa.RecordBatch.from_pydict({"h": h.astype(np.int64)})
+
+    longs = frequent.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(hashed, "h long").groupBy(
+        F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER >> 6, np.uint64)
     bitmap[longs.column("at").to_numpy()] = longs.column("bits").to_numpy().view(np.uint64)
     return bitmap
@@ -166,13 +193,14 @@ def partition(columns, pointers, weights, least: int):
     import numpy as np
 
     out = []
+    wide = _paired(columns)
     todo = [(pointers, 0)]
     while todo:
         part, depth = todo.pop()
         if weights[part].sum() < least:
             continue
         if len(part) <= SMALL:
-            _finish(columns, part, depth, weights, least, out)
+            _finish(columns, wide, part, depth, weights, least, out)
             continue
         words = columns[depth][part]
         pivot = np.partition(words, len(words) // 2)[len(words) // 2]
@@ -192,11 +220,11 @@ def partition(columns, pointers, weights, least: int):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _finish(columns, part, depth: int, weights, least: int, out: list) -> None:
+def _finish(columns, wide, part, depth: int, weights, least: int, out: list) -> None:
     """The same for a short part whose suffixes agree in their first ``depth`` words."""
     import numpy as np
 
-    order = part[np.lexsort([columns[d][part] for d in range(len(columns) - 1, depth - 1, -1)])]
+    order = part[np.lexsort([w[part] for w in wide[depth // 2:][::-1]])]
     sums = np.concatenate([[0], np.cumsum(weights[order])])
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -210,6 +238,41 @@ def _finish(columns, part, depth: int, weights, least: int, out: list) -> None:
             out.append((order[at[keep]], np.full(int(keep.sum()), d + 1), n[keep]))
 
 
+def _combined(columns):
+    """Equal rows of ``columns`` as one with its count, in order. -1 sorts first."""
+    import numpy as np
+
+    most = max(int(c.max()) for c in columns) + 2
+    if most ** len(columns) < 1 << 63:
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            key = key * most + (c + 1)
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, counts = key[at], np.diff(np.append(at, len(key)))
+        out = []
+        for _ in columns:
+            key, c = np.divmod(key, most)
+            out.append((c - 1).astype(np.int32))
+        return out[::-1], counts.astype(np.int64)
+    order = np.lexsort(_paired(columns)[::-1])
+    columns = [c[order].astype(np.int32) for c in columns]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order))).astype(np.int64)
+
+
+def _paired(columns):
+    """Two columns in one whole number, in the same order."""
+    import numpy as np
+
+    wide = [c.astype(np.int64) + 1 for c in columns]
+    return [(a << 32) | b for a, b in zip(wide[::2], wide[1::2])] + ([wide[-1]] if len(wide) % 2 else [])
+
+
 def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH) -> DataFrame:
     """(route, lang, split, names, codes, counts): a block's suffixes for one route. ``names`` are its words, a space
     between two; ``codes`` one column of positions in them per depth, -1 where a suffix has ended."""
@@ -221,10 +284,13 @@ def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH)
 
         bitmap, hot = sent.value
         for w in _blocks(batches):
-            hashes = w.hashes()
-            bit = hashes % np.uint64(FILTER)
-            often = (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            code = np.where(often[w.code], w.code, -1) if len(w.code) else w.code
+            hashed = w.hashes()
+            bit = hashed % np.uint64(FILTER)
+            often = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+            place = np.full(len(hashed), -1, np.int32)
+            place[often] = np.arange(len(often), dtype=np.int32)
+            code, hashed = place[w.code], hashed[often]
+            names, langs = w.names.take(pa.array(often)), w.langs.take(pa.array(often))
             first = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0) & (w.piece[1:] == w.piece[:-1]))
             if not len(first):
                 continue
@@ -234,21 +300,14 @@ def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH)
                 at = np.minimum(first + d, len(code) - 1)
                 alive &= (first + d < len(code)) & (code[at] >= 0) & (w.piece[at] == w.piece[first])
                 columns.append(np.where(alive, code[at], -1))
-            order = np.lexsort(columns[::-1])
-            columns = [c[order].astype(np.int32) for c in columns]
-            new = np.zeros(len(order), bool)
-            new[0] = True
-            for c in columns:
-                new[1:] |= c[1:] != c[:-1]
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(order))).astype(np.int64)
-            columns = [c[at] for c in columns]
-            split = _is_hot(w, columns, hot)
-            mixed = _mix(_mix(np.zeros(len(at), np.uint64), hashes[columns[0]]), hashes[columns[1]])
-            for c in columns[2:]:
-                mixed = np.where(split, _mix(mixed, hashes[c] + np.uint64(1) + (c < 0)), mixed)
+            columns, counts = _combined(columns)
+            split = _is_hot(langs, names, columns, hot)
+            mixed = _mix(_mix(np.zeros(len(counts), np.uint64), hashed[columns[0]]), hashed[columns[1]])
+            if split.any():
+                for c in columns[2:]:
+                    mixed = np.where(split, _mix(mixed, hashed[c] + np.uint64(1) + (c < 0)), mixed)
             route = ((mixed >> np.uint64(20)) % np.uint64(routes)).astype(np.int64)
-            lang = w.langs.dictionary_encode()
+            lang = langs.dictionary_encode()
             lang_of = lang.indices.to_numpy()[columns[0]].astype(np.int64)
             key = (lang_of * routes + route) * 2 + split
             by = np.argsort(key, kind="stable")
@@ -256,25 +315,27 @@ def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH)
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
                 some = by[a:b]
                 local = np.stack([c[some] for c in columns])
-                used, back = np.unique(local, return_inverse=True)
-                if used[0] < 0:
-                    used, back = used[1:], back - 1
+                seen = np.zeros(len(names) + 1, bool)  # the last place is for -1
+                seen[local] = True
+                used = np.flatnonzero(seen[:-1])
+                place = np.full(len(names) + 1, -1, np.int32)
+                place[used] = np.arange(len(used), dtype=np.int32)
                 i = some[0]
                 yield pa.RecordBatch.from_pydict({
                     "route": pa.array([int(route[i])], pa.int64()), "lang": pa.array([lang.dictionary[int(lang_of[i])].as_py()]),
                     "split": pa.array([bool(split[i])]),
-                    "names": pa.array([b" ".join(w.names.take(pa.array(used)).to_pylist())], pa.binary()),
-                    "codes": pa.array([back.reshape(local.shape).astype(np.int32).tobytes()], pa.binary()),
+                    "names": pa.array([b" ".join(names.take(pa.array(used)).to_pylist())], pa.binary()),
+                    "codes": pa.array([place[local].tobytes()], pa.binary()),
                     "counts": pa.array([counts[some].tobytes()], pa.binary())})
 
-    def _is_hot(w, columns, hot):
+    def _is_hot(langs, names, columns, hot):
         """Which suffixes begin with a hot pair. The pairs' words are looked up in the block, not the other way round."""
         import numpy as np
 
-        place = {key: i for i, key in enumerate(zip(w.langs.to_pylist(), w.names.to_pylist()))} if hot else {}
+        place = {key: i for i, key in enumerate(zip(langs.to_pylist(), names.to_pylist()))} if hot else {}
         known = [(place.get((lang, a)), place.get((lang, b))) for lang, pair in hot for a, b in [pair.split(b" ")]]
-        pairs = np.array([a * len(w.names) + b for a, b in known if a is not None and b is not None], np.int64)
-        return np.isin(columns[0].astype(np.int64) * len(w.names) + columns[1], pairs)
+        pairs = np.array([a * len(names) + b for a, b in known if a is not None and b is not None], np.int64)
+        return np.isin(columns[0].astype(np.int64) * len(names) + columns[1], pairs)
 
     def _mix(h, x):
         import numpy as np
