@@ -7,6 +7,9 @@ size of the equal part is the count of the phrase so far, and parts that are too
 Suffixes behind a pair of words that many rows begin with are routed by all their words instead; their counts are
 parts, so nothing is abandoned there and sums over the tasks decide. The same holds for a task whose rows do not fit in
 memory at once. Equal suffixes of a block are one row with a count before anything is shuffled.
+
+Words travel as 64-bit hashes. They are exact names here: a seed is taken under which no frequent word shares its hash
+with any other word of its language, which is looked up in the counts of all words before.
 """
 
 from __future__ import annotations
@@ -61,13 +64,9 @@ class Words:
         self.names = words.dictionary.cast(pa.binary()).take(pa.array(every % n)) if len(every) else pa.array([], pa.binary())
         self.langs = names.dictionary.take(pa.array(every // n)) if len(every) else pa.array([], pa.string())
 
-    def hashes(self):
-        """A 64-bit hash by code, the same in every task."""
-        return hashes(self.langs, self.names)
-
 
-def hashes(langs, names):
-    """64-bit hashes of (language, word); equal ones only cost work, since what they select is counted exactly."""
+def hashes(langs, names, seed: int):
+    """64-bit hashes of (language, word), never 0."""
     import numpy as np
 
     def spread(values):
@@ -79,14 +78,14 @@ def hashes(langs, names):
         data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64) + np.uint64(1)
         lengths = np.diff(offsets)
         place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
-        weights = np.random.default_rng(11).integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
+        weights = np.random.default_rng(seed).integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * (weights[place % 1024] + place.astype(np.uint64)), dtype=np.uint64)])
         at = offsets - offsets[0]
         return (sums[at[1:]] - sums[at[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + lengths.astype(np.uint64)
 
     mixed = spread(names) ^ (spread(langs) * np.uint64(0xBF58476D1CE4E5B9))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return mixed ^ (mixed >> np.uint64(29))
+    return np.maximum(mixed ^ (mixed >> np.uint64(29)), np.uint64(1))
 
 
 def _codes(keys, span: int):
@@ -163,22 +162,31 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "pair").agg(F.sum("f").alias("f"))
 
 
-def frequent_filter(frequent: DataFrame):
-    """A bitmap of the hashes of frequent words; at most ``FILTER`` bits, however many words there are."""
-    import numpy as np
+def named(words: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """The words (lang, phrase, f) that occur ``least`` times with their hash ``h``, and the seed they are exact under."""
+    for seed in range(16):
+        def run(batches, seed=seed):
+            import numpy as np
+            import pyarrow as pa
 
-    bits = FILTER
+            for batch in batches:
+                h = hashes(batch.column("lang"), batch.column("phrase").cast("binary"), seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], [*batch.schema.names, "h"])
 
-    def hashed(batches):
-        import numpy as np
-        import pyarrow as pa
+        hashed = written(words.select("lang", "phrase", "f").mapInArrow(run, "lang string, phrase string, f long, h long"), "named")
+        shared = hashed.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max("f").alias("f")).filter(f"n > 1 AND f >= {least}")
+        if shared.isEmpty():
+            return hashed.filter(F.col("f") >= least), seed
+    raise RuntimeError("every seed gives two words of a language one 64-bit hash")
 
-        for batch in batches:
-            h = hashes(batch.column("lang"), batch.column("phrase")) % np.uint64(bits)
-            yield pa.RecordBatch.from_pydict({"h": h.astype(np.int64)})
 
-    longs = frequent.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(hashed, "h long").groupBy(
-        F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()
+def frequent_filter(frequent: DataFrame):
+    """A bitmap of the hashes of frequent words; at most ``FILTER`` bits, however many words there are."""
+    import numpy as np
+
+    h = F.pmod("h", F.lit(FILTER))
+    longs = frequent.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER >> 6, np.uint64)
     bitmap[longs.column("at").to_numpy()] = longs.column("bits").to_numpy().view(np.uint64)
     return bitmap
@@ -187,26 +195,25 @@ def frequent_filter(frequent: DataFrame):
 def partition(columns, pointers, weights, least: int):
     """(pointer, words, count) of every prefix of 2 to ``DEPTH`` words that has ``least`` occurrences.
 
-    Multikey three-way quicksort: ``columns`` are the words of each suffix by depth (-1: it has ended), ``pointers`` the
+    Multikey three-way quicksort: ``columns`` are the words of each suffix by depth (0: it has ended), ``pointers`` the
     suffixes. Short parts are sorted at once instead of being split on.
     """
     import numpy as np
 
     out = []
-    wide = _paired(columns)
     todo = [(pointers, 0)]
     while todo:
         part, depth = todo.pop()
         if weights[part].sum() < least:
             continue
         if len(part) <= SMALL:
-            _finish(columns, wide, part, depth, weights, least, out)
+            _finish(columns, part, depth, weights, least, out)
             continue
         words = columns[depth][part]
         pivot = np.partition(words, len(words) // 2)[len(words) // 2]
         todo += [(part[words < pivot], depth), (part[words > pivot], depth)]
         equal = part[words == pivot]
-        if pivot < 0:
+        if pivot == 0:
             continue
         n = int(weights[equal].sum())
         if n < least:
@@ -220,11 +227,11 @@ def partition(columns, pointers, weights, least: int):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _finish(columns, wide, part, depth: int, weights, least: int, out: list) -> None:
+def _finish(columns, part, depth: int, weights, least: int, out: list) -> None:
     """The same for a short part whose suffixes agree in their first ``depth`` words."""
     import numpy as np
 
-    order = part[np.lexsort([w[part] for w in wide[depth // 2:][::-1]])]
+    order = part[np.lexsort([c[part] for c in columns[depth:][::-1]])]
     sums = np.concatenate([[0], np.cumsum(weights[order])])
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -233,7 +240,7 @@ def _finish(columns, wide, part, depth: int, weights, least: int, out: list) ->
         new[1:] |= words[1:] != words[:-1]
         at = np.flatnonzero(new)
         n = sums[np.append(at[1:], len(order))] - sums[at]
-        keep = (n >= least) & (words[at] >= 0)
+        keep = (n >= least) & (words[at] != 0)
         if d and keep.any():
             out.append((order[at[keep]], np.full(int(keep.sum()), d + 1), n[keep]))
 
@@ -255,7 +262,8 @@ def _combined(columns):
             key, c = np.divmod(key, most)
             out.append((c - 1).astype(np.int32))
         return out[::-1], counts.astype(np.int64)
-    order = np.lexsort(_paired(columns)[::-1])
+    wide = [c.astype(np.int64) for c in columns]
+    order = np.lexsort([((a + 1) << 32) | (b + 1) for a, b in zip(wide[::2], wide[1::2])][::-1])
     columns = [c[order].astype(np.int32) for c in columns]
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -265,17 +273,9 @@ def _combined(columns):
     return [c[at] for c in columns], np.diff(np.append(at, len(order))).astype(np.int64)
 
 
-def _paired(columns):
-    """Two columns in one whole number, in the same order."""
-    import numpy as np
-
-    wide = [c.astype(np.int64) + 1 for c in columns]
-    return [(a << 32) | b for a, b in zip(wide[::2], wide[1::2])] + ([wide[-1]] if len(wide) % 2 else [])
-
-
-def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH) -> DataFrame:
-    """(route, lang, split, names, codes, counts): a block's suffixes for one route. ``names`` are its words, a space
-    between two; ``codes`` one column of positions in them per depth, -1 where a suffix has ended."""
+def suffixes(rows: DataFrame, bitmap, seed: int, hot: set, routes: int, depth: int = DEPTH) -> DataFrame:
+    """(route, lang, split, words, counts): a block's suffixes for one route, as arrays of 64-bit numbers. ``words`` has
+    one column per depth of their words' hashes, 0 where a suffix has ended."""
     sent = rows.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches):
@@ -284,7 +284,7 @@ def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH)
 
         bitmap, hot = sent.value
         for w in _blocks(batches):
-            hashed = w.hashes()
+            hashed = hashes(w.langs, w.names, seed)
             bit = hashed % np.uint64(FILTER)
             often = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
             place = np.full(len(hashed), -1, np.int32)
@@ -311,22 +311,14 @@ def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH)
             lang_of = lang.indices.to_numpy()[columns[0]].astype(np.int64)
             key = (lang_of * routes + route) * 2 + split
             by = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[by]) != 0]))
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
-                some = by[a:b]
-                local = np.stack([c[some] for c in columns])
-                seen = np.zeros(len(names) + 1, bool)  # the last place is for -1
-                seen[local] = True
-                used = np.flatnonzero(seen[:-1])
-                place = np.full(len(names) + 1, -1, np.int32)
-                place[used] = np.arange(len(used), dtype=np.int32)
-                i = some[0]
-                yield pa.RecordBatch.from_pydict({
-                    "route": pa.array([int(route[i])], pa.int64()), "lang": pa.array([lang.dictionary[int(lang_of[i])].as_py()]),
-                    "split": pa.array([bool(split[i])]),
-                    "names": pa.array([b" ".join(names.take(pa.array(used)).to_pylist())], pa.binary()),
-                    "codes": pa.array([place[local].tobytes()], pa.binary()),
-                    "counts": pa.array([counts[some].tobytes()], pa.binary())})
+            hashed = np.append(hashed, np.uint64(0))  # the last place is for -1
+            words, counts, key = np.stack([hashed[c[by]] for c in columns]), counts[by], key[by]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            yield pa.RecordBatch.from_pydict({
+                "route": pa.array(key[cuts] // 2 % routes), "lang": lang.dictionary.take(pa.array(key[cuts] // 2 // routes)),
+                "split": pa.array(key[cuts] % 2 == 1),
+                "words": pa.array([words[:, a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(by)))], pa.binary()),
+                "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(by)))], pa.binary())})
 
     def _is_hot(langs, names, columns, hot):
         """Which suffixes begin with a hot pair. The pairs' words are looked up in the block, not the other way round."""
@@ -343,11 +335,11 @@ def suffixes(rows: DataFrame, bitmap, hot: set, routes: int, depth: int = DEPTH)
         h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
         return h ^ (h >> np.uint64(29))
 
-    return rows.mapInArrow(run, "route long, lang string, split boolean, names binary, codes binary, counts binary")
+    return rows.mapInArrow(run, "route long, lang string, split boolean, words binary, counts binary")
 
 
-def phrase_counts(routed: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
-    """(lang, phrase, f) of all phrases of 2 to ``depth`` words that occur ``least`` times."""
+def phrase_counts(routed: DataFrame, frequent: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
+    """(lang, phrase, f, words) of all phrases of 2 to ``depth`` words that occur ``least`` times."""
     limit = SORTED
 
     def run(batches):
@@ -368,36 +360,32 @@ def phrase_counts(routed: DataFrame, least: int, depth: int = DEPTH) -> DataFram
             for lang in sorted({r["lang"] for r in held}):
                 some = [r for r in held if r["lang"] == lang and r["split"] == split]
                 if some:
-                    yield from _one(lang, some, 1 if split else least)
+                    yield _one(lang, some, 1 if split else least)
 
     def _one(lang, some, least):
         import numpy as np
         import pyarrow as pa
 
-        names = [pa.array(r["names"].split(b" "), pa.binary()) for r in some]
-        joined = pa.chunked_array(names).dictionary_encode().unify_dictionaries()
-        words = joined.chunk(0).dictionary
-        columns = [[] for _ in range(depth)]
-        for r, chunk in zip(some, joined.chunks):
-            there = np.append(chunk.indices.to_numpy(), -1).astype(np.int32)
-            for d, c in enumerate(np.frombuffer(r["codes"], np.int32).reshape(depth, -1)):
-                columns[d].append(there[c])
-        columns = [np.concatenate(c) for c in columns]
+        parts = [np.frombuffer(r["words"], np.uint64).reshape(depth, -1) for r in some]
+        columns = [np.concatenate([p[d] for p in parts]) for d in range(depth)]
         weights = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in some])
-        at, size, n = partition(columns, np.arange(len(weights)), weights, least)
-        for d in range(2, depth + 1):
-            these = np.flatnonzero(size == d)
-            if len(these):
-                import pyarrow.compute as pc
+        at, size, n = partition(columns, np.arange(len(weights), dtype=np.int32), weights, least)
+        flat = np.stack([c[at] for c in columns]).T[np.arange(depth) < size[:, None]].view(np.int64)
+        codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), codes, pa.array(n.astype(np.int64))], ["lang", "codes", "f"])
+
+    found = routed.mapInArrow(run, "lang string, codes array<long>, f long")
+    counted = found.groupBy("lang", "codes").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return spelt(written(counted, "counted"), frequent)
 
-                parts = [words.take(pa.array(columns[j][at[these]])) for j in range(d)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(these)), phrase.cast(pa.binary()), pa.array(n[these].astype(np.int64)),
-                                                  pa.array(np.full(len(these), d, np.int32))], ["lang", "phrase", "f", "words"])
 
-    found = routed.mapInArrow(run, "lang string, phrase binary, f long, words int")
-    counted = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("f").alias("f"))
-    return counted.filter(F.col("f") >= least)
+def spelt(counted: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Phrases in words instead of hashes."""
+    each = counted.select("lang", "codes", "f", F.posexplode("codes").alias("i", "h"))
+    each = each.join(frequent.select("lang", "h", F.col("phrase").alias("word")), ["lang", "h"])
+    words = F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"])
+    return each.groupBy("lang", "codes", "f").agg(words.alias("w")).select(
+        "lang", F.array_join("w", " ").alias("phrase"), "f", F.size("w").alias("words"))
 
 
 def scored(phrases: DataFrame, parts: DataFrame) -> DataFrame:
@@ -443,12 +431,13 @@ def collocations(df: DataFrame, least: int = 30, top: int | None = 2000, text_co
     single = counts.filter("NOT pair")
     totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
     n = totals.agg(F.sum("n")).first()[0] or 0
-    frequent = single.filter(F.col("f") >= least)
+    frequent, seed = named(single, least)
     hot = {(r["lang"], r["phrase"].encode()) for r in counts.filter("pair").filter(F.col("f") * HOT >= n).collect()}
     routes = max(ROUTES, n // ROUTE)
-    routed = suffixes(rows, frequent_filter(frequent), hot, routes).repartition(routes, "route")
-    phrases = written(phrase_counts(routed, least), "phrases")
-    parts = frequent.select("lang", F.col("phrase").alias("part"), "f").union(phrases.filter(f"words < {DEPTH}").select("lang", "phrase", "f"))
+    routed = suffixes(rows, frequent_filter(frequent), seed, hot, routes).repartition(routes, "route")
+    phrases = written(phrase_counts(routed, frequent, least), "phrases")
+    parts = frequent.select("lang", F.col("phrase").alias("part"), "f").union(
+        phrases.filter(f"words < {DEPTH}").select("lang", "phrase", "f"))
     kept = phrases.join(outdone(phrases), ["lang", "phrase"], "left_anti")
     made = scored(kept, parts).withColumnRenamed("f", "a")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

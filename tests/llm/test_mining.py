@@ -194,16 +194,14 @@ def test_phrases_of_nothing(spark):
 
 def test_quicksort_counts_every_prefix():
     rng = np.random.default_rng(3)
-    columns = [rng.integers(0, 4, 3000).astype(np.int32) for _ in range(4)]
-    for d in range(2, 4):
-        columns[d][columns[d - 1] < 0] = -1
-        columns[d][rng.random(3000) < 0.2] = -1
-    columns[3][columns[2] < 0] = -1
+    columns = [rng.integers(1, 5, 3000).astype(np.uint64) for _ in range(4)]
+    columns[2][rng.random(3000) < 0.2] = 0
+    columns[3][(rng.random(3000) < 0.2) | (columns[2] == 0)] = 0
     weights = rng.integers(1, 4, 3000)
     expected = collections.Counter()
     for *row, w in zip(*[c.tolist() for c in columns], weights.tolist()):
         for k in (2, 3, 4):
-            if row[k - 1] >= 0:
+            if row[k - 1]:
                 expected[tuple(row[:k])] += w
     for least, small in ((1, 8), (40, 4), (40, 5000)):
         was, phrases.SMALL = phrases.SMALL, small
