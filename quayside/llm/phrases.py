@@ -17,16 +17,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.llm.common import tidy
 from quayside.session import written
 
 DEPTH = 4
 #: Bytes of text that a task takes apart at a time, and suffixes that it sorts at a time.
-BLOCK, SORTED = 8 << 20, 2 << 20
+BLOCK, SORTED = 4 << 20, 1 << 20
 #: Occurrences a route should have, fewest routes, and the share of all that makes a pair of words hot.
-ROUTE, ROUTES, HOT = 1 << 20, 64, 4096
+ROUTE, ROUTES, HOT = 1 << 19, 64, 4096
 #: Bits of the filter of frequent words. If it fills up, rare words pass too and are abandoned later.
 FILTER = 1 << 26
 SMALL = 1 << 15
+#: Routes of a block that leave a task together.
+SENT = 32
 
 
 def rows_of(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -314,11 +317,16 @@ def suffixes(rows: DataFrame, bitmap, seed: int, hot: set, routes: int, depth: i
             hashed = np.append(hashed, np.uint64(0))  # the last place is for -1
             words, counts, key = np.stack([hashed[c[by]] for c in columns]), counts[by], key[by]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            yield pa.RecordBatch.from_pydict({
-                "route": pa.array(key[cuts] // 2 % routes), "lang": lang.dictionary.take(pa.array(key[cuts] // 2 // routes)),
-                "split": pa.array(key[cuts] % 2 == 1),
-                "words": pa.array([words[:, a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(by)))], pa.binary()),
-                "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(by)))], pa.binary())})
+            ends = np.append(cuts[1:], len(by))
+            for i in range(0, len(cuts), SENT):
+                at, end = cuts[i:i + SENT], ends[i:i + SENT]
+                yield pa.RecordBatch.from_pydict({
+                    "route": pa.array(key[at] // 2 % routes), "lang": lang.dictionary.take(pa.array(key[at] // 2 // routes)),
+                    "split": pa.array(key[at] % 2 == 1),
+                    "words": pa.array([words[:, a:b].tobytes() for a, b in zip(at, end)], pa.binary()),
+                    "counts": pa.array([counts[a:b].tobytes() for a, b in zip(at, end)], pa.binary())})
+            del words, counts, key, columns, hashed, by, mixed, route, split, lang_of, w
+            tidy()
 
     def _is_hot(langs, names, columns, hot):
         """Which suffixes begin with a hot pair. The pairs' words are looked up in the block, not the other way round."""
@@ -361,6 +369,7 @@ def phrase_counts(routed: DataFrame, frequent: DataFrame, least: int, depth: int
                 some = [r for r in held if r["lang"] == lang and r["split"] == split]
                 if some:
                     yield _one(lang, some, 1 if split else least)
+        tidy()
 
     def _one(lang, some, least):
         import numpy as np
@@ -369,6 +378,7 @@ def phrase_counts(routed: DataFrame, frequent: DataFrame, least: int, depth: int
         parts = [np.frombuffer(r["words"], np.uint64).reshape(depth, -1) for r in some]
         columns = [np.concatenate([p[d] for p in parts]) for d in range(depth)]
         weights = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in some])
+        del parts
         at, size, n = partition(columns, np.arange(len(weights), dtype=np.int32), weights, least)
         flat = np.stack([c[at] for c in columns]).T[np.arange(depth) < size[:, None]].view(np.int64)
         codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
