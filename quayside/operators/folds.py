@@ -4,8 +4,9 @@ Ordinary keys: one hash shuffle by key, a sort inside the partition, and a strea
 one Arrow batch and one state at a time.
 
 Hot keys (``operators.skew``) are cut into evenly filled segments. Each segment is summarised without
-knowing its entry state, the summaries (one per segment and key) are chained, and each segment is run
-once more from its now known entry state. The result is the same, row for row.
+knowing its entry state. Summaries are composed, ``FAN`` at a time, up a tree over the segments; entry states then come
+down the tree, so no task ever holds more than ``FAN`` summaries of a key. Each segment is run once more
+from its now known entry state. The result is the same, row for row.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.operators import skew
 from quayside.operators.skew import HOT_ROWS, SEG
+from quayside.session import written
 
-ENTRY, SUMMARY, EXIT, AT = "_entry", "_summary", "_exit", "_at"
+ENTRY, SUMMARY, EXIT, AT, READY = "_entry", "_summary", "_exit", "_at", "_ready"
+#: Summaries of one key that meet in one task; a power of two.
+FAN = 8
 
 
 def _runs(batch: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> list[tuple[int, int]]:
@@ -91,8 +95,9 @@ def _summariser(machine, keys: Sequence[str], order_us: str) -> Callable:
         table = pa.Table.from_batches(held)
         us, cols = _inputs(table, machine, order_us)
         rows = []
-        for start, stop in _runs(table, keys):
-            summary = machine.summarise(us[start:stop], {k: v[start:stop] for k, v in cols.items()})
+        for start, stop in _runs(table, [*keys, SEG]):
+            known = [table.column(READY)[start].as_py()] if READY in table.schema.names else []
+            summary = machine.summarise(us[start:stop], {k: v[start:stop] for k, v in cols.items()}, *known)
             rows.append((start, summary))
         starts = pa.array([r[0] for r in rows])
         head = table.select([*keys, SEG]).take(starts).combine_chunks().to_batches()[0]
@@ -103,18 +108,55 @@ def _summariser(machine, keys: Sequence[str], order_us: str) -> Callable:
     return run
 
 
+def _whole(value) -> list[list[int]]:
+    return [[int(v) for v in row] for row in value]
+
+
 def _chainer(machine, keys: Sequence[str]) -> Callable:
+    """Entry states of some neighbouring nodes, from the one of the first (``ENTRY`` where it is known)."""
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SEG)
-        state, entries = None, []
+        state = None
+        if ENTRY in pdf and pdf[ENTRY].iloc[0] is not None:
+            state = [int(v) for v in pdf[ENTRY].iloc[0]]
+        entries = []
         for summary in pdf[SUMMARY]:
             entries.append(state)
-            state = machine.advance([[int(v) for v in row] for row in summary], state)
+            state = machine.advance(_whole(summary), state)
         return pdf[[*keys, SEG]].assign(**{ENTRY: entries})
 
     return chain
 
 
+def _composer(machine, keys: Sequence[str]) -> Callable:
+    """One summary for some neighbouring nodes."""
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(SEG)
+        whole = None
+        for summary in pdf[SUMMARY]:
+            whole = _whole(summary) if whole is None else machine.compose(whole, _whole(summary))
+        return pdf[[*keys, SEG]].head(1).assign(**{SEG: pdf[SEG].iloc[0] // FAN, SUMMARY: [whole]})
+
+    return compose
+
+
+def _entries(summaries: DataFrame, keys: list[str], machine, segments: int, entry: T.StructType) -> DataFrame:
+    """The entry state of every (keys, segment)."""
+    parent = F.shiftright(SEG, FAN.bit_length() - 1).alias("_parent")
+    levels = [written(summaries, "summaries")]
+    while segments > FAN and hasattr(machine, "compose"):
+        up = levels[-1].groupBy(*keys, parent).applyInPandas(_composer(machine, keys), levels[0].schema)
+        levels.append(written(up, "summaries"))
+        segments = segments // FAN + 1
+    known = levels.pop().groupBy(*keys).applyInPandas(_chainer(machine, keys), entry)
+    for level in reversed(levels):
+        above = skew.renamed(known.withColumnRenamed(SEG, "_parent_seg"), keys)
+        nodes = level.withColumn("_parent", parent).join(
+            above, [*skew.same(keys), F.col("_parent") == F.col("_parent_seg")], "left").select(*level.columns, "_parent", ENTRY)
+        known = nodes.groupBy(*keys, "_parent").applyInPandas(_chainer(machine, keys), entry)
+    return known
+
+
 def fold(df: DataFrame, keys: Sequence[str], order_us: str, ties: Sequence[str], machine,
          hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds the machine's output columns to every row of ``df``.
@@ -169,18 +211,38 @@ def _fold_pinned(pinned: DataFrame, keys: list[str], order: list[str], machine,
     rows = pinned.drop(SEG)
     out, arrow = _out_schema(rows, machine)
     place = T.StructType([pinned.schema[k] for k in keys] + [T.StructField(SEG, T.IntegerType())])
-    summaries = pinned.select(*keys, SEG, order[0], *machine.inputs).mapInArrow(
+    narrow = pinned.select(*keys, SEG, order[0], *machine.inputs)
+    if getattr(machine, "reach_us", None) is not None:
+        narrow = _placed(narrow, _readiness(narrow, keys, order[0], machine.reach_us), keys, [order[0]], entry_rows)
+    summaries = narrow.mapInArrow(
         _summariser(machine, keys, order[0]),
         T.StructType(place.fields + [T.StructField(SUMMARY, T.ArrayType(T.ArrayType(T.LongType())))]))
-    # A hot key has one summary per segment, so a key's chain is short beside its rows.
-    entries = summaries.groupBy(*keys).applyInPandas(
-        _chainer(machine, keys), T.StructType(place.fields + [T.StructField(ENTRY, T.ArrayType(T.LongType()))]))
+    entries = _entries(summaries, keys, machine, entry_rows, T.StructType(place.fields + [T.StructField(ENTRY, T.ArrayType(T.LongType()))]))
+    placed = _placed(pinned, entries, keys, order, entry_rows)
+    return placed.select(*rows.columns, SEG, ENTRY).mapInArrow(
+        _runner(machine, [*keys, SEG], order[0], arrow, rows.columns), out)
+
+
+def _placed(pinned: DataFrame, facts: DataFrame, keys: list[str], order: list[str], entry_rows: int) -> DataFrame:
+    """Pinned rows with the one column that ``facts`` has for their (keys, segment), in their pinned order."""
+    value = facts.columns[-1]
+    facts = skew.renamed(facts, keys).withColumnRenamed(SEG, "_seg")
+    on = [*skew.same(keys), F.col(SEG) == F.col("_seg")]
     # One short row per (segment, key): at most ``entry_rows``. A broadcast keeps the pinned order; beyond
     # the limit the rows meet their entry in a shuffle by (key, segment) and are sorted again.
-    place_cols = [*keys, SEG]
     if entry_rows <= skew.BROADCAST_KEYS:
-        placed = pinned.join(F.broadcast(entries), place_cols, "left")
-    else:
-        placed = pinned.join(entries.hint("merge"), place_cols, "left").sortWithinPartitions(*place_cols, *order)
-    return placed.select(*rows.columns, SEG, ENTRY).mapInArrow(
-        _runner(machine, place_cols, order[0], arrow, rows.columns), out)
+        return pinned.join(F.broadcast(facts), on, "left").select(*pinned.columns, value)
+    return pinned.join(facts.hint("merge"), on, "left").select(*pinned.columns, value).sortWithinPartitions(*keys, SEG, *order)
+
+
+def _readiness(narrow: DataFrame, keys: list[str], us: str, reach_us: int) -> DataFrame:
+    """(keys, segment, the earliest time from which a past can let rows through).
+
+    A row that far behind the last accepted one would have been accepted itself, so the past is younger than that at the
+    last row before the segment. A key's first segment has no past: the end of time.
+    """
+    spans = narrow.groupBy(*keys, SEG).agg(F.min(us).alias("_from"), F.max(us).alias("_to"))
+    by_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SEG)
+    before = spans.select(*keys, SEG, F.first("_from").over(by_key).alias("_first"), F.lag("_to").over(by_key).alias("_before"))
+    ready = F.greatest(F.col("_first"), F.col("_before") - reach_us + 1) + reach_us
+    return before.select(*keys, SEG, F.when(F.col("_before").isNull(), F.lit(1 << 62)).otherwise(ready).alias(READY))

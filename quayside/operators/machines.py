@@ -57,6 +57,10 @@ class GreedyGap:
         self.release = release
         self.inputs = (release,) if release else ()
 
+    def spent_us(self, state: list) -> int | None:
+        """From this time on the state is as good as none."""
+        return state[0] + self.gap
+
     def run(self, state: State, us: np.ndarray, cols: Columns) -> tuple[dict[str, np.ndarray], State]:
         n = len(us)
         accepted = np.zeros(n, dtype=bool)
@@ -74,8 +78,17 @@ class GreedyGap:
                 last = None
         return {"accepted": accepted}, None if last is None else [last]
 
-    def summarise(self, us: np.ndarray, cols: Columns) -> list[list[int]]:
-        """[[kind, bound, end], ...]: kind 1 forgets the past, kind 0 is a step over 'ready' times."""
+    @property
+    def reach_us(self) -> int | None:
+        """How long a past keeps anything from being accepted; None where it can be cut short."""
+        return None if self.release else self.gap
+
+    def summarise(self, us: np.ndarray, cols: Columns, ready_from: int | None = None) -> list[list[int]]:
+        """[[kind, bound, end], ...]: kind 1 forgets the past, kind 0 is a step over 'ready' times.
+
+        With ``ready_from`` only steps for a past that is ready from then on are there; the first one also stands
+        for no past, which is all there is before a key's first row. Rows inside one gap thus take one step.
+        """
         if self.release and cols[self.release].any():
             cut = int(np.flatnonzero(cols[self.release])[-1]) + 1
             _, end = GreedyGap(self.gap).run(None, us[cut:], {})
@@ -85,7 +98,21 @@ class GreedyGap:
         # The past is at most the first row's time, so it is ready again by us[0] + gap.
         candidates = int(np.searchsorted(us, us[0] + self.gap, side="left")) + 1
         times = us.tolist()
-        return [[0, *s] for s in _steps(times[:candidates], [[times[e]] for e in end[:candidates]])]
+        begin = 0 if ready_from is None else int(np.searchsorted(us, ready_from, side="left"))
+        none = [[0, times[0], times[end[0]]]] if begin else []
+        steps = _steps(times[begin:candidates], [[times[e]] for e in end[begin:candidates]])
+        return none + [[0, *s] for s in steps]
+
+    def compose(self, first: list[list[int]], second: list[list[int]]) -> list[list[int]]:
+        """The summary of one stretch and the one behind it. A past that the first leaves alone meets the second's steps."""
+        if second[0][0] == 1:
+            return second
+        if first[0][0] == 1:
+            return [[1, 0, *(self.advance(second, first[0][2:] or None) or [])]]
+        bounds = [b for _, b, _ in first]
+        ends = [self.advance(second, [e]) for _, _, e in first]
+        behind = [(b, [e]) for _, b, e in second if b > bounds[-1]]
+        return [[0, *s] for s in _steps([*bounds, *(b for b, _ in behind)], [*ends, *(e for _, e in behind)])]
 
     def advance(self, summary: list[list[int]], state: State) -> State:
         if summary[0][0] == 1:
@@ -113,6 +140,10 @@ class TokenBucket:
         self.cost = period_us
         self.cap = (rate if burst is None else burst) * period_us
 
+    def spent_us(self, state: list) -> int | None:
+        """From this time on the bucket is full again."""
+        return state[1] - (state[0] - self.cap) // self.rate if self.rate else None
+
     def run(self, state: State, us: np.ndarray, cols: Columns) -> tuple[dict[str, np.ndarray], State]:
         rate, cost, cap = self.rate, self.cost, self.cap
         units, last = state if state else (cap, int(us[0]))
@@ -204,6 +235,29 @@ class TokenBucket:
                 high = np.append(low[1:] - 1, cap)
         return [list(p) for p in zip(high.tolist(), slope.tolist(), offset.tolist())]
 
+    def compose(self, first: list[list[int]], second: list[list[int]]) -> list[list[int]]:
+        """The summary of one stretch and the one behind it: each piece is cut where the second's pieces are."""
+        begin, end, _ = first[0]
+        idle = (second[0][0] - end) * self.rate
+        out: list[list[int]] = []
+        low = 0
+        for high, slope, offset in first[1:]:
+            while low <= high:
+                level = min(self.cap, slope * low + offset + idle)
+                bound, more, added = next(p for p in second[1:] if p[0] >= level)
+                if not slope or level == self.cap:
+                    piece = [high, 0, more * level + added]
+                else:
+                    # Up to where this piece ends, the second's ends, or the bucket is full.
+                    upto = min(high, min(bound, self.cap - 1) - offset - idle)
+                    piece = [upto, 1, offset + idle + added] if more else [upto, 0, added]
+                if out and out[-1][1:] == piece[1:]:
+                    out[-1][0] = piece[0]
+                else:
+                    out.append(piece)
+                low = piece[0] + 1
+        return [[begin, second[0][1], 0], *out]
+
     def advance(self, summary: list[list[int]], state: State) -> State:
         first, last, _ = summary[0]
         y = self.cap if state is None else min(self.cap, state[0] + (first - state[1]) * self.rate)
@@ -237,6 +291,10 @@ class Breaker:
         self.ok = ok
         self.inputs = (ok,)
 
+    def spent_us(self, state: list) -> int | None:
+        """A closed breaker without failures is as good as a new one; others do not get there by time alone."""
+        return 0 if state[:2] == [CLOSED, 0] else None
+
     def run(self, state: State, us: np.ndarray, cols: Columns) -> tuple[dict[str, list], State]:
         now, failures, opened = state if state else (CLOSED, 0, 0)
         verdict, after, count, episode, opens, probes = [], [], [], [], [], []

@@ -65,8 +65,18 @@ def divide(df: DataFrame, keys: Sequence[str], hot: Hot | None) -> tuple[DataFra
         return df, None
     if not keys:
         return None, df
-    few = F.broadcast(hot.keys)  # counted just now
-    return df.join(few, list(keys), "left_anti"), df.join(few, list(keys), "left_semi")
+    few = F.broadcast(renamed(hot.keys, keys))  # counted just now
+    return df.join(few, same(keys), "left_anti"), df.join(few, same(keys), "left_semi")
+
+
+def renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with its keys under names of their own, to be joined by ``same``."""
+    return df.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+
+
+def same(keys: Sequence[str]) -> list[Column]:
+    """Equal keys; a null key is a key like any other."""
+    return [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
 
 
 def pin(df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int) -> DataFrame:

@@ -127,6 +127,17 @@ def file_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("us") / (24 * HOUR_US)).alias("mtime"))
 
 
+def as_samples(events: DataFrame) -> DataFrame:
+    """file_events and file_samples in one row, of any rows of events, a stream of them too."""
+    op = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])
+    us = scalars.micros("ts")
+    return events.select(
+        "event_id", us.alias("us"), F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("watched"),
+        F.element_at(op, F.col("event_type")).alias("op"),
+        F.when(F.col("event_id") % 97 != 0, F.floor(F.col("value") / 50)).alias("sample_size"),
+        F.floor(us / (24 * HOUR_US)).alias("sample_mtime"))
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as work items: submitted, started (first ship date), finished (last ship date)."""
     shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(

@@ -76,17 +76,6 @@ def _event_path(spark: SparkSession, sf_dir: str, events: DataFrame, docs: DataF
     return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
-@query
-def event_admission(spark, sf_dir):
-    """The event path over the events whose id is a doc_id: event n announces document n, its user's samples tell
-    whether it is stable. ``event_admission_all`` takes every event."""
-    docs = bindings.hashed_table(spark, sf_dir, "path", "source", "length")
-    events = bindings.file_events(spark, sf_dir).withColumnRenamed("path", "watched").join(
-        docs.drop("hash").withColumnRenamed("doc_id", "event_id"), "event_id")
-    hashes = docs.select(F.col("doc_id").alias("event_id"), "hash")
-    return _event_path(spark, sf_dir, events, docs, lambda rows: rows.join(hashes, "event_id"))
-
-
 @query
 def event_admission_all(spark, sf_dir):
     """The event path over every event: event n announces document n modulo the number of documents.

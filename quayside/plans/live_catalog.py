@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import dataclasses
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.config import DAY_US, HOUR_US, AdmissionConfig
 from quayside.functions import paths, scalars
 from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
 from quayside.plans import admission, bindings
-from quayside.plans.catalog import GAP_US, query
+from quayside.plans.catalog import CONFIG, GAP_US, query
 from quayside.schemas import TABLES
 from quayside.session import prepare, scratch
 from quayside.sources import inventory, landing
-from quayside.streaming import live
-from quayside.streaming.in_order import InOrder
+from quayside.streaming import event_chain, live, timed
 
 MICRO_BATCH = 256 << 20
 #: How long rows are held for earlier ones to come. Rows that come later still are counted and cost a second fold.
@@ -31,12 +33,23 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, "events").withColumn("us", scalars.micros("ts"))
+def _folded(spark: SparkSession, sf_dir: str, name: str, rows_of: Callable[[DataFrame], DataFrame], keys: list[str], us: str,
+            tie: str, machine) -> timed.Settled:
+    """A machine over a table as a stream. ``rows_of`` makes its rows from those of the table."""
+    rows = rows_of(_stream(spark, sf_dir, name))
+    return timed.settled(rows, rows_of(bindings.table(spark, sf_dir, name)), keys, us, [tie], machine, DELAY_US,
+                         scratch(spark, f"{name}-stream"))
+
+
+def _folded_events(spark: SparkSession, sf_dir: str, keys: list[str], machine, *columns) -> DataFrame:
+    def rows(table: DataFrame) -> DataFrame:
+        return table.withColumn("us", scalars.micros("ts")).select("event_id", "us", *columns)
+
+    return _folded(spark, sf_dir, "events", rows, keys, "us", "event_id", machine).rows
 
 
-def _in_order(spark: SparkSession, rows: DataFrame, keys: list[str], us: str, tie: str, machine, name: str) -> DataFrame:
-    return InOrder(rows, keys, us, [tie], machine, DELAY_US, scratch(spark, name)).run().rows
+def _watched() -> Column:
+    return F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path")
 
 
 @query
@@ -72,52 +85,83 @@ def landing_stream(spark, sf_dir):
 
 @query
 def debounce_stream(spark, sf_dir):
-    e = _event_stream(spark, sf_dir).select(
-        "event_id", "us", F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path"))
-    out = _in_order(spark, e, ["path"], "us", "event_id", GreedyGap(GAP_US), "debounce")
+    out = _folded_events(spark, sf_dir, ["path"], GreedyGap(GAP_US), _watched())
     return out.filter("accepted").select("event_id", "path", "us")
 
 
 @query
 def rate_admission_stream(spark, sf_dir):
-    e = _event_stream(spark, sf_dir).select("event_id", "us", "event_type")
-    out = _in_order(spark, e, ["event_type"], "us", "event_id", TokenBucket(2, HOUR_US, 2), "rate")
+    out = _folded_events(spark, sf_dir, ["event_type"], TokenBucket(2, HOUR_US, 2), "event_type")
     return out.select("event_id", "admitted")
 
 
 @query
 def breaker_verdicts_stream(spark, sf_dir):
-    e = _event_stream(spark, sf_dir).select(
-        "event_id", "us", (F.col("user_id") % 10).alias("sink"), (F.col("event_type") != "error").alias("ok"))
-    out = _in_order(spark, e, ["sink"], "us", "event_id", Breaker(2, 2 * HOUR_US), "breaker")
+    out = _folded_events(spark, sf_dir, ["sink"], Breaker(2, 2 * HOUR_US), (F.col("user_id") % 10).alias("sink"),
+                         (F.col("event_type") != "error").alias("ok"))
     return out.select("event_id", "verdict", "state_after", "failures_after")
 
 
 @query
 def lease_grants_stream(spark, sf_dir):
-    e = _event_stream(spark, sf_dir).select(
-        "event_id", "us", F.concat(F.lit("/landing/u"), F.col("user_id").cast("string")).alias("path"),
-        (F.col("event_type") == "error").alias("release"))
-    out = _in_order(spark, e, ["path"], "us", "event_id", GreedyGap(30 * HOUR_US, "release"), "lease")
+    out = _folded_events(spark, sf_dir, ["path"], GreedyGap(30 * HOUR_US, "release"), _watched(),
+                         (F.col("event_type") == "error").alias("release"))
     return out.select("event_id", "release", F.col("accepted").alias("granted"))
 
 
 @query
 def ttl_dedup_stream(spark, sf_dir):
     """Arriving documents whose content was not accepted within the time to live before."""
-    f = bindings.as_files(_stream(spark, sf_dir, "documents")).select(
-        "doc_id", "arrived_us", scalars.content_hash("filename", "content").alias("hash"))
-    out = _in_order(spark, f, ["hash"], "arrived_us", "doc_id", GreedyGap(5 * HOUR_US), "ttl")
+    def rows(documents: DataFrame) -> DataFrame:
+        return bindings.as_files(documents).select(
+            "doc_id", "arrived_us", scalars.content_hash("filename", "content").alias("hash"))
+
+    out = _folded(spark, sf_dir, "documents", rows, ["hash"], "arrived_us", "doc_id", GreedyGap(5 * HOUR_US)).rows
     return out.select("doc_id", "accepted")
 
 
+def admitted_events(spark: SparkSession, sf_dir: str, base: str) -> tuple[DataFrame, list]:
+    """(verdicts of all events that were noticed in time, progress of the micro-batches) of the chained stream."""
+    docs = bindings.hashed_table(spark, sf_dir, "path", "source", "length")
+    announced = F.col("event_id") % max(docs.count(), 1)
+
+    def plan(events: DataFrame) -> DataFrame:
+        rows = events.join(docs.drop("hash").withColumnRenamed("doc_id", "_doc"), announced == F.col("_doc"), "left")
+        cfg = dataclasses.replace(CONFIG, debounce_us=5 * HOUR_US, stable_attempts=5, stable_deadline_us=20 * DAY_US)
+        return event_chain.judged(rows.withColumn("path", F.coalesce("path", "watched")), cfg, DELAY_US, "watched", ["source"], 1,
+                                  24 * HOUR_US, 2)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        hashed = rows.filter("event_id IS NOT NULL").join(
+            docs.select(F.col("doc_id").alias("_doc"), "hash"), F.col("reason").isNull() & (announced == F.col("_doc")), "left")
+        hashed.drop("_doc").write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    samples = bindings.as_samples(_stream(spark, sf_dir, "events"))
+    progress = live.to_the_end(samples, "us", plan, put, base)
+    judged = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").drop("batch")
+    out = admission.settle(judged.filter("reason IS NOT NULL"), judged.filter("reason IS NULL"),
+                           bindings.processed(docs, bindings.labels(spark, sf_dir)), ("ready_us", "path", "event_id"))
+    return out, progress
+
+
 @query
-def windowed_outcomes_stream(spark, sf_dir):
-    """Every window as it stands after the last micro-batch."""
-    e = _event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    w = live.windowed_outcomes(e, "at", "6 hours", {
+def event_admission_stream(spark, sf_dir):
+    """``event_admission_all`` as one stream of keyed stages; the race for equal hashes follows once all are judged."""
+    out, _ = admitted_events(spark, sf_dir, scratch(spark, "event-chain"))
+    return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+def outcome_windows(spark: SparkSession, sf_dir: str, delay_us: int = DELAY_US) -> live.Windows:
+    """The six-hour windows of ``windowed_outcomes`` over the events as a stream, run to its end."""
+    events = _stream(spark, sf_dir, "events").withColumn("us", scalars.micros("ts"))
+    windows = live.Windows(events, "us", 6 * HOUR_US, {
         "detected": F.col("event_type").isin("click", "view"), "processed": F.col("event_type") == "purchase",
-        "rejected": F.col("event_type") == "signup", "errors": F.col("event_type") == "error"})
-    done = live.materialise_latest(spark, w, "windows", ["window_start"])
-    return done.withColumn("window_us", scalars.micros("window_start")).drop("window_start")
+        "rejected": F.col("event_type") == "signup", "errors": F.col("event_type") == "error"}, delay_us, scratch(spark, "windows"))
+    windows.run()
+    return windows
+
 
+@query
+def windowed_outcomes_stream(spark, sf_dir):
+    """Every window as it stands after the last micro-batch, late rows included."""
+    return outcome_windows(spark, sf_dir).rows(spark)

@@ -289,32 +289,6 @@ ORACLE: dict[str, str] = {
       SELECT id AS event_id, admitted FROM fold""",
     "global_rate_admission": f"""WITH RECURSIVE {EVENTS}, {bucket('ev', '1', 'us', 'event_id', 10, HOUR, 10)}
       SELECT id AS event_id, admitted FROM fold""",
-    "event_admission": f"""WITH RECURSIVE {HASHED}, {SAMPLES}, processed AS (
-        SELECT hash FROM hf WHERE doc_id IN (SELECT doc_id FROM labels)),
-      noticed AS (
-        SELECT e.event_id, e.us, '/landing/u' || e.user_id AS watched, h.path, h.source, h.length, h.kind, h.hash
-        FROM ev e JOIN hf h ON h.doc_id = e.event_id WHERE e.event_type IN ('click', 'view')),
-      {greedy('noticed', 'path', 'us', 'event_id', 5 * HOUR)},
-      judged AS (
-        SELECT n.*, CASE WHEN kind NOT IN ('xml', 'json') THEN 'pattern_mismatch'
-                         WHEN NOT coalesce(settled AND took < 20 * {DAY}, FALSE) THEN 'file_not_stable' END AS early,
-               n.us + CASE WHEN settled AND took < 20 * {DAY} THEN took ELSE 0 END AS ready_us
-        FROM noticed n JOIN fold ON fold.id = n.event_id AND fold.accepted LEFT JOIN verdict v ON v.path = n.watched),
-      queued AS (SELECT * FROM judged WHERE early IS NULL),
-      {bucket('queued', 'source', 'ready_us', 'event_id', 1, 24 * HOUR, 2, 'l')},
-      checked AS (
-        SELECT q.*, CASE WHEN NOT admitted THEN 'rate_limit_exceeded' WHEN length < 100 THEN 'file_too_small'
-                         WHEN length > 16384 THEN 'file_too_large'
-                         WHEN q.hash IN (SELECT hash FROM processed) THEN 'duplicate' END AS late
-        FROM queued q JOIN lfold ON lfold.id = q.event_id),
-      final AS (
-        SELECT event_id, ready_us, early AS reason FROM judged WHERE early IS NOT NULL
-        UNION ALL SELECT event_id, ready_us, late FROM checked WHERE late IS NOT NULL
-        UNION ALL SELECT event_id, ready_us, CASE WHEN row_number() OVER (
-            PARTITION BY hash ORDER BY ready_us, path, event_id) = 1 THEN 'accepted' ELSE 'lock_held' END
-        FROM checked WHERE late IS NULL)
-      SELECT event_id, ready_us, reason, CASE reason WHEN 'accepted' THEN 'processing' WHEN 'lock_held' THEN 'incoming'
-        ELSE 'ignored' END AS lane FROM final""",
     "event_admission_all": f"""WITH RECURSIVE {HASHED}, {SAMPLES}, processed AS (
         SELECT hash FROM hf WHERE doc_id IN (SELECT doc_id FROM labels)),
       noticed AS (
@@ -452,8 +426,8 @@ ORACLE: dict[str, str] = {
       EXCEPT SELECT root, lane FROM seen""",
 }
 
-# A stream gives the batch result row for row, except that windows stay open until the watermark
-# (newest event minus one day) has passed their end.
+# A stream gives the batch result row for row.
 for _name in ("debounce", "rate_admission", "breaker_verdicts", "lease_grants", "ttl_dedup"):
     ORACLE[f"{_name}_stream"] = ORACLE[_name]
 ORACLE["windowed_outcomes_stream"] = ORACLE["windowed_outcomes"]
+ORACLE["event_admission_stream"] = ORACLE["event_admission_all"]
