@@ -8,8 +8,8 @@ Suffixes behind a pair of words that many rows begin with are routed by all thei
 parts, so nothing is abandoned there and sums over the tasks decide. The same holds for a task whose rows do not fit in
 memory at once. Equal suffixes of a block are one row with a count before anything is shuffled.
 
-Words travel as 64-bit hashes. They are exact names here: a seed is taken under which no frequent word shares its hash
-with any other word of its language, which is looked up in the counts of all words before.
+Words travel as hashes of 48 bits, or 64 if those do not do. They are exact names here: a seed is taken under which no
+frequent word shares its hash with any other word of its language, which is looked up in the counts of all words before.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import tidy
+from quayside.llm.common import drop, tidy
 from quayside.session import written
 
 DEPTH = 4
 #: Bytes of text that a task takes apart at a time, and suffixes that it sorts at a time.
-BLOCK, SORTED = 4 << 20, 1 << 20
+BLOCK, SORTED = 6 << 20, 3 << 20
 #: Occurrences a route should have, fewest routes, and the share of all that makes a pair of words hot.
-ROUTE, ROUTES, HOT = 1 << 19, 64, 4096
+ROUTE, ROUTES, HOT = 1 << 20, 64, 4096
 #: Bits of the filter of frequent words. If it fills up, rare words pass too and are abandoned later.
 FILTER = 1 << 26
 SMALL = 1 << 15
@@ -68,8 +68,8 @@ class Words:
         self.langs = names.dictionary.take(pa.array(every // n)) if len(every) else pa.array([], pa.string())
 
 
-def hashes(langs, names, seed: int):
-    """64-bit hashes of (language, word), never 0."""
+def hashes(langs, names, seed: int, width: int):
+    """Hashes of (language, word) of ``width`` bytes, never 0."""
     import numpy as np
 
     def spread(values):
@@ -88,7 +88,7 @@ def hashes(langs, names, seed: int):
 
     mixed = spread(names) ^ (spread(langs) * np.uint64(0xBF58476D1CE4E5B9))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.maximum(mixed ^ (mixed >> np.uint64(29)), np.uint64(1))
+    return np.maximum((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(64 - 8 * width), np.uint64(1))
 
 
 def _codes(keys, span: int):
@@ -165,22 +165,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "pair").agg(F.sum("f").alias("f"))
 
 
-def named(words: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """The words (lang, phrase, f) that occur ``least`` times with their hash ``h``, and the seed they are exact under."""
-    for seed in range(16):
-        def run(batches, seed=seed):
-            import numpy as np
-            import pyarrow as pa
+def named(words: DataFrame, least: int) -> tuple[DataFrame, int, int]:
+    """The words (lang, phrase, f) that occur ``least`` times with their hash ``h``; the seed and width they are exact under."""
+    for width in (6, 8):
+        for seed in range(4):
+            def run(batches, seed=seed, width=width):
+                import numpy as np
+                import pyarrow as pa
 
-            for batch in batches:
-                h = hashes(batch.column("lang"), batch.column("phrase").cast("binary"), seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], [*batch.schema.names, "h"])
+                for batch in batches:
+                    h = hashes(batch.column("lang"), batch.column("phrase").cast("binary"), seed, width).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], [*batch.schema.names, "h"])
 
-        hashed = written(words.select("lang", "phrase", "f").mapInArrow(run, "lang string, phrase string, f long, h long"), "named")
-        shared = hashed.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max("f").alias("f")).filter(f"n > 1 AND f >= {least}")
-        if shared.isEmpty():
-            return hashed.filter(F.col("f") >= least), seed
-    raise RuntimeError("every seed gives two words of a language one 64-bit hash")
+            hashed = written(words.select("lang", "phrase", "f").mapInArrow(run, "lang string, phrase string, f long, h long"), "named")
+            shared = hashed.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max("f").alias("f")).filter(f"n > 1 AND f >= {least}")
+            if shared.isEmpty():
+                return hashed.filter(F.col("f") >= least), seed, width
+            drop(words.sparkSession, hashed)
+    raise RuntimeError("every seed gives a frequent word and another one of its language one 64-bit hash")
 
 
 def frequent_filter(frequent: DataFrame):
@@ -276,9 +278,9 @@ def _combined(columns):
     return [c[at] for c in columns], np.diff(np.append(at, len(order))).astype(np.int64)
 
 
-def suffixes(rows: DataFrame, bitmap, seed: int, hot: set, routes: int, depth: int = DEPTH) -> DataFrame:
-    """(route, lang, split, words, counts): a block's suffixes for one route, as arrays of 64-bit numbers. ``words`` has
-    one column per depth of their words' hashes, 0 where a suffix has ended."""
+def suffixes(rows: DataFrame, bitmap, seed: int, width: int, hot: set, routes: int, depth: int = DEPTH) -> DataFrame:
+    """(route, lang, split, words, counts): a block's suffixes for one route, as arrays of numbers of ``width`` and 4 bytes.
+    ``words`` has one column per depth of their words' hashes, 0 where a suffix has ended."""
     sent = rows.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches):
@@ -287,7 +289,7 @@ def suffixes(rows: DataFrame, bitmap, seed: int, hot: set, routes: int, depth: i
 
         bitmap, hot = sent.value
         for w in _blocks(batches):
-            hashed = hashes(w.langs, w.names, seed)
+            hashed = hashes(w.langs, w.names, seed, width)
             bit = hashed % np.uint64(FILTER)
             often = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
             place = np.full(len(hashed), -1, np.int32)
@@ -315,7 +317,8 @@ def suffixes(rows: DataFrame, bitmap, seed: int, hot: set, routes: int, depth: i
             key = (lang_of * routes + route) * 2 + split
             by = np.argsort(key, kind="stable")
             hashed = np.append(hashed, np.uint64(0))  # the last place is for -1
-            words, counts, key = np.stack([hashed[c[by]] for c in columns]), counts[by], key[by]
+            words = np.stack([hashed[c[by]] for c in columns]).view(np.uint8).reshape(depth, -1, 8)[:, :, :width]
+            counts, key = counts[by].astype(np.uint32), key[by]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(cuts[1:], len(by))
             for i in range(0, len(cuts), SENT):
@@ -346,19 +349,22 @@ def suffixes(rows: DataFrame, bitmap, seed: int, hot: set, routes: int, depth: i
     return rows.mapInArrow(run, "route long, lang string, split boolean, words binary, counts binary")
 
 
-def phrase_counts(routed: DataFrame, frequent: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
-    """(lang, phrase, f, words) of all phrases of 2 to ``depth`` words that occur ``least`` times."""
+def phrase_counts(routed: DataFrame, frequent: DataFrame, width: int, least: int, depth: int = DEPTH) -> DataFrame:
+    """(lang, phrase, f, words) of all phrases of 2 to ``depth`` words that occur ``least`` times. ``routed`` comes route by
+    route; one with more than ``SORTED`` suffixes is counted in parts."""
     limit = SORTED
 
     def run(batches):
-        held, n, parts = [], 0, 0
+        held, n, parts, route = [], 0, 0, None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["route"] != route or n >= limit:
+                    if held:
+                        yield from _sorted(held, least if parts == 0 and row["route"] != route else 1)
+                    parts = parts + 1 if row["route"] == route else 0
+                    held, n, route = [], 0, row["route"]
                 held.append(row)
-                n += len(row["counts"]) // 8
-                if n >= limit:
-                    yield from _sorted(held, 1)
-                    held, n, parts = [], 0, parts + 1
+                n += len(row["counts"]) // 4
         if held:
             yield from _sorted(held, 1 if parts else least)
 
@@ -375,10 +381,14 @@ def phrase_counts(routed: DataFrame, frequent: DataFrame, least: int, depth: int
         import numpy as np
         import pyarrow as pa
 
-        parts = [np.frombuffer(r["words"], np.uint64).reshape(depth, -1) for r in some]
-        columns = [np.concatenate([p[d] for p in parts]) for d in range(depth)]
-        weights = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in some])
-        del parts
+        weights = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in some]).astype(np.int64)
+        whole = np.zeros((depth, len(weights), 8), np.uint8)
+        at = 0
+        for r in some:
+            part = np.frombuffer(r["words"], np.uint8).reshape(depth, -1, width)
+            whole[:, at:at + part.shape[1], :width] = part
+            at += part.shape[1]
+        columns = list(whole.view(np.uint64)[:, :, 0])
         at, size, n = partition(columns, np.arange(len(weights), dtype=np.int32), weights, least)
         flat = np.stack([c[at] for c in columns]).T[np.arange(depth) < size[:, None]].view(np.int64)
         codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
@@ -441,11 +451,11 @@ def collocations(df: DataFrame, least: int = 30, top: int | None = 2000, text_co
     single = counts.filter("NOT pair")
     totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
     n = totals.agg(F.sum("n")).first()[0] or 0
-    frequent, seed = named(single, least)
+    frequent, seed, width = named(single, least)
     hot = {(r["lang"], r["phrase"].encode()) for r in counts.filter("pair").filter(F.col("f") * HOT >= n).collect()}
     routes = max(ROUTES, n // ROUTE)
-    routed = suffixes(rows, frequent_filter(frequent), seed, hot, routes).repartition(routes, "route")
-    phrases = written(phrase_counts(routed, frequent, least), "phrases")
+    routed = suffixes(rows, frequent_filter(frequent), seed, width, hot, routes).repartition(routes, "route").sortWithinPartitions("route")
+    phrases = written(phrase_counts(routed, frequent, width, least), "phrases")
     parts = frequent.select("lang", F.col("phrase").alias("part"), "f").union(
         phrases.filter(f"words < {DEPTH}").select("lang", "phrase", "f"))
     kept = phrases.join(outdone(phrases), ["lang", "phrase"], "left_anti")
