@@ -81,6 +81,13 @@ def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "hash", "e.state", "path", "e.reason", "e.at_us")
 
 
+def as_arrivals(documents: DataFrame) -> DataFrame:
+    """doc_id, hash, arrival and the time a completion would take, of any rows of documents, a stream of them too."""
+    return as_files(documents).select(
+        "doc_id", scalars.content_hash("filename", "content").alias("hash"), "arrived_us",
+        ((F.col("n_chars") % 600) * MINUTE_US).alias("takes_us"))
+
+
 def processed(hashed: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of labelled documents, whose hashes count as processed."""
     return hashed.join(labels, "doc_id", "left_semi")

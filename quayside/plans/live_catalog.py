@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from quayside.config import DAY_US, HOUR_US, AdmissionConfig
 from quayside.functions import paths, scalars
+from quayside.operators import ledger_store
 from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
 from quayside.plans import admission, bindings
-from quayside.plans.catalog import CONFIG, GAP_US, query
+from quayside.plans.catalog import AS_OF_US, CONFIG, GAP_US, TTL, query
 from quayside.schemas import TABLES
-from quayside.session import prepare, scratch
+from quayside.session import prepare, scratch, written
 from quayside.sources import inventory, landing
-from quayside.streaming import event_chain, live, timed
+from quayside.streaming import event_chain, lifecycle, live, timed
 
 MICRO_BATCH = 256 << 20
 #: How long rows are held for earlier ones to come. Rows that come later still are counted and cost a second fold.
@@ -161,6 +162,57 @@ def outcome_windows(spark: SparkSession, sf_dir: str, delay_us: int = DELAY_US)
     return windows
 
 
+@query
+def ledger_lifecycle_stream(spark, sf_dir):
+    """``ledger_lifecycle`` from two streams: arrivals, and the completions of labelled ones, at most a day later."""
+    labels = bindings.labels(spark, sf_dir)
+
+    def plan(arrivals: DataFrame) -> DataFrame:
+        enqueued = arrivals.select(F.col("doc_id").alias("id"), "hash", F.col("arrived_us").alias("enqueued_us"))
+        # The row that ends the stream has no id. It has to move both watermarks, and rows without an id are
+        # taken out of this side before its watermark, so it gets one.
+        ended = arrivals.join(labels, "doc_id", "left").filter("toxic IS NOT NULL OR doc_id IS NULL")
+        completed = ended.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.when(F.col("toxic") == 1, "failed").otherwise("processed").alias("state"),
+                                 (F.col("arrived_us") + F.coalesce("takes_us", F.lit(0))).alias("completed_us"))
+        return lifecycle.completions(enqueued, completed, DAY_US, DELAY_US)
+
+    base = scratch(spark, "lifecycle")
+    arrivals = bindings.as_arrivals(_stream(spark, sf_dir, "documents"))
+    live.to_the_end(arrivals, "arrived_us", plan, live.by_batch(base), base)
+    met = spark.read.schema("id long, hash string, enqueued_us long, completed_us long, state string").parquet(f"{base}/out")
+    return lifecycle.outcomes(met.filter("id IS NOT NULL"), AS_OF_US, TTL.enqueued_us)
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str, batches: int = 12) -> ledger_store.TieredLedger:
+    """The ledger log fed to a tiered store in batches of equal spans of time."""
+    log = written(bindings.ledger_log(spark, sf_dir), "log")
+    span = log.agg(F.min("at_us").alias("a"), F.max("at_us").alias("b")).first()
+    book = ledger_store.TieredLedger(spark, scratch(spark, "ledger"), TTL, fan=4)
+    if span["a"] is None:
+        return book
+    width = (span["b"] - span["a"]) // batches + 1
+    for n in range(batches):
+        book.append(log.filter(F.floor((F.col("at_us") - span["a"]) / width) == n), f"log-{n}")
+    return book
+
+
+@query
+def ledger_store_live(spark, sf_dir):
+    """``ledger_live`` from the tiered store. Entries that had expired by the last batch are gone, so it is asked as of then."""
+    book = stored_ledger(spark, sf_dir)
+    newest = book.newest_us()
+    return book.live(newest if newest is not None else 0).select("hash", "state", "at_us", "expires_us")
+
+
+@query
+def ledger_store_lookup(spark, sf_dir):
+    """What the tiered store knows of the last day's arrivals, file by file that may hold them."""
+    book = stored_ledger(spark, sf_dir)
+    newest = book.newest_us() or 0
+    recent = written(bindings.ledger_log(spark, sf_dir).filter(F.col("at_us") > newest - 2 * HOUR_US).select("hash").distinct(), "recent")
+    return book.lookup(recent, newest).select("hash", "state", "at_us")
+
+
 @query
 def windowed_outcomes_stream(spark, sf_dir):
     """Every window as it stands after the last micro-batch, late rows included."""

@@ -431,3 +431,12 @@ for _name in ("debounce", "rate_admission", "breaker_verdicts", "lease_grants",
     ORACLE[f"{_name}_stream"] = ORACLE[_name]
 ORACLE["windowed_outcomes_stream"] = ORACLE["windowed_outcomes"]
 ORACLE["event_admission_stream"] = ORACLE["event_admission_all"]
+ORACLE["ledger_lifecycle_stream"] = ORACLE["ledger_lifecycle"]
+
+# The store is asked as of its newest entry.
+_STORED = f"""{CURRENT}, stored AS (
+        SELECT *, at_us + CASE state WHEN 'enqueued' THEN 6 ELSE 9 END * {HOUR} AS expires_us, (SELECT max(at_us) FROM log) AS newest
+        FROM current)"""
+ORACLE["ledger_store_live"] = f"""WITH {_STORED} SELECT hash, state, at_us, expires_us FROM stored WHERE expires_us > newest"""
+ORACLE["ledger_store_lookup"] = f"""WITH {_STORED} SELECT hash, state, at_us FROM stored
+      WHERE expires_us > newest AND hash IN (SELECT hash FROM log WHERE at_us > newest - 2 * {HOUR})"""
