@@ -11,6 +11,7 @@ from quayside.config import AdmissionConfig
 from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, ledger, ordered
 from quayside.session import written
+from quayside.sinks.publish import Topic
 from quayside.sources import archives, inventory, landing
 
 # Lane a reason leads to. Files that lose the race for a hash, or that can not be read or
@@ -99,6 +100,18 @@ def summary(classified: DataFrame) -> DataFrame:
         F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def published(classified: DataFrame, messages: DataFrame, topic: Topic, batch: str) -> DataFrame:
+    """The outcomes once ``messages`` (key, value), one per accepted hash, have been published.
+
+    Accepted files whose message became a dead letter fail as ``queue_error: <why>``; the reason keeps the detail.
+    """
+    dead = topic.publish(messages, batch).dead.select(F.col("key").alias("_key"), F.col("error").alias("_error")).dropDuplicates(["_key"])
+    failed = F.col("reason").isNull() & F.col("_key").isNotNull()
+    return classified.join(dead, F.col("reason").isNull() & (F.col("hash") == F.col("_key")), "left").withColumns({
+        "reason": F.when(failed, F.concat(F.lit("queue_error: "), "_error")).otherwise(F.col("reason")),
+        "lane": F.when(failed, LANES["queue_error"]).otherwise(F.col("lane"))}).drop("_key", "_error")
+
+
 def admit(found: DataFrame, cfg: AdmissionConfig, processed: DataFrame | None = None, max_depth: int = archives.DEEPEST) -> DataFrame:
     """Verdicts for listed files (path, modificationTime, length), archives opened.
 

@@ -13,8 +13,9 @@ from quayside.functions import paths, patterns, scalars
 from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, stability
 from quayside.plans import admission, bindings, event_path
 from quayside.plans.bindings import EPOCH_US
-from quayside.session import written
+from quayside.session import scratch, written
 from quayside.sinks import messages as sink
+from quayside.sinks import publish
 from quayside.sources import archives, exposition, landing, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,7 @@ RETENTION_AS_OF_US = EPOCH_US + 7 * DAY_US
 PATTERNS = ("*", "*.xml", "*.XML", "*.tar.gz", "en_*.xml", "e?_*[0-5].json", "fr_[^1-4]*.t*", "[", "en_380.xml")
 RETRIES = RetryConfig(max_attempts=3, initial_delay_ms=1_000, max_delay_ms=2_500, multiplier=2.0)
 RANGE_US = 6 * HOUR_US
+MAX_MESSAGE_BYTES = 281
 LANES = ("processing", "processed", "failed", "ignored", "tmp")
 
 
@@ -252,6 +254,37 @@ def work_messages(spark, sf_dir):
     return _messages(spark, sf_dir)
 
 
+def _publish_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' admission, its messages published to a broker with a size limit."""
+    rows = written(_classified(spark, sf_dir), "classified")
+    accepted = rows.filter("reason IS NULL").withColumn("timestamp", scalars.from_micros("arrived_us"))
+    topic = publish.Topic(spark, scratch(spark, "topic"), publish.SizeLimit(MAX_MESSAGE_BYTES))
+    return admission.published(rows, sink.work_messages(accepted), topic, "documents-0")
+
+
+@query
+def admission_published(spark, sf_dir):
+    return _publish_accepted(spark, sf_dir).select("doc_id", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+@query
+def outcome_counters_published(spark, sf_dir):
+    o = _publish_accepted(spark, sf_dir).withColumn("reason", F.coalesce("reason", F.lit("accepted")))
+    return metrics.outcome_counters(o, ["kind"], "event", is_archive=paths.is_archive("filename")).select(
+        "kind", "detected", "sent", "queue_errors", "duplicated", "rejected", "ignored")
+
+
+@query
+def publish_audit(spark, sf_dir):
+    """What a broker with a size limit took of all work messages, and what became a dead letter."""
+    topic = publish.Topic(spark, scratch(spark, "topic"), publish.SizeLimit(MAX_MESSAGE_BYTES))
+    topic.publish(_messages(spark, sf_dir), "all-0")
+    sent, dead = topic.read()
+    both = sent.withColumn("error", F.lit(None).cast("string")).unionByName(dead)
+    return both.groupBy(F.get_json_object("value", "$.kind").alias("kind"), "error").agg(
+        F.count("*").alias("messages"), F.sum(F.octet_length("value").cast("long")).alias("bytes"), F.sum("attempts").alias("attempts"))
+
+
 @query
 def message_decode(spark, sf_dir):
     bodies = _messages(spark, sf_dir).select("value").unionByName(

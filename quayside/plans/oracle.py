@@ -102,10 +102,11 @@ COUNTERS = CLASSIFIED + """, counted AS (
     count(*) FILTER (doc_id % 50 = 0) AS storage_errors, 0::BIGINT AS rate_limit_waits,
     0::BIGINT AS rate_limit_dropped, 0::BIGINT AS empty_directories_removed
   FROM laned GROUP BY 1)"""
-MESSAGES = HASHED + f""", msg AS (
-  SELECT hash AS key, '{{"id":"' || hash || '","path":"/landing/processing/' || filename || '","filename":"' || filename
+MESSAGE_OF = """
+  SELECT doc_id, hash AS key, '{"id":"' || hash || '","path":"/landing/processing/' || filename || '","filename":"' || filename
       || '","kind":"' || kind || '","size":' || length || ',"hash":"' || hash || '","timestamp":"'
-      || strftime(make_timestamp(arrived_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}}' AS value FROM hf)"""
+      || strftime(make_timestamp(arrived_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}' AS value FROM hf"""
+MESSAGES = HASHED + f", msg AS (SELECT key, value FROM ({MESSAGE_OF}))"
 RUNNING = EVENTS + f""", run AS (
   SELECT event_id, us, event_type, ts,
          count(*) OVER (PARTITION BY event_type, us // {DAY} ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS n
@@ -440,3 +441,22 @@ _STORED = f"""{CURRENT}, stored AS (
 ORACLE["ledger_store_live"] = f"""WITH {_STORED} SELECT hash, state, at_us, expires_us FROM stored WHERE expires_us > newest"""
 ORACLE["ledger_store_lookup"] = f"""WITH {_STORED} SELECT hash, state, at_us FROM stored
       WHERE expires_us > newest AND hash IN (SELECT hash FROM log WHERE at_us > newest - 2 * {HOUR})"""
+
+_PUBLISHED = CLASSIFIED + f""", hf_msg AS (SELECT doc_id, octet_length(encode(value)) AS bytes FROM ({MESSAGE_OF}) m),
+      published AS (
+        SELECT l.*, reason = 'accepted' AND bytes > 281 AS refused FROM laned l JOIN hf_msg USING (doc_id)),
+      final AS (
+        SELECT doc_id, kind, CASE WHEN refused THEN 'failed' ELSE lane END AS lane,
+               CASE WHEN refused THEN 'queue_error: message_too_large' ELSE reason END AS reason FROM published)"""
+ORACLE["admission_published"] = f"WITH {_PUBLISHED} SELECT doc_id, lane, reason FROM final"
+ORACLE["outcome_counters_published"] = f"""WITH {_PUBLISHED} SELECT kind,
+        count(*) FILTER (reason <> 'pattern_mismatch') AS detected, count(*) FILTER (reason = 'accepted') AS sent,
+        count(*) FILTER (starts_with(reason, 'queue_error')) AS queue_errors,
+        count(*) FILTER (reason IN ('duplicate', 'lock_held')) AS duplicated,
+        count(*) FILTER (reason IN ('file_too_small', 'file_too_large')) AS rejected,
+        count(*) FILTER (reason IN ('pattern_mismatch', 'file_too_small', 'file_too_large', 'duplicate')) AS ignored
+      FROM final GROUP BY kind"""
+ORACLE["publish_audit"] = f"""WITH {MESSAGES}, m AS (
+        SELECT value, json_extract_string(value, '$.kind') AS kind, octet_length(encode(value)) AS n,
+               CASE WHEN octet_length(encode(value)) > 281 THEN 'message_too_large' END AS error FROM msg)
+      SELECT kind, error, count(*) AS messages, sum(n)::BIGINT AS bytes, count(*) AS attempts FROM m GROUP BY ALL"""
