@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quayside.config import DAY_US
 from quayside.functions import paths, scalars
 from quayside.operators import ordered
+from quayside.session import written
 
 CLEANED_LANES = ("processed", "failed", "ignored")
 
@@ -59,7 +60,7 @@ def empty_closure(dirs: DataFrame, files: DataFrame, protected: DataFrame | None
     kept = directories_of(files)
     if protected is not None:
         kept = kept.unionByName(protected.select("path")).unionByName(directories_of(protected)).distinct()
-    gone = dirs.select("path").join(kept, "path", "left_anti")
+    gone = written(dirs.select("path").join(kept, "path", "left_anti"), "gone")
     depth = F.size(F.split("path", "/"))
     below = gone.withColumn("_depth", depth).select(
         F.explode(F.array_append(paths.ancestors("path"), F.col("path"))).alias("path"), "_depth")

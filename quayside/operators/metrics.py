@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.config import DAY_US, HOUR_US, Buckets
+from quayside.config import DAY_US, Buckets
 from quayside.functions import scalars
 from quayside.operators import ordered, skew
+from quayside.session import written
+
+#: Instants of a gauge that one task puts in order.
+GAUGE_ROWS = 200_000
 
 # Which counters one outcome raises. 'detected' only counts what arrived through the
 # event path and is no archive; see COUNTS_DETECTED.
@@ -58,6 +62,16 @@ def outcome_counters(outcomes: DataFrame, by: Sequence[str], mode: str = "event"
     return outcomes.groupBy(*by).agg(*aggs, F.count_if(failed).alias("storage_errors")).select(*by, *COUNTERS)
 
 
+def total_counters(*parts: DataFrame) -> DataFrame:
+    """One row with all counters, from any number of frames that each have some of them."""
+    every = [p.select(*[F.col(c).cast("long").alias(c) if c in p.columns else F.lit(0).cast("long").alias(c) for c in COUNTERS])
+             for p in parts]
+    both = every[0]
+    for part in every[1:]:
+        both = both.unionByName(part)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in COUNTERS])
+
+
 def histogram(df: DataFrame, value: Column | str, buckets: Buckets, by: Sequence[str] = ()) -> DataFrame:
     """One row per group: cumulative counts per bound (the last one is +Inf), sum and count.
 
@@ -116,18 +130,55 @@ def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id", hot_
     with the same ``name`` per row to measure key sizes on.
     """
     order = ["us", tie]
+
+    def summed(rows: DataFrame, segment: Column | None) -> DataFrame:
+        before = ordered.previous(rows, ["name"], order, "value", "_before", segment)
+        return ordered.running(before, ["name"], order, _increase(F.col("value"), F.col("_before")), "_sum", segment).drop(
+            "_before", skew.SEG)
+
+    out = _over_range(samples, range_us, tie, hot_rows, sizes_from, summed)
+    covered = (F.col("us") - F.col("_first.us")) / F.lit(1_000_000.0)
+    return out.select(
+        *samples.columns,
+        F.when(covered > 0, (F.col("_sum") - F.col("_first.sum")) / covered).alias("rate"))
+
+
+def _increase(value: Column, before: Column) -> Column:
+    """What a counter gained since the sample before; one that fell has started over."""
+    return F.when(before.isNull(), 0.0).when(value < before, value).otherwise(value - before)
+
+
+def bucket_increase(samples: DataFrame, range_us: int, width: int, tie: str = "sample_id", hot_rows: int = skew.HOT_ROWS,
+                    sizes_from: DataFrame | None = None) -> DataFrame:
+    """Adds ``increase``: what each of the ``width`` cumulative bucket counters in ``value`` gained over the trailing range.
+
+    The same as the increase behind ``counter_rate``, bucket by bucket, in the same two passes: running sums of all
+    buckets, then the difference to the sums at the range's start. ``quantile`` over it is a quantile of what happened within
+    the range; dividing by its seconds would change nothing.
+    """
+    order = ["us", tie]
+
+    def summed(rows: DataFrame, segment: Column | None) -> DataFrame:
+        before = ordered.previous(rows, ["name"], order, "value", "_before", segment)
+        gains = {f"_gain{i}": _increase(F.get("value", F.lit(i)), F.get("_before", F.lit(i))) for i in range(width)}
+        return ordered.running_sums(before, ["name"], order, gains, segment).withColumn("_sum", F.array(*gains)).drop(
+            "_before", skew.SEG, *gains)
+
+    out = _over_range(samples, range_us, tie, hot_rows, sizes_from, summed)
+    return out.select(*samples.columns, F.zip_with("_sum", "_first.sum", lambda a, b: a - b).alias("increase"))
+
+
+def _over_range(samples: DataFrame, range_us: int, tie: str, hot_rows: int, sizes_from: DataFrame | None,
+                summed: Callable[[DataFrame, Column | None], DataFrame]) -> DataFrame:
+    """Every sample with its running ``_sum``, as ``summed(rows, segment)`` makes it, and ``_first``: time, tie and sum of the
+    earliest sample of its name within the trailing range."""
+    order = ["us", tie]
     hot = skew.measure(samples if sizes_from is None else sizes_from, ["name"], hot_rows)
     ordinary, large = skew.divide(samples, ["name"], hot)
     parts = [] if ordinary is None else [(ordinary, None, None)]
     if hot is not None:
         parts.append((skew.pin(large, ["name"], order, hot.segments()), F.col(skew.SEG), hot))
 
-    def summed(rows: DataFrame, segment: Column | None) -> DataFrame:
-        before = ordered.previous(rows, ["name"], order, "value", "_before", segment)
-        value, prev = F.col("value"), F.col("_before")
-        delta = F.when(prev.isNull(), 0.0).when(value < prev, value).otherwise(value - prev)
-        return ordered.running(before, ["name"], order, delta, "_sum", segment).drop("_before", skew.SEG)
-
     def looked_up(rows: DataFrame, segment: Column | None) -> DataFrame:
         passed = F.when(~F.col("_asks"), F.struct("us", F.col(tie).alias("tie"), F.col("_sum").alias("sum")))
         seen = ordered.running(rows, ["name"], backward, passed, "_first", segment, "min")
@@ -146,10 +197,7 @@ def counter_rate(samples: DataFrame, range_us: int, tie: str = "sample_id", hot_
             cut = skew.pin(points, ["name"], backward, size.segments(2))
             answered = looked_up(cut, F.col(skew.SEG)).drop(skew.SEG)
         out = answered if out is None else out.unionByName(answered)
-    covered = (F.col("us") - F.col("_first.us")) / F.lit(1_000_000.0)
-    return out.select(
-        *samples.columns,
-        F.when(covered > 0, (F.col("_sum") - F.col("_first.sum")) / covered).alias("rate"))
+    return out
 
 
 def daily_running(events: DataFrame, keys: Sequence[str], us: str = "us", tie: str = "event_id",
@@ -177,11 +225,11 @@ def reset_epochs(events: DataFrame, keys: Sequence[str], is_reset: Column, count
     return skew.by_size(events, keys, [us, tie], count, hot_rows)
 
 
-def gauge(intervals: DataFrame, start: str, stop: str, segment_us: int = HOUR_US) -> DataFrame:
+def gauge(intervals: DataFrame, start: str, stop: str, hot_rows: int = GAUGE_ROWS) -> DataFrame:
     """How many intervals are open after each instant at which one starts or ends.
 
-    Changes at the same instant are combined first, on the map side. All instants form one history,
-    which is cut by time without measuring it.
+    Changes at the same instant are combined first, on the map side. All instants form one history; a long one is cut
+    into evenly filled segments, however dense some of its hours are.
     """
     edges = F.array(F.struct(F.col(start).alias("us"), F.lit(1).alias("d")),
                     F.struct(F.col(stop).alias("us"), F.lit(-1).alias("d")))
@@ -189,8 +237,9 @@ def gauge(intervals: DataFrame, start: str, stop: str, segment_us: int = HOUR_US
         intervals.select(F.explode(edges).alias("e")).groupBy(F.col("e.us").alias("us"))
         .agg(F.sum("e.d").alias("change"))
     )
-    return ordered.running(changes, [], ["us"], F.col("change"), "open",
-                           ordered.time_segment("us", segment_us)).select("us", "change", "open")
+    return skew.by_size(
+        written(changes, "changes"), [], ["us"],
+        lambda rows, segment: ordered.running(rows, [], ["us"], F.col("change"), "open", segment), hot_rows).select("us", "change", "open")
 
 
 def backlog(intervals: DataFrame, submitted: str, started: str) -> DataFrame:
@@ -221,3 +270,21 @@ def distinct_content(files: DataFrame, approximate: bool = False) -> DataFrame:
     """Files and distinct contents per kind."""
     distinct = F.approx_count_distinct("hash") if approximate else F.count_distinct("hash")
     return files.groupBy("kind").agg(F.count("*").alias("files"), distinct.alias("contents"))
+
+
+def content_sketches(files: DataFrame, by: Sequence[str], lg: int = 14) -> DataFrame:
+    """Files and a mergeable sketch of their distinct contents per group: rows of bounded size that can be kept and merged
+    over any range later. The error of an estimate is about 1.04 / sqrt(2 ** lg), 0.8 % by default."""
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.hll_sketch_agg("hash", F.lit(lg)).alias("sketch"))
+
+
+def merged_contents(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Files and estimated distinct contents of groups of kept sketches."""
+    return sketches.groupBy(*by).agg(
+        F.sum("files").alias("files"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("contents_about"))
+
+
+def trailing(at: Column | str, width: int) -> Column:
+    """The numbers of the ``width`` periods whose trailing range holds period ``at``."""
+    first = F.col(at) if isinstance(at, str) else at
+    return F.sequence(first, first + F.lit(width - 1).cast("long"))

@@ -16,8 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quayside.operators import skew
+from quayside.session import written
+
 ROW = "_is_row"
-SALTS = 10_000
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -58,6 +60,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Col
     )
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                 segment: Column | None = None) -> DataFrame:
+    """Running sums of several values in one pass, each under its name; like ``running``."""
+    if segment is None:
+        so_far = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({name: F.sum(value).over(so_far) for name, value in values.items()})
+    parts = {name: f"_part{i}" for i, name in enumerate(values)}
+    rows = df.withColumn("_cut", segment).withColumns({parts[n]: v for n, v in values.items()})
+    totals = rows.groupBy(*keys, "_cut").agg(*[F.sum(p).alias(p) for p in parts.values()])
+    earlier = _window(keys, ["_cut"]).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumns({p: F.sum(p).over(earlier) for p in parts.values()}).filter(
+        F.coalesce(*parts.values()).isNotNull()).withColumn(ROW, F.lit(0))
+    so_far = _window([*keys, "_cut"], [ROW, *order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.withColumn(ROW, F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    return both.withColumns({n: F.sum(p).over(so_far) for n, p in parts.items()}).filter(F.col(ROW) == 1).drop(
+        ROW, "_cut", *parts.values())
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], field: str, out: str,
              segment: Column | None = None) -> DataFrame:
     """``field`` of the key's previous row, NULL on the first one."""
@@ -74,22 +94,15 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], field: st
         F.col(ROW) == 1).drop(ROW, "_cut")
 
 
-def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "is_first",
-                   salts: int = SALTS) -> DataFrame:
-    """Marks the first row per key in ``order`` (a total order) and keeps every row.
+def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "is_first") -> DataFrame:
+    """Marks the first row per key in ``order`` (a total order) and keeps every row. Null keys are a key of their own.
 
-    A hot key is spread over ``salts`` groups; only their local firsts, at most ``salts`` rows per key,
-    meet again to find the one winner.
+    The firsts are combined on the map side, one row per key and task, and are a table of their own, so the
+    adaptive join may split a hot key's rows. ``df`` is read twice; hand in a written table where it is expensive.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
-    # Local losers keep their salt as group, so the second shuffle spreads them just as well.
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_local", F.row_number().over(_window([*keys, "_salt"], order)))
-        .withColumn("_group", F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_salt")))
-        .withColumn(out, (F.row_number().over(_window([*keys, "_group"], order)) == 1) & (F.col("_group") == -1))
-        .drop("_salt", "_local", "_group")
-    )
+    first = written(df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")), "first")
+    met = df.join(skew.renamed(first, keys), skew.same(keys), "left")
+    return met.withColumn(out, F.struct(*order).eqNullSafe(F.col("_first"))).select(*df.columns, out)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, rank: str = "rank") -> DataFrame:

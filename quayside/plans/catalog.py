@@ -5,15 +5,15 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.config import DAY_US, HOUR_US, PROCESSING_SECONDS, SIZE_BYTES, AdmissionConfig, LedgerTtl, RetryConfig
 from quayside.functions import paths, patterns, scalars
-from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, stability
+from quayside.operators import filters, housekeeping, ledger, metrics, ordered, retry, rules, sequential, skew, stability
 from quayside.plans import admission, bindings, event_path
 from quayside.plans.bindings import EPOCH_US
-from quayside.session import scratch, written
+from quayside.session import hadoop_path, scratch, written
 from quayside.sinks import messages as sink
 from quayside.sinks import publish
 from quayside.sources import archives, exposition, landing, messages
@@ -218,12 +218,9 @@ def archive_members(spark, sf_dir):
 
 @query
 def files_with_members(spark, sf_dir):
-    zipped = _archives(spark, sf_dir).select(
-        "path", F.lit(None).cast("timestamp").alias("modificationTime"),
-        F.octet_length("content").cast("long").alias("length"), "content")
     plain = bindings.files(spark, sf_dir).select(
         "path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", "content")
-    both = archives.with_members(plain.unionByName(zipped))
+    both = archives.plain_and_members(plain, _archives(spark, sf_dir))
     named = both.withColumn("kind", F.when(F.col("error").isNull(), paths.kind("path")).otherwise("failed"))
     return named.groupBy("kind").agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
@@ -388,7 +385,7 @@ def failed_reason_unpack(spark, sf_dir):
 
 @query
 def single_winner(spark, sf_dir):
-    f = bindings.hashed_files(spark, sf_dir).select("doc_id", "hash", "arrived_us", "path")
+    f = bindings.hashed_table(spark, sf_dir, "arrived_us", "path")
     return ordered.first_of_group(f, ["hash"], ["arrived_us", "path", "doc_id"], "wins").select(
         "doc_id", "hash", "wins")
 
@@ -515,6 +512,23 @@ def counter_rate(spark, sf_dir):
     return r.select("sample_id", "name", F.round("rate", 9).alias("rate"))
 
 
+@query
+def sliding_quantiles(spark, sf_dir):
+    """p50, p95 and p99 at every event of what its type took within the hours before, from bucket counters that start over daily."""
+    e = bindings.events(spark, sf_dir).select("event_id", "us", "event_type", scalars.bucket_index(
+        F.col("value") / 10, PROCESSING_SECONDS).alias("bucket")).withColumn("day", ordered.time_segment("us", DAY_US))
+    width = PROCESSING_SECONDS.count + 1
+    per_day = ["event_type", "day"]
+    counts = {f"le{i}": F.when(F.col("bucket") <= i, 1).otherwise(0) for i in range(width)}
+    counted = skew.by_size(e, per_day, ["us", "event_id"], lambda rows, segment: ordered.running_sums(
+        rows, per_day, ["us", "event_id"], counts, segment))
+    samples = counted.select(F.col("event_type").alias("name"), "us", F.col("event_id").alias("sample_id"),
+                             F.array(*[F.col(c).cast("double") for c in counts]).alias("value"))
+    out = metrics.bucket_increase(samples, RANGE_US, width, sizes_from=e.select(F.col("event_type").alias("name")))
+    return out.select("sample_id", *[F.round(metrics.quantile(q, PROCESSING_SECONDS, "increase"), 6).alias(name)
+                                     for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
 @query
 def daily_running_counter(spark, sf_dir):
     e = bindings.events(spark, sf_dir).select("event_id", "us", "event_type", "ts")
@@ -556,6 +570,46 @@ def distinct_content(spark, sf_dir):
     return metrics.distinct_content(f)
 
 
+@query
+def trailing_contents(spark, sf_dir):
+    """Distinct contents per kind over the trailing four hours, exact and from hourly sketches."""
+    f = bindings.hashed_table(spark, sf_dir, "filename", "arrived_us").select(
+        paths.kind("filename").alias("kind"), F.floor(F.col("arrived_us") / HOUR_US).alias("hour"), "hash")
+    kept = written(metrics.content_sketches(f, ["kind", "hour"]), "sketches")
+    ranges = F.explode(metrics.trailing("hour", 4)).alias("until")
+    about = metrics.merged_contents(kept.select("kind", "files", "sketch", ranges), ["kind", "until"])
+    exact = f.distinct().select("kind", "hash", ranges).groupBy("kind", "until").agg(F.count_distinct("hash").alias("contents"))
+    return about.join(exact, ["kind", "until"]).select(
+        "kind", "until", "files", "contents",
+        (F.abs(F.col("contents_about") - F.col("contents")) <= 0.03 * F.col("contents") + 1).alias("estimate_holds"))
+
+
+@query
+def dry_run(spark, sf_dir):
+    """How many work messages there would be, and of what size; nothing is kept."""
+    seen = Observation("dry-run")
+    sink.NoopSink().write(_messages(spark, sf_dir).observe(
+        seen, F.count("*").alias("messages"), F.coalesce(F.sum(F.octet_length("value").cast("long")), F.lit(0).cast("long")).alias("bytes")))
+    got = seen.get
+    return spark.createDataFrame([(got["messages"], got["bytes"])], "messages long, bytes long")
+
+
+@query
+def lane_folders(spark, sf_dir):
+    """Outcomes written to a folder per lane; each lane is read from its folder alone."""
+    place = scratch(spark, "lanes")
+    sink.write_lanes(_classified(spark, sf_dir).select("doc_id", "length", "reason", "lane"), place)
+    lanes = spark.read.schema("doc_id long, length long, reason string, lane string").option("basePath", place)
+    out = None
+    for lane in sorted(set(admission.LANES.values())):
+        fs, folder = hadoop_path(spark, f"{place}/lane={lane}")
+        if fs.exists(folder):
+            part = lanes.parquet(f"{place}/lane={lane}")
+            out = part if out is None else out.unionByName(part)
+    out = out if out is not None else spark.createDataFrame([], "doc_id long, length long, reason string, lane string")
+    return out.groupBy("lane").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count("reason").alias("with_reason"))
+
+
 @query
 def exposition_parse(spark, sf_dir):
     e = bindings.events(spark, sf_dir)
@@ -613,13 +667,29 @@ def empty_directories(spark, sf_dir):
     return housekeeping.empty_directories(dirs, entries, protected)
 
 
-@query
-def empty_directory_closure(spark, sf_dir):
-    dirs = housekeeping.directories_of(bindings.page_files(spark, sf_dir))
+def _vanishing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = written(housekeeping.directories_of(bindings.page_files(spark, sf_dir)), "dirs")
     protected = dirs.filter(paths.basename("path") == "de")
     return housekeeping.empty_closure(dirs, bindings.kept_page_files(spark, sf_dir), protected)
 
 
+@query
+def empty_directory_closure(spark, sf_dir):
+    return _vanishing(spark, sf_dir)
+
+
+@query
+def counters_of_all_stages(spark, sf_dir):
+    """All counters of the landing zone, raised by admission and publishing, by archives that can not be opened, and by clean-up."""
+    outcomes = _publish_accepted(spark, sf_dir).withColumn("reason", F.coalesce("reason", F.lit("accepted")))
+    failed = archives.expand(_archives(spark, sf_dir)).filter("error IS NOT NULL").select(
+        F.substring_index("error", ":", 1).alias("reason"))
+    return metrics.total_counters(
+        metrics.outcome_counters(outcomes, [], "event", is_archive=paths.is_archive("filename")),
+        metrics.outcome_counters(failed, [], "event", is_archive=F.lit(True)),
+        _vanishing(spark, sf_dir).agg(F.count("*").alias("empty_directories_removed")))
+
+
 @query
 def protected_dirs(spark, sf_dir):
     host = F.concat(F.lit("/"), F.split("path", "/")[1])

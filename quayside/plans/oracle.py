@@ -460,3 +460,34 @@ ORACLE["publish_audit"] = f"""WITH {MESSAGES}, m AS (
         SELECT value, json_extract_string(value, '$.kind') AS kind, octet_length(encode(value)) AS n,
                CASE WHEN octet_length(encode(value)) > 281 THEN 'message_too_large' END AS error FROM msg)
       SELECT kind, error, count(*) AS messages, sum(n)::BIGINT AS bytes, count(*) AS attempts FROM m GROUP BY ALL"""
+ORACLE["sliding_quantiles"] = f"""WITH {EVENTS}, o AS (
+        SELECT event_id, us, event_type, us // {DAY} AS day, i, (i = 15 OR value / 10 <= ({bounds(PROCESSING_SECONDS)})[i + 1])::INT AS hit
+        FROM ev, unnest(range(16)) AS t(i)),
+      c AS (SELECT *, sum(hit) OVER (PARTITION BY event_type, day, i ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS c FROM o),
+      d AS (SELECT *, CASE WHEN lag(c) OVER w IS NULL THEN 0 WHEN c < lag(c) OVER w THEN c ELSE c - lag(c) OVER w END AS gain
+            FROM c WINDOW w AS (PARTITION BY event_type, i ORDER BY us, event_id)),
+      s AS (SELECT *, sum(gain) OVER (PARTITION BY event_type, i ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM d),
+      r AS (SELECT event_id, i, (s - min(s) OVER (PARTITION BY event_type, i ORDER BY us
+                                 RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW))::DOUBLE AS x FROM s),
+      g AS (SELECT event_id, list(x ORDER BY i) AS cum, max(x) AS n, {bounds(PROCESSING_SECONDS)} AS bs FROM r GROUP BY event_id)
+      SELECT event_id AS sample_id, CASE WHEN n > 0 THEN {quantile(0.5, PROCESSING_SECONDS)} END AS p50,
+             CASE WHEN n > 0 THEN {quantile(0.95, PROCESSING_SECONDS)} END AS p95,
+             CASE WHEN n > 0 THEN {quantile(0.99, PROCESSING_SECONDS)} END AS p99 FROM g"""
+ORACLE["trailing_contents"] = f"""WITH {HASHED}, h AS (SELECT kind, arrived_us // {HOUR} AS hour, hash FROM hf),
+      u AS (SELECT DISTINCT kind, unnest(range(hour, hour + 4)) AS until FROM h)
+      SELECT u.kind, u.until, count(*) AS files, count(DISTINCT hash) AS contents, TRUE AS estimate_holds
+      FROM u JOIN h ON h.kind = u.kind AND h.hour BETWEEN u.until - 3 AND u.until GROUP BY ALL"""
+ORACLE["dry_run"] = f"""WITH {MESSAGES} SELECT count(*) AS messages, coalesce(sum(octet_length(encode(value))), 0)::BIGINT AS bytes FROM msg"""
+ORACLE["lane_folders"] = f"""WITH {CLASSIFIED} SELECT lane, count(*) AS files, sum(length)::BIGINT AS bytes,
+        count(*) FILTER (reason <> 'accepted') AS with_reason FROM laned GROUP BY lane"""
+ORACLE["counters_of_all_stages"] = f"""WITH {_PUBLISHED}, c AS (SELECT
+          count(*) FILTER (reason <> 'pattern_mismatch') AS detected, count(*) FILTER (reason = 'accepted') AS sent,
+          count(*) FILTER (reason = 'accepted') AS processed,
+          count(*) FILTER (reason IN ('duplicate', 'lock_held')) AS duplicated,
+          count(*) FILTER (reason IN ('file_too_small', 'file_too_large')) AS rejected,
+          count(*) FILTER (reason IN ('pattern_mismatch', 'file_too_small', 'file_too_large', 'duplicate')) AS ignored,
+          count(*) FILTER (starts_with(reason, 'queue_error')) AS queue_errors FROM final)
+      SELECT detected, sent, processed, duplicated, rejected, ignored,
+        (SELECT count(DISTINCT doc_id // 25) FROM documents WHERE doc_id // 25 % 10 = 9) AS watcher_errors, queue_errors,
+        0::BIGINT AS storage_errors, 0::BIGINT AS rate_limit_waits, 0::BIGINT AS rate_limit_dropped,
+        (SELECT count(*) FROM ({ORACLE['empty_directory_closure']})) AS empty_directories_removed FROM c"""

@@ -96,11 +96,14 @@ def with_members(files: DataFrame, max_depth: int = DEEPEST, content_limit: int
     A failed archive stays as one row with ``error`` set and nothing else known.
     """
     zipped = paths.is_archive("path")
-    plain = files.filter(~zipped).select(
-        "path", "modificationTime", "length", "content", F.lit(None).cast("string").alias("error"))
-    members = expand(files.filter(zipped), content_limit, max_depth).select(
+    return plain_and_members(files.filter(~zipped), files.filter(zipped), max_depth, content_limit)
+
+
+def plain_and_members(plain: DataFrame, zipped: DataFrame, max_depth: int = DEEPEST, content_limit: int | None = None) -> DataFrame:
+    """``with_members`` where plain files and archives come from different places: neither is read for the other."""
+    members = expand(zipped, content_limit, max_depth).select(
         "path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", "content", "error")
-    return plain.unionByName(members)
+    return plain.select("path", "modificationTime", "length", "content", F.lit(None).cast("string").alias("error")).unionByName(members)
 
 
 def audit(members: DataFrame, archive: str = "archive", member: str = "member", dest: str = "dest") -> DataFrame:

@@ -193,7 +193,7 @@ def test_counters_follow_the_outcome_table(spark):
 
 def test_gauges(spark):
     df = spark.createDataFrame([(0, 10), (5, 10), (10, 20)], "a long, b long")
-    got = [(r["us"], r["change"], r["open"]) for r in metrics.gauge(df, "a", "b", segment_us=7).orderBy("us").collect()]
+    got = [(r["us"], r["change"], r["open"]) for r in metrics.gauge(df, "a", "b", 2).orderBy("us").collect()]
     assert got == [(0, 1, 1), (5, 1, 2), (10, -1, 1), (20, -1, 0)]
     assert metrics.backlog(df, "a", "b").first()["peak"] == 2
 

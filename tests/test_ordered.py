@@ -61,9 +61,8 @@ def test_global_running_by_time(spark, table, rows):
     assert {r["id"]: r["n"] for r in out.collect()} == {i: n + 1 for n, (_, _, i, _, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("salts", [1, 7])
-def test_first_of_group(spark, table, rows, salts):
-    out = ordered.first_of_group(table, ["key"], ["us", "id"], "wins", salts).collect()
+def test_first_of_group(spark, table, rows):
+    out = ordered.first_of_group(table, ["key"], ["us", "id"], "wins").collect()
     seen, want = set(), {}
     for key, _, i, _, _ in rows:
         want[i] = key not in seen
@@ -95,6 +94,35 @@ def test_counter_rate(spark, rows, table, hot_rows):
             assert got[i] is None
 
 
+def test_first_of_null_keys(spark):
+    df = spark.createDataFrame([(None, 2, "a"), (None, 1, None), ("x", None, "b"), ("x", 3, "c")], "key string, us long, id string")
+    out = {(r["us"], r["id"]): r["wins"] for r in ordered.first_of_group(df, ["key"], ["us", "id"], "wins").collect()}
+    assert out == {(2, "a"): False, (1, None): True, (None, "b"): True, (3, "c"): False}
+
+
+@pytest.mark.parametrize("hot_rows", [60, 10**6])
+def test_bucket_increase(spark, rows, table, hot_rows):
+    """Bucket by bucket the same as for one counter, whose buckets are its value, half of it, and none."""
+    span = 900_000_000
+    value = F.array(F.col("value"), F.floor(F.col("value") / 2).cast("double"), F.lit(0.0))
+    samples = table.select(F.col("key").alias("name"), "us", F.col("id").alias("sample_id"), value.alias("value"))
+    got = {r["sample_id"]: r["increase"] for r in metrics.bucket_increase(samples, span, 3, hot_rows=hot_rows).collect()}
+    history = {}
+    for key, us, i, _, v in rows:
+        history.setdefault(key, []).append((us, (v, float(v // 2), 0.0)))
+        frame = [x for t, x in history[key] if t >= us - span]
+        want = [sum(b[n] if b[n] < a[n] else b[n] - a[n] for a, b in zip(frame, frame[1:])) for n in range(3)]
+        assert got[i] == pytest.approx(want, abs=1e-6), (key, i)
+
+
+@pytest.mark.parametrize("hot_rows", [60, 10**6])
+def test_gauge(spark, rows, hot_rows):
+    df = spark.createDataFrame([(us, us + (i % 9) * 500_000_000) for _, us, i, _, _ in rows], "a long, b long")
+    got = {r["us"]: r["open"] for r in metrics.gauge(df, "a", "b", hot_rows).collect()}
+    spans = [(r["a"], r["b"]) for r in df.collect()]
+    assert got == {t: sum(a <= t for a, _ in spans) - sum(b <= t for _, b in spans) for t in {x for s in spans for x in s}}
+
+
 @pytest.mark.parametrize("hot_rows", [60, 10**6])
 def test_daily_and_reset_counters(spark, rows, table, hot_rows):
     daily = metrics.daily_running(table, ["key"], tie="id", hot_rows=hot_rows)
