@@ -7,11 +7,13 @@ short); the others are long lists, which are only probed. The steps:
 1. Read the texts: a set's size, a 64-bit name of the set, and a parity sketch. Equal sets are one node from here on.
    Shingles that occur often are counted on the way; being known as frequent only moves a shingle to the end
    of the order, so the result does not depend on how well they are counted.
-2. Read the texts again: first shingles to buckets. Nodes that meet in a short list and can still reach T, by their sizes
-   and by their places in the order, are candidates. A list of frequent shingles is handled by plain joins:
-   first its most central node with all others, later, among what is then not yet in one component, the rest.
+2. Read the texts again: first shingles to buckets. Nodes that meet in a list of a few entries and can still reach T, by
+   their sizes and by their places in the order, are candidates. In a longer list all meet its smallest node first, which
+   is one for nearly all lists of a group of copies; later, among what is then not yet in one component, the rest.
+   So candidates grow with the lists' entries, not with the pairs of a group.
 3. The sketches give a lower bound on the symmetric difference and drop most false candidates.
-4. What is left is counted exactly: short lists by a heap merge, long ones by binary probes.
+4. What is left is counted exactly: short lists by a heap merge, long ones by binary probes. A query's set is sent once for
+   every ``SPOKES`` partners, theirs once per candidate.
 5. Connected components of the links.
 """
 
@@ -28,7 +30,7 @@ from quayside.session import written
 
 NULL_LAST = (1 << 63) - 1
 SLICE, BUCKET_BYTES, GATHER = 4 << 20, 2 << 20, 2_000_000
-FREQUENT, MOST_FREQUENT, LONG_LIST = 16, 1 << 19, 256
+FREQUENT, MOST_FREQUENT, LONG_LIST, SPOKES = 16, 1 << 19, 4, 64
 SKETCH_BITS = 2048
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 ENTRY = [("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rank", "<u4")]
@@ -59,12 +61,12 @@ def shingle_sets(texts: list[bytes], k: int) -> list:
     return out
 
 
-def name_of(tokens) -> tuple[int, int]:
+def name_of(tokens, seed: int = 0) -> tuple[int, int]:
     """Two independent 63-bit names of a set."""
     import xxhash
 
     data = tokens.tobytes()
-    return xxhash.xxh3_64_intdigest(data) >> 1, xxhash.xxh64_intdigest(data) >> 1
+    return xxhash.xxh3_64_intdigest(data, seed) >> 1, xxhash.xxh64_intdigest(data) >> 1
 
 
 def sketch_of(tokens) -> bytes:
@@ -138,21 +140,22 @@ def divide_skip(query: list[int], sets: list[list[int]], needed: list[int]) -> l
 
 
 def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
-           text_col: str = "text", long_list: int = LONG_LIST, with_hash: bool = False) -> DataFrame:
+           text_col: str = "text", long_list: int = LONG_LIST, with_hash: bool = False, seed: int = 0) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id (the smallest id reachable by links), and with
     ``with_hash`` text_sha256, where a null text counts as empty.
 
     Links join documents whose sets have inter / union >= num / den; a text without words, or null, has an empty set
     and no link. Equal sets are linked. Null ids count as larger than all others; a component of null ids only has
     a null component_id, and documents without links have their own id. Rows that repeat an id are documents of their
-    own. Other columns are left out. An empty table gives no rows.
+    own. Other columns are left out. An empty table gives no rows. Sets are told apart by 63-bit names; should two
+    share one, all is done again with names from the next ``seed``.
     """
     spark, like = df.sparkSession, Similarity(num, den)
     buckets = total_bytes(df, text_col) // BUCKET_BYTES + 1
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("doc"),
                      F.col(id_col).isNull().alias("no_id"), text_bytes(text_col).alias("text"))
     sha = F.sha2("text", 256) if with_hash else F.lit(None).cast("string")
-    docs = docs.withColumn("tag", F.crc32("text")).withColumn("sha", sha)
+    docs = docs.withColumn("tag", F.md5("text")).withColumn("sha", sha)
 
     def profile(batches):
         import numpy as np
@@ -166,14 +169,14 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
             for b, s, e in parts(tokens, buckets):
                 yield {"kind": 1, "bucket": b, "tokens": tokens[s:e].tobytes(), "counts": counts[s:e].tobytes()}
 
-        schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no_id", pa.bool_()), ("tag", pa.int64()), ("sha", pa.string()), ("n", pa.int64()),
+        schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no_id", pa.bool_()), ("tag", pa.string()), ("sha", pa.string()), ("n", pa.int64()),
                             ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary()),
                             ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
         for whole in batches:
             for batch in slices(whole, SLICE):
                 sets, rows = shingle_sets(batch.column("text").to_pylist(), words), []
                 for doc, no_id, tag, sha, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc", "no_id", "tag", "sha")), sets):
-                    node, other = name_of(tokens) if len(tokens) else (None, None)
+                    node, other = name_of(tokens, seed) if len(tokens) else (None, None)
                     rows.append({"kind": 0, "doc": doc, "no_id": no_id, "tag": tag, "sha": sha, "n": len(tokens), "node": node, "other": other,
                                  "sketch": sketch_of(tokens) if len(tokens) else None})
                     if len(tokens) and node not in seen:
@@ -187,7 +190,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         if held:
             yield pa.RecordBatch.from_pylist(list(often()), schema)
 
-    first = written(docs.mapInArrow(profile, "kind int, doc long, no_id boolean, tag long, sha string, n long, node long, other long, "
+    first = written(docs.mapInArrow(profile, "kind int, doc long, no_id boolean, tag string, sha string, n long, node long, other long, "
                                     "sketch binary, bucket int, tokens binary, counts binary"), "profiles")
     seen_often = frequent_tokens(first)
     sent = spark.sparkContext.broadcast(seen_often)
@@ -195,7 +198,8 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         F.min(F.struct("doc", "tag")).alias("rep"), F.min("other").alias("other"), F.max("other").alias("differs"), F.max("n").alias("n"),
         F.max("sketch").alias("sketch")), "nodes")
     if classes.filter("other != differs").count():
-        raise RuntimeError("two different sets have one name")
+        drop(spark, first, classes)
+        return groups(df, words, num, den, id_col, text_col, long_list, with_hash, seed + 1)
 
     def prefixes(batches):
         import numpy as np
@@ -208,7 +212,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
                 for tokens in shingle_sets(batch.column("text").to_pylist(), words):
                     if not len(tokens):
                         continue
-                    node = name_of(tokens)[0]
+                    node = name_of(tokens, seed)[0]
                     if node in seen:
                         continue
                     seen.add(node)
@@ -258,14 +262,14 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         meet, "a long, b long, token long, n long, rank long"), "met")
     free_shuffles(spark)
     lists = met.filter("b IS NULL").select("token", F.col("a").alias("node"), "n", "rank").distinct()
-    center = lists.groupBy("token").agg(F.min(F.struct("rank", "node", "n")).alias("c"))
+    center = lists.groupBy("token").agg(F.min(F.struct("node", "rank", "n")).alias("c"))
     spokes = lists.join(center, "token").filter("node != c.node").filter(reach_sql(like, "n", "rank", "c.n", "c.rank"))
     near = met.filter("b IS NOT NULL").select("a", "b").union(spokes.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
     links = verified(spark, docs, classes, near.distinct(), like, words)
     if not lists.isEmpty():
         label = components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "label")
         known = written(lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "lists")
-        center = known.groupBy("token").agg(F.min(F.struct("rank", "node", "label")).alias("c"))
+        center = known.groupBy("token").agg(F.min(F.struct("node", "label")).alias("c"))
         outside = known.join(center, "token").filter("label != c.label").select(
             "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"))
         rest = outside.join(known, "token").filter("label != xl").filter(reach_sql(like, "n", "rank", "xn", "xr"))
@@ -347,34 +351,45 @@ def verified(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, like:
 
     x = classes.selectExpr("node as a", "rep as x", "n as xn", "sketch as xs")
     y = classes.selectExpr("node as b", "rep as y", "n as yn", "sketch as ys")
-    schema = "a long, b long, x struct<doc: long, tag: long>, y struct<doc: long, tag: long>"
+    schema = "a long, b long, x struct<doc: long, tag: string>, y struct<doc: long, tag: string>"
     left = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xn", "yn", "xs", "ys").mapInArrow(possible, schema), "possible")
     asked = left.select("x.doc", "x.tag").union(left.select("y.doc", "y.tag")).distinct()
     texts = written(docs.select("doc", "tag", "text").join(asked, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]), "texts")
     free_shuffles(spark)
-    a = texts.select(F.struct("doc", "tag").alias("x"), F.col("text").alias("xt"))
-    b = texts.select(F.struct("doc", "tag").alias("y"), F.col("text").alias("yt"))
+    # The query of a pair is its smaller node, whose text goes before those of its partners, in groups of ``SPOKES``.
+    many = written(left.groupBy("a", "x").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("hands")), "queries")
+    theirs = left.join(many.select("a", "hands"), "a").join(texts.select(F.struct("doc", "tag").alias("y"), "text"), "y").select(
+        "a", F.pmod(F.xxhash64("b"), "hands").cast("int").alias("hand"), "b", "text")
+    own = many.join(texts.select(F.struct("doc", "tag").alias("x"), "text"), "x").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("hand"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = own.union(theirs).repartition("a", "hand").sortWithinPartitions("a", "hand", F.col("b").asc_nulls_first())
 
     def count(batches):
         import pyarrow as pa
 
+        place, query = None, []
         for whole in batches:
-            for batch in slices(whole, SLICE, "yt"):
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                sets = shingle_sets(batch.column("yt").to_pylist(), words)
-                rows: dict[int, list[int]] = {}
-                for i, node in enumerate(a):
-                    rows.setdefault(node, []).append(i)
-                out = []
-                for node, mine in rows.items():
-                    query = shingle_sets([batch.column("xt")[mine[0]].as_py()], words)[0].tolist()
-                    others = [sets[i].tolist() for i in mine]
-                    needed = [like.overlap(len(query), len(o)) for o in others]
-                    out += [mine[i] for i in divide_skip(query, others, needed)]
-                if out:
-                    yield pa.RecordBatch.from_pydict({"a": [a[i] for i in out], "b": [b[i] for i in out]})
-
-    found = left.join(a, "x").join(b, "y").select("a", "b", "xt", "yt").mapInArrow(count, "a long, b long")
-    done = written(found, "links")
-    drop(spark, left, texts)
+            for batch in slices(whole, SLICE):
+                sets = shingle_sets(batch.column("text").to_pylist(), words)
+                found, waiting, numbers = ([], []), [], []
+
+                def settle():
+                    needed = [like.overlap(len(query), len(o)) for o in waiting]
+                    for i in divide_skip(query, waiting, needed):
+                        found[0].append(place[0])
+                        found[1].append(numbers[i])
+
+                for a, hand, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "hand", "b")), sets):
+                    if b is None:
+                        settle()
+                        place, query, waiting, numbers = (a, hand), tokens.tolist(), [], []
+                    else:
+                        waiting.append(tokens.tolist())
+                        numbers.append(b)
+                settle()
+                if found[0]:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    done = written(dealt.mapInArrow(count, "a long, b long"), "links")
+    drop(spark, left, texts, many)
     return done
