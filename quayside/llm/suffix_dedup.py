@@ -31,10 +31,12 @@ ANCHOR, SLICE, CHUNK, PIECE = 16, 4 << 20, 256 << 10, 1 << 20
 BUCKET_BYTES, BLOCK_BYTES, MANY = 1 << 20, 2 << 20, 4096
 NULL_LAST = (1 << 63) - 1
 SETTLED, OPEN, SPREAD = 1, 2, 3
+#: Repeated ids that are broadcast.
+MOST_REPEATED = 100_000
 MULTIPLIER, POWER, MIX = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9
-RUN = [("h", "<u4"), ("h2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("n", "<u2")]
+RUN = [("h", "<u4"), ("h2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<u4"), ("n", "<u2")]
 NARROW = [(n, "<u4" if n == "doc" else t) for n, t in RUN]
-MARK = [("doc", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("n", "<u4"), ("h", "<u4")]
+MARK = [("doc", "<i8"), ("tag", "<i8"), ("lo", "<u4"), ("n", "<u4"), ("h", "<u4")]
 
 
 class Hasher:
@@ -214,8 +216,7 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
     total = total_bytes(df, text_col)
     buckets, blocks = total // BUCKET_BYTES + 1, total // BLOCK_BYTES + 1
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
-                       F.crc32("text").alias("tag"), "text")
+    docs = tagged(docs.select(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "text"))
 
     # Pass 1: runs to the buckets of their anchors; what a slice settles alone goes along to its block.
     def send(batches):
@@ -343,11 +344,11 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
         data = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
         n = rows["n"].astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(n + threshold - 1)[:-1]])
-        of = np.repeat(np.arange(len(rows)), n)
-        within = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        doc = rows["doc"].astype(np.int64)
-        at, first = repeated_windows(data, begin[of] + within, doc[of], threshold)
-        late = doc[of[at]] > first
+        of = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        within = (np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)).astype(np.int32)
+        _, rank = np.unique(rows["doc"], return_inverse=True)
+        at, first = repeated_windows(data, begin, of, within, rank.astype(np.int32), threshold)
+        late = rank[of[at]] > first
         at = np.sort(at[late])
         if not len(at):
             return
@@ -409,6 +410,30 @@ def repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col
     return done
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc, text) with ``tag``, which tells apart different texts of one doc.
+
+    It is 0 where a doc has one row. Where rows repeat it, it is a 64-bit hash of the text, with a seed under which no two
+    texts of a doc share one; that is looked up with their MD5. With very many repeated docs all rows are hashed, so that
+    what is broadcast stays small.
+    """
+    repeated = written(docs.groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc"), "repeated")
+    many = repeated.count()
+    if not many:
+        return docs.withColumn("tag", F.lit(0).cast("long"))
+    several = F.lit(True)
+    if many <= MOST_REPEATED:
+        docs = docs.join(F.broadcast(repeated.withColumn("several", F.lit(True))), "doc", "left")
+        several = F.coalesce("several", F.lit(False))
+    for seed in range(16):
+        rows = docs.withColumn("tag", F.when(several, F.xxhash64(F.lit(seed), "text")).otherwise(F.lit(0).cast("long"))).drop("several")
+        text = F.md5("text")
+        shared = rows.filter("tag != 0").groupBy("doc", "tag").agg(F.min(text).alias("a"), F.max(text).alias("b")).filter("a != b")
+        if shared.isEmpty():
+            return rows
+    raise RuntimeError("every seed gives two texts of one document id one 64-bit hash")
+
+
 def bucket_of(h, buckets: int):
     """Buckets by the first 32 bits of a 48-bit hash, in its order."""
     import numpy as np
@@ -427,32 +452,32 @@ def merged(lo, n) -> list[tuple[int, int]]:
     return list(zip(lo[np.concatenate([[0], new])].tolist(), reach[np.append(new - 1, len(lo) - 1)].tolist()))
 
 
-def repeated_windows(data, at, doc, threshold: int):
-    """Most-significant-digit passes over the windows that start at ``at``, each of a document.
+def repeated_windows(data, begin, of, within, doc, threshold: int):
+    """Most-significant-digit passes over windows: number i starts at ``begin[of[i]] + within[i]`` in document ``doc[of[i]]``.
 
-    Returns the numbers of the windows that another document has too, and the smallest document that has each.
+    Returns the numbers of the windows that another document has too, and the smallest document that has each. Digits
+    are gathered for windows that are still open only.
     """
     import numpy as np
 
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    digit = padded[:-7].copy()
-    for i in range(1, 8):
-        digit = digit << np.uint64(8) | padded[i:len(padded) - 7 + i]
     width = min(8, threshold)
-    if width < 8:
-        digit >>= np.uint64(8 * (8 - width))
     depths = [*range(0, threshold - width, width), threshold - width]
-    left = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
+    left = np.arange(len(of), dtype=np.int32)
+    group = np.zeros(len(of), np.int32)
     smallest = np.empty(0, np.int64)
     for depth in depths:
-        d = digit[at[left] + depth]
+        place = begin[of[left]] + within[left] + depth
+        d = np.zeros(len(left), np.uint64)
+        for i in range(width):
+            d = (d << np.uint64(8)) | data[place + i]
+        del place
         order = np.lexsort((d, group))
         left, d, group = left[order], d[order], group[order]
         starts, group = group_starts(group, d)
         if not len(starts):
             break
-        low, high = np.minimum.reduceat(doc[left], starts), np.maximum.reduceat(doc[left], starts)
+        mine = doc[of[left]]
+        low, high = np.minimum.reduceat(mine, starts), np.maximum.reduceat(mine, starts)
         again = (low < high)[group]
-        left, group, smallest = left[again], group[again], low[group][again]
+        left, group, smallest = left[again], group[again].astype(np.int32), low[group][again]
     return left, smallest

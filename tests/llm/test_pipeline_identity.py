@@ -1,10 +1,13 @@
 """Decisions of the pipeline's stages among rows with null or repeated ids."""
 
 import random
+import zlib
 
 import corpus_pipeline
 import pytest
 
+from quayside.llm import suffix_dedup
+
 SCHEMA = "doc_id long, text string, n_chars int"
 
 
@@ -41,3 +44,25 @@ def test_copies_with_null_ids_go(spark):
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
     got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
     assert {(r["doc_id"], r["text"]) for r in got} == {rows[0], rows[2], rows[3]}
+
+
+def collide():
+    """Two texts of 120 bytes with one CRC-32 and different last bytes, found by trying; one begins with a shared passage."""
+    rng = random.Random(3)
+    base = b"abcdefghij" * 8
+    cut, clean = base + b"k" * 30, bytes(97 + (i * 7) % 26 for i in range(110))
+    tails = [bytes(rng.choices(range(97, 123), k=10)) for _ in range(300_000)]
+    want = {zlib.crc32(clean + t): t for t in tails}
+    for t in tails:
+        if zlib.crc32(cut + t) in want:
+            return (cut + t).decode(), (clean + want[zlib.crc32(cut + t)]).decode(), base.decode()
+    raise AssertionError("no such pair")
+
+
+def test_null_ids_with_one_crc(spark):
+    """Rows without an id are told apart by their texts, whatever their CRC-32."""
+    cut, clean, base = collide()
+    rows = [(None, cut), (None, clean), (0, base), (None, cut)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeats(df, 50, with_text=False).collect())
+    assert out == [(80, 0), (120, 0), (120, 80), (120, 80)]
