@@ -85,6 +85,6 @@ def with_other_reply(conversations: DataFrame) -> DataFrame:
     at = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant") + 1
     both = rows.join(others, "id", "left").withColumn("at", F.when(F.col("reply").isNotNull(), at))
     kept = F.filter("turns", lambda t, i: F.coalesce(i + 1 != F.col("at"), F.lit(True)) | F.col("other").isNotNull())
-    swapped = F.transform(kept, lambda t, i: F.when(F.coalesce(i + 1 == F.col("at"), F.lit(False)), F.struct(
+    swapped = F.transform(kept, lambda t, i: F.when(F.coalesce(i + 1 == F.col("at"), F.lit(False)) & F.col("other").isNotNull(), F.struct(
         t["turn"].alias("turn"), t["role"].alias("role"), F.col("other").alias("text"))).otherwise(t))
     return both.select("id", F.col("turns").alias("chosen"), swapped.alias("rejected"))

@@ -95,12 +95,16 @@ def op7_token_output(spark, sf_dir):
 
 @query
 def op8_preference(spark, sf_dir):
-    """Every conversation against itself with the last reply of the next one."""
+    """Every conversation against itself with the last reply of the next one. The masks are the spans of characters that are
+    trained on, as start-end."""
     conversations = preference.as_arrays(table(spark, sf_dir, "conversations"))
     made = preference.pairs(preference.with_other_reply(conversations))
-    trained = {f"{side}_trained": F.aggregate(f"{side}_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-               for side in ("chosen", "rejected")}
-    return made.withColumns(trained).withColumnRenamed("id", "conv_id").drop("chosen_spans", "rejected_spans")
+    columns = {}
+    for side in ("chosen", "rejected"):
+        spans = F.col(f"{side}_spans")
+        columns[f"{side}_mask"] = F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+        columns[f"{side}_trained"] = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return made.withColumns(columns).withColumnRenamed("id", "conv_id").drop("chosen_spans", "rejected_spans")
 
 
 @query
@@ -133,7 +137,39 @@ def op13_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
 
 
+def _completion(side: str) -> str:
+    """SQL for one side's text behind the prompt, its mask, and how many characters of it are trained on."""
+    return f"""{side}_laid AS (
+        SELECT conv_id, i, role, text, coalesce(sum(length(role) + length(text) + 13) OVER (
+                   PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS a
+        FROM {side} JOIN prompted USING (conv_id) WHERE i > prompt_turns),
+      {side}_done AS (
+        SELECT conv_id, string_agg('<|' || role || '|>\n' || text || '<|end|>\n', '' ORDER BY i) AS body,
+               string_agg(a::BIGINT || '-' || (a + length(text) + 7)::BIGINT, ',' ORDER BY i) FILTER (role = 'assistant') AS mask,
+               sum(length(text) + 7) FILTER (role = 'assistant') AS trained FROM {side}_laid GROUP BY conv_id)"""
+
+
 ORACLE = {
+    "op8_preference": f"""
+        WITH t AS (SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+      chosen AS (SELECT conv_id, role, text, row_number() OVER (
+                     PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+      replies AS (SELECT conv_id, max(i) AS place, arg_max(text, i) AS reply FROM chosen WHERE role = 'assistant' GROUP BY conv_id),
+      swaps AS (SELECT r.conv_id, r.place, o.reply AS other FROM replies r LEFT JOIN replies o ON o.conv_id = r.conv_id + 1),
+      rejected AS (
+        SELECT conv_id, role, CASE WHEN i = place THEN other ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS i
+        FROM chosen LEFT JOIN swaps USING (conv_id) WHERE place IS NULL OR i <> place OR other IS NOT NULL),
+      prompted AS (
+        SELECT c.conv_id, coalesce(min(c.i) FILTER (r.i IS NULL OR r.role <> c.role OR r.text <> c.text) - 1, max(c.i))::INTEGER AS prompt_turns
+        FROM chosen c LEFT JOIN rejected r ON r.conv_id = c.conv_id AND r.i = c.i GROUP BY c.conv_id),
+      prompts AS (
+        SELECT conv_id, string_agg('<|' || role || '|>\n' || text || '<|end|>\n', '' ORDER BY i) AS prompt
+        FROM chosen JOIN prompted USING (conv_id) WHERE i <= prompt_turns GROUP BY conv_id),
+      {_completion('chosen')}, {_completion('rejected')}
+      SELECT conv_id, prompt_turns, coalesce(prompt, '') AS prompt, coalesce(c.body, '') AS chosen, coalesce(r.body, '') AS rejected,
+             coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask, coalesce(c.trained, 0)::BIGINT AS chosen_trained,
+             coalesce(r.trained, 0)::BIGINT AS rejected_trained
+      FROM prompted LEFT JOIN prompts USING (conv_id) LEFT JOIN chosen_done c USING (conv_id) LEFT JOIN rejected_done r USING (conv_id)""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -61,7 +61,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: s
     """Writes the shards and returns the written list of them: shard, path, docs, ids.
 
     Rows are dealt into ranges of ids of about ``shard_bytes`` of text each and sorted there; null ids come first.
-    Repeated ids follow each other in the order of their texts. A null or empty text is its end id alone.
+    Rows of one id, or of none, follow each other in the order of a hash of their texts and are dealt over several ranges if
+    they are many. A null or empty text is its end id alone.
     Other columns are left out. An empty table gives a dictionary and no shard.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
@@ -103,7 +104,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: s
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path],
                                           "docs": [len(rows)], "ids": [int(rows["ids"].sum())]})
 
-    ordered = docs.repartitionByRange(size // shard_bytes + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(size // shard_bytes + 1, "doc_id", F.xxhash64("text"), "text").sortWithinPartitions(
+        "doc_id", F.xxhash64("text"), "text")
     return written(ordered.mapInArrow(run, "shard int, path string, docs long, ids long"), "shards")
 
 

@@ -152,10 +152,13 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str | No
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, held, held_bytes, done = TaskContext.get().partitionId(), [], 0, []
+        # Rows may come in another order when a task runs again, so each attempt has files of its own; those of the
+        # attempt that counts are listed.
+        task = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+        held, held_bytes, done = [], 0, []
 
         def close():
-            path = f"{folder}/part-{task:06d}-{len(done):05d}.warc.zst"
+            path = f"{folder}/part-{task}-{len(done):05d}.warc.zst"
             done.append((path, len(held), write_file(path, held)))
 
         for whole in batches:
