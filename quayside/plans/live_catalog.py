@@ -122,7 +122,8 @@ def ttl_dedup_stream(spark, sf_dir):
 
 
 def admitted_events(spark: SparkSession, sf_dir: str, base: str) -> tuple[DataFrame, list]:
-    """(verdicts of all events that were noticed in time, progress of the micro-batches) of the chained stream."""
+    """(verdicts of all events that were noticed in time, progress of the micro-batches) of the chained stream. Every
+    micro-batch writes folders of its own and commits its winners to the ledger last; one that runs again changes nothing."""
     docs = bindings.hashed_table(spark, sf_dir, "path", "source", "length")
     announced = F.col("event_id") % max(docs.count(), 1)
 
@@ -132,22 +133,35 @@ def admitted_events(spark: SparkSession, sf_dir: str, base: str) -> tuple[DataFr
         return event_chain.judged(rows.withColumn("path", F.coalesce("path", "watched")), cfg, DELAY_US, "watched", ["source"], 1,
                                   24 * HOUR_US, 2)
 
+    book = ledger_store.TieredLedger(spark, f"{base}/ledger", None)
+    done = bindings.processed(docs, bindings.labels(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    book.append(done.select("hash", F.lit("processed").alias("state"), "path", none.alias("reason"), F.lit(0).cast("long").alias("at_us")),
+                "labelled-0")
+
     def put(rows: DataFrame, batch: int) -> None:
+        if book.applied(f"chain-{batch}"):
+            return
+        place = f"{base}/judged/batch={batch}"
         hashed = rows.filter("event_id IS NOT NULL").join(
-            docs.select(F.col("doc_id").alias("_doc"), "hash"), F.col("reason").isNull() & (announced == F.col("_doc")), "left")
-        hashed.drop("_doc").write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+            docs.select(F.col("doc_id").alias("_doc"), "hash"), F.col("reason").isNull() & (announced == F.col("_doc")), "left").drop("_doc")
+        hashed.write.mode("overwrite").parquet(place)
+        judged = spark.read.schema(hashed.schema).parquet(place)
+        out = event_chain.raced(judged, book, ("ready_us", "path", "event_id"))
+        out.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        won = spark.read.schema(out.schema).parquet(f"{base}/out/batch={batch}").filter("reason IS NULL")
+        book.append(won.select("hash", F.lit("enqueued").alias("state"), "path", none.alias("reason"), F.col("ready_us").alias("at_us")),
+                    f"chain-{batch}")
 
     samples = bindings.as_samples(_stream(spark, sf_dir, "events"))
     progress = live.to_the_end(samples, "us", plan, put, base)
-    judged = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").drop("batch")
-    out = admission.settle(judged.filter("reason IS NOT NULL"), judged.filter("reason IS NULL"),
-                           bindings.processed(docs, bindings.labels(spark, sf_dir)), ("ready_us", "path", "event_id"))
+    out = spark.read.schema("event_id long, ready_us long, lane string, reason string").parquet(f"{base}/out")
     return out, progress
 
 
 @query
 def event_admission_stream(spark, sf_dir):
-    """``event_admission_all`` as one stream of keyed stages; the race for equal hashes follows once all are judged."""
+    """``event_admission_all`` as one stream of keyed stages, each micro-batch of it raced against the ledger of the ones before."""
     out, _ = admitted_events(spark, sf_dir, scratch(spark, "event-chain"))
     return out.select("event_id", "ready_us", "lane", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 

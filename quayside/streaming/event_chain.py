@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from quayside.config import AdmissionConfig
 from quayside.functions import paths, patterns
-from quayside.operators import filters
+from quayside.operators import filters, ordered
+from quayside.operators.ledger_store import TieredLedger
 from quayside.operators.machines import GreedyGap, TokenBucket
+from quayside.plans import admission
+from quayside.session import written
 from quayside.streaming import timed
 
 
@@ -38,3 +41,21 @@ def judged(events: DataFrame, cfg: AdmissionConfig, delay_us: int, watched: str,
     over = F.when(~F.col("admitted"), "rate_limit_exceeded")
     reason = F.coalesce("early", over, filters.size_reason("length", cfg.min_bytes, cfg.max_bytes))
     return limited.withColumn("reason", reason).drop("early", "turned_away", "admitted", timed.AT)
+
+
+def raced(judged: DataFrame, book: TieredLedger, order: Sequence[str]) -> DataFrame:
+    """One micro-batch of ``judged`` rows with a hash where nothing turned them away, against the ledger and each other.
+
+    Equal content that is processed makes a duplicate; of what is left the first in ``order`` wins unless earlier
+    content is enqueued, and the others find it locked. Rows leave the chain in the order of ready_us, so a winner
+    of an earlier micro-batch comes before those of later ones. ``judged`` is read several times.
+    """
+    open_ = judged.filter("reason IS NULL")
+    known = written(book.lookup(open_.select("hash")).groupBy("hash").agg(F.bool_or(F.col("state") == "processed").alias("processed")), "known")
+    met = written(open_.join(known.withColumnRenamed("hash", "_hash"), F.col("hash") == F.col("_hash"), "left").drop("_hash"), "met")
+    fresh = ordered.first_of_group(met.filter("processed IS NULL"), ["hash"], list(order)).withColumn(
+        "reason", F.when(~F.col("is_first"), "lock_held")).drop("is_first", "processed")
+    old = met.filter("processed IS NOT NULL").withColumn(
+        "reason", F.when(F.col("processed"), "duplicate").otherwise("lock_held")).drop("processed")
+    out = judged.filter("reason IS NOT NULL").unionByName(old).unionByName(fresh)
+    return out.withColumn("lane", admission.lane_of(F.col("reason")))
