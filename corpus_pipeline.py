@@ -23,6 +23,14 @@ def same_text() -> Column:
     return F.expr("d.doc_id <=> k._id AND sha2(coalesce(cast(d.text AS binary), cast('' AS binary)), 256) = k._sha")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have; names differ in more than case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id and text are among ``kept``."""
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
@@ -34,7 +42,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     grade = F.col("toxic") * (2 - F.col("quality"))
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), grade)
-    return docs.withColumn("_s", toxicity.severity(model, F.col("text"))).filter("_s.p_toxic < 0.5").drop("_s")
+    found = unused(docs, "severity")
+    return docs.withColumn(found, toxicity.severity(model, F.col("text"))).filter(F.col(found)["p_toxic"] < 0.5).drop(found)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,15 +63,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller doc_id has too are cut out of the texts. A character that is
     cut in part goes as a whole. Documents stay, also those with nothing left; n_chars is counted anew."""
     prepare(spark)
+    spans = unused(docs, "spans")
     cut = suffix_dedup.repeats(docs, 50, with_hash=True).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("spans").alias("_spans"))
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("spans").alias(spans))
     cut = cut.dropDuplicates(["_id", "_sha"])  # equal texts of one id have equal spans
-    rows = docs.alias("d").join(cut.alias("k"), same_text(), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without("text", "_spans"))
-    made = rows.withColumn("text", text)
+    rows = docs.alias("d").join(cut.alias("k"), same_text(), "left").select("d.*", F.col(f"k.{spans}"))
+    made = rows.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(without("text", spans)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        made = made.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        made = made.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
