@@ -31,7 +31,7 @@ from quayside.session import written
 NULL_LAST = (1 << 63) - 1
 SLICE, BUCKET_BYTES, GATHER = 4 << 20, 2 << 20, 2_000_000
 FREQUENT, MOST_FREQUENT, LONG_LIST, SPOKES = 16, 1 << 19, 4, 64
-SKETCH_BITS = 2048
+SKETCH_BITS, FOLD = 2048, 8
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 ENTRY = [("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rank", "<u4")]
 
@@ -78,6 +78,14 @@ def sketch_of(tokens) -> bytes:
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes) -> list[int]:
+    """A sketch with its cells laid upon each other, as ``FOLD`` whole numbers: their parities add up, so cells in which two
+    of them differ hold at least one shingle each that only one of the sets has, too."""
+    import numpy as np
+
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, "<i8").reshape(-1, FOLD), axis=0).tolist()
+
+
 class Similarity:
     """inter / union >= num / den in whole numbers."""
 
@@ -157,6 +165,8 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     sha = F.sha2("text", 256) if with_hash else F.lit(None).cast("string")
     docs = docs.withColumn("tag", F.md5("text")).withColumn("sha", sha)
 
+    folds = [f"f{i}" for i in range(FOLD)]
+
     def profile(batches):
         import numpy as np
         import pyarrow as pa
@@ -171,7 +181,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
 
         schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no_id", pa.bool_()), ("tag", pa.string()), ("sha", pa.string()), ("n", pa.int64()),
                             ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary()),
-                            ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+                            ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary()), *((f, pa.int64()) for f in folds)])
         for whole in batches:
             for batch in slices(whole, SLICE):
                 sets, rows = shingle_sets(batch.column("text").to_pylist(), words), []
@@ -179,6 +189,8 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
                     node, other = name_of(tokens, seed) if len(tokens) else (None, None)
                     rows.append({"kind": 0, "doc": doc, "no_id": no_id, "tag": tag, "sha": sha, "n": len(tokens), "node": node, "other": other,
                                  "sketch": sketch_of(tokens) if len(tokens) else None})
+                    if len(tokens):
+                        rows[-1] |= dict(zip(folds, folded(rows[-1]["sketch"])))
                     if len(tokens) and node not in seen:
                         seen.add(node)
                         held.append(tokens)
@@ -191,12 +203,12 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
             yield pa.RecordBatch.from_pylist(list(often()), schema)
 
     first = written(docs.mapInArrow(profile, "kind int, doc long, no_id boolean, tag string, sha string, n long, node long, other long, "
-                                    "sketch binary, bucket int, tokens binary, counts binary"), "profiles")
+                                    "sketch binary, bucket int, tokens binary, counts binary" + "".join(f", {f} long" for f in folds)), "profiles")
     seen_often = frequent_tokens(first)
     sent = spark.sparkContext.broadcast(seen_often)
     classes = written(first.filter("kind = 0 AND n > 0").groupBy("node").agg(
         F.min(F.struct("doc", "tag")).alias("rep"), F.min("other").alias("other"), F.max("other").alias("differs"), F.max("n").alias("n"),
-        F.max("sketch").alias("sketch")), "nodes")
+        F.max("sketch").alias("sketch"), *[F.max(f).alias(f) for f in folds]), "nodes")
     if classes.filter("other != differs").count():
         drop(spark, first, classes)
         return groups(df, words, num, den, id_col, text_col, long_list, with_hash, seed + 1)
@@ -261,9 +273,11 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     met = written(docs.select("text").mapInArrow(prefixes, "bucket int, rows binary").groupBy("bucket").applyInArrow(
         meet, "a long, b long, token long, n long, rank long"), "met")
     free_shuffles(spark)
-    lists = met.filter("b IS NULL").select("token", F.col("a").alias("node"), "n", "rank").distinct()
-    center = lists.groupBy("token").agg(F.min(F.struct("node", "rank", "n")).alias("c"))
-    spokes = lists.join(center, "token").filter("node != c.node").filter(reach_sql(like, "n", "rank", "c.n", "c.rank"))
+    entries = met.filter("b IS NULL").select("token", F.col("a").alias("node"), "n", "rank").distinct()
+    lists = written(entries.join(classes.select("node", *folds), "node"), "entries")
+    center = lists.groupBy("token").agg(F.min(F.struct("node", "rank", "n", *folds)).alias("c"))
+    near_sql = lambda *sides: f"{reach_sql(like, *sides[:4])} AND {near_by_sketch(like, *sides[:4:2], sides[4])}"
+    spokes = lists.join(center, "token").filter("node != c.node").filter(near_sql("n", "rank", "c.n", "c.rank", "c.f"))
     near = met.filter("b IS NOT NULL").select("a", "b").union(spokes.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
     links = verified(spark, docs, classes, near.distinct(), like, words)
     if not lists.isEmpty():
@@ -271,8 +285,9 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         known = written(lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "lists")
         center = known.groupBy("token").agg(F.min(F.struct("node", "label")).alias("c"))
         outside = known.join(center, "token").filter("label != c.label").select(
-            "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"))
-        rest = outside.join(known, "token").filter("label != xl").filter(reach_sql(like, "n", "rank", "xn", "xr"))
+            "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"),
+            *[F.col(f).alias(f"x{f}") for f in folds])
+        rest = outside.join(known, "token").filter("label != xl").filter(near_sql("n", "rank", "xn", "xr", "xf"))
         rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         links = links.union(verified(spark, docs, classes, rest, like, words))
     label = components(links)
@@ -285,7 +300,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
         F.nullif(F.coalesce("least", "doc"), F.lit(NULL_LAST)).alias("component_id"), *[F.col("sha").alias("text_sha256")] * with_hash)
     done = written(out, "groups")
-    drop(spark, first, classes, met, named)
+    drop(spark, first, classes, met, lists, named)
     return done
 
 
@@ -337,6 +352,13 @@ def reach_sql(like: Similarity, xn: str, xr: str, yn: str, yr: str) -> str:
     return f"least({xn} - {xr}, {yn} - {yr}) * {like.num + like.den} >= {like.num} * ({xn} + {yn})"
 
 
+def near_by_sketch(like: Similarity, xn: str, yn: str, other: str) -> str:
+    """Whether folded sketches, f0... here and those of the other side, allow that two sets of these sizes share enough."""
+    apart = " + ".join(f"bit_count(f{i} ^ {other}{i})" for i in range(FOLD))
+    total, both = f"({xn} + {yn})", like.num + like.den
+    return f"{apart} <= {total} - 2 * (({like.num} * {total} + {both - 1}) div {both})"
+
+
 def verified(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Similarity, words: int) -> DataFrame:
     """The pairs of nodes (a, b) that are links."""
     def possible(batches):
