@@ -240,15 +240,15 @@ def archive_path_audit(spark, sf_dir):
 
 # --- messages ------------------------------------------------------------------------------------
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bindings.hashed_files(spark, sf_dir).withColumn("kind", paths.kind("filename")).withColumn(
         "timestamp", scalars.from_micros("arrived_us"))
     return sink.work_messages(f)
 
 
 @query
-def work_messages(spark, sf_dir):
-    return _messages(spark, sf_dir)
+def workmessages_of(spark, sf_dir):
+    return messages_of(spark, sf_dir)
 
 
 def _publish_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +275,7 @@ def outcome_counters_published(spark, sf_dir):
 def publish_audit(spark, sf_dir):
     """What a broker with a size limit took of all work messages, and what became a dead letter."""
     topic = publish.Topic(spark, scratch(spark, "topic"), publish.SizeLimit(MAX_MESSAGE_BYTES))
-    topic.publish(_messages(spark, sf_dir), "all-0")
+    topic.publish(messages_of(spark, sf_dir), "all-0")
     sent, dead = topic.read()
     both = sent.withColumn("error", F.lit(None).cast("string")).unionByName(dead)
     return both.groupBy(F.get_json_object("value", "$.kind").alias("kind"), "error").agg(
@@ -284,7 +284,7 @@ def publish_audit(spark, sf_dir):
 
 @query
 def message_decode(spark, sf_dir):
-    bodies = _messages(spark, sf_dir).select("value").unionByName(
+    bodies = messages_of(spark, sf_dir).select("value").unionByName(
         bindings.events(spark, sf_dir).select("event_id", F.col("props").alias("value")).select(
             F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{broken "), "value")).otherwise(F.col("value"))
             .alias("value")))
@@ -297,7 +297,7 @@ def message_decode(spark, sf_dir):
 
 @query
 def schema_drift(spark, sf_dir):
-    bodies = _messages(spark, sf_dir).select("value").unionByName(
+    bodies = messages_of(spark, sf_dir).select("value").unionByName(
         bindings.events(spark, sf_dir).select(F.col("props").alias("value")))
     return messages.schema_drift(bodies, ["path", "hash", "size", "timestamp", "queue"])
 
@@ -588,7 +588,7 @@ def trailing_contents(spark, sf_dir):
 def dry_run(spark, sf_dir):
     """How many work messages there would be, and of what size; nothing is kept."""
     seen = Observation("dry-run")
-    sink.NoopSink().write(_messages(spark, sf_dir).observe(
+    sink.NoopSink().write(messages_of(spark, sf_dir).observe(
         seen, F.count("*").alias("messages"), F.coalesce(F.sum(F.octet_length("value").cast("long")), F.lit(0).cast("long")).alias("bytes")))
     got = seen.get
     return spark.createDataFrame([(got["messages"], got["bytes"])], "messages long, bytes long")

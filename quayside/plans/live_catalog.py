@@ -12,11 +12,11 @@ from quayside.config import DAY_US, HOUR_US, AdmissionConfig
 from quayside.functions import paths, scalars
 from quayside.operators import ledger_store
 from quayside.operators.machines import Breaker, GreedyGap, TokenBucket
-from quayside.plans import admission, bindings
+from quayside.plans import admission, bindings, catalog
 from quayside.plans.catalog import AS_OF_US, CONFIG, GAP_US, TTL, query
 from quayside.schemas import TABLES
 from quayside.session import prepare, scratch, written
-from quayside.sources import inventory, landing
+from quayside.sources import inventory, landing, message_log, messages
 from quayside.streaming import event_chain, lifecycle, live, timed
 
 MICRO_BATCH = 256 << 20
@@ -227,6 +227,34 @@ def ledger_store_lookup(spark, sf_dir):
     return book.lookup(recent, newest).select("hash", "state", "at_us")
 
 
+@query
+def consumed_messages(spark, sf_dir):
+    """All work messages through a log in three appends and a consumer that is stopped and started again after each.
+
+    The consumer decodes a micro-batch and keeps what it understood in a folder of its own.
+    """
+    base = scratch(spark, "consumer")
+    log = message_log.MessageLog(spark, f"{base}/log")
+    bodies = written(catalog.messages_of(spark, sf_dir), "messages")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        good, dead = messages.consume(rows, lambda m: m.select(
+            paths.basename("path").alias("filename"), paths.kind(paths.basename("path")).alias("kind"), "size"))
+        both = good.unionByName(dead.select(F.lit(None).cast("string").alias("filename"), F.col("last_error").alias("kind"),
+                                            F.lit(None).cast("long").alias("size")))
+        both.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    for n in range(3):
+        log.append(bodies.filter(F.pmod(F.xxhash64("key"), F.lit(3)) == n))
+        running = log.stream().writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start()
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    out = spark.read.schema("filename string, kind string, size long").parquet(f"{base}/out")
+    return out.groupBy("kind").agg(F.count("*").alias("messages"), F.count_distinct("filename").alias("names"), F.sum("size").alias("bytes"))
+
+
 @query
 def windowed_outcomes_stream(spark, sf_dir):
     """Every window as it stands after the last micro-batch, late rows included."""

@@ -491,3 +491,5 @@ ORACLE["counters_of_all_stages"] = f"""WITH {_PUBLISHED}, c AS (SELECT
         (SELECT count(DISTINCT doc_id // 25) FROM documents WHERE doc_id // 25 % 10 = 9) AS watcher_errors, queue_errors,
         0::BIGINT AS storage_errors, 0::BIGINT AS rate_limit_waits, 0::BIGINT AS rate_limit_dropped,
         (SELECT count(*) FROM ({ORACLE['empty_directory_closure']})) AS empty_directories_removed FROM c"""
+ORACLE["consumed_messages"] = f"""WITH {FILES} SELECT kind, count(*) AS messages, count(DISTINCT filename) AS names,
+        sum(length)::BIGINT AS bytes FROM files GROUP BY kind"""
