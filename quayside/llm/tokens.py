@@ -9,6 +9,8 @@ import re
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 AT_ONCE = 1000
+#: Bytes of a unit that may be remembered.
+SHORT = 64
 
 
 class Encoder:
@@ -16,12 +18,13 @@ class Encoder:
 
     The tokenizer splits a text before every run of white space that follows another character, so a text's ids
     are those of its units, a run of white space and the characters up to the next run, one after
-    another. Units come again and again: those met since the last ``remembered`` / 2 new ones are kept.
+    another. Units come again and again: those of up to ``SHORT`` bytes are remembered as Arrow arrays of at most about
+    ``remembered`` bytes, in two generations; the older one is forgotten when the younger one is half of that.
 
     Texts that hold the literal of an added token, such as <|endoftext|>, are encoded as a whole by the tokenizer.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -29,50 +32,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = "|".join(map(re.escape, added))
-        self.half, self.known, self.older = remembered // 2, {}, {}
+        self.half = remembered // 2
+        self.young, self.older = self._nothing(), self._nothing()
         # A token is written with one character per byte.
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, "int64")
         self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
-    def _single(self, units: list[str]) -> None:
+    @staticmethod
+    def _nothing() -> tuple:
+        import pyarrow as pa
+
+        return pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def remembered(self) -> int:
+        """Bytes of the units that are remembered, with their ids."""
+        return sum(part.nbytes for kept in (self.young, self.older) for part in kept)
+
+    def _single(self, units: list[str]) -> list[bytes]:
         import numpy as np
 
-        for unit, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
-            self.known[unit] = np.array(e.ids, "<u4").tobytes()
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _new(self, units: list[str]) -> None:
+    def _new(self, units: list[str]) -> list[bytes]:
         """Ids of units never met. Those that can follow each other in a text are encoded as one text, and cut
         where the bytes of the tokens reach the end of a unit."""
         import numpy as np
 
-        chained = [u for u in units if u[:1] == " " and not u[-1].isspace()]
-        self._single([u for u in units if u[:1] != " " or u[-1].isspace()])
-        texts = ["".join(chained[at:at + AT_ONCE]) for at in range(0, len(chained), AT_ONCE)]
+        chain = [i for i, u in enumerate(units) if u[:1] == " " and not u[-1].isspace()]
+        apart = [i for i, u in enumerate(units) if u[:1] != " " or u[-1].isspace()]
+        out: list = [None] * len(units)
+        for i, ids in zip(apart, self._single([units[i] for i in apart])):
+            out[i] = ids
+        texts = ["".join([units[i] for i in chain[at:at + AT_ONCE]]) for at in range(0, len(chain), AT_ONCE)]
         for n, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            some, ids = chained[n * AT_ONCE:(n + 1) * AT_ONCE], np.array(e.ids, "<u4")
-            ends, reached = np.cumsum([len(u.encode()) for u in some]), np.cumsum(self.sizes[ids])
+            some, ids = chain[n * AT_ONCE:(n + 1) * AT_ONCE], np.array(e.ids, "<u4")
+            ends, reached = np.cumsum([len(units[i].encode()) for i in some]), np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(reached, ends)
             if cuts[-1] != len(ids) - 1 or (reached[cuts] != ends).any():
-                self._single(some)
-                continue
-            data, begin = ids.tobytes(), 0
-            for unit, end in zip(some, ((cuts + 1) * 4).tolist()):
-                self.known[unit] = data[begin:end]
-                begin = end
-
-    def _units(self, units: list[str]) -> list[bytes]:
-        if len(self.known) > self.half:
-            self.known, self.older = {}, self.known
-        found = list(map(self.known.get, units))
-        missing = {unit for unit, ids in zip(units, found) if ids is None}
-        if not missing:
-            return found
-        for unit in missing & self.older.keys():
-            self.known[unit] = self.older[unit]
-        self._new([unit for unit in missing if unit not in self.known])
-        known = self.known
-        return [known[unit] if ids is None else ids for unit, ids in zip(units, found)]
+                made = self._single([units[i] for i in some])
+            else:
+                data, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+                made = [data[a:b] for a, b in zip(at, at[1:])]
+            for i, data in zip(some, made):
+                out[i] = data
+        return out
+
+    def _units(self, units):
+        """The ids of each of an Arrow array of distinct units."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sources, at = [], None
+        for words, ids in (self.young, self.older):
+            place = pc.add(pc.index_in(units, value_set=words), sum(map(len, sources)))
+            at = place if at is None else pc.coalesce(at, place)
+            sources.append(ids)
+        met, new = pc.is_valid(at), pc.filter(units, pc.is_null(at))
+        sources.append(pa.array(self._new(new.to_pylist()), pa.large_binary()))
+        fresh = pa.array(range(len(new)), pa.int32())
+        at = pc.replace_with_mask(at, pc.invert(met), pc.cast(pc.add(fresh, sum(map(len, sources[:-1]))), at.type))
+        found = pa.concat_arrays(sources).take(at)
+        # What is not among the younger ones joins them.
+        short = pc.and_(pc.greater_equal(at, len(self.young[0])), pc.less_equal(pc.binary_length(units), SHORT))
+        self.young = tuple(pa.concat_arrays([kept, pc.filter(more, short)]) for kept, more in zip(self.young, (units, found)))
+        if sum(part.nbytes for part in self.young) > self.half:
+            self.young, self.older = self._nothing(), self.young
+        return found
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text of an Arrow array of strings, or of their bytes, without nulls.
@@ -90,17 +116,21 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         words, begins = lists.flatten(), np.asarray(lists.offsets)[:-1]
         coded, first = words.dictionary_encode(), words.take(pa.array(begins)).dictionary_encode()
-        units = [f" {w}" for w in coded.dictionary.to_pylist()] + first.dictionary.to_pylist()
-        which = np.array(coded.indices)
-        which[begins] = np.asarray(first.indices) + len(coded.dictionary)
-        found = pa.array(self._units(units), pa.large_binary()).take(pa.array(which))
+        none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        behind = pc.binary_join_element_wise(none, coded.dictionary, space)
+        every = pa.concat_arrays([behind, first.dictionary.cast(behind.type)]).dictionary_encode()
+        units, unit = every.dictionary, np.asarray(every.indices)
+        which = unit[np.array(coded.indices)]
+        which[begins] = unit[np.asarray(first.indices) + len(behind)]
+        found = self._units(units).take(pa.array(which))
         ends = np.frombuffer(found.buffers()[1], "int64", len(which) + 1)[[*begins, len(which)]].tolist()
         data = memoryview(found.buffers()[2] or b"")
         out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
-        last = pc.utf8_slice_codeunits(pa.array(units, pa.large_string()), -1).dictionary_encode()
+        last = pc.utf8_slice_codeunits(units, -1).dictionary_encode()
         spaced = np.array([c.isspace() for c in last.dictionary.to_pylist()])[np.asarray(last.indices)]
         for row in np.flatnonzero(np.logical_or.reduceat(spaced[which], begins)).tolist():
-            out[row] = b"".join(self._units(UNITS.findall(texts[row].as_py())))
+            parts = pa.array(UNITS.findall(texts[row].as_py()), pa.large_string()).dictionary_encode()
+            out[row] = b"".join(self._units(parts.dictionary).take(parts.indices).to_pylist())
         if self.added:
             special = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).tolist()
             for row in special:

@@ -30,3 +30,20 @@ def test_added_tokens(spark):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {d: (len(i) + 1, crc[d]) for d, i in enumerate(ids)}
     pieces = packing.pack(docs, TOKENIZER).collect()
     assert {r["doc_id"]: np.frombuffer(r["tokens"], "<u4").tolist() for r in pieces} == {d: [*i, 1] for d, i in enumerate(ids)}
+
+
+def test_what_is_remembered_is_bounded_in_bytes():
+    """Long texts without white space are not kept, short words up to a number of bytes; the ids stay those of the tokenizer."""
+    import random
+
+    import pyarrow as pa
+
+    rng, plain = random.Random(1), Tokenizer.from_file(TOKENIZER)
+    encoder = Encoder(TOKENIZER, remembered=100_000)
+    for _ in range(6):
+        texts = ["".join(rng.choices("abc漢字かな ", k=20_000)).replace(" ", "") for _ in range(3)]
+        texts += [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(2000)), "", " ", "x  y ", "a\n b\t"]
+        got = encoder.encode(pa.array(texts))
+        assert [list(memoryview(ids).cast("I")) for ids in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.remembered() < 250_000
+    assert encoder.remembered() > 10_000
