@@ -30,7 +30,7 @@ from quayside.session import written
 
 NULL_LAST = (1 << 63) - 1
 SLICE, BUCKET_BYTES, GATHER = 4 << 20, 2 << 20, 2_000_000
-FREQUENT, MOST_FREQUENT, LONG_LIST, SPOKES = 16, 1 << 19, 4, 64
+FREQUENT, MOST_FREQUENT, LONG_LIST, SPOKES, TURNS = 16, 1 << 19, 4, 64, 4
 SKETCH_BITS, FOLD = 2048, 8
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 ENTRY = [("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rank", "<u4")]
@@ -281,8 +281,20 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     near = met.filter("b IS NOT NULL").select("a", "b").union(spokes.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
     links = verified(spark, docs, classes, near.distinct(), like, words)
     if not lists.isEmpty():
-        label = components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "label")
-        known = written(lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "lists")
+        # What the first center left apart meets others, one per list and round; each round brings groups together, so that
+        # few entries of a list still differ when at last all that do are paired.
+        for turn in range(1, TURNS + 1):
+            known = labelled(lists, links)
+            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "rank", "n", "label", *folds)
+            center = known.groupBy("token").agg(F.min(drawn).alias("c"))
+            spokes = known.join(center, "token").filter("label != c.label").filter(near_sql("n", "rank", "c.n", "c.rank", "c.f"))
+            more = verified(spark, docs, classes, spokes.select(
+                F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), like, words)
+            drop(spark, known)
+            if more.isEmpty():
+                break
+            links = links.union(more)
+        known = labelled(lists, links)
         center = known.groupBy("token").agg(F.min(F.struct("node", "label")).alias("c"))
         outside = known.join(center, "token").filter("label != c.label").select(
             "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"),
@@ -304,6 +316,12 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     return done
 
 
+def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries of ``lists`` with the component that the links so far put their node in."""
+    label = components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "label")
+    return written(lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "lists")
+
+
 def parts(tokens, buckets: int):
     """(bucket, start, end) of the buckets that sorted tokens fall into, by their first 32 bits."""
     import numpy as np
