@@ -14,6 +14,8 @@ from quayside.session import written
 
 #: Instants of a gauge that one task puts in order.
 GAUGE_ROWS = 200_000
+#: Rows with all bucket counters that one task puts in order; each takes about half a kilobyte there.
+BUCKET_ROWS = 100_000
 
 # Which counters one outcome raises. 'detected' only counts what arrived through the
 # event path and is no archive; see COUNTS_DETECTED.
@@ -148,7 +150,7 @@ def _increase(value: Column, before: Column) -> Column:
     return F.when(before.isNull(), 0.0).when(value < before, value).otherwise(value - before)
 
 
-def bucket_increase(samples: DataFrame, range_us: int, width: int, tie: str = "sample_id", hot_rows: int = skew.HOT_ROWS,
+def bucket_increase(samples: DataFrame, range_us: int, width: int, tie: str = "sample_id", hot_rows: int = BUCKET_ROWS,
                     sizes_from: DataFrame | None = None) -> DataFrame:
     """Adds ``increase``: what each of the ``width`` cumulative bucket counters in ``value`` gained over the trailing range.
 

@@ -521,7 +521,7 @@ def sliding_quantiles(spark, sf_dir):
     per_day = ["event_type", "day"]
     counts = {f"le{i}": F.when(F.col("bucket") <= i, 1).otherwise(0) for i in range(width)}
     counted = skew.by_size(e, per_day, ["us", "event_id"], lambda rows, segment: ordered.running_sums(
-        rows, per_day, ["us", "event_id"], counts, segment))
+        rows, per_day, ["us", "event_id"], counts, segment), metrics.BUCKET_ROWS)
     samples = counted.select(F.col("event_type").alias("name"), "us", F.col("event_id").alias("sample_id"),
                              F.array(*[F.col(c).cast("double") for c in counts]).alias("value"))
     out = metrics.bucket_increase(samples, RANGE_US, width, sizes_from=e.select(F.col("event_type").alias("name")))

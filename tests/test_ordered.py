@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.operators import ledger, metrics, ordered, skew
+from quayside.plans import catalog
 
 BASE = 1_704_067_200_000_000
 
@@ -115,6 +116,14 @@ def test_bucket_increase(spark, rows, table, hot_rows):
         assert got[i] == pytest.approx(want, abs=1e-6), (key, i)
 
 
+def test_sliding_quantiles_cut_wide_rows_early(spark, monkeypatch):
+    """Rows with all buckets are half a kilobyte each, so a task sorts far fewer of them than of narrow ones."""
+    limits, measure = [], skew.measure
+    monkeypatch.setattr(skew, "measure", lambda df, keys, hot_rows=skew.HOT_ROWS: (limits.append(hot_rows), measure(df, keys, hot_rows))[1])
+    catalog.QUERIES["sliding_quantiles"](spark, "/root/testdata/sf0.001")
+    assert len(limits) == 2 and max(limits) * 500 <= 100_000_000
+
+
 @pytest.mark.parametrize("hot_rows", [60, 10**6])
 def test_gauge(spark, rows, hot_rows):
     df = spark.createDataFrame([(us, us + (i % 9) * 500_000_000) for _, us, i, _, _ in rows], "a long, b long")
