@@ -20,6 +20,36 @@ def use_disk_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+class Kept:
+    """Tables of a stream below ``base``, a folder per micro-batch, so one that runs again replaces what it wrote.
+
+    They are read in the session of the caller: the one a micro-batch runs in plans without the adaptive settings.
+    """
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self.spark, self.base = spark, base
+
+    def put(self, df: DataFrame, kind: str, batch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.base}/{kind}/batch={batch}")
+        return self.at(kind, batch, df.schema)
+
+    def at(self, kind: str, batch: int, schema: StructType) -> DataFrame:
+        if batch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{kind}/batch={batch}")
+
+    def drop(self, kind: str, batch: int) -> None:
+        fs, old = hadoop_path(self.spark, f"{self.base}/{kind}/batch={batch}")
+        fs.delete(old, True)
+
+    def every(self, kind: str, schema: StructType) -> DataFrame:
+        """What all micro-batches wrote."""
+        fs, place = hadoop_path(self.spark, f"{self.base}/{kind}")
+        if not fs.exists(place):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{kind}").select(*schema.names)
+
+
 class Windows:
     """Counts per tumbling window of a stream, with a bound on what stays open.
 

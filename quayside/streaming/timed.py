@@ -13,13 +13,15 @@ from datetime import datetime, timedelta, timezone
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from quayside.functions import scalars
-from quayside.operators import folds
+from quayside.operators import folds, skew
+from quayside.operators.folds import EXIT
 from quayside.session import written
 from quayside.streaming import live
 
@@ -251,6 +253,95 @@ def watermarked(rows: DataFrame, us: str, delay_us: int) -> DataFrame:
     return timely.withWatermark(AT, f"{delay_us} microseconds")
 
 
+class Marks:
+    """Takes the rows of a stream in and tells which times have passed.
+
+    The mark is the newest time so far less ``delay_us``, in whole milliseconds like a watermark. Rows at or before the
+    mark of the earlier micro-batches, and those without a time, are late: they are kept in a side table and go no further.
+    """
+
+    MARK = T.StructType([T.StructField("mark", T.LongType())])
+
+    def __init__(self, spark: SparkSession, base: str, us: str, delay_us: int) -> None:
+        self.kept = live.Kept(spark, f"{base}/came")
+        self.us, self.delay = us, delay_us
+
+    def take(self, rows: DataFrame, batch: int) -> tuple[DataFrame, int | None]:
+        """(the rows that are in time, the mark that has passed now)."""
+        us = F.col(self.us)
+        first = self.kept.at("mark", batch - 1, self.MARK).first()
+        mark = None if first is None else first["mark"]
+        late = us.isNull() if mark is None else us.isNull() | (us <= mark)
+        came = self.kept.put(rows.withColumn("_late", late), "rows", batch)
+        self.kept.put(came.filter("_late").drop("_late"), "late", batch)
+        newest = came.agg(F.max(us)).first()[0]
+        if newest is not None:
+            now = (newest - self.delay) // 1000 * 1000
+            mark = now if mark is None else max(mark, now)
+        self.kept.put(self.kept.spark.createDataFrame([(mark,)], self.MARK).coalesce(1), "mark", batch)
+        self.kept.drop("rows", batch - 1)
+        self.kept.drop("mark", batch - 2)
+        return came.filter("NOT _late").drop("_late"), mark
+
+    def late(self, schema: T.StructType) -> DataFrame:
+        return self.kept.every("late", schema)
+
+
+class Stage:
+    """One of ``operators.machines`` over every key's rows in event order, a micro-batch at a time.
+
+    Rows that the mark has not passed stay in a table. What it has passed is sorted and streamed through the machine from
+    the state of its key (``folds.fold_from``); states that have not run out are the other table. Each micro-batch reads
+    those of the one before and writes folders of its own. Rows for which column ``skip`` is true get nulls from the machine.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: T.StructType, keys: Sequence[str], us: str, ties: Sequence[str],
+                 machine, skip: str | None = None) -> None:
+        self.kept = live.Kept(spark, base)
+        self.schema, self.keys, self.us, self.ties, self.machine, self.skip = schema, list(keys), us, list(ties), machine, skip
+        self.out = T.StructType([*schema.fields, *T.StructType.fromDDL(machine.outputs).fields])
+        self.states = T.StructType([*[schema[k] for k in keys], T.StructField(EXIT, T.ArrayType(T.LongType()))])
+
+    def step(self, rows: DataFrame, mark: int | None, batch: int) -> DataFrame:
+        """``rows``, a table, join those that wait; returns what the mark has passed, with the machine's columns."""
+        waiting = rows.select(*self.schema.names).unionByName(self.kept.at("held", batch - 1, self.schema))
+        over = F.lit(False) if mark is None else F.col(self.us) <= mark
+        self.kept.put(waiting.filter(~over), "held", batch)
+        passed = waiting.filter(over)
+        states = self.kept.at("state", batch - 1, self.states)
+        mine = passed if self.skip is None else passed.filter(~F.col(self.skip))
+        done = folds.fold_from(mine, states, self.keys, self.us, self.ties, self.machine)
+        if self.skip is not None:
+            done = done.unionByName(passed.filter(self.skip), allowMissingColumns=True)
+        done = self.kept.put(done, "out", batch)
+        self.kept.put(self._states(states, done, mark), "state", batch)
+        for kind in ("held", "state"):
+            self.kept.drop(kind, batch - 2)
+        return done.select(*self.out.names)
+
+    def _states(self, states: DataFrame, done: DataFrame, mark: int | None) -> DataFrame:
+        """The state that each key is left with, unless it is as good as none."""
+        machine = self.machine
+        ended = done.filter(F.col(EXIT).isNotNull()).groupBy(*self.keys).agg(F.max_by(EXIT, folds.AT).alias(EXIT))
+        met = skew.renamed(ended.select(*self.keys), self.keys)
+        now = states.join(met, skew.same(self.keys), "left_anti").unionByName(ended)
+
+        def lasting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spent = [machine.spent_us(s) if s else 0 for s in batch.column(EXIT).to_pylist()]
+                yield batch.filter(pa.array([us is None or us > mark for us in spent], pa.bool_()))
+
+        return now if mark is None else now.mapInArrow(lasting, self.states)
+
+    def size(self, batch: int) -> int:
+        """Rows held and states kept after a micro-batch."""
+        return self.kept.at("held", batch, self.schema).count() + self.kept.at("state", batch, self.states).count()
+
+    def rows(self) -> DataFrame:
+        """What has passed so far."""
+        return self.kept.every("out", self.out)
+
+
 class Settled(NamedTuple):
     """All rows with the machine's outputs, and those that came too late or have no time."""
 
@@ -261,27 +352,28 @@ class Settled(NamedTuple):
 
 def settled(stream: DataFrame, table: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], machine, delay_us: int,
             base: str) -> Settled:
-    """Folds a stream to its end. ``table`` has the rows that the stream brings; keys, time and ties name a row.
+    """Folds a stream to its end. ``table`` has the rows that the stream brings; those without a time are taken from there.
 
-    What the watermark had passed is missing from the stream's output. Only if its progress says that there is something are
-    those rows looked up, and the keys that have some are folded once more from their whole history, so the rows
-    equal the batch fold whatever order files come in. A row without a time is among the late ones only.
+    What the mark had passed is missing from the stream's output. Only if there is something are the keys of
+    those rows folded once more from their whole history, so the rows equal the batch fold whatever order
+    files come in. A row without a time is among the late ones only.
     """
     spark = stream.sparkSession
-    out = T.StructType([*stream.schema.fields, *T.StructType.fromDDL(machine.outputs).fields])
-    progress = live.to_the_end(
-        stream, us, lambda rows: fold(watermarked(rows, us, delay_us), keys, us, ties, machine).select(*out.names),
-        live.by_batch(base), base)
-    rows = live.batches(spark, out, base).drop("batch")
+    marks = Marks(spark, base, us, delay_us)
+    stage = Stage(spark, f"{base}/fold", T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields]), keys, us, ties, machine)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        came, mark = marks.take(rows, batch)
+        stage.step(came, mark, batch)
+
+    progress = live.to_the_end(stream, us, lambda rows: rows, put, base)
+    rows = stage.rows()
     late = table.filter(F.col(us).isNull())
-    if not sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"]):
+    missed = marks.late(stage.schema).filter(F.col(us).isNotNull())
+    if missed.isEmpty():
         return Settled(rows, late, progress)
-    named = [*keys, us, *ties]
-    came = rows.select(*[F.col(c).alias(f"_n{i}") for i, c in enumerate(named)])
-    same = [F.col(c).eqNullSafe(F.col(f"_n{i}")) for i, c in enumerate(named)]
-    missed = written(table.filter(F.col(us).isNotNull()).join(came, same, "left_anti").select(*stream.columns), "late")
-    touched = missed.select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)]).distinct()
+    touched = written(missed.select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)]).distinct(), "touched")
     of_key = [F.col(k).eqNullSafe(F.col(f"_n{i}")) for i, k in enumerate(keys)]
     history = written(rows.join(touched, of_key, "left_semi").select(*stream.columns).unionByName(missed), "history")
-    anew = folds.fold(history, keys, us, ties, machine).select(*out.names)
+    anew = folds.fold(history, keys, us, ties, machine).select(*stage.out.names)
     return Settled(rows.join(touched, of_key, "left_anti").unionByName(anew), late.unionByName(missed), progress)

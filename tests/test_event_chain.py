@@ -84,3 +84,18 @@ def test_late_rows_are_told_apart(spark, tmp_path):
                         str(tmp_path / "base"))
     assert sorted(r["id"] for r in out.rows.filter("accepted").collect()) == [1, 2, 4, 5, 7, 8, 9]
     assert out.rows.count() == 9 and sorted(r["id"] for r in out.late.collect()) == [7, 10]
+
+
+def test_a_long_history_is_streamed(spark, tmp_path):
+    """One key's rows never meet in a worker as a whole, however many one micro-batch releases."""
+    class Bounded(GreedyGap):
+        def run(self, state, us, cols):
+            if len(us) > 10_000:
+                raise ValueError(f"{len(us)} rows at once")
+            return super().run(state, us, cols)
+
+    src = str(tmp_path / "in")
+    spark.range(25_000).selectExpr("'a' AS key", "(id * 7 % 25000) * 1000000 AS us", "id").write.parquet(src)
+    stream = spark.readStream.schema("key string, us long, id long").parquet(src)
+    out = timed.settled(stream, spark.read.parquet(src), ["key"], "us", ["id"], Bounded(10_000_000), HOUR_US, str(tmp_path / "base"))
+    assert (out.rows.count(), out.rows.filter("accepted").count()) == (25_000, 2_500)
