@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from quayside.functions import scalars
-from quayside.operators import folds, skew
+from quayside.operators import folds, ordered, skew, stability
 from quayside.operators.folds import EXIT
 from quayside.session import written
 from quayside.streaming import live
@@ -122,105 +122,6 @@ class MachineFold(StatefulProcessor):
         pass
 
 
-class StabilityGate(StatefulProcessor):
-    """Holds the files noticed on a watched path until its samples tell whether it is stable.
-
-    Every row is a sample (``size`` and ``mtime``; a null size means the file was gone); those with ``noticed`` are also files
-    that wait for the verdict of ``operators.stability``. They leave as soon as it is known, at the latest when the deadline
-    has passed, with ``stable`` and ``ready_us``, the time plus what the path took to settle. A verdict stays until its
-    path has been quiet for ``forget_us``; None keeps it.
-    """
-
-    def __init__(self, schema: T.StructType, us: str, ties: Sequence[str], noticed: str, size: str, mtime: str, attempts: int,
-                 deadline_us: int, forget_us: int | None = None) -> None:
-        place = schema.names.index
-        self.names = schema.names
-        self.us, self.order = place(us), [place(c) for c in (us, *ties)]
-        self.noticed, self.size, self.mtime = place(noticed), place(size), place(mtime)
-        self.attempts, self.deadline, self.forget = attempts, deadline_us, forget_us
-        self.out = Row(*self.names, AT, "stable", "ready_us")
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = Held(handle, "held")
-        self.waiting = Held(handle, "waiting")
-        # took_us is null while there is no verdict and -1 when the path never settled.
-        self.seen = handle.getValueState("seen", "samples int, first_us long, last_us long, size long, mtime long, took_us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rows = [tuple(row[c] for c in self.names) for row in rows]
-        self.held.add(rows)
-        self.handle.registerTimer(due(min(r[self.us] for r in rows)))
-        return iter(())
-
-    def _sample(self, seen: tuple | None, us: int, size, mtime) -> tuple:
-        """The state after one more sample of a path without a verdict."""
-        if seen is None:
-            samples, first, took = 1, us, -1 if size is None or self.attempts <= 1 else None
-        else:
-            samples, first, took = seen[0] + 1, seen[1], None
-            if size is None:
-                took = -1
-            elif size == seen[3] and mtime is not None and mtime == seen[4]:
-                took = us - first if us - first < self.deadline else -1
-            elif samples >= self.attempts:
-                took = -1
-        return samples, first, us, size, mtime, took
-
-    def _answer(self, row: tuple, took: int, decided_us: int) -> Row:
-        stable = took >= 0
-        ready = row[self.us] + max(took, 0)
-        return self.out(*row, instant(max(ready, decided_us)), stable, ready)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, following = self.held.take(passed, self.us)
-        seen = self.seen.get()
-        ready.sort(key=lambda r: tuple((r[i] is None, r[i]) for i in self.order))
-        asking = []
-        for row in ready:
-            if seen is None or seen[5] is None:
-                if seen is not None and row[self.us] - seen[1] >= self.deadline:
-                    seen = (*seen[:5], -1)
-                else:
-                    seen = self._sample(seen, row[self.us], row[self.size], row[self.mtime])
-                if seen[5] is not None:
-                    yield from self._release(seen, asking, row[self.us], passed)
-                    asking = []
-            seen = (*seen[:2], row[self.us], *seen[3:])
-            if row[self.noticed]:
-                if seen[5] is None:
-                    asking.append(row)
-                else:
-                    yield self._answer(row, seen[5], row[self.us])
-        if asking:
-            self.waiting.add(asking)
-        if seen is not None and seen[5] is None:
-            end = seen[1] + self.deadline
-            if end <= passed:
-                seen = (*seen[:5], -1)
-                yield from self._release(seen, [], end, passed)
-            else:
-                self.handle.registerTimer(due(end))
-        if following is not None:
-            self.handle.registerTimer(due(following))
-        quiet = None if self.forget is None or seen is None or seen[5] is None else seen[2] + self.forget
-        if quiet is not None and quiet <= passed and following is None:
-            self.seen.clear()
-        elif seen is not None:
-            self.seen.update(tuple(seen))
-            if quiet is not None:
-                self.handle.registerTimer(due(quiet))
-
-    def _release(self, seen: tuple, asking: list, decided_us: int, passed: int) -> Iterator[Row]:
-        old, _ = self.waiting.take(passed, self.us)
-        for row in old + asking:
-            yield self._answer(row, seen[5], decided_us)
-
-    def close(self) -> None:
-        pass
-
-
 def _typed(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(AT, T.TimestampType()), *T.StructType.fromDDL(more).fields])
 
@@ -237,16 +138,6 @@ def fold(rows: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], mac
     return done
 
 
-def stability(rows: DataFrame, key: str, us: str, ties: Sequence[str], noticed: str, size: str, mtime: str, attempts: int,
-              deadline_us: int, forget_us: int | None = None) -> DataFrame:
-    """The noticed rows with ``stable`` and ``ready_us``; see ``StabilityGate``."""
-    live.use_disk_state(rows.sparkSession)
-    kept = T.StructType([f for f in rows.schema.fields if f.name != AT])
-    gate = StabilityGate(kept, us, ties, noticed, size, mtime, attempts, deadline_us, forget_us)
-    return rows.groupBy(key).transformWithState(
-        gate, _typed(kept, "stable boolean, ready_us long"), "append", "eventTime", eventTimeColumnName=AT)
-
-
 def watermarked(rows: DataFrame, us: str, delay_us: int) -> DataFrame:
     """The rows that have a time, with column ``at`` and a watermark that trails it."""
     timely = rows.filter(F.col(us).isNotNull()).withColumn(AT, scalars.from_micros(us))
@@ -342,6 +233,73 @@ class Stage:
         return self.kept.every("out", self.out)
 
 
+class Gate:
+    """Holds the files noticed on a watched path until its samples tell whether it is stable, a micro-batch at a time.
+
+    Every row is a sample (``size`` and ``mtime``; a null size means the file was gone); those with ``noticed`` are also files
+    that wait for the verdict of ``operators.stability``. They leave as soon as it is known, at the latest when the deadline
+    has passed, with ``stable`` and ``ready_us``, the time plus what the path took to settle. A verdict stays until its
+    path has been quiet for ``forget_us``; None keeps it. Tables: the first samples of paths without a verdict, the
+    files that wait, and the verdicts.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: T.StructType, watched: str, us: str, tie: str, noticed: str,
+                 size: str, mtime: str, attempts: int, deadline_us: int, forget_us: int | None = None) -> None:
+        self.kept = live.Kept(spark, base)
+        self.schema, self.watched, self.us, self.noticed = schema, watched, us, noticed
+        self.attempts, self.deadline, self.forget = max(attempts, 1), deadline_us, forget_us
+        self.sample = {"path": watched, "sample_us": us, "sample_id": tie, "size": size, "mtime": mtime}
+        self.samples = T.StructType([T.StructField(n, schema[c].dataType) for n, c in self.sample.items()])
+        # took_us is -1 when the path never settled.
+        self.verdicts = T.StructType([self.samples["path"], T.StructField("took_us", T.LongType()), T.StructField("last_us", T.LongType())])
+
+    def step(self, rows: DataFrame, mark: int | None, batch: int) -> DataFrame:
+        """``rows``, a table, are all that the mark has passed since the last micro-batch; returns the files that have an answer."""
+        known = self.kept.at("verdict", batch - 1, self.verdicts)
+        fresh = rows.join(skew.renamed(known.select("path"), ["path"]), skew.same([self.watched]), "left_anti").select(
+            *[F.col(c).alias(n) for n, c in self.sample.items()])
+        samples = fresh.unionByName(self.kept.at("head", batch - 1, self.samples))
+        first = self.kept.put(ordered.first_rows(
+            samples, ["path"], ["sample_us", "sample_id"], self.attempts).drop("rank"), "first", batch)
+        decided = self.kept.put(self._decided(first, mark), "decided", batch)
+        self.kept.put(first.join(skew.renamed(decided.select("path"), ["path"]), skew.same(["path"]), "left_anti"), "head", batch)
+        now = known.unionByName(decided)
+        asking = rows.filter(self.noticed).unionByName(self.kept.at("waiting", batch - 1, self.schema))
+        took = skew.renamed(now.select("path", F.col("took_us").alias("_took")), ["path"])
+        met = asking.join(took, skew.same([self.watched]), "left").select(*self.schema.names, "_took")
+        answered = met.filter("_took IS NOT NULL").withColumn("stable", F.col("_took") >= 0).withColumn(
+            "ready_us", F.col(self.us) + F.greatest("_took", F.lit(0))).drop("_took")
+        out = self.kept.put(answered, "out", batch)
+        self.kept.put(met.filter("_took IS NULL").drop("_took"), "waiting", batch)
+        self.kept.put(now if self.forget is None or mark is None else self._lasting(now, rows, mark), "verdict", batch)
+        self.kept.drop("first", batch)
+        self.kept.drop("decided", batch)
+        self.kept.drop("out", batch - 1)
+        for kind in ("head", "waiting", "verdict"):
+            self.kept.drop(kind, batch - 2)
+        return out
+
+    def _decided(self, first: DataFrame, mark: int | None) -> DataFrame:
+        """Paths whose first samples, or whose deadline, leave nothing open."""
+        facts = skew.renamed(first.groupBy("path").agg(
+            F.min("sample_us").alias("_from"), F.max("sample_us").alias("last_us"), F.bool_or(F.col("size").isNull()).alias("_gone")), ["path"])
+        said = stability.verdict(first, self.attempts, self.deadline, "sample_id").join(facts, skew.same(["path"]))
+        over = F.lit(False) if mark is None else F.col("_from") + self.deadline <= mark
+        final = said.filter(F.col("stable") | F.col("_gone") | (F.col("samples") >= self.attempts) | over)
+        return final.select("path", F.when(F.col("stable"), F.col("duration_us")).otherwise(-1).cast("long").alias("took_us"), "last_us")
+
+    def _lasting(self, verdicts: DataFrame, rows: DataFrame, mark: int) -> DataFrame:
+        newest = skew.renamed(rows.groupBy(F.col(self.watched).alias("path")).agg(F.max(self.us).alias("_newest")), ["path"])
+        seen = verdicts.join(newest, skew.same(["path"]), "left").select(
+            "path", "took_us", F.greatest("last_us", "_newest").alias("last_us"))
+        return seen.filter(F.col("last_us") + self.forget > mark)
+
+    def size(self, batch: int) -> int:
+        """Samples, files and verdicts kept after a micro-batch."""
+        kinds = (("head", self.samples), ("waiting", self.schema), ("verdict", self.verdicts))
+        return sum(self.kept.at(kind, batch, schema).count() for kind, schema in kinds)
+
+
 class Settled(NamedTuple):
     """All rows with the machine's outputs, and those that came too late or have no time."""
 

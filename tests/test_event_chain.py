@@ -99,3 +99,22 @@ def test_a_long_history_is_streamed(spark, tmp_path):
     stream = spark.readStream.schema("key string, us long, id long").parquet(src)
     out = timed.settled(stream, spark.read.parquet(src), ["key"], "us", ["id"], Bounded(10_000_000), HOUR_US, str(tmp_path / "base"))
     assert (out.rows.count(), out.rows.filter("accepted").count()) == (25_000, 2_500)
+
+
+@pytest.mark.parametrize("forget_us,kept", [(None, 4), (10 * HOUR_US, 1)])  # then b starts over
+def test_gate_waits_for_samples(spark, tmp_path, forget_us, kept):
+    h, schema = HOUR_US, "path string, us long, id long, noticed boolean, size long, mtime long"
+    batches = [
+        (10, [("a", 1 * h, 1, True, 1, 1), ("a", 2 * h, 2, False, 1, 1), ("b", 3 * h, 3, True, None, 1), ("c", 5 * h, 4, True, 1, 1),
+              (None, 6 * h, 5, True, 4, 1)]),
+        (20, [("c", 12 * h, 6, True, 2, 1), ("a", 15 * h, 7, True, 9, 9), (None, 11 * h, 8, False, 4, 1)]),
+        (40, [("b", 39 * h, 9, False, 1, 1)]),
+    ]
+    got = []
+    for n, (mark, rows) in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        gate = timed.Gate(spark, str(tmp_path / "gate"), df.schema, "path", "us", "id", "noticed", "size", "mtime", 5, 30 * h, forget_us)
+        got.append(sorted((r["id"], r["stable"], r["ready_us"] // h) for r in gate.step(df, mark * h, n).collect()))
+    # 3 finds its file gone, 4 and 6 change until the deadline; a verdict holds for files noticed later.
+    assert got == [[(1, True, 2), (3, False, 3)], [(5, True, 11), (7, True, 16)], [(4, False, 5), (6, False, 12)]]
+    assert gate.size(2) == kept
