@@ -29,10 +29,12 @@ def build(master: str | None = None, app: str = "quayside", **conf: str) -> Spar
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings every plan here relies on: UTC days and adaptive, skew-splitting joins."""
+    """Settings every plan here relies on: UTC days, adaptive, skew-splitting joins, and batches of some megabytes for
+    Python workers, however long a row is."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def checkpoint_root(spark: SparkSession) -> str:

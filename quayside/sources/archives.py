@@ -64,7 +64,7 @@ def _rows(archive: str, content: bytes | None, content_limit: int | None, depth:
 
 
 def expand(archives: DataFrame, content_limit: int | None = None, max_depth: int = DEEPEST,
-           batch_bytes: int = 64 << 20) -> DataFrame:
+           batch_bytes: int = 8 << 20) -> DataFrame:
     """(path, content) of archives to ``ARCHIVE_MEMBER`` rows, in one pass.
 
     An unreadable archive, or one with a member that would land outside its directory, gives exactly

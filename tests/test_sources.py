@@ -5,11 +5,13 @@ import io
 import os
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quayside.config import AdmissionConfig
 from quayside.plans import admission
+from quayside.session import prepare
 from quayside.sinks import messages as sink
 from quayside.sources import archives, exposition, inventory, landing, messages
 
@@ -181,3 +183,12 @@ def test_sinks(spark, tmp_path):
     lanes = spark.createDataFrame([("a", "ignored", "x"), ("b", "failed", "y")], "path string, lane string, reason string")
     sink.write_lanes(lanes, str(tmp_path / "lanes"))
     assert sorted(os.listdir(tmp_path / "lanes"))[-2:] == ["lane=failed", "lane=ignored"]
+
+
+def test_workers_get_long_rows_a_few_megabytes_at_a_time(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    prepare(spark)
+    long = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("content"))
+    sizes = [r["n"] for r in long.mapInPandas(
+        lambda batches: (pd.DataFrame({"n": [int(b["content"].str.len().sum())]}) for b in batches), "n long").collect()]
+    assert sum(sizes) == 40 << 20 and max(sizes) <= 10 << 20
