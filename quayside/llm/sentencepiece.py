@@ -24,12 +24,16 @@ from quayside.llm.common import slices, text_bytes
 
 SPACE = "▁"  # fixed value: what the format writes for a space
 UNKNOWN_PENALTY = 10.0  # fixed value: how far an unknown character lies below the worst piece
+#: Words that are searched at a time, and the longest of them; longer ones are searched alone.
+TOGETHER, LONGEST = 20_000, 48
 
 
 class Pieces:
     """A model's pieces with their scores, its normalisation, and the search over its lattices."""
 
     def __init__(self, path: str, n: int, remembered: int = 400_000):
+        import numpy as np
+        import pyarrow as pa
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -39,6 +43,14 @@ class Pieces:
         self.longest = max(map(len, self.pieces), default=1)
         # Pieces and, with None, the strings that only begin one: nothing longer has to be looked up after a miss.
         self.tree = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
+        number = {"": 0} | {p: i for i, p in enumerate(self.tree, 1)}
+        steps = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in self.tree], np.int64)
+        order = np.argsort(steps)
+        # The same tree as sorted steps (node, character) to a node, whose id is -1 where it is no piece.
+        self.steps, self.nodes = steps[order], order + 1
+        self.node_id = np.array([-1] + [v[0] if v else -1 for v in self.tree.values()], np.int64)
+        self.node_score = np.array([0.0] + [v[1] if v else 0.0 for v in self.tree.values()])
+        self.single = {p for p in self.pieces if len(p) == 1}
         self.byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
         self.penalty = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
@@ -49,6 +61,7 @@ class Pieces:
         for value, i in self.byte_ids.items():
             self.surface[i] = bytes([value])
         self.surface[m.unk_id()] = " ⁇ ".encode()  # fixed value: how the library prints an unknown piece
+        self.surfaces = pa.array(self.surface, pa.large_binary())
         self.dummy = m.normalize("a") == SPACE + "a"
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -127,6 +140,59 @@ class Pieces:
         second = max([ahead[i] + s + after[j] for i, j, s in edges if (i, j) not in path], default=none)
         return array("I", [x for own in reversed(ids) for x in own]).tobytes(), ahead[n], ahead[n] - second
 
+    def best_twos(self, words: list[str]) -> list[tuple[bytes, float, float]]:
+        """``best_two`` of words whose characters all are pieces: position by position for all words at once."""
+        import numpy as np
+
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        of = np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes)
+        # Edges: the character they start at, how many they take, the node of their piece.
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        for depth in range(self.longest):
+            inside = at + depth < ends[of[at]]
+            at = at[inside]
+            key = node[inside] << 21 | chars[at + depth]
+            step = np.searchsorted(self.steps, key)
+            step[step == len(self.steps)] = 0
+            hit = self.steps[step] == key
+            at, node = at[hit], self.nodes[step[hit]]
+            if not len(at):
+                break
+            piece = self.node_id[node] >= 0
+            found.append((at[piece], np.full(piece.sum(), depth + 1), node[piece]))
+        start, taken, node = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(start, kind="stable")
+        start, taken, node = start[order], taken[order], node[order]
+        word, score = of[start], self.node_score[node]
+        # A word has a place before each character and one at its end.
+        i, j = start + word, start + word + taken
+        base = ends - sizes + np.arange(len(words))
+        last = base + sizes
+        ahead, after = np.full(len(chars) + len(words), -np.inf), np.full(len(chars) + len(words), -np.inf)
+        back = np.zeros(len(ahead), np.int64)
+        ahead[base], after[last] = 0.0, 0.0
+        # Edges with one start, or one end, in their words have different other ends.
+        for some in by_value(i - base[word]):
+            total = ahead[i[some]] + score[some]
+            better = total > ahead[j[some]]
+            ahead[j[some[better]]], back[j[some[better]]] = total[better], some[better]
+        for some in reversed(by_value(j - base[word])):
+            after[i[some]] = np.maximum(after[i[some]], after[j[some]] + score[some])
+        path, place = np.zeros(len(i), bool), last
+        while len(place):
+            edge = back[place]
+            path[edge] = True
+            place = i[edge]
+            place = place[place != base[word[edge]]]
+        second = np.where(path, -np.inf, ahead[i] + score + after[j])
+        second = np.maximum.reduceat(second, np.searchsorted(word, np.arange(len(words))))
+        data = self.node_id[node[path]].astype("<u4").tobytes()
+        cuts = [0, *(np.cumsum(np.bincount(word[path], minlength=len(words))) * 4).tolist()]
+        best = ahead[last]
+        return list(zip([data[a:b] for a, b in zip(cuts, cuts[1:])], best.tolist(), (best - second).tolist()))
+
     def unknown(self, character: str, at: int) -> tuple:
         """The edge of a character that is no piece."""
         raw = character.encode()
@@ -138,9 +204,16 @@ class Pieces:
         """Best path and the cost of the second best for words not met before."""
         if len(self.known) > self.half:
             self.known, self.older, self.deep = {}, self.known, {}
+        plain = []
         for word in words.difference(self.known):
             found = self.older.get(word)
-            self.known[word] = self.best_two(word) if found is None else found
+            if found is None and 0 < len(word) <= LONGEST and self.single.issuperset(word):
+                plain.append(word)
+            else:
+                self.known[word] = self.best_two(word) if found is None else found
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at:at + TOGETHER]
+            self.known.update(zip(some, self.best_twos(some)))
 
     def alternatives(self, word: str) -> list[tuple[float, bytes]]:
         """What the n best paths of a word cost more than its best, and their ids."""
@@ -169,7 +242,9 @@ class Pieces:
             found = [known[w] for w in words]
             ids = [f[0] for f in found]
             top = sum([f[1] for f in found])
-            few = heapq.nsmallest(self.n - 1, ((f[2], -i) for i, f in enumerate(found) if f[2] != float("inf")))
+            more = [f[2] for f in found]
+            most = max(sorted(more)[:self.n - 1], default=0.0)
+            few = sorted([(x, -i) for i, x in enumerate(more) if x <= most and x != float("inf")])[:self.n - 1]
             places = sorted(-i for _, i in few)
             best = [(0.0, ())]
             for at in places:
@@ -185,12 +260,30 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text of a sequence of ids; bytes that are no UTF-8 become replacement characters."""
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: list[bytes]) -> list[str]:
+        """``decode`` of each sequence."""
         import numpy as np
+        import pyarrow as pa
+
+        ids = np.frombuffer(b"".join(rows), "<u4")
+        ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+        found = self.surfaces.take(pa.array(ids))
+        cuts = np.frombuffer(found.buffers()[1], "int64", len(ids) + 1)[ends].tolist() if len(ids) else [0] * len(ends)
+        data, out = memoryview(found.buffers()[2] or b""), []
+        for a, b in zip(cuts, cuts[1:]):
+            text = bytes(data[a:b])
+            out.append((text[1:] if self.dummy and text[:1] == b" " else text).decode(errors="replace"))
+        return out
+
+
+def by_value(values) -> list:
+    """Where each value stands, for ascending values."""
+    import numpy as np
 
-        data = b"".join([self.surface[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        if self.dummy and data[:1] == b" ":
-            data = data[1:]
-        return data.decode(errors="replace")
+    order = np.argsort(values, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1)
 
 
 def encode(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text",
@@ -212,11 +305,13 @@ def encode(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_c
         for whole in batches:
             for batch in slices(whole, 2 << 20):
                 texts, rows = pieces.model.normalize([t.decode() for t in batch.column("text").to_pylist()]), []
-                for doc, plain, found in zip(batch.column("doc_id").to_pylist(), texts, pieces.encode_normal(texts)):
+                coded = pieces.encode_normal(texts)
+                decoded = iter(pieces.decode_all([ids for found in coded for _, ids in found]))
+                for doc, plain, found in zip(batch.column("doc_id").to_pylist(), texts, coded):
                     plain = plain.replace(SPACE, " ")
                     plain = plain[1:] if pieces.dummy and plain[:1] == " " else plain
                     for rank, (score, ids) in enumerate(found, 1):
-                        rows.append((doc, rank, score, len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == plain, ids))
+                        rows.append((doc, rank, score, len(ids) // 4, zlib.crc32(ids), next(decoded) == plain, ids))
                 columns = list(zip(*rows))[:len(types)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
