@@ -32,6 +32,10 @@ NULL_LAST = (1 << 63) - 1
 SLICE, BUCKET_BYTES, GATHER = 4 << 20, 2 << 20, 2_000_000
 FREQUENT, MOST_FREQUENT, LONG_LIST, SPOKES, TURNS = 16, 1 << 19, 4, 64, 4
 SKETCH_BITS, FOLD = 2048, 8
+#: Lists of more entries go through the rounds of drawn centers before their rest is paired.
+ROUND_LIST = 64
+#: Wanted keys that are broadcast, 8 bytes each.
+MOST_WANTED = 1 << 20
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 ENTRY = [("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rank", "<u4")]
 
@@ -281,20 +285,29 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     near = met.filter("b IS NOT NULL").select("a", "b").union(spokes.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
     links = verified(spark, docs, classes, near.distinct(), like, words)
     if not lists.isEmpty():
-        # What the first center left apart meets others, one per list and round; each round brings groups together, so that
-        # few entries of a list still differ when at last all that do are paired.
+        # What the first center left apart in a very long list meets others, one per list and round; each round brings groups
+        # together, so that few entries of a list still differ when at last all that do are paired. In shorter lists an
+        # entry has no more than ``ROUND_LIST`` partners to begin with.
+        many = written(lists.groupBy("token").count().filter(F.col("count") > ROUND_LIST).select("token"), "many")
+        apart = written(picked(lists, "token", many), "lists")
+        drop(spark, many)
         for turn in range(1, TURNS + 1):
-            known = labelled(lists, links)
+            if apart.isEmpty():
+                break
+            known = labelled(apart, links)
+            drop(spark, apart)
+            apart = known
             drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "rank", "n", "label", *folds)
             center = known.groupBy("token").agg(F.min(drawn).alias("c"))
             spokes = known.join(center, "token").filter("label != c.label").filter(near_sql("n", "rank", "c.n", "c.rank", "c.f"))
             more = verified(spark, docs, classes, spokes.select(
                 F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), like, words)
-            drop(spark, known)
             if more.isEmpty():
                 break
             links = links.union(more)
         known = labelled(lists, links)
+        drop(spark, apart, lists)
+        lists = known
         center = known.groupBy("token").agg(F.min(F.struct("node", "label")).alias("c"))
         outside = known.join(center, "token").filter("label != c.label").select(
             "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"),
@@ -317,9 +330,23 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
 
 
 def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The entries of ``lists`` with the component that the links so far put their node in."""
+    """The entries of ``lists`` with the component that the links so far put their node in. Lists whose nodes are all in one
+    component are left out: no link of theirs joins components any more."""
     label = components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "label")
-    return written(lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "lists")
+    known = lists.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
+    tokens = written(mixed.select("token"), "mixed")
+    done = written(picked(known, "token", tokens), "lists")
+    drop(lists.sparkSession, tokens)
+    return done
+
+
+def picked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key``, a long, is among those of ``wanted``, a written table of distinct ones. Up to ``MOST_WANTED`` are
+    broadcast, so that for a few the many are not shuffled."""
+    if wanted.count() <= MOST_WANTED:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, key, "left_semi")
 
 
 def parts(tokens, buckets: int):
@@ -389,12 +416,18 @@ def verified(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, like:
             n = batch.column("xn").to_numpy() + batch.column("yn").to_numpy()
             yield batch.filter(pa.array(apart <= n - 2 * like.overlap(0, n))).select(["a", "b", "x", "y"])
 
-    x = classes.selectExpr("node as a", "rep as x", "n as xn", "sketch as xs")
-    y = classes.selectExpr("node as b", "rep as y", "n as yn", "sketch as ys")
+    pairs = written(pairs, "pairs")
+    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    known = picked(classes, "node", nodes)
+    x = known.selectExpr("node as a", "rep as x", "n as xn", "sketch as xs")
+    y = known.selectExpr("node as b", "rep as y", "n as yn", "sketch as ys")
     schema = "a long, b long, x struct<doc: long, tag: string>, y struct<doc: long, tag: string>"
     left = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "xn", "yn", "xs", "ys").mapInArrow(possible, schema), "possible")
     asked = left.select("x.doc", "x.tag").union(left.select("y.doc", "y.tag")).distinct()
-    texts = written(docs.select("doc", "tag", "text").join(asked, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]), "texts")
+    # Rows with a wanted hash first, which takes no shuffle while those are few; of these, the wanted ones.
+    hashes = written(asked.select(F.xxhash64("doc", "tag").alias("hash")).distinct(), "wanted")
+    near = picked(docs.withColumn("hash", F.xxhash64("doc", "tag")), "hash", hashes)
+    texts = written(near.select("doc", "tag", "text").join(asked, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]), "texts")
     free_shuffles(spark)
     # The query of a pair is its smaller node, whose text goes before those of its partners, in groups of ``SPOKES``.
     many = written(left.groupBy("a", "x").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("hands")), "queries")
@@ -431,5 +464,5 @@ def verified(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, like:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     done = written(dealt.mapInArrow(count, "a long, b long"), "links")
-    drop(spark, left, texts, many)
+    drop(spark, pairs, nodes, hashes, left, texts, many)
     return done
