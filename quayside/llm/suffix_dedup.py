@@ -28,7 +28,7 @@ from quayside.llm.common import drop, free_shuffles, slices, text_bytes, tidy, t
 from quayside.session import written
 
 ANCHOR, SLICE, CHUNK, PIECE = 16, 4 << 20, 256 << 10, 1 << 20
-BUCKET_BYTES, BLOCK_BYTES, MANY = 1 << 20, 2 << 20, 4096
+BUCKET_BYTES, BLOCK_BYTES, MANY = 4 << 20, 2 << 20, 4096
 NULL_LAST = (1 << 63) - 1
 SETTLED, OPEN, SPREAD = 1, 2, 3
 #: Repeated ids that are broadcast.
@@ -101,7 +101,9 @@ class Hasher:
         c = (sums[lo + n + t - 1] - sums[lo]) * self.up[lo] + n.astype(np.uint64) * np.uint64(MULTIPLIER)
         c = (c ^ (c >> np.uint64(31))) * np.uint64(MIX)
         c += ((q[first] - lo).astype(np.uint64) + np.uint64(1)) * np.uint64(POWER)
-        return lo, n, h[q[first]] >> np.uint64(16), (c ^ (c >> np.uint64(29))) >> np.uint64(16)
+        # An anchor's hash is the smallest of many, so most lie close to 0; mixed once more they fill all buckets alike.
+        key = (h[q[first]] ^ (h[q[first]] >> np.uint64(29))) * np.uint64(MULTIPLIER)
+        return lo, n, (key ^ (key >> np.uint64(32))) >> np.uint64(16), (c ^ (c >> np.uint64(29))) >> np.uint64(16)
 
 
 def chunks(texts: list[bytes], threshold: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:

@@ -6,7 +6,17 @@ import random
 
 import pytest
 
-from quayside.llm import jaccard_join
+from quayside.llm import jaccard_join, suffix_dedup
+
+
+def test_anchors_fill_all_buckets_alike():
+    import numpy as np
+
+    data = np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8)
+    _, n, h, _ = suffix_dedup.Hasher(50).runs(data, np.array([len(data)]))
+    assert n.sum() == len(data) - 49
+    rows = np.bincount(suffix_dedup.bucket_of(h, 64), minlength=64)
+    assert rows.max() < 2 * rows.mean()
 
 
 def brute(docs: dict[int, str]) -> dict[int, int]:
