@@ -20,9 +20,10 @@ short); the others are long lists, which are only probed. The steps:
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import components, drop, free_shuffles, slices, text_bytes, total_bytes
@@ -31,9 +32,9 @@ from quayside.session import written
 NULL_LAST = (1 << 63) - 1
 SLICE, BUCKET_BYTES, GATHER = 4 << 20, 2 << 20, 2_000_000
 FREQUENT, MOST_FREQUENT, LONG_LIST, SPOKES, TURNS = 16, 1 << 19, 4, 64, 4
-SKETCH_BITS, FOLD = 2048, 8
-#: Lists of more entries go through the rounds of drawn centers before their rest is paired.
-ROUND_LIST = 64
+SKETCH_BITS, FOLD = 2048, 16
+#: Lists of more entries go through the rounds of centers before their rest is paired.
+ROUND_LIST = 32
 #: Wanted keys that are broadcast, 8 bytes each.
 MOST_WANTED = 1 << 20
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -104,6 +105,11 @@ class Similarity:
         """How many shingles in the common order a set has to show to meet every set it is linked to."""
         return n + (-self.num * n) // self.den + 1
 
+    def band(self, n: str, turn: int) -> str:
+        """SQL for a number that sets have in common when their sizes allow them to be linked, or else most often in the next
+        turn, whose bands lie half a band off."""
+        return f"floor(ln({n}) / {math.log(self.den / max(self.num, 1)) or 1.0} + {turn} / 2)"
+
     def ordered(self, tokens, frequent):
         """The first shingles of a set, rare ones before frequent ones, and how many of them are rare."""
         import numpy as np
@@ -285,9 +291,9 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     near = met.filter("b IS NOT NULL").select("a", "b").union(spokes.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
     links = verified(spark, docs, classes, near.distinct(), like, words)
     if not lists.isEmpty():
-        # What the first center left apart in a very long list meets others, one per list and round; each round brings groups
-        # together, so that few entries of a list still differ when at last all that do are paired. In shorter lists an
-        # entry has no more than ``ROUND_LIST`` partners to begin with.
+        # What the first center left apart in a very long list meets others, one per list, band of sizes and round; each round brings
+        # groups together, so that few entries of a list still differ when at last all that do are paired. In shorter lists
+        # an entry has no more than ``ROUND_LIST`` partners to begin with.
         many = written(lists.groupBy("token").count().filter(F.col("count") > ROUND_LIST).select("token"), "many")
         apart = written(picked(lists, "token", many), "lists")
         drop(spark, many)
@@ -297,9 +303,10 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
             known = labelled(apart, links)
             drop(spark, apart)
             apart = known
-            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "rank", "n", "label", *folds)
-            center = known.groupBy("token").agg(F.min(drawn).alias("c"))
-            spokes = known.join(center, "token").filter("label != c.label").filter(near_sql("n", "rank", "c.n", "c.rank", "c.f"))
+            known = known.withColumn("band", F.expr(like.band("n", turn)))
+            drawn = F.struct(draw(turn).alias("draw"), "node", "rank", "n", "label", *folds)
+            center = known.groupBy("token", "band").agg(F.min(drawn).alias("c"))
+            spokes = known.join(center, ["token", "band"]).filter("label != c.label").filter(near_sql("n", "rank", "c.n", "c.rank", "c.f"))
             more = verified(spark, docs, classes, spokes.select(
                 F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), like, words)
             if more.isEmpty():
@@ -308,12 +315,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         known = labelled(lists, links)
         drop(spark, apart, lists)
         lists = known
-        center = known.groupBy("token").agg(F.min(F.struct("node", "label")).alias("c"))
-        outside = known.join(center, "token").filter("label != c.label").select(
-            "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"),
-            *[F.col(f).alias(f"x{f}") for f in folds])
-        rest = outside.join(known, "token").filter("label != xl").filter(near_sql("n", "rank", "xn", "xr", "xf"))
-        rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        rest = paired(known, near_sql, folds).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         links = links.union(verified(spark, docs, classes, rest, like, words))
     label = components(links)
     named = classes.select("node", F.col("rep.doc").alias("rep")).join(label.withColumnRenamed("id", "node"), "node", "left")
@@ -341,6 +343,29 @@ def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     return done
 
 
+def draw(turn: int) -> Column:
+    """What the center of a round is the smallest of. Rare shingles go first, so where the shingle of a list comes early in a
+    set, the set has few of its own: it differs least from what the others have in common, and what is linked to
+    any of them is mostly linked to it. Later rounds draw by lot."""
+    return F.col("rank").cast("long") if turn <= 2 else F.xxhash64("node", F.lit(turn))
+
+
+def paired(known: DataFrame, near_sql, folds: list[str]) -> DataFrame:
+    """Pairs (x, node) of entries of one list that are in different components and near enough.
+
+    One of the two is not in the component of the list's center; where neither is, the smaller node is x. Two sets whose
+    last list before this one is the same met there, at earlier places, so they are no pair here.
+    """
+    center = known.groupBy("token").agg(F.min(F.struct("node", "label")).alias("c"))
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("rank"))
+    known = known.withColumn("before", before).join(center, "token").withColumn("out", F.expr("label != c.label")).drop("c")
+    outside = known.filter("out").select(
+        "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rank").alias("xr"), F.col("label").alias("xl"),
+        F.col("before").alias("xbefore"), *[F.col(f).alias(f"x{f}") for f in folds])
+    return outside.join(known, "token").filter(
+        "label != xl AND (x < node OR NOT out) AND coalesce(before != xbefore, true)").filter(near_sql("n", "rank", "xn", "xr", "xf"))
+
+
 def picked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose ``key``, a long, is among those of ``wanted``, a written table of distinct ones. Up to ``MOST_WANTED`` are
     broadcast, so that for a few the many are not shuffled."""
