@@ -26,6 +26,8 @@ SPACE = "▁"  # fixed value: what the format writes for a space
 UNKNOWN_PENALTY = 10.0  # fixed value: how far an unknown character lies below the worst piece
 #: Words that are searched at a time, and the longest of them; longer ones are searched alone.
 TOGETHER, LONGEST = 20_000, 48
+#: Words with a character without a piece are searched alone if they are fewer: a search together takes 6 ms at least.
+FEW = 64
 
 
 class Pieces:
@@ -47,14 +49,22 @@ class Pieces:
         steps = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in self.tree], np.int64)
         order = np.argsort(steps)
         # The same tree as sorted steps (node, character) to a node, whose id is -1 where it is no piece.
-        self.steps, self.nodes = steps[order], order + 1
+        self.steps, self.nodes = steps[order], (order + 1).astype(np.int32)
         self.node_id = np.array([-1] + [v[0] if v else -1 for v in self.tree.values()], np.int64)
         self.node_score = np.array([0.0] + [v[1] if v else 0.0 for v in self.tree.values()])
+        self.is_piece, self.inner = self.node_id >= 0, np.zeros(len(self.tree) + 1, bool)
+        self.inner[self.steps[self.steps >= 1 << 21] >> 21] = True
+        # The node of a first character; 0, the root, where no piece begins with it.
+        top = self.steps < 1 << 21
+        self.first = np.zeros(0x110000, np.int32)
+        self.first[self.steps[top]] = self.nodes[top]
         self.single = {p for p in self.pieces if len(p) == 1}
         self.byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
+        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id[list(self.byte_ids)] = list(self.byte_ids.values())
         self.penalty = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
-        apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else r"[\s\S]+")
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.apart else r"[\s\S]+")
         self.surface = [b""] * m.get_piece_size()
         for piece, (i, _) in self.pieces.items():
             self.surface[i] = piece.replace(SPACE, " ").encode()
@@ -141,57 +151,86 @@ class Pieces:
         return array("I", [x for own in reversed(ids) for x in own]).tobytes(), ahead[n], ahead[n] - second
 
     def best_twos(self, words: list[str]) -> list[tuple[bytes, float, float]]:
-        """``best_two`` of words whose characters all are pieces: position by position for all words at once."""
+        """``best_two`` of many words, position by position for all of them at once."""
         import numpy as np
 
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        of = np.repeat(np.arange(len(words)), sizes)
-        ends = np.cumsum(sizes)
-        # Edges: the character they start at, how many they take, the node of their piece.
-        at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
-        for depth in range(self.longest):
-            inside = at + depth < ends[of[at]]
-            at = at[inside]
-            key = node[inside] << 21 | chars[at + depth]
-            step = np.searchsorted(self.steps, key)
-            step[step == len(self.steps)] = 0
-            hit = self.steps[step] == key
-            at, node = at[hit], self.nodes[step[hit]]
-            if not len(at):
-                break
-            piece = self.node_id[node] >= 0
-            found.append((at[piece], np.full(piece.sum(), depth + 1), node[piece]))
-        start, taken, node = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(start, kind="stable")
-        start, taken, node = start[order], taken[order], node[order]
-        word, score = of[start], self.node_score[node]
-        # A word has a place before each character and one at its end.
-        i, j = start + word, start + word + taken
-        base = ends - sizes + np.arange(len(words))
-        last = base + sizes
-        ahead, after = np.full(len(chars) + len(words), -np.inf), np.full(len(chars) + len(words), -np.inf)
-        back = np.zeros(len(ahead), np.int64)
-        ahead[base], after[last] = 0.0, 0.0
-        # Edges with one start, or one end, in their words have different other ends.
-        for some in by_value(i - base[word]):
-            total = ahead[i[some]] + score[some]
-            better = total > ahead[j[some]]
-            ahead[j[some[better]]], back[j[some[better]]] = total[better], some[better]
-        for some in reversed(by_value(j - base[word])):
-            after[i[some]] = np.maximum(after[i[some]], after[j[some]] + score[some])
-        path, place = np.zeros(len(i), bool), last
-        while len(place):
-            edge = back[place]
-            path[edge] = True
-            place = i[edge]
-            place = place[place != base[word[edge]]]
-        second = np.where(path, -np.inf, ahead[i] + score + after[j])
-        second = np.maximum.reduceat(second, np.searchsorted(word, np.arange(len(words))))
-        data = self.node_id[node[path]].astype("<u4").tobytes()
-        cuts = [0, *(np.cumsum(np.bincount(word[path], minlength=len(words))) * 4).tolist()]
-        best = ahead[last]
-        return list(zip([data[a:b] for a, b in zip(cuts, cuts[1:])], best.tolist(), (best - second).tolist()))
+        # Longest first: those that go on after some character are the first so many.
+        order = sorted(range(len(words)), key=lambda w: -len(words[w]))
+        sizes = np.array([len(words[w]) for w in order])
+        flat = np.frombuffer("".join([words[w] for w in order]).encode("utf-32-le"), "<u4")
+        at, n = np.cumsum(sizes) - sizes, int(sizes[0])
+        goes_on = np.searchsorted(-sizes, -np.arange(n + 1)).tolist()
+        chars = [flat[at[:m] + i] for i, m in enumerate(goes_on[:n])]
+        # By position and word: the best score from the start, the length and the node of the edge it ends with.
+        ahead = np.full((n + 1, len(words)), -np.inf)
+        taken, last = np.zeros(ahead.shape, np.int8), np.zeros(ahead.shape, np.int32)
+        ahead[0], edges = 0.0, []
+        for i, m in enumerate(goes_on[:n]):
+            here, there, node = ahead[i], ahead[i + 1, :m], self.first[chars[i]]
+            score = self.node_score[node]
+            none = np.flatnonzero(~self.is_piece[node])
+            score[none] = self.penalty * utf8_length(chars[i][none]) if self.byte_ids else self.penalty
+            total = here[:m] + score
+            better = total > there
+            there[better], taken[i + 1, :m][better] = total[better], 1
+            last[i + 1, :m][better] = np.where(self.is_piece[node], node, 0)[better]
+            edges.append((i, 1, slice(m), score))
+            word = np.flatnonzero(self.inner[node[:goes_on[i + 1]]])
+            node = node[word]
+            for j in range(i + 2, n + 1):
+                if not len(word):
+                    break
+                key = node.astype(np.int64) << 21 | chars[j - 1][word]
+                step = np.searchsorted(self.steps, key)
+                step[step == len(self.steps)] = 0
+                hit = self.steps[step] == key
+                word, node = word[hit], self.nodes[step[hit]]
+                piece = self.is_piece[node]
+                to, by = word[piece], node[piece]
+                score = self.node_score[by]
+                total = here[to] + score
+                better = total > ahead[j, to]
+                some = to[better]
+                ahead[j, some], taken[j, some], last[j, some] = total[better], j - i, by[better]
+                edges.append((i, j - i, to, score))
+                on = self.inner[node] & (word < goes_on[j])
+                word, node = word[on], node[on]
+        path, own = np.zeros(ahead.shape, np.int8), np.zeros(ahead.shape, np.int32)
+        word, at = np.arange(len(words)), sizes
+        while len(word):
+            length, node = taken[at, word], last[at, word]
+            at = at - length
+            path[at, word], own[at, word] = length, node
+            word, at = word[at > 0], at[at > 0]
+        after, second = np.full(ahead.shape, -np.inf), np.full(len(words), -np.inf)
+        after[sizes, np.arange(len(words))] = 0.0
+        for i, length, word, score in reversed(edges):
+            rest = after[i + length, word]
+            after[i, word] = np.maximum(after[i, word], rest + score)
+            total = ahead[i, word] + score + rest
+            total[path[i, word] == length] = -np.inf
+            second[word] = np.maximum(second[word], total)
+        word, at = np.nonzero(path.T)
+        node = own[at, word]
+        ids, none = self.node_id[node], np.flatnonzero(node == 0)
+        count = np.ones(len(ids), np.int64)
+        if len(none):
+            first = np.cumsum(sizes) - sizes
+            strange = flat[first[word[none]] + at[none]]
+            if self.byte_ids:
+                raw = np.frombuffer(strange.tobytes().decode("utf-32-le").encode(), np.uint8)
+                count[none] = utf8_length(strange)
+                ids = np.repeat(ids, count)
+                ids[np.repeat(node == 0, count)] = self.byte_id[raw]
+            else:
+                ids[none] = self.model.unk_id()
+        ids = ids.astype("<u4").tobytes()
+        cuts = [0, *(np.cumsum(np.bincount(word, count, len(words))).astype(np.int64) * 4).tolist()]
+        best = ahead[sizes, np.arange(len(words))]
+        out: list = [None] * len(words)
+        for w, a, b, top, more in zip(order, cuts, cuts[1:], best.tolist(), (best - second).tolist()):
+            out[w] = ids[a:b], top, more
+        return out
 
     def unknown(self, character: str, at: int) -> tuple:
         """The edge of a character that is no piece."""
@@ -204,13 +243,18 @@ class Pieces:
         """Best path and the cost of the second best for words not met before."""
         if len(self.known) > self.half:
             self.known, self.older, self.deep = {}, self.known, {}
-        plain = []
+        new = []
         for word in words.difference(self.known):
             found = self.older.get(word)
-            if found is None and 0 < len(word) <= LONGEST and self.single.issuperset(word):
-                plain.append(word)
+            if found is None:
+                new.append(word)
             else:
-                self.known[word] = self.best_two(word) if found is None else found
+                self.known[word] = found
+        short = [w for w in new if 0 < len(w) <= LONGEST]
+        strange = [w for w in short if not self.single.issuperset(w)]
+        alone = {w for w in new if not 0 < len(w) <= LONGEST}.union(strange if len(strange) < FEW else ())
+        self.known.update((w, self.best_two(w)) for w in alone)
+        plain = sorted([w for w in short if w not in alone], key=len)
         for at in range(0, len(plain), TOGETHER):
             some = plain[at:at + TOGETHER]
             self.known.update(zip(some, self.best_twos(some)))
@@ -235,29 +279,67 @@ class Pieces:
 
         Equal scores are ordered by the ranks of the words' paths, first word first.
         """
-        rows = [self.word.findall(t) for t in texts]
-        self.learn({w for words in rows for w in words})
-        known, out = self.known, []
-        for words in rows:
-            found = [known[w] for w in words]
-            ids = [f[0] for f in found]
-            top = sum([f[1] for f in found])
-            more = [f[2] for f in found]
-            most = max(sorted(more)[:self.n - 1], default=0.0)
-            few = sorted([(x, -i) for i, x in enumerate(more) if x <= most and x != float("inf")])[:self.n - 1]
-            places = sorted(-i for _, i in few)
+        import numpy as np
+        import pyarrow as pa
+
+        words, firsts = self.words(texts)
+        words = words.dictionary_encode()
+        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices
+        self.learn(set(distinct))
+        found, out = [self.known[w] for w in distinct], []
+        data = pa.array([f[0] for f in found], pa.large_binary()).take(codes)
+        cuts, data = np.frombuffer(data.buffers()[1], "int64", len(data) + 1), memoryview(data.buffers()[2] or b"")
+        codes = codes.to_numpy()
+        tops, more = (np.array([f[k] for f in found], float)[codes] for k in (1, 2))
+        for first, end in zip(firsts, firsts[1:]):
+            top = sum(tops[first:end].tolist())
+            places = self.places(more[first:end])
             best = [(0.0, ())]
-            for at in places:
-                best = sorted((loss + more, ranks + (r,)) for loss, ranks in best
-                              for r, (more, _) in enumerate(self.alternatives(words[at])))[:self.n]
+            some = [self.alternatives(distinct[codes[first + at]]) for at in places]
+            for others in some:
+                best = sorted((loss + more, ranks + (r,)) for loss, ranks in best for r, (more, _) in enumerate(others))[:self.n]
+            # What stays between the words that can differ.
+            ends = cuts[[first, *(first + at + k for at in places for k in (0, 1)), end]].tolist()
+            kept = [data[i:j] for i, j in zip(ends[::2], ends[1::2])]
             mine = []
             for loss, ranks in best[:self.n]:
-                for at, r in zip(places, ranks):
-                    ids[at] = self.alternatives(words[at])[r][1]
-                mine.append((top - loss, b"".join(ids)))
+                parts = kept[:1]
+                for others, r, rest in zip(some, ranks, kept[1:]):
+                    parts += others[r][1], rest
+                mine.append((top - loss, b"".join(parts)))
             out.append(mine)
         return out
 
+    def words(self, texts: list[str]) -> tuple:
+        """What ``word`` finds in all texts, as an Arrow array, and where those of each text begin there, with their number."""
+        import numpy as np
+        import pyarrow as pa
+
+        texts = pa.array(texts, pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], "int64", len(texts) + 1) if len(texts) else np.zeros(1, "int64")
+        raw = np.frombuffer(texts.buffers()[2] or b"", "u1")[:ends[-1]]
+        begins = np.zeros(len(raw), bool)
+        begins[ends[:-1][np.diff(ends) > 0]] = True
+        if self.apart:
+            a, b, c = SPACE.encode()
+            at = np.flatnonzero(raw == a)
+            at = at[(raw[at + 1] == b) & (raw[at + 2] == c)]
+            begins[at[np.diff(at, prepend=-4) != 3]] = True
+        starts = np.flatnonzero(begins)
+        cuts = np.append(starts, ends[-1])
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), texts.buffers()[2])
+        return words, np.searchsorted(starts, ends).tolist()
+
+    def places(self, more) -> list[int]:
+        """Of a text's words the n - 1 whose second best costs least, later ones first among equals, in their order."""
+        import numpy as np
+
+        k = min(self.n - 1, len(more))
+        if not k:
+            return []
+        few = np.flatnonzero((more <= np.partition(more, k - 1)[k - 1]) & (more != float("inf")))
+        return sorted(-i for _, i in sorted(zip(more[few].tolist(), (-few).tolist()))[:k])
+
     def decode(self, ids: bytes) -> str:
         """The text of a sequence of ids; bytes that are no UTF-8 become replacement characters."""
         return self.decode_all([ids])[0]
@@ -278,12 +360,9 @@ class Pieces:
         return out
 
 
-def by_value(values) -> list:
-    """Where each value stands, for ascending values."""
-    import numpy as np
-
-    order = np.argsort(values, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1)
+def utf8_length(characters):
+    """Bytes of each character in UTF-8."""
+    return 1 + (characters >= 0x80) + (characters >= 0x800) + (characters >= 0x10000).astype("int64")
 
 
 def encode(df: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text",
