@@ -16,6 +16,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,17 +48,18 @@ class Pieces:
         self.tree = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
         number = {"": 0} | {p: i for i, p in enumerate(self.tree, 1)}
         steps = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in self.tree], np.int64)
-        order = np.argsort(steps)
-        # The same tree as sorted steps (node, character) to a node, whose id is -1 where it is no piece.
-        self.steps, self.nodes = steps[order], (order + 1).astype(np.int32)
+        # The same tree as steps (node, character) to a node, whose id is -1 where it is no piece; the root has no step.
+        self.steps = np.append(-1, steps)
+        self.slots = self.hashed(steps)
         self.node_id = np.array([-1] + [v[0] if v else -1 for v in self.tree.values()], np.int64)
         self.node_score = np.array([0.0] + [v[1] if v else 0.0 for v in self.tree.values()])
+        self.depth = np.array([1, *map(len, self.tree)], np.int64)
         self.is_piece, self.inner = self.node_id >= 0, np.zeros(len(self.tree) + 1, bool)
-        self.inner[self.steps[self.steps >= 1 << 21] >> 21] = True
+        self.inner[steps[steps >= 1 << 21] >> 21] = True
         # The node of a first character; 0, the root, where no piece begins with it.
-        top = self.steps < 1 << 21
+        top = np.flatnonzero(steps < 1 << 21)
         self.first = np.zeros(0x110000, np.int32)
-        self.first[self.steps[top]] = self.nodes[top]
+        self.first[steps[top]] = top + 1
         self.single = {p for p in self.pieces if len(p) == 1}
         self.byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
         self.byte_id = np.zeros(256, np.int64)
@@ -77,6 +79,33 @@ class Pieces:
         self.older: dict[str, tuple] = {}
         self.deep: dict[str, list] = {}
 
+    @staticmethod
+    def hashed(steps):
+        """A hash table of the nodes the steps lead to: each in the first slot that was free from its own on, 0 in the others."""
+        import numpy as np
+
+        slots = np.zeros(1 << max(4, (8 * len(steps)).bit_length()), np.int32)
+        node, at = np.arange(1, len(steps) + 1), slot(steps, len(slots))
+        while len(node):
+            free = slots[at] == 0
+            slots[at[free]] = node[free]
+            left = np.flatnonzero(slots[at] != node)
+            node, at = node[left], at[left] + 1 & len(slots) - 1
+        return slots
+
+    def follow(self, steps):
+        """The nodes that steps lead to, 0 where there is none."""
+        import numpy as np
+
+        at = slot(steps, len(self.slots))
+        out = self.slots[at]
+        open_ = np.flatnonzero((self.steps[out] != steps) & (out != 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & len(self.slots) - 1
+            out[open_] = found = self.slots[at[open_]]
+            open_ = open_[(self.steps[found] != steps[open_]) & (found != 0)]
+        return out
+
     def edges(self, word: str) -> list[list[tuple]]:
         """For every position the edges that end there: (start, score, ids)."""
         pieces, longest, n = self.pieces, self.longest, len(word)
@@ -155,63 +184,66 @@ class Pieces:
         import numpy as np
 
         # Longest first: those that go on after some character are the first so many.
-        order = sorted(range(len(words)), key=lambda w: -len(words[w]))
-        sizes = np.array([len(words[w]) for w in order])
-        flat = np.frombuffer("".join([words[w] for w in order]).encode("utf-32-le"), "<u4")
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        flat = np.frombuffer("".join([words[w] for w in order.tolist()]).encode("utf-32-le"), "<u4")
         at, n = np.cumsum(sizes) - sizes, int(sizes[0])
         goes_on = np.searchsorted(-sizes, -np.arange(n + 1)).tolist()
         chars = [flat[at[:m] + i] for i, m in enumerate(goes_on[:n])]
-        # By position and word: the best score from the start, the length and the node of the edge it ends with.
+        # By position and word: the best score from the start, and the node of the edge it ends with, the root for a
+        # character without a piece.
         ahead = np.full((n + 1, len(words)), -np.inf)
-        taken, last = np.zeros(ahead.shape, np.int8), np.zeros(ahead.shape, np.int32)
-        ahead[0], edges = 0.0, []
+        last, edges = np.zeros(ahead.shape, np.int32), []
+        ahead[0] = 0.0
         for i, m in enumerate(goes_on[:n]):
-            here, there, node = ahead[i], ahead[i + 1, :m], self.first[chars[i]]
-            score = self.node_score[node]
-            none = np.flatnonzero(~self.is_piece[node])
-            score[none] = self.penalty * utf8_length(chars[i][none]) if self.byte_ids else self.penalty
+            here, node = ahead[i], self.first[chars[i]]
+            piece = self.is_piece[node]
+            score, by, none = self.node_score[node], node * piece, np.flatnonzero(~piece)
+            if len(none):
+                score[none] = self.penalty * utf8_length(chars[i][none]) if self.byte_ids else self.penalty
             total = here[:m] + score
-            better = total > there
-            there[better], taken[i + 1, :m][better] = total[better], 1
-            last[i + 1, :m][better] = np.where(self.is_piece[node], node, 0)[better]
-            edges.append((i, 1, slice(m), score))
+            better = total > ahead[i + 1, :m]
+            np.copyto(ahead[i + 1, :m], total, where=better)
+            np.copyto(last[i + 1, :m], by, where=better)
+            edges.append((i, i + 1, slice(m), by, score))
             word = np.flatnonzero(self.inner[node[:goes_on[i + 1]]])
             node = node[word]
             for j in range(i + 2, n + 1):
                 if not len(word):
                     break
                 key = node.astype(np.int64) << 21 | chars[j - 1][word]
-                step = np.searchsorted(self.steps, key)
-                step[step == len(self.steps)] = 0
-                hit = self.steps[step] == key
-                word, node = word[hit], self.nodes[step[hit]]
-                piece = self.is_piece[node]
+                node = self.follow(key)
+                hit = np.flatnonzero(node)
+                word, node = word[hit], node[hit]
+                piece = np.flatnonzero(self.is_piece[node])
                 to, by = word[piece], node[piece]
-                score = self.node_score[by]
+                score, there = self.node_score[by], ahead[j]
                 total = here[to] + score
-                better = total > ahead[j, to]
+                better = np.flatnonzero(total > there[to])
                 some = to[better]
-                ahead[j, some], taken[j, some], last[j, some] = total[better], j - i, by[better]
-                edges.append((i, j - i, to, score))
-                on = self.inner[node] & (word < goes_on[j])
+                there[some], last[j][some] = total[better], by[better]
+                edges.append((i, j, to, by, score))
+                on = np.flatnonzero(self.inner[node] & (word < goes_on[j]))
                 word, node = word[on], node[on]
-        path, own = np.zeros(ahead.shape, np.int8), np.zeros(ahead.shape, np.int32)
+        path = np.full(ahead.shape, -1, np.int32)
         word, at = np.arange(len(words)), sizes
         while len(word):
-            length, node = taken[at, word], last[at, word]
-            at = at - length
-            path[at, word], own[at, word] = length, node
-            word, at = word[at > 0], at[at > 0]
+            node = last[at, word]
+            at = at - self.depth[node]
+            path[at, word] = node
+            on = np.flatnonzero(at)
+            word, at = word[on], at[on]
         after, second = np.full(ahead.shape, -np.inf), np.full(len(words), -np.inf)
         after[sizes, np.arange(len(words))] = 0.0
-        for i, length, word, score in reversed(edges):
-            rest = after[i + length, word]
-            after[i, word] = np.maximum(after[i, word], rest + score)
-            total = ahead[i, word] + score + rest
-            total[path[i, word] == length] = -np.inf
+        for i, j, word, by, score in reversed(edges):
+            rest, back = after[j][word], after[i]
+            back[word] = np.maximum(back[word], rest + score)
+            total = ahead[i][word] + score + rest
+            total[path[i][word] == by] = -np.inf
             second[word] = np.maximum(second[word], total)
-        word, at = np.nonzero(path.T)
-        node = own[at, word]
+        word, at = np.nonzero(path.T >= 0)
+        node = path[at, word]
         ids, none = self.node_id[node], np.flatnonzero(node == 0)
         count = np.ones(len(ids), np.int64)
         if len(none):
@@ -227,10 +259,8 @@ class Pieces:
         ids = ids.astype("<u4").tobytes()
         cuts = [0, *(np.cumsum(np.bincount(word, count, len(words))).astype(np.int64) * 4).tolist()]
         best = ahead[sizes, np.arange(len(words))]
-        out: list = [None] * len(words)
-        for w, a, b, top, more in zip(order, cuts, cuts[1:], best.tolist(), (best - second).tolist()):
-            out[w] = ids[a:b], top, more
-        return out
+        out = list(zip([ids[a:b] for a, b in zip(cuts, cuts[1:])], best.tolist(), (best - second).tolist()))
+        return [out[w] for w in np.argsort(order).tolist()]
 
     def unknown(self, character: str, at: int) -> tuple:
         """The edge of a character that is no piece."""
@@ -251,7 +281,7 @@ class Pieces:
             else:
                 self.known[word] = found
         short = [w for w in new if 0 < len(w) <= LONGEST]
-        strange = [w for w in short if not self.single.issuperset(w)]
+        strange = list(islice((w for w in short if not self.single.issuperset(w)), FEW))
         alone = {w for w in new if not 0 < len(w) <= LONGEST}.union(strange if len(strange) < FEW else ())
         self.known.update((w, self.best_two(w)) for w in alone)
         plain = sorted([w for w in short if w not in alone], key=len)
@@ -360,6 +390,11 @@ class Pieces:
         return out
 
 
+def slot(steps, n: int):
+    """Where a hash table of n slots, a power of two, has steps at first."""
+    return (steps.astype("u8") * 0x9E3779B97F4A7C15 >> 65 - n.bit_length()).astype("i8")
+
+
 def utf8_length(characters):
     """Bytes of each character in UTF-8."""
     return 1 + (characters >= 0x80) + (characters >= 0x800) + (characters >= 0x10000).astype("int64")
