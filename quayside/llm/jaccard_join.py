@@ -45,24 +45,42 @@ def shingle_sets(texts: list[bytes], k: int) -> list:
     """Sorted 64-bit hashes of the distinct shingles of each text: k words in a row, lower-cased in ASCII, or all of a
     text's words if there are fewer."""
     import numpy as np
+    import pyarrow as pa
     import xxhash
 
-    out = []
-    for text in texts:
-        words = text.lower().split()
-        if not words:
-            out.append(np.empty(0, np.uint64))
-            continue
-        a = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        width = min(k, len(words))
-        n = len(words) - width + 1
+    # The words of all texts, which line feeds hold apart, one after another.
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    space = np.zeros(256, bool)
+    space[list(b"\t\n\x0b\x0c\r ")] = True
+    solid = np.zeros(len(data) + 1, bool)
+    np.logical_not(space[data], out=solid[1:])
+    starts, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
+    # Each word is looked up by its bytes and hashed once.
+    places = np.concatenate([[0], np.cumsum(ends - starts)])
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(places), pa.py_buffer(data[solid[1:]])]).dictionary_encode()
+    _, at, distinct = found.dictionary.buffers()
+    at, distinct = np.frombuffer(at, np.int64, len(found.dictionary) + 1).tolist() if len(starts) else [], bytes(distinct or b"")
+    once = np.fromiter((xxhash.xxh3_64_intdigest(distinct[s:e]) for s, e in zip(at, at[1:])), np.uint64, len(found.dictionary))
+    a = once[found.indices.to_numpy()]
+    begin = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)]))
+    del data, solid, starts, ends, places, found, at, distinct
+
+    def hashed(a, width):
+        n = len(a) - width + 1
         h = np.full(n, width, np.uint64)
         for i in range(width):
             h = h * np.uint64(MULTIPLIER) + a[i:i + n]
             h ^= h >> np.uint64(32)
         h *= np.uint64(MIX)
         h ^= h >> np.uint64(31)
-        out.append(np.unique(h))
+        return h
+
+    h, out = hashed(a, k) if len(a) >= k else np.empty(0, np.uint64), []
+    for s, e in zip(begin.tolist(), begin[1:].tolist()):
+        tokens = h[s:e - k + 1] if e - s >= k else hashed(a[s:e], e - s) if e > s else np.empty(0, np.uint64)
+        tokens.sort()
+        out.append(tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens)
     return out
 
 
@@ -245,7 +263,8 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
                     common.append(rows[split:])
                 if not rare:
                     continue
-                rows, out = np.sort(np.concatenate(rare), order="token"), []
+                rows = np.concatenate(rare)
+                rows = rows[np.argsort(rows["token"])]
                 out = [(b, rows[s:e].tobytes()) for b, s, e in parts(rows["token"], buckets)]
                 rows = np.concatenate(common)
                 if len(rows):
@@ -257,7 +276,7 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         import numpy as np
         import pyarrow as pa
 
-        rows = np.unique(np.concatenate([np.frombuffer(r, ENTRY) for r in table.column("rows").to_pylist()]))
+        rows = distinct_entries(np.concatenate([np.frombuffer(r, ENTRY) for r in table.column("rows").to_pylist()]))
         pairs = [np.empty((0, 2), np.int64)]
         if key[0].as_py() < buckets:
             token = rows["token"]
@@ -374,6 +393,17 @@ def picked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, key, "left_semi")
 
 
+def distinct_entries(rows):
+    """Entries by token and node, each once. A node has one entry for a token. Whole numbers are sorted many times faster
+    than rows."""
+    import numpy as np
+
+    rows = rows[np.lexsort((rows["node"], rows["token"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+    return rows[new]
+
+
 def parts(tokens, buckets: int):
     """(bucket, start, end) of the buckets that sorted tokens fall into, by their first 32 bits."""
     import numpy as np

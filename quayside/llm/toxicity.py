@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import fsum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,19 @@ FIT_DOCS, FIT_CHARS, LEAST_DOCS, LEAST_Z = 8000, 32 << 10, 3, 2.5
 WORDS = re.compile(r"\w+")
 
 
+def words_of(text: str | None) -> set[str]:
+    """The words of a text in lower case."""
+    return set(WORDS.findall(text.lower())) if text else set()
+
+
+def forms(word: str) -> tuple[str, str, str]:
+    """A word, and its first four and five letters, which word forms share."""
+    return word, word[:4] + "*", word[:5] + "*"
+
+
 def features_of(text: str | None) -> set[str]:
-    """The words of a text in lower case, and their first four and five letters, which word forms share."""
-    words = set(WORDS.findall(text.lower())) if text else set()
+    """The forms of the words of a text."""
+    words = words_of(text)
     return words | {w[:4] + "*" for w in words} | {w[:5] + "*" for w in words}
 
 
@@ -35,10 +46,21 @@ class Model:
         """P(grade > j) for every text (a row) and threshold (a column)."""
         import numpy as np
 
-        weights, keys = self.weights, self.weights.keys()
-        z = np.array([sum([weights[w] for w in keys & features_of(t)]) for t in texts], float)
+        known: dict[str, tuple] = {}
+        bearing: set[str] = set()
+        z = np.array([fsum([self.weights[f] for f in self._found(t, known, bearing)]) for t in texts], float)
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - z[:, None], -40, 40)))
 
+    def _found(self, text: str | None, known: dict[str, tuple], bearing: set[str]) -> set[str]:
+        """The features of a text that have a weight. Each word is looked up once: ``known`` has what was found for the words
+        so far, ``bearing`` those with a feature."""
+        words = words_of(text)
+        for w in words.difference(known):
+            known[w] = tuple([f for f in forms(w) if f in self.weights])
+            if known[w]:
+                bearing.add(w)
+        return {f for w in words & bearing for f in known[w]}
+
 
 def fit(texts: list[str], grades: list[float], penalty: float = 2e-4, steps: int = 200) -> Model:
     """A model of the grades that occur; with a single grade it has no thresholds, with none its grade is 0."""
